@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U = np.uint64
 CHUNK_BYTES = 2 << 20  # text taken at once; a longer document is one chunk of its own
@@ -127,7 +128,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
     n = len(texts)
     if not n:
         return
-    sizes = np.cumsum(np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
+    sizes = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)))
     lo = 0
     while lo < n:
         hi = int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + limit, side="right"))

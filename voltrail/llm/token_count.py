@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         c = counter(path)
         for b in batches:
             n = [c.count(t.as_py() or "") for t in b.column(1)]
-            size = pa.compute.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
+            size = pc.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), size, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
