@@ -155,3 +155,25 @@ class HashSet:
         k = np.minimum(np.searchsorted(self.values, h[at]), len(self.values) - 1)
         ok = self.values[k] == h[at]
         return at[ok], k[ok]
+
+
+def window_hash(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n consecutive entries, at their first, from one cumulative sum: for long windows."""
+    size = len(h)
+    q, inverse = _word_powers(size + 1)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(h * q[:size], out=total[1:])
+    end = np.minimum(np.arange(size) + n, size)
+    return mix((total[end] - total[:-1]) * inverse[:size] + U(n))
+
+
+_for_words: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _word_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_for_words[0]) < n:
+        for k, q in enumerate((_Q, pow(_Q, -1, 1 << 64))):
+            a = np.full(max(n, 1 << 19), U(q))
+            a[0] = U(1)
+            _for_words[k] = np.cumprod(a, dtype=np.uint64)
+    return _for_words[0], _for_words[1]
