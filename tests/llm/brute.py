@@ -101,3 +101,25 @@ def op10(docs: list[tuple], n: int = 50) -> dict:
                 gone.update(range(j, j + n))
         out[i] = (len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone)))
     return out
+
+
+def op6(rows: list[tuple]) -> dict:
+    """rows: (vec_id, vector, label), ids distinct."""
+    import math
+
+    good = {}
+    for i, v, label in rows:
+        if label is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            good.setdefault((label, len(v)), []).append((i, v))
+    links = []
+    for group in good.values():
+        for k, (a, x) in enumerate(group):
+            for b, y in group[k + 1 :]:
+                if sum(p * q for p, q in zip(x, y)) / (math.sqrt(sum(p * p for p in x)) * math.sqrt(sum(q * q for q in y))) >= 0.98:
+                    links.append((a, b))
+    root = roots([r[0] for r in rows], links)
+    n = dict.fromkeys(root, 0)
+    for pair in links:
+        for i in pair:
+            n[i] += 1
+    return {i: (n[i], root[i], root[i] == i) for i in root}
