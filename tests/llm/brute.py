@@ -123,3 +123,19 @@ def op6(rows: list[tuple]) -> dict:
         for i in pair:
             n[i] += 1
     return {i: (n[i], root[i], root[i] == i) for i in root}
+
+
+def op8(docs: list[tuple]) -> dict:
+    """The base part only: n_assign, n_access, n_hex, base_sha256."""
+    patterns = [
+        (0, re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII), lambda m: len(m[2]) >= 8),
+        (1, re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
+        (2, re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32),
+    ]
+    names = ("assign", "access", "hex")
+    out = {}
+    for i, text in docs:
+        spans = sorted((m.start(), k, m.end()) for k, p, ok in patterns for m in p.finditer(text or "") if ok(m))
+        count = [sum(s[1] == k for s in spans) for k in range(3)]
+        out[i] = (*count, sha(",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)))
+    return out
