@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import decontamination, embedding_dedup, mixing, ngram_join, secret_scan, substring_dedup, token_count
+from voltrail.llm import decontamination, embedding_dedup, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
 from voltrail.llm.workspace import read
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -32,6 +32,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(read(spark, sf_dir, "embeddings"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     table = secret_scan.train(secret_scan.samples(docs))
