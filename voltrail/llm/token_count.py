@@ -3,8 +3,9 @@
 Once per Python worker the vocabulary is checked: a string is "whole" when the
 library encodes it, alone, to exactly one token. A document is cut into
 pre-tokens; a whole pre-token counts one without any merging, and only the rest
-goes through the library's merges. Pieces between spaces repeat across a corpus,
-so a bounded memo holds their counts.
+goes through the library's merges. Texts are taken in batches: pieces between
+single spaces are the same many times over, so each batch counts its different
+pieces once, and a bounded memo keeps them for the next.
 
 Nulls count as empty text: 0 bytes, 0 tokens. Empty tables give empty results;
 extra columns are not read. No shuffle: one pass over the texts.
@@ -15,14 +16,20 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voltrail.llm.text import CHUNK_BYTES, chunks
+
 #: The vocabulary's own pre-token pattern (public byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 300_000  # pieces kept by a worker; then the memo starts again
+MEMO = 400_000  # pieces kept by a worker; then the memo starts again
+#: Texts in which a cut before a single space could part what the pattern keeps together: white
+#: space other than space and line feed, two spaces, a space after a line feed or at an end.
+UNEVEN = "[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|  |\\n | \\n?$"
 OUT = "doc_id bigint, n_bytes bigint, n_tokens bigint"
 
 
@@ -45,10 +52,6 @@ class Counter:
         self.cut = regex.compile(PATTERN).findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile("|".join(map(regex.escape, self.specials))).split if self.specials else None
-        # a piece is an optional run of one blank and what follows up to the next blank; the cut before a
-        # single space is safe only where all white space is plain, so other texts are cut as a whole
-        self.pieces = regex.compile(r" ?[^ ]+").findall
-        self.uneven = regex.compile(r"[^\S \n]|  |\n | $|[\x1c-\x1f]").search
         self.whole = self._prove()
         self.memo: dict[str, int] = {}
 
@@ -57,36 +60,57 @@ class Counter:
         ids = range(self.library.get_vocab_size())
         texts = [self.library.decode([i], skip_special_tokens=False) for i in ids]
         codes = self.library.encode_batch(texts, add_special_tokens=False)
-        return frozenset(t for t, c in zip(texts, codes) if t and "�" not in t and len(c.ids) == 1)
-
-    def merged(self, text: str) -> int:
-        """Tokens of a text without special strings: whole pre-tokens count one, others are merged."""
-        tokens = self.cut(text)
-        rest = [t for t in tokens if t not in self.whole]
-        n = len(tokens) - len(rest)
-        return n + sum(len(c.ids) for c in self.library.encode_batch(rest, add_special_tokens=False)) if rest else n
-
-    def count(self, text: str) -> int:
-        if self.split and any(s in text for s in self.specials):
-            parts = self.split(text)
-            return len(parts) - 1 + sum(map(self.plain, parts))
-        return self.plain(text)
-
-    def plain(self, text: str) -> int:
-        if self.uneven(text):
-            return self.merged(text)
-        memo, n = self.memo, 0
-        for piece in self.pieces(text):
-            got = memo.get(piece)
-            if got is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = self.merged(piece)
-                if len(piece) <= 64:
-                    memo[piece] = got
-            n += got
+        return frozenset(t for t, c in zip(texts, codes) if t and "\ufffd" not in t and len(c.ids) == 1)
+
+    def merged(self, texts: list[str]) -> list[int]:
+        """Tokens of texts without special strings: whole pre-tokens count one, others are merged."""
+        n, rest, owner = [], [], []
+        for i, text in enumerate(texts):
+            tokens = self.cut(text)
+            odd = [t for t in tokens if t not in self.whole]
+            n.append(len(tokens) - len(odd))
+            rest += odd
+            owner += [i] * len(odd)
+        for i, c in zip(owner, self.library.encode_batch(rest, add_special_tokens=False) if rest else ()):
+            n[i] += len(c.ids)
         return n
 
+    def known(self, pieces: list[str]) -> list[int]:
+        """Tokens of different pieces, through the memo."""
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
+        new = [p for p in pieces if p not in memo]
+        memo.update(zip(new, self.merged(new)))
+        out = [memo[p] for p in pieces]
+        for p in new:
+            if len(p) > 64:
+                del memo[p]
+        return out
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Tokens of each text; there are no nulls."""
+        odd = pc.match_substring_regex(texts, UNEVEN)
+        for s in self.specials:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False)
+        out = np.zeros(len(texts), np.int64)
+        for i in np.flatnonzero(odd).tolist():
+            text = texts[i].as_py()
+            parts = self.split(text) if self.split else [text]
+            out[i] = len(parts) - 1 + sum(self.merged(parts))
+        even = np.flatnonzero(~odd)
+        if len(even):
+            words = pc.split_pattern(texts.take(pa.array(even)), " ")
+            first = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
+            coded = words.flatten().dictionary_encode()
+            code, pieces = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            spaced = np.array(self.known([" " + p for p in pieces]), np.int64)[code]
+            begin, where = np.unique(code[first], return_inverse=True)
+            bare = np.array(self.known([pieces[k] for k in begin.tolist()]), np.int64)[where]
+            out[even] = np.add.reduceat(spaced, first) - spaced[first] + bare
+        return out
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> Counter:
@@ -97,9 +121,10 @@ def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            n = [c.count(t.as_py() or "") for t in b.column(1)]
-            size = pc.binary_length(b.column(1)).fill_null(0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), size, pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            for lo, hi in chunks(b.column(1), 4 * CHUNK_BYTES):
+                texts = b.column(1)[lo:hi].fill_null("")
+                size = pc.binary_length(texts).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].cast(pa.int64()), size, pa.array(c.count(texts))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return run
 
