@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltrail.llm import decontamination, embedding_dedup, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
+from voltrail.llm import decontamination, embedding_dedup, language_id, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
 from voltrail.llm.workspace import read
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(docs, table))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.classify(read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
