@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("rows",)
+_MODULES = ("rows", "segments", "models")
 _TYPES = {"i": ("BIGINT", "long"), "d": ("DOUBLE", "double"), "s": ("VARCHAR", "string"), "b": ("BOOLEAN", "boolean")}
 
 

@@ -213,11 +213,11 @@ def fn_haversine(spark: SparkSession, d: str) -> DataFrame:
     return telemetry(spark, d).withColumn("km", scalars.haversine_km(F.lit(48.8566), F.lit(2.3522), F.col("latitude"), F.col("longitude")))
 
 
-@query("src_row_id:i bin:i hour:i dow:i month:i div:d clipped:d", f"{T}, q as (select src_row_id, case when current_soc between 80 and 95 then greatest(1, least(5, ceil((current_soc - 80) / 3))) end as bin, hour(make_timestamp(cast(t_us as bigint))) as hour, isodow(make_timestamp(cast(t_us as bigint))) - 1 as dow, month(make_timestamp(cast(t_us as bigint))) as month, case when abs(outside_temp) > 1e-6 then current_soc / outside_temp end as div, case when outside_temp < 0 then 0 when outside_temp > 30 then 30 else outside_temp end as clipped from t)")
+@query("src_row_id:i bin:i hour:i dow:i month:i div:d clipped:d", f"{T}, q as (select src_row_id, case when current_soc between 80 and 95 then greatest(1, least(5, ceil((current_soc - 80) / 3))) else 0 end as bin, hour(make_timestamp(cast(t_us as bigint))) as hour, isodow(make_timestamp(cast(t_us as bigint))) - 1 as dow, month(make_timestamp(cast(t_us as bigint))) as month, case when abs(outside_temp) > 1e-6 then current_soc / outside_temp end as div, case when outside_temp < 0 then 0 when outside_temp > 30 then 30 else outside_temp end as clipped from t)")
 def fn_scalars(spark: SparkSession, d: str) -> DataFrame:
     ts = scalars.start_parts(F.col(R.TIME))
     return telemetry(spark, d).select(
-        "src_row_id", scalars.equal_bins(F.col("current_soc"), 80, 95).alias("bin"), ts["hour"].alias("hour"), ts["dayofweek"].alias("dow"), ts["month"].alias("month"),
+        "src_row_id", F.coalesce(scalars.equal_bins(F.col("current_soc"), 80, 95), F.lit(0)).alias("bin"), ts["hour"].alias("hour"), ts["dayofweek"].alias("dow"), ts["month"].alias("month"),
         scalars.safe_div(F.col("current_soc"), F.col("outside_temp")).alias("div"), scalars.clip(F.col("outside_temp"), 0, 30).alias("clipped"),
     )
 
