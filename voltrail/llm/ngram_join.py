@@ -14,12 +14,13 @@ counts, 1024 groups a band. Sets with more empty bands than the slack are indexe
 again under other hashes and, failing those, by their empty bands as well, so
 that no linked pair is missed.
 
-Search goes leaf by leaf, in linear passes: every member is compared with the
-leaf's first, linked documents are contracted, and only leaves that still hold
-documents of different components are searched for pairs across components:
-first the best bound of each document and component, then all that are left.
-Leaves of many members are tiled. Every link is verified on the exact shingle
-sets. Documents with equal sets are contracted before, wherever they lie.
+Members of a leaf pair with its smallest set that their size allows, so a leaf of
+any size takes one pass. The bound on those pairs' points picks the likely ones;
+they are verified on the exact shingle sets, best first, and linked documents are
+contracted. Only leaves that still hold documents of different components are
+searched for pairs across components: first each document's best bound, then its
+best of each component, then all that are left. Leaves of many members are tiled.
+Documents with equal sets are contracted before, wherever they lie.
 
 Null or empty texts (and texts without words) have no shingles and link with
 nothing; texts of fewer than k words are one shingle. Repeated rows of one id
@@ -37,14 +38,17 @@ from pyspark.sql import functions as F
 
 from voltrail.llm.components import components
 from voltrail.llm.streams import starts, whole_runs
-from voltrail.llm.text import NON_SPACE, U, Words, chunks, fits, mix, rolling, sequence_hash
+from voltrail.llm.text import CHUNK_BYTES, NON_SPACE, U, Words, chunks, fits, mix, rolling, sequence_hash
 from voltrail.llm.workspace import Workspace
 
 K, PERCENT = 4, 85
-GROUPS = 64  # coordinates of the point that is carried for the bound
+GROUPS = 128  # coordinates of the point that is carried for the bound
+FULL = 65_535
 RATIO = 1.5
 SEEDS = 4
 TILE = 512
+BROADCAST_DOCS = 50_000  # rows of about 40 bytes
+SALT = 2_000  # pairs of one hub that one group verifies
 _BOUNDS = [1]
 while _BOUNDS[-1] < 1 << 40:
     _BOUNDS.append(max(_BOUNDS[-1] + 1, int(_BOUNDS[-1] * RATIO)))
@@ -110,7 +114,14 @@ def _set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def counts_of(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> U(10)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS).astype(np.int32)
+    """The set's point: how many shingles each group holds; FULL stands for all beyond."""
+    return np.minimum(np.bincount((s >> U(10)).astype(np.int64) & (GROUPS - 1), minlength=GROUPS), FULL).astype(np.uint16)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The most shingles that sets with these points can share: the sum of the smaller coordinates."""
+    least = np.minimum(x, y)
+    return np.where((least == FULL).any(-1), np.iinfo(np.int64).max, least.sum(-1, dtype=np.int64))
 
 
 def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
@@ -121,13 +132,16 @@ def needed(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
-def _digesting(k: int, percent: int) -> Task:
+def _digesting(k: int) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in chunks(b.column(1)):
                 sets = shingle_sets(b.column(1)[lo:hi], k)
                 d = [_set_digest(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in d], pa.int64()), pa.array([x for _, x in d], pa.int64())], names=["doc_id", "n", "d1", "d2"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)), pa.array([counts_of(s).tobytes() for s in sets], pa.binary())],
+                    names=["doc_id", "n", "d1", "d2", "point"],
+                )
 
     return run
 
@@ -137,68 +151,113 @@ def _keying(k: int, percent: int) -> Task:
         seen: set[tuple[int, int]] = set()  # equal sets are contracted anyway: one of them a task is enough
         for b in batches:
             for lo, hi in chunks(b.column(1)):
-                ids, keys = [], []
+                ids, keys, sizes = [], [], []
                 for i, s in zip(b.column(0)[lo:hi].to_pylist(), shingle_sets(b.column(1)[lo:hi], k)):
                     if i is None or not len(s) or (d := _set_digest(s)) in seen:
                         continue
-                    if len(seen) < 500_000:
+                    if len(seen) < 100_000:
                         seen.add(d)
                     ids.append(i)
+                    sizes.append(len(s))
                     keys.append(leaf_keys(s, percent).view(np.int64))
                 size = np.array([len(x) for x in keys], np.int64)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(ids, np.int64), size))], names=["key", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), size)), pa.array(np.repeat(np.array(ids, np.int64), size))], names=["key", "n", "doc_id"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of leaves that hold at least two documents."""
-    for t, long in whole_runs(batches, limit=200_000):
-        key, doc = t.column(0).to_numpy(), t.column(1).to_numpy()
-        at = starts(key)
-        size = np.diff(np.append(at, len(key)))
-        keep = np.repeat((size > 1) | long, size)
-        keep[1:] &= (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(doc[keep])], names=["key", "doc_id"])
+def _shared(percent: int) -> Task:
+    """The pairs that hold a leaf together: each member with the smallest set that its size allows.
 
+    Members come in order of (key, n): a window is a run of sizes that fit its first; its
+    members pair with that, and its first with the member before it where sizes fit. So
+    members of one leaf that could link are in one component if all its pairs are.
+    """
 
-def _points(k: int) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo, hi in chunks(b.column(1)):
-                sets = shingle_sets(b.column(1)[lo:hi], k)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "point", "shingles"],
-                )
+        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        for t, long in whole_runs(batches, limit=200_000):
+            key, n, doc = (t.column(c).to_numpy() for c in range(3))
+            if held and held[0][0] == key[0]:  # a further piece of a long run: its window's first and last go before
+                key, n, doc = (np.concatenate(x) for x in zip(held, (key, n, doc)))
+            at = starts(key)
+            place = np.arange(len(key))
+            first = np.repeat(at, np.diff(np.append(at, len(key))))
+            lead = first.copy()
+            bounds = np.zeros(len(key), bool)
+            while (over := 100 * n[lead].astype(np.int64) < percent * n.astype(np.int64)).any():
+                new = over.copy()
+                new[1:] &= ~(over[:-1] & (lead[1:] == lead[:-1]))
+                lead = np.where(over, np.maximum.accumulate(np.where(new, place, 0)), lead)
+                bounds |= new
+            edge = np.flatnonzero(bounds)
+            edge = edge[100 * n[edge - 1].astype(np.int64) >= percent * n[edge].astype(np.int64)]
+            a, b = np.concatenate([lead, edge - 1]), np.concatenate([place, edge])
+            keep = doc[a] != doc[b]
+            a, b = a[keep], b[keep]
+            held = tuple(x[[lead[-1], -1]] for x in (key, n, doc)) if long else None
+            yield pa.RecordBatch.from_arrays([pa.array(key[b]), pa.array(doc[a]), pa.array(doc[b])], names=["key", "leader", "doc_id"])
 
     return run
 
 
-def _verifying(percent: int) -> Task:
+def _bounding(percent: int) -> Task:
+    """Which pairs the bound on their overlap allows to link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c = b.column(0).to_numpy(), b.column(1).to_numpy()
-            na, nb = b.column(2).to_numpy(), b.column(5).to_numpy()
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
             need = needed(na, nb, percent)
-            ok = np.minimum(na, nb) >= need
-            for i in np.flatnonzero(ok).tolist():
-                pa_, pb_ = (np.frombuffer(b.column(j)[i].as_buffer(), np.int32) for j in (3, 6))
-                if np.minimum(pa_, pb_).sum() < need[i]:
-                    ok[i] = False
-                    continue
-                x, y = (np.frombuffer(b.column(j)[i].as_buffer(), np.uint64) for j in (4, 7))
-                both = np.concatenate([x, y])
-                both.sort()
-                ok[i] = np.count_nonzero(both[1:] == both[:-1]) >= need[i]
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(ok)], names=["a", "b", "linked"])
+            ok = (np.minimum(na, nb) >= need) & (overlap_bound(x, y) >= need)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leader", "doc_id", "a", "b", "leaves")), pa.array(ok)], names=["leader", "doc_id", "a", "b", "leaves", "possible"])
+
+    return run
+
+
+def _compressing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd", 3)
+    for b in batches:
+        packed = [None if t is None else codec.compress(t.as_buffer(), asbytes=True) for t in b.column(1)]
+        size = [0 if t is None else t.as_buffer().size for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "size", "packed"])
+
+
+def _verifying(k: int, percent: int) -> Task:
+    """Whether each document links with its hub; rows come in order of (hub, salt), the hub's own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        held: tuple[int, np.ndarray] | None = None
+        for b in batches:
+            hub, doc = b.column("hub").to_numpy(), b.column("doc_id").to_numpy()
+            size = b.column("size").to_numpy()
+            end = np.cumsum(size)
+            lo = 0
+            ok = np.zeros(len(doc), bool)
+            while lo < len(doc):
+                hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + CHUNK_BYTES, side="right")))
+                texts = pa.array([codec.decompress(b.column("packed")[i].as_buffer(), int(size[i]), asbytes=True) for i in range(lo, hi)], pa.large_binary())
+                for i, s in zip(range(lo, hi), shingle_sets(texts.view(pa.large_string()), k)):
+                    if held is None or held[0] != hub[i]:
+                        held = int(hub[i]), s
+                    x = held[1]
+                    need = int(needed(len(x), len(s), percent))
+                    if min(len(x), len(s)) >= need:
+                        both = np.concatenate([x, s])
+                        both.sort()
+                        ok[i] = np.count_nonzero(both[1:] == both[:-1]) >= need
+                lo = hi
+            other = hub != doc
+            yield pa.RecordBatch.from_arrays([pa.array(hub[other]), pa.array(doc[other]), pa.array(ok[other])], names=["a", "b", "linked"])
 
     return run
 
 
-def _across(percent: int, best: bool) -> Task:
-    """Pairs of a leaf (or of two of its tiles) that lie in different components and whose bound allows a link."""
+def _across(percent: int, which: str) -> Task:
+    """Pairs of a leaf (or of two of its tiles) that lie in different components and whose bound allows a link:
+    each document's best one, its best of each component, or all."""
 
     def pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found_a, found_b = [], []
@@ -209,9 +268,11 @@ def _across(percent: int, best: bool) -> Task:
                 need = needed(n[i], n[j], percent)
                 j, need = j[(np.minimum(n[j], n[i]) >= need)], need[(np.minimum(n[j], n[i]) >= need)]
             if len(j):
-                bound = np.minimum(point[i], point[j]).sum(1)
+                bound = overlap_bound(point[i], point[j])
                 j, bound = j[bound >= need], (bound - need)[bound >= need]
-            if len(j) and best:
+            if len(j) and which == "one":
+                j = j[[int(bound.argmax())]]
+            elif len(j) and which == "each":
                 order = np.lexsort((-bound, comp[j]))
                 j = j[order[starts(comp[j][order])]]
             found_a.append(np.full(len(j), i))
@@ -222,7 +283,7 @@ def _across(percent: int, best: bool) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, n_keys=2):
             key, tile, doc, comp, n, part = (t.column(c).to_numpy() for c in ("key", "tile", "doc_id", "component", "n", "part"))
-            point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.int32).reshape(len(doc), GROUPS)
+            point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(doc), GROUPS)
             at = starts(key, tile)
             got = [pairs(doc[i:j], comp[i:j], n[i:j], point[i:j], part[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)])]
             a, b = (np.concatenate([x[s] for x in got]).astype(np.int64) for s in (0, 1))
@@ -231,36 +292,83 @@ def _across(percent: int, best: bool) -> Task:
     return run
 
 
+def _verified(rows: DataFrame, pairs: DataFrame, ws: Workspace, k: int, percent: int) -> DataFrame:
+    """a, b, linked of pairs, on their exact sets. Each pair moves one text, to its hub a; a hub of many pairs is salted.
+
+    The texts wanted are picked by a broadcast of their ids where those are few, counted before, else by a join.
+    """
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT).cast("int").alias("salts"))
+    hubs = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.sequence(F.lit(0), F.col("salts") - 1).alias("salt"))
+    members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.array(F.pmod(F.xxhash64("b"), "salts").cast("int")).alias("salt"))
+    texts = rows.where("doc_id is not null and text is not null")
+    wanted = ws.table(hubs.unionByName(members))
+    few = wanted.count() <= BROADCAST_DOCS
+    if few:
+        texts = texts.join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id")
+    texts = texts.mapInArrow(_compressing, "doc_id bigint, size bigint, packed binary")
+    both = texts.join(F.broadcast(wanted) if few else wanted, "doc_id").select("hub", F.explode("salt").alias("salt"), "doc_id", "size", "packed")
+    dealt = both.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("doc_id") != F.col("hub"))
+    return dealt.mapInArrow(_verifying(k, percent), "a bigint, b bigint, linked boolean")
+
+
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = ws.table(rows.mapInArrow(_digesting(k, percent), "doc_id bigint, n bigint, d1 bigint, d2 bigint"))
-    own = sets.where("n > 0 and doc_id is not null")
+    sets = ws.table(rows.mapInArrow(_digesting(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint, point binary"))
+    own = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
     first = own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     rep = ws.table(own.join(first, ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
 
-    keyed = rows.mapInArrow(_keying(k, percent), "key bigint, doc_id bigint")
-    shared = ws.table(keyed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_shared, "key bigint, doc_id bigint"))
-    members = shared.join(rep, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
-    members = ws.table(members)
-    leaders = members.groupBy("key").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    leaves = ws.table(members.join(leaders, "key"))
-
-    wanted = leaves.select("doc_id").distinct()
-    points = ws.table(rows.join(wanted, "doc_id").mapInArrow(_points(k), "doc_id bigint, n bigint, point binary, shingles binary"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda s: points.select(F.col("doc_id").alias(s), *(F.col(c).alias(c + s) for c in ("n", "point", "shingles")))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "pointa", "shinglesa", "nb", "pointb", "shinglesb")
-        return ws.table(both.mapInArrow(_verifying(percent), "a bigint, b bigint, linked boolean").distinct())
-
-    tried = verified(leaves.where("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct())
-    comp = components(tried.where("linked"), ws)
-    for best in (True, False):
-        mine = leaves.where("size > 2").join(comp.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = mine.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        left = mine.join(mixed, "key").join(points.select("doc_id", "n", "point"), "doc_id")
+    keyed = rows.mapInArrow(_keying(k, percent), "key bigint, n int, doc_id bigint")
+    shared = ws.table(keyed.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_shared(percent), "key bigint, leader bigint, doc_id bigint"))
+    # reps stand for documents of equal sets
+    points = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "point").join(rep.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    star = shared.groupBy("leader", "doc_id").agg(F.count("*").alias("leaves"))
+    star = star.join(rep.withColumnRenamed("rep", "a"), star["leader"] == rep["doc_id"]).select("leader", star["doc_id"], "a", "leaves")
+    star = star.join(rep.withColumnRenamed("rep", "b"), "doc_id").where("a <> b").select("leader", "doc_id", "a", "b", "leaves")
+    for x in "ab":
+        star = star.join(points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")), x)
+    star = ws.table(star.select("leader", "doc_id", "a", "b", "leaves", "na", "nb", "pa", "pb").mapInArrow(_bounding(percent), "leader bigint, doc_id bigint, a bigint, b bigint, leaves bigint, possible boolean"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Of pairs a, b those in different components, with ca, cb."""
+        side = [comp.select(F.col("vertex").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
+        both = pairs.join(side[0], "a", "left").join(side[1], "b", "left")
+        return both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+
+    def attempt(pairs: DataFrame) -> bool:
+        """Verifies pairs that were not tried yet; False if there are none."""
+        nonlocal tried, comp
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = ws.table(pairs if tried is None else pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        if fresh.isEmpty():
+            return False
+        got = ws.table(_verified(rows, fresh, ws, k, percent))
+        tried = got if tried is None else tried.unionByName(got)
+        comp = components(tried.where("linked"), ws)
+        return True
+
+    tried = None
+    comp = rep.select(F.col("rep").alias("vertex"), F.col("rep").alias("component")).limit(0)
+    # first each document with the leader it shares most leaves with, then, where that left a pair
+    # apart, with the best of each other component, then with all leaders
+    best = lambda pairs, *by: pairs.groupBy("b", *by).agg(F.max_by(F.struct("a"), F.struct("leaves", -F.col("a"))).alias("x")).select("x.a", "b")
+    likely = star.where("possible")
+    if attempt(best(likely)) and attempt(best(apart(likely), "ca")):
+        attempt(apart(likely))
+    for which in ("one", "each", "all"):
+        # leaves with documents of different components, which their first alone did not join
+        mixed = shared.join(apart(star).select("leader", "doc_id"), ["leader", "doc_id"], "left_semi").select("key").distinct()
+        whole = shared.join(mixed, "key")
+        members = whole.select("key", "doc_id").unionByName(whole.select("key", F.col("leader").alias("doc_id")))
+        members = members.join(rep, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
+        left = ws.table(members.join(comp.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+        if left.isEmpty():
+            break
+        sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 2")
+        own_points = points.join(left.select("doc_id").distinct(), "doc_id")
+        left = left.join(sizes, "key").join(own_points, "doc_id")
         # a leaf of many members is dealt into tiles: each pair of its parts meets in one
         parts = F.ceil(F.col("size") / TILE).cast("int")
         mine_part = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
@@ -270,13 +378,8 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
         part = F.when(F.col("p") == F.col("q"), -1).otherwise(F.col("p"))
         # in the tile of two different parts only pairs across them count; each part's own tile has the rest
         dealt = left.select("key", tile.alias("tile"), "doc_id", "component", "n", "point", part.cast("int").alias("part"))
-        found = dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "doc_id").mapInArrow(_across(percent, best), "a bigint, b bigint").distinct()
-        fresh = ws.table(found.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        tried = tried.unionByName(verified(fresh))
-        comp = components(tried.where("linked"), ws)
+        attempt(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "doc_id").mapInArrow(_across(percent, which), "a bigint, b bigint"))
 
-    out = sets.join(rep, "doc_id", "left").join(comp.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+    out = sets.select("doc_id", "n").join(rep, "doc_id", "left").join(comp.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
