@@ -38,6 +38,8 @@ HEX = r"[0-9a-f]{32,}"
 
 CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 N_CHARACTERS = len(CHARACTERS)
+_KINDS_OF = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in CHARACTERS]
+BACK_OFF, LEAST_BACK_OFF = 50, 0.1
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 MIN_RUN = 20
 MARGIN = 12.0
@@ -100,7 +102,7 @@ def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_
 
 
 def train(labelled: DataFrame) -> list[float]:
-    """The table of log P(random) - log P(ordinary) of each character pair, smoothed by one count in all rows."""
+    """The table of log P(random) - log P(ordinary) of each character pair."""
     pairs = labelled.where(F.char_length("text") > 1).select("is_random", F.explode(_pairs(F.col("text"))).alias("pair")).where("pair >= 0")
     counts = {True: [0] * N_CHARACTERS**2, False: [0] * N_CHARACTERS**2}
     for r in pairs.groupBy("is_random", "pair").count().collect():  # at most two for each pair of characters
@@ -108,11 +110,21 @@ def train(labelled: DataFrame) -> list[float]:
     if not any(counts[True]) or not any(counts[False]):
         return [-1.0] * N_CHARACTERS**2
 
+    size = {k: sum(c == k for c in _KINDS_OF) for k in set(_KINDS_OF)}
+
     def logs(n: list[int]) -> list[float]:
+        # a pair never seen falls back on how often its kinds of characters follow each other
+        kinds = {(a, b): 0.5 for a in size for b in size}
+        for i, x in enumerate(n):
+            kinds[_KINDS_OF[i // N_CHARACTERS], _KINDS_OF[i % N_CHARACTERS]] += x
         out = []
         for a in range(N_CHARACTERS):
             row = n[a * N_CHARACTERS : (a + 1) * N_CHARACTERS]
-            out += [math.log((x + 0.5) / (sum(row) + 0.5 * N_CHARACTERS)) for x in row]
+            of_kind = sum(kinds[_KINDS_OF[a], k] for k in size)
+            own = sum(row) / (sum(row) + BACK_OFF)
+            for b, x in enumerate(row):
+                back = kinds[_KINDS_OF[a], _KINDS_OF[b]] / of_kind / size[_KINDS_OF[b]]
+                out.append(math.log((1 - LEAST_BACK_OFF) * own * x / max(1, sum(row)) + (1 - (1 - LEAST_BACK_OFF) * own) * back))
         return out
 
     return [round(r - o, 6) for r, o in zip(logs(counts[True]), logs(counts[False]))]
