@@ -1,0 +1,64 @@
+"""Each stage of the pipeline against plain versions, on what the stage before kept."""
+
+import brute
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from voltrail.llm import mixing, toxicity
+from voltrail.llm.workspace import Workspace, read
+
+
+@pytest.fixture(scope="module")
+def stages(spark, small_dir):
+    ws, docs = Workspace(spark), read(spark, small_dir, "documents")
+    out = [docs]
+    for _, f in corpus_pipeline.STAGES:
+        out.append(ws.table(f(spark, out[-1], small_dir)))
+    return out
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.select("doc_id", "text").collect()}
+
+
+def test_columns_stay(stages):
+    assert all(s.columns == stages[0].columns for s in stages[:-1])
+
+
+def test_toxic_documents_go(spark, small_dir, stages):
+    scored = toxicity.classify(stages[0], read(spark, small_dir, "labels"))
+    assert set(texts(stages[1])) == {r["doc_id"] for r in scored.where("predicted = 0").collect()}
+    assert 0 < len(texts(stages[1])) < len(texts(stages[0]))
+
+
+def test_one_of_each_group_stays(stages):
+    want = {i for i, (_, root) in brute.op1(list(texts(stages[1]).items())).items() if i == root}
+    assert set(texts(stages[2])) == want
+
+
+def test_leaks_go(spark, small_dir, stages):
+    items = [(r["item_id"], r["text"]) for r in read(spark, small_dir, "benchmark").collect()]
+    want = {i for i, x in brute.op5(list(texts(stages[2]).items()), items).items() if not x[4]}
+    assert set(texts(stages[3])) == want
+
+
+def test_secrets_are_masked(stages):
+    before, after = texts(stages[3]), texts(stages[4])
+    assert set(before) == set(after)
+    held = brute.op8(list(before.items()))
+    left = brute.op8(list(after.items()))
+    assert any(sum(v[:3]) for v in held.values())
+    assert not any(sum(v[:3]) for v in left.values())
+    assert stages[4].where(F.col("n_chars") != F.char_length("text")).isEmpty()
+
+
+def test_mix(stages):
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(stages[4]).collect()}
+    assert {r["doc_id"]: r["count"] for r in stages[5].groupBy("doc_id").count().collect()} == {i: n for i, n in copies.items() if n}
+
+
+def test_empty_documents(spark, small_dir, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        read(spark, small_dir, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
