@@ -76,9 +76,68 @@ SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT) + CASE WHE
 """
 
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDY = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORDY}'), []) AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, coalesce(regexp_extract_all({_LOWER}, '{_WORDY}'), []) AS w FROM benchmark
+), ip AS (
+  SELECT item, w, least(10, len(w)) AS n, unnest(range(1, greatest(2, len(w) - 8))) AS p FROM i WHERE len(w) > 0
+), iw AS (
+  SELECT DISTINCT item, n, array_to_string(w[p:p + n - 1], ' ') AS x FROM ip
+), dp AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n
+), found AS (
+  SELECT doc_id, p, n, item FROM (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS x FROM dp) JOIN iw USING (n, x)
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM found) GROUP BY 1
+), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP6_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), r(vec_id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id
+), c AS (
+  SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1
+), n AS (
+  SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
+
+OP10_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{_WS}'), []) AS w FROM documents
+), win AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)
+), again AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY x) AS least FROM win) WHERE least < doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS k FROM again
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d) ANTI JOIN gone USING (doc_id, k) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
