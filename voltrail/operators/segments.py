@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voltrail.functions import arrays
 from voltrail.operators import rows as R
@@ -68,7 +68,8 @@ def cuts(df: DataFrame, most_segments: int, min_rows: int = MIN_ROWS, seed: int
             for k, extra in enumerate(parted(rem, n, seed)):
                 out.append((rem, n, k, at, at + min_rows + extra))
                 at += min_rows + extra
-    return df.sparkSession.createDataFrame(out, T.StructType([T.StructField(c, T.IntegerType(), False) for c in ("rem", "n", "sidx", "lo", "hi")]))
+    # an Arrow table becomes a local relation: no job runs to read it
+    return df.sparkSession.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("rem", "n", "sidx", "lo", "hi"), zip(*out))}))
 
 
 def label_segments(df: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FULL_STOP, seed: int = SEED, most_segments: int = 60) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
@@ -66,8 +66,17 @@ def pairs(windows_df: DataFrame, same_share: float = 0.2, apart: int = 5, seed:
     around = Window.partitionBy("_b")
     me = F.struct(F.col(R.TRIP).alias("t"), F.col("_w").alias("w"))
     nexts = trips.withColumn("_x", F.coalesce(F.lead(me).over(ring), F.first(me).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumn("_k", F.count("*").over(around))
-    # a bucket of one trip: its partner is any trip of the least hash but itself
-    least = trips.agg(F.min(F.struct(h(R.TRIP).alias("o"), me.alias("x"))).alias("a"), F.max(F.struct(h(R.TRIP).alias("o"), me.alias("x"))).alias("z"))
-    nexts = nexts.join(F.broadcast(least)).withColumn("_x", F.when(F.col("_k") > 1, F.col("_x")).otherwise(F.when(F.col("a.x.t") != F.col(R.TRIP), F.col("a.x")).otherwise(F.col("z.x")))).where(F.col("_x.t") != F.col(R.TRIP)).select(R.TRIP, "_x")
+    # a trip alone in its bucket takes the trip of the least hash of all, or that one the greatest
+    place = F.struct(h(R.TRIP).alias("o"), me.alias("x"))
+    ends = trips.agg(F.min(place).alias("a"), F.max(place).alias("z")).first()
+    if ends["a"] is None:
+        return same
+
+    def literal(end: Row) -> Column:
+        t, k = end["x"]["t"], end["x"]["w"]
+        return F.struct(F.lit(t).alias("t"), F.struct(F.lit(k["seg_id"]).alias("seg_id"), F.lit(k["win_id"]).alias("win_id")).alias("w"))
+
+    lone = F.when(F.col(R.TRIP) != F.lit(ends["a"]["x"]["t"]), literal(ends["a"])).otherwise(literal(ends["z"]))
+    nexts = nexts.withColumn("_x", F.when(F.col("_k") > 1, F.col("_x")).otherwise(lone)).where(F.col("_x.t") != F.col(R.TRIP)).select(R.TRIP, "_x")
     different = w.where("not _same").join(nexts, R.TRIP).select(*KEYS, F.col("_x.t").alias("b_trip_id"), F.col("_x.w.seg_id").alias("b_seg_id"), F.col("_x.w.win_id").alias("b_win_id"), F.lit(0).alias("label"))
     return same.unionByName(different)

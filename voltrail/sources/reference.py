@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ KEYS = ["car_model", "manufacturer", "battery_type"]
 
 
 def batteries(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(BATTERIES), "car_model string, manufacturer string, battery_type string, battery_capacity_kwh double")
+    return spark.createDataFrame(pa.table(dict(zip([*KEYS, "battery_capacity_kwh"], zip(*BATTERIES)))))
 
 
 def with_battery(df: DataFrame) -> DataFrame:
