@@ -207,7 +207,7 @@ def _scoring(net: Network | None) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = net.tables() if net else []
         for b in batches:
-            for lo, hi in chunks(b.column("text"), CHUNK_BYTES // 4):
+            for lo, hi in chunks(b.column("text"), CHUNK_BYTES):
                 texts = b.column("text")[lo:hi]
                 pred, score = [UNKNOWN] * (hi - lo), np.zeros(hi - lo)
                 xs, weights, owner = [], [], []

@@ -121,7 +121,7 @@ def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
         for b in batches:
-            for lo, hi in chunks(b.column(1), 4 * CHUNK_BYTES):
+            for lo, hi in chunks(b.column(1), 8 * CHUNK_BYTES):
                 texts = b.column(1)[lo:hi].fill_null("")
                 size = pc.binary_length(texts).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi].cast(pa.int64()), size, pa.array(c.count(texts))], names=["doc_id", "n_bytes", "n_tokens"])

@@ -18,11 +18,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch, at most: whole texts travel in them, and each is held by both the JVM and Python.
+BATCH_ROWS = 2_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 class Workspace:
-    """Cuts lineage with Parquet tables, which survive the loss of executors."""
+    """Cuts lineage with Parquet tables, which survive the loss of executors.
+
+    The session's Arrow batches are held to BATCH_ROWS rows, if they are larger.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+            spark.conf.set(_BATCH, BATCH_ROWS)
         self.root = f"{shared_dir(spark)}/voltrail-{uuid.uuid4().hex}"
         self.n = 0
 
