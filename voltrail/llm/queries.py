@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voltrail.llm import decontamination, embedding_dedup, language_id, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
+from voltrail.llm import decontamination, embedding_dedup, language_id, license_scan, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
 from voltrail.llm.workspace import read
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -16,6 +17,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_licenses", F.array_join("licenses", ",").alias("licenses"), "containment")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(read(spark, sf_dir, "documents"))
 
