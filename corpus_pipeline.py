@@ -16,6 +16,8 @@ from voltrail.llm.workspace import Workspace, read
 
 #: Ids up to which the join that takes copies out is a broadcast; beyond, it shuffles.
 BROADCAST_IDS = 200_000
+#: Near copies: sets of 5-word shingles of Jaccard similarity 0.8 or more (op1's query has limits of its own).
+SHINGLE, PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = ngram_join.join(docs)
+    classes = ngram_join.join(docs, k=SHINGLE, percent=PERCENT)
     copies = Workspace(spark).table(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct())
     few = copies.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(copies) if few else copies, docs["doc_id"] == copies["copy_id"], "left_anti")

@@ -79,6 +79,11 @@ def most_differences(n_least: int, percent: int) -> int:
     return (100 - percent) * n_least // percent
 
 
+def spare(percent: int) -> int:
+    """Differences for each band beyond them, so that with classes of RATIO the slack covers the bands that stay empty."""
+    return 25 if percent >= 85 else 5
+
+
 def _class(n: int) -> int:
     return int(np.searchsorted(_EDGES, n, side="right")) - 1
 
@@ -92,7 +97,7 @@ def leaf_keys(s: np.ndarray, percent: int) -> np.ndarray:
     keys = []
     for c in range(low, own + 1):
         r = most_differences(_BOUNDS[c + 1] - 1, percent)
-        slack = 0 if r == 0 else 1 + r // 25
+        slack = 0 if r == 0 else 1 + r // spare(percent)
         m = r + 1 + slack
         for seed in range(SEEDS):
             h = s if seed == 0 else np.sort(mix(s + U(seed)))
