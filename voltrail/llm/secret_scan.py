@@ -6,11 +6,12 @@ candidate: two first-order Markov models over its characters, one of random
 strings and one of ordinary identifiers, give a log-likelihood ratio, and runs
 that are likelier random by `margin` nats are secrets of the kind `markov`.
 
-The models are trained from labelled samples (text, is_random). `samples` makes
-them from a corpus: the values of base matches and digests of numbers are random;
-words of about `sample_docs` documents (drawn by hash), alone and joined as
-identifiers are, are ordinary. The counts of character pairs fit one small table
-whatever the sample, and every text is scanned whole.
+The models are trained from labelled samples (text, is_random, n times). `samples`
+makes them from a whole corpus: the values of base matches and digests of numbers
+are random; words, alone and joined as identifiers are, are ordinary. Words are
+counted first, each with the capital of the word before it; what joining adds to the
+character pairs follows from these counts, so only distinct words are spelled out.
+The counts of character pairs fit one small table whatever the corpus.
 
 Places come from lengths: the pieces between matches (split) and the matches
 (regexp_extract_all) alternate, so running sums of their lengths are the spans,
@@ -43,7 +44,6 @@ BACK_OFF, LEAST_BACK_OFF = 50, 0.1
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 MIN_RUN = 20
 MARGIN = 12.0
-SAMPLE_DOCS = 1_000
 SAMPLE_DIGESTS = 4_000
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -83,30 +83,42 @@ def _pairs(text: Column) -> Column:
     return F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at)), pair)
 
 
-def samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, is_random: labelled samples from about `sample_docs` documents of a corpus and from digests."""
+def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """text, is_random, n: labelled samples from all documents of a corpus and from digests; n is negative for what others count too much."""
     spark = docs.sparkSession
-    share = sample_docs / max(1, docs.select(id_col).count())
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) < F.lit(share) * (1 << 30)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = spark.range(SAMPLE_DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
     coded = F.base64(F.unhex("d"))
     made = digest.select(F.explode(F.array("d", coded, F.translate(coded, "+/=", "-_"), F.regexp_replace(coded, "[+/=]", ""), F.upper(F.substring(F.regexp_replace(coded, "[+/=]", ""), 1, 20)))).alias("text"))
-    values = drawn.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("text")).where(F.char_length("text") >= 16)
-    words = F.filter(F.split(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), "[^A-Za-z]+"), lambda w: w != "")
-    next_word = F.slice(words, F.lit(2), F.size(words))
-    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))
-    joined = F.zip_with(F.slice(words, F.lit(1), F.size(words) - 1), next_word, lambda a, b: F.concat(a, F.lit("_"), b, F.lit("-"), F.lower(a), F.lit("/"), capital(b), capital(a), F.lit("="), F.upper(b), F.lit("_"), F.upper(a)))
-    plain = drawn.select(F.explode(F.when(F.size(words) > 1, F.concat(words, joined)).otherwise(words)).alias("text"))
+    values = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("text")).where(F.char_length("text") >= 16)
     numbers = spark.range(SAMPLE_DIGESTS).select(F.explode(F.array(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.concat(F.lit("v"), F.col("id").cast("string")), F.repeat(F.lit("-"), 12), F.repeat(F.lit("="), 12), F.repeat(F.lit("_"), 12))).alias("text"))
-    return made.unionByName(values).withColumn("is_random", F.lit(True)).unionByName(plain.unionByName(numbers).withColumn("is_random", F.lit(False)))
+    once = lambda df, is_random: df.select("text", F.lit(is_random).alias("is_random"), F.lit(1).cast("long").alias("n"))
+    return once(made.unionByName(values), True).unionByName(_identifiers(texts)).unionByName(once(numbers, False))
+
+
+def _identifiers(texts: DataFrame) -> DataFrame:
+    """text, is_random, n: the character pairs of all words, and of all neighbours a, b joined to a_b-a/BA=B_A in various cases."""
+    words = F.array_remove(F.split(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), "[^A-Za-z]+"), "")
+    each = texts.select(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before")).select(F.arrays_zip("word", "before").alias("x")).select(F.explode("x").alias("x")).select("x.word", "x.before")
+    # one more row for each document: no word, and its last word before
+    last = F.col("word").isNull()
+    word, before = F.coalesce("word", "before"), F.when(last, ".").otherwise(F.upper(F.substring("before", 1, 1)))
+    counts = each.select(word.alias("word"), before.alias("before")).where("word <> ''").groupBy("word", "before").agg(F.count("*").alias("n"))
+    w, first = F.col("word"), F.upper(F.substring("word", 1, 1))
+    capital = F.concat(first, F.substring("word", 2, 1 << 30))
+    # every word but a document's last is an a, every word but its first a b
+    as_a = F.array(F.concat(w, F.lit("_")), F.concat(F.lit("-"), F.lower(w), F.lit("/")), F.concat(capital, F.lit("=")), F.concat(F.lit("_"), F.upper(w)))
+    as_b = F.array(F.concat(F.lit("_"), w, F.lit("-")), F.concat(F.lit("/"), capital), F.concat(F.lit("="), F.upper(w), F.lit("_")), F.concat(F.substring(capital, -1, 1), F.col("before")))
+    told = F.when(F.col("before") == ".", as_a).when(F.col("before") == "", F.concat(F.array(w), as_a)).otherwise(F.concat(F.array(w), as_a, as_b))
+    return counts.select(F.explode(told).alias("text"), F.lit(False).alias("is_random"), F.when(F.col("before") == ".", -F.col("n")).otherwise(F.col("n")).alias("n"))
 
 
 def train(labelled: DataFrame) -> list[float]:
     """The table of log P(random) - log P(ordinary) of each character pair."""
-    pairs = labelled.where(F.char_length("text") > 1).select("is_random", F.explode(_pairs(F.col("text"))).alias("pair")).where("pair >= 0")
+    pairs = labelled.where(F.char_length("text") > 1).select("is_random", "n", F.explode(_pairs(F.col("text"))).alias("pair")).where("pair >= 0")
     counts = {True: [0] * N_CHARACTERS**2, False: [0] * N_CHARACTERS**2}
-    for r in pairs.groupBy("is_random", "pair").count().collect():  # at most two for each pair of characters
-        counts[r["is_random"]][r["pair"]] = r["count"]
+    for r in pairs.groupBy("is_random", "pair").agg(F.sum("n").alias("n")).collect():  # at most two for each pair of characters
+        counts[r["is_random"]][r["pair"]] = r["n"]
     if not any(counts[True]) or not any(counts[False]):
         return [-1.0] * N_CHARACTERS**2
 
