@@ -2,13 +2,16 @@
 
 Templates are grouped by length. For a group of at most n words, a text is cut into
 blocks of n words, and a window is two neighbouring blocks, so that any passage as
-long as a template lies whole in a window. Each of `bands` hash functions gives a
+long as a template lies whole in a window. Each of some hash functions (bands) gives a
 window its least shingle hash (from the blocks' minima); a template with the same one
-is a candidate. A window holds at most 2n shingles, so a template's whole passage has
-a similarity of about 0.4 or more, and with one row a band the chance that all 24
-bands miss is 0.6^24, under one in 200,000; at containment 0.8 it is under one in
-8,000. Each candidate is verified: at least `least` of the template's shingles (five
-words, letters A-Z lower-cased) are in the window.
+is a candidate. A window holds at most 2n shingles, so one that holds c of a template's
+s shingles, c at least `least` s, has a similarity of j >= c / (2n + s - c), and all of b
+bands miss it with chance (1 - j)^b. Each group has as many bands as bring that to `miss`
+or less for the worst of its templates. Templates that would need more than MOST_BANDS
+(few shingles in a long window) are looked up by s - c + 1 of their shingles instead, of
+which such a window holds one: these are never missed. Each candidate is verified: at
+least `least` of the template's shingles (five words, letters A-Z lower-cased) are in the
+window.
 
 Templates are a table of bounded size, read behind a check. Null and empty texts hold
 none; texts of fewer than five words neither. Repeated rows are scanned each; extra
@@ -17,6 +20,8 @@ columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +31,8 @@ from pyspark.sql import functions as F
 
 from voltrail.llm.text import ALNUM, HashSet, U, Words, chunks, fits, mix, rolling
 
-K, LEAST, BANDS, RATIO = 5, 0.8, 24, 1.5
+K, LEAST, MISS, RATIO = 5, 0.8, 1e-6, 1.5
+MOST_BANDS = 64
 MOST_TEMPLATES = 20_000
 #: Notices of common public licences.
 TEMPLATES = (
@@ -43,11 +49,23 @@ _MAX = np.iinfo(np.uint64).max
 _FACTORS = mix(np.arange(1, 257, dtype=np.uint64)) | U(1)
 
 
+def fewest(s: int, least: float) -> int:
+    """Shingles of a template of s that a window holds at least, if it holds the template."""
+    return max(1, math.ceil(least * s - 1e-9))
+
+
+def bands_for(s: int, n: int, least: float, miss: float) -> float:
+    """Bands that miss a template of s shingles with chance `miss` at most, in a window of 2n."""
+    c = fewest(s, least)
+    j = c / (2 * n + s - c)
+    return math.ceil(math.log(miss) / math.log1p(-j)) if j < 1 else 1
+
+
 class Index:
-    """Templates by group of lengths: their shingles, and which have a given least hash in each band."""
+    """Templates by group of lengths: their shingles, and which have a given least hash in each band, or a given shingle."""
 
-    def __init__(self, templates: list[tuple[str, str]], k: int = K, bands: int = BANDS):
-        self.k, self.bands = k, bands
+    def __init__(self, templates: list[tuple[str, str]], k: int = K, least: float = LEAST, miss: float = MISS):
+        self.k, self.least = k, least
         w = Words(pa.array([t for _, t in templates], pa.large_string()), ALNUM, lower=True)
         g = rolling(w.hash, k)
         groups: dict[int, list[tuple[str, np.ndarray]]] = {}
@@ -60,50 +78,70 @@ class Index:
                 groups.setdefault(n, []).append((name, np.unique(g[a : b - k + 1])))
         self.groups = []
         for n, own in sorted(groups.items()):
+            need = [bands_for(len(s), n, least, miss) for _, s in own]
+            hashed = [j for j, x in enumerate(need) if x <= MOST_BANDS]
             tables = []
-            for f in _FACTORS[:bands]:
+            for f in _FACTORS[: max((need[j] for j in hashed), default=0)]:
                 by: dict[int, list[int]] = {}
-                for j, (_, s) in enumerate(own):
-                    by.setdefault(int((s * f).min()), []).append(j)
+                for j in hashed:
+                    by.setdefault(int((own[j][1] * f).min()), []).append(j)
                 tables.append((HashSet(np.array(list(by), np.uint64)), by))
-            self.groups.append((n, own, tables))
-
-    def scan(self, w: Words, least: float) -> Iterator[tuple[int, str, float]]:
+            single: dict[int, list[int]] = {}
+            held = Counter(x for _, s in own for x in s.tolist())
+            for j in sorted(set(range(len(own))) - set(hashed)):
+                s = sorted(own[j][1].tolist(), key=lambda x: (held[x], x))  # the rarest
+                for x in s[: len(s) - fewest(len(s), least) + 1]:
+                    single.setdefault(x, []).append(j)
+            self.groups.append((n, own, tables, (HashSet(np.array(list(single), np.uint64)), single)))
+
+    def scan(self, w: Words) -> Iterator[tuple[int, str, float]]:
         """(document, template, share of its shingles) of each window that holds one."""
         g = np.where(fits(w.first, len(w.hash), self.k), rolling(w.hash, self.k), U(0))
         valid = fits(w.first, len(w.hash), self.k)
         count = w.counts()
-        for n, own, tables in self.groups:
+        for n, own, tables, (singles, single) in self.groups:
             blocks = -(-count // n)
             total = int(blocks.sum())
             if not total:
                 continue
             doc = np.repeat(np.arange(len(count)), blocks)
-            place = np.arange(total) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            before = np.cumsum(blocks) - blocks
+            place = np.arange(total) - np.repeat(before, blocks)
             start = w.first[doc] + place * n
             paired = np.append(doc[1:] == doc[:-1], False)
             seen: set[tuple[int, int]] = set()
+
+            def verified(i: int, near: list[int]) -> Iterator[tuple[int, str, float]]:
+                for j in near:
+                    if (i, j) in seen:
+                        continue
+                    seen.add((i, j))
+                    lo, hi = int(start[i]), min(int(start[i]) + 2 * n, int(w.first[doc[i] + 1]))
+                    share = float(np.isin(own[j][1], g[lo:hi][valid[lo:hi]]).mean())
+                    if share >= self.least:
+                        yield int(doc[i]), own[j][0], share
+
             for f, (known, by) in zip(_FACTORS, tables):
                 low = np.minimum.reduceat(np.where(valid, g * f, _MAX), start)
                 window = np.where(paired, np.minimum(low, np.append(low[1:], U(_MAX))), low)
                 at, which = known.find(window)
                 for i, v in zip(at.tolist(), known.values[which].tolist()):
-                    for j in by[v]:
-                        if (i, j) in seen:
-                            continue
-                        seen.add((i, j))
-                        lo, hi = int(start[i]), min(int(start[i]) + 2 * n, int(w.first[doc[i] + 1]))
-                        share = float(np.isin(own[j][1], g[lo:hi][valid[lo:hi]]).mean())
-                        if share >= least:
-                            yield int(doc[i]), own[j][0], share
-
-
-def _scanning(index: object, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+                    yield from verified(i, by[v])
+            at, which = singles.find(g)
+            at, which = at[valid[at]], which[valid[at]]
+            d = w.doc_of(at)
+            block = before[d] + (at - w.first[d]) // n
+            for i, v in zip(block.tolist(), singles.values[which].tolist()):
+                if i and doc[i - 1] == doc[i]:
+                    yield from verified(i - 1, single[v])
+                yield from verified(i, single[v])
+
+def _scanning(index: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in chunks(b.column(1)):
                 found: list[dict[str, float]] = [{} for _ in range(hi - lo)]
-                for d, name, share in index.value.scan(Words(b.column(1)[lo:hi], ALNUM, lower=True), least):
+                for d, name, share in index.value.scan(Words(b.column(1)[lo:hi], ALNUM, lower=True)):
                     found[d][name] = max(share, found[d].get(name, 0.0))
                 names = [sorted(x) for x in found]
                 best = pa.array([max(x.values(), default=0.0) for x in found], pa.float64())
@@ -116,12 +154,12 @@ def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(pa.table(dict(zip(("name", "text"), zip(*TEMPLATES)))))
 
 
-def scan(docs: DataFrame, known: DataFrame | None = None, least: float = LEAST, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame | None = None, least: float = LEAST, miss: float = MISS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_licenses, licenses (names, sorted), containment (the best share) for every row of `docs`."""
     spark = docs.sparkSession
     rows = (known if known is not None else templates(spark)).where("name is not null and text is not null").select("name", "text").limit(MOST_TEMPLATES + 1).collect()
     if len(rows) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    index = spark.sparkContext.broadcast(Index([(r["name"], r["text"]) for r in rows], bands=bands))
+    index = spark.sparkContext.broadcast(Index([(r["name"], r["text"]) for r in rows], least=least, miss=miss))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return texts.mapInArrow(_scanning(index, least), "doc_id bigint, n_licenses bigint, licenses array<string>, containment double")
+    return texts.mapInArrow(_scanning(index), "doc_id bigint, n_licenses bigint, licenses array<string>, containment double")
