@@ -5,9 +5,11 @@ words is one window). Training texts are read as batches of word hashes; every
 window hash of theirs is looked up in the set, and each hit's words are compared
 with the window's own words, so that a hash collision can't mark a word.
 
-The set is broadcast in blocks of at most `block_windows` windows, a bound on
-its bytes whatever the benchmark's size; with several blocks the documents are
-scanned once a block and their hit spans merged by document.
+The set is broadcast in blocks of at most `block_windows` words (and WORD_BYTES times
+that of text), a bound on its bytes whatever the benchmark's size; longer items are
+cut, each window whole in a piece. With several blocks the documents are written once
+with a number for each row, and scanned once a block, one block after the other; hit
+spans are merged by these numbers, so every row stays a row whatever its id.
 
 Nulls and empty texts have no words: null or empty documents are clean, null or
 empty items have no windows. Repeated item ids count once in `items`. Empty
@@ -16,7 +18,10 @@ tables give empty or clean results; extra columns are kept by `remove`.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm.text import ALNUM, HashSet, Words, chunks, fits, rolling
+from voltrail.llm.workspace import Workspace
 
 N = 10
 BLOCK_WINDOWS = 1_000_000
+WORD_BYTES = 32
 SCANNED = "doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
+_WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
 
@@ -103,37 +111,66 @@ def _scanning(windows: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks that hold at most about `limit` words, read one partition at a time."""
+def _pieces(text: str, n: int, limit: int) -> Iterator[tuple[int, str]]:
+    """The size of a text in words, and the text; one of more than `limit` is cut, so that each window is whole in a piece."""
+    found = _WORD.finditer(text)
+    held = list(islice(found, max(n, limit)))
+    while held:
+        more = list(islice(found, max(1, limit - n + 1)))
+        part = text[held[0].start() : held[-1].end()]
+        yield max(len(held), len(part.encode()) // WORD_BYTES), part
+        held = held[len(held) - n + 1 :] + more if more else []
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in blocks that hold at most `limit` words, read one partition at a time; at least one block."""
     rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
     block, held = [], 0
     for item, text in rows.toLocalIterator():
-        size = text.count(" ") + 1
-        if block and held + size > limit:
-            yield block
-            block, held = [], 0
-        block.append((item, text))
-        held += size
+        for size, part in _pieces(text, n, limit):
+            if block and held + size > limit:
+                yield block
+                block, held = [], 0
+            block.append((item, part))
+            held += size
     yield block
 
 
+def _row_column(docs: DataFrame) -> str:
+    name = "row"
+    while name.lower() in map(str.lower, docs.columns):
+        name += "_"
+    return name
+
+
+def _each_block(rows: DataFrame, first: list[tuple[str, str]], others: Iterator[list[tuple[str, str]]], n: int, ws: Workspace, row: str, text_col: str) -> Iterator[DataFrame]:
+    """row, n_words, spans, items of `rows` for each block, written before the next one is made; of the first all rows, then those with hits."""
+    sc = rows.sparkSession.sparkContext
+    for k, items in enumerate(chain([first], others)):
+        known = sc.broadcast(Windows(items, n))
+        found = rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scanning(known), SCANNED)
+        yield ws.table(found.where("size(items) > 0") if k else found).withColumnRenamed("doc_id", row)
+        known.destroy()
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, block_windows: int = BLOCK_WINDOWS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """doc_id, n_words, spans (word ranges that benchmark windows cover), items (their ids, sorted)."""
+    """doc_id, n_words, spans (word ranges that benchmark windows cover), items (their ids, sorted) for every row of `docs`."""
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = [rows.mapInArrow(_scanning(sc.broadcast(Windows(items, n))), SCANNED) for items in _blocks(benchmark, item_col, "text", block_windows)]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    blocks = _blocks(benchmark, item_col, "text", n, block_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return rows.mapInArrow(_scanning(sc.broadcast(Windows(first, n))), SCANNED)
+    ws = Workspace(docs.sparkSession)
+    rows = ws.table(rows.withColumn("row", F.monotonically_increasing_id()))
+    every = reduce(DataFrame.unionByName, _each_block(rows, first, chain([second], blocks), n, ws, "row", "text"))
+    merged = every.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # overlapping spans of different blocks become one
     joined = F.aggregate(
         "spans", F.expr("cast(array() as array<struct<a:int,b:int>>)"),
         lambda got, s: F.when((F.size(got) > 0) & (s["a"] <= F.try_element_at(got, F.lit(-1))["b"]), F.concat(F.slice(got, 1, F.size(got) - 1), F.array(F.struct(F.try_element_at(got, F.lit(-1))["a"].alias("a"), F.greatest(F.try_element_at(got, F.lit(-1))["b"], s["b"]).alias("b"))))).otherwise(F.concat(got, F.array(s))),
     )
-    return merged.withColumn("spans", joined)
+    return rows.select("row", "doc_id").join(merged.withColumn("spans", joined), "row").select("doc_id", "n_words", "spans", "items")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -162,8 +199,12 @@ def _removing(windows: object, text_at: int) -> Callable[[Iterator[pa.RecordBatc
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, block_windows: int = BLOCK_WINDOWS, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """`docs` without the documents in which a benchmark window occurs; all columns unchanged."""
-    out = docs
-    for items in _blocks(benchmark, item_col, "text", block_windows):
-        known = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
-        out = out.mapInArrow(_removing(known, docs.columns.index(text_col)), docs.schema)
-    return out
+    blocks = _blocks(benchmark, item_col, "text", n, block_windows)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        known = docs.sparkSession.sparkContext.broadcast(Windows(first, n))
+        return docs.mapInArrow(_removing(known, docs.columns.index(text_col)), docs.schema)
+    ws, row = Workspace(docs.sparkSession), _row_column(docs)
+    rows = ws.table(docs.withColumn(row, F.monotonically_increasing_id()))
+    every = reduce(DataFrame.unionByName, _each_block(rows, first, chain([second], blocks), n, ws, row, text_col))
+    return rows.join(every.where("size(items) > 0").select(row).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
