@@ -65,10 +65,18 @@ def test_stage_on_documents(spark, small_dir):
     assert {x["doc_id"] for x in corpus_pipeline.drop_near_copies(spark, docs, small_dir).collect()} == want
 
 
-def test_first_hashes_are_enough_for_most_sets():
+def test_linked_sets_share_a_first_coordinate():
     import numpy as np
 
     r = np.random.default_rng(0)
-    for n in (120, 190, 260, 900, 1400):
-        s = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64))
-        assert len(ngram_join.leaf_keys(s, 80)) < 1.1 * n
+    rarity = r.integers(0, 9, ngram_join.RARITY).astype(np.float32)
+    for percent in (80, 85):
+        for n in (1, 2, 5, 20, 120, 900):
+            for _ in range(40):
+                x = r.integers(0, 1 << 63, n).astype(np.uint64)
+                gone = r.integers(0, n * (100 - percent) // 100 + 1)
+                more = r.integers(0, n * (100 - percent) // 100 + 1 - gone)
+                y = np.concatenate([x[gone:], r.integers(0, 1 << 63, more).astype(np.uint64)])
+                assert 100 * (n - gone) >= percent * (n + more)
+                a, b = (ngram_join.first_coordinates(np.sort(s), rarity, percent) for s in (x, y))
+                assert len(np.intersect1d(a, b))

@@ -54,8 +54,8 @@ def got(df):
 def test_ngram_join(docs, corpus, monkeypatch):
     want = brute.op1(corpus)
     assert got(ngram_join.join(docs)) == want
-    # texts joined rather than broadcast, leaves in tiles, hubs salted
-    for name, value in (("BROADCAST_DOCS", 0), ("TILE", 4), ("SALT", 3)):
+    # texts joined rather than broadcast, nodes in parts and in pieces, hubs salted
+    for name, value in (("BROADCAST_DOCS", 0), ("NODE", 4), ("HOT", 3), ("SALT", 3), ("BOX", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     assert got(ngram_join.join(docs)) == want
 

@@ -5,26 +5,30 @@ hashed to a group, and coordinate i counts the shingles of group i. The number
 of common shingles of two documents is at most the sum over i of the smaller
 coordinate, so pairs whose bound is too low need no further look.
 
-The index is a tree over these points. Its first level is the set size, in
-classes of ratio 1.5. Below, the coordinates of a class are dealt into `m` bands:
-two sets with Jaccard similarity >= t differ in at most R = (1-t)/t * min size
-shingles, so with m = R + 1 + slack bands the two points agree exactly on some
-band that is not empty. A leaf is therefore a box of one point: one band and its
-counts, 1024 groups a band. Sets with more empty bands than the slack are indexed
-again under other hashes and, failing those, by their empty bands as well, so
-that no linked pair is missed.
-
-Members of a leaf pair with its smallest set that their size allows, so a leaf of
-any size takes one pass. The bound on those pairs' points picks the likely ones;
-they are verified on the exact shingle sets, best first, and linked documents are
-contracted. Only leaves that still hold documents of different components are
-searched for pairs across components: first each document's best bound, then its
-best of each component, then all that are left. Leaves of many members are tiled.
+The index is an R-tree whose nodes may overlap. In the full space of shingles a
+point has few coordinates, and two sets of similarity >= t share one of the first
+n - ceil(t n) + 1 coordinates of either, in any order that holds for all. So a
+point lies under the node of each of those coordinates, rarest groups first (their
+counts over the whole corpus order them), and linked points always share a node.
+A node's members are cut where their sizes leave too wide a gap; nodes of equal
+members are one. Below that, the members are packed by component and size into
+boxes of `BOX` points, each with its coordinates' maxima; a search descends into a
+box only while the sum of the smaller of query and maximum reaches the overlap
+that its sizes need, and into a point likewise. (Boxes of points without anything
+in common prune nothing at the top, in so many dimensions, whence the first level.)
+
+Groups of near copies are never searched pair by pair: members of a node pair with
+one leader of their size class, pairs are bounded, verified on the exact shingle
+sets and linked documents contracted. Only nodes that still hold documents of
+different components are searched, by those outside the node's largest component:
+first each one's best of every other component, then all that are left.
 Documents with equal sets are contracted before, wherever they lie.
 
 Null or empty texts (and texts without words) have no shingles and link with
 nothing; texts of fewer than k words are one shingle. Repeated rows of one id
-count as one document; a null id links with nothing. Extra columns are not read.
+count as one document (of different texts under one id, the class is that of the
+text whose equal documents hold the least id); a null id links with nothing. Extra
+columns are not read.
 """
 
 from __future__ import annotations
@@ -38,27 +42,25 @@ from pyspark.sql import functions as F
 
 from voltrail.llm.components import components
 from voltrail.llm.streams import starts, whole_runs
-from voltrail.llm.text import CHUNK_BYTES, NON_SPACE, U, Words, chunks, fits, mix, rolling, sequence_hash
+from voltrail.llm.text import CHUNK_BYTES, NON_SPACE, Words, U, chunks, mix, rolling, sequence_hash
 from voltrail.llm.workspace import Workspace
 
 K, PERCENT = 4, 85
 GROUPS = 128  # coordinates of the point that is carried for the bound
 FULL = 65_535
-RATIO = 1.5
-SEEDS = 4
-TILE = 512
+RARITY = 1 << 16  # groups whose counts over the corpus order a set's coordinates
+BLOCK = 1 << 10  # of them in a row
+BOX = 32  # points of a box
+NODE = 4_096  # members of a node that one task packs into boxes; larger nodes are dealt into parts
+HOT = 200_000  # members of a node that one task compares for equal nodes; larger ones stay as they are
 BROADCAST_DOCS = 50_000  # rows of about 40 bytes
 SALT = 2_000  # pairs of one hub that one group verifies
-_BOUNDS = [1]
-while _BOUNDS[-1] < 1 << 40:
-    _BOUNDS.append(max(_BOUNDS[-1] + 1, int(_BOUNDS[-1] * RATIO)))
-_EDGES = np.array(_BOUNDS)
 
 
 def shingle_sets(texts: pa.Array, k: int, word_bytes: np.ndarray = NON_SPACE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     w = Words(texts, word_bytes, lower=True)
-    g, ok = rolling(w.hash, k), fits(w.first, len(w.hash), k)
+    g = rolling(w.hash, k)
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= k:
@@ -74,44 +76,17 @@ def shingle_sets(texts: pa.Array, k: int, word_bytes: np.ndarray = NON_SPACE) ->
     return out
 
 
-def most_differences(n_least: int, percent: int) -> int:
-    """Shingles in which two sets can differ, the smaller of n_least, at similarity >= percent/100."""
-    return (100 - percent) * n_least // percent
-
-
-def spare(percent: int) -> int:
-    """Differences for each band beyond them, so that with classes of RATIO the slack covers the bands that stay empty."""
-    return 25 if percent >= 85 else 5
-
-
-def _class(n: int) -> int:
-    return int(np.searchsorted(_EDGES, n, side="right")) - 1
-
-
-def leaf_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """The leaves that hold a set: hashes of (class, band, counts of the band's groups)."""
+def first_coordinates(s: np.ndarray, rarity: np.ndarray, percent: int) -> np.ndarray:
+    """The coordinates under which a set lies: its n - ceil(percent n / 100) + 1 first, rarest groups first."""
     n = len(s)
     if not n:
         return s
-    own, low = _class(n), _class(-(-percent * n // 100))
-    keys = []
-    for c in range(low, own + 1):
-        r = most_differences(_BOUNDS[c + 1] - 1, percent)
-        slack = 0 if r == 0 else 1 + r // spare(percent)
-        m = r + 1 + slack
-        for seed in range(SEEDS):
-            h = s if seed == 0 else np.sort(mix(s + U(seed)))
-            band = ((h >> U(32)) * U(m)) >> U(32)
-            group = mix((h & U(1023)) | (band << U(10)) | U(c << 50) | U(seed << 58))
-            at = starts(band)
-            keys.append(mix(np.add.reduceat(group, at)))
-            if m - len(at) <= slack:
-                break
-        else:
-            band = ((s >> U(32)) * U(m)) >> U(32)
-            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), band)
-            keys.append(mix(empty | U(c << 50) | U(1 << 62)))
-    return np.concatenate(keys)
+    p = n + (-percent * n // 100) + 1
+    rare = rarity[(s >> U(20)).astype(np.int64) & (RARITY - 1)]
+    at = np.argpartition(rare, p - 1)[:p] if p < n else np.arange(n)
+    edge = rare[at].max()
+    sure, even = np.flatnonzero(rare < edge), np.flatnonzero(rare == edge)  # of even ones the least hashes: s is sorted
+    return s[np.concatenate([sure, even[: p - len(sure)]])]
 
 
 def _set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -138,71 +113,91 @@ Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def _digesting(k: int) -> Task:
+    """A row for each document, and the task's counts of groups in rows of BLOCK (block, point)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(RARITY, np.int64)
         for b in batches:
             for lo, hi in chunks(b.column(1)):
                 sets = shingle_sets(b.column(1)[lo:hi], k)
                 d = [_set_digest(s) for s in sets]
+                if sets:
+                    count += np.bincount((np.concatenate(sets) >> U(20)).astype(np.int64) & (RARITY - 1), minlength=RARITY)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)), pa.array([counts_of(s).tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "n", "d1", "d2", "point"],
+                    [b.column(0)[lo:hi], pa.array([len(s) for s in sets], pa.int64()), *(pa.array([x[i] for x in d], pa.int64()) for i in (0, 1)), pa.array([counts_of(s).tobytes() for s in sets], pa.binary()), pa.nulls(hi - lo, pa.int32())],
+                    names=["doc_id", "n", "sid", "d2", "point", "block"],
                 )
+        rows = RARITY // BLOCK
+        none = pa.nulls(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([none] * 4 + [pa.array([x.tobytes() for x in count.reshape(rows, BLOCK)], pa.binary()), pa.array(np.arange(rows, dtype=np.int32))], names=["doc_id", "n", "sid", "d2", "point", "block"])
 
     return run
 
 
-def _keying(k: int, percent: int) -> Task:
+def _summing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            total[block] = total.get(block, 0) + np.frombuffer(x, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "point"])
+
+
+def _rarity(counts: DataFrame) -> np.ndarray:
+    """How often each group occurs in the corpus: RARITY numbers, whatever its size."""
+    rows = counts.repartition(RARITY // BLOCK // 4, "block").mapInArrow(_summing, "block int, point binary").collect()
+    out = np.zeros((RARITY // BLOCK, BLOCK), np.float32)
+    for r in rows:
+        out[r["block"]] = np.frombuffer(r["point"], np.int64)
+    return out.reshape(-1)
+
+
+def _keying(k: int, percent: int, rarity: np.ndarray) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # equal sets are contracted anyway: one of them a task is enough
+        seen: set[tuple[int, int]] = set()  # equal sets are one point: one of them a task is enough
         for b in batches:
             for lo, hi in chunks(b.column(1)):
-                ids, keys, sizes = [], [], []
+                keys, sizes, sids = [], [], []
                 for i, s in zip(b.column(0)[lo:hi].to_pylist(), shingle_sets(b.column(1)[lo:hi], k)):
                     if i is None or not len(s) or (d := _set_digest(s)) in seen:
                         continue
                     if len(seen) < 100_000:
                         seen.add(d)
-                    ids.append(i)
+                    sids.append(d[0])
                     sizes.append(len(s))
-                    keys.append(leaf_keys(s, percent).view(np.int64))
+                    keys.append(first_coordinates(s, rarity, percent).view(np.int64))
                 size = np.array([len(x) for x in keys], np.int64)
                 flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int32), size)), pa.array(np.repeat(np.array(ids, np.int64), size))], names=["key", "n", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.array(sizes, np.int64), size)), pa.array(np.repeat(np.array(sids, np.int64), size))], names=["key", "n", "sid"])
 
     return run
 
 
-def _shared(percent: int) -> Task:
-    """The pairs that hold a leaf together: each member with the smallest set that its size allows.
+def _nodes(percent: int, hot: int) -> Task:
+    """The nodes' members, from rows in order of (key, n, sid): runs of one key without a gap too wide in sizes.
 
-    Members come in order of (key, n): a window is a run of sizes that fit its first; its
-    members pair with that, and its first with the member before it where sizes fit. So
-    members of one leaf that could link are in one component if all its pairs are.
+    A node is named by its members, so that equal nodes fall together; one of over `hot` rows by its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
-        for t, long in whole_runs(batches, limit=200_000):
-            key, n, doc = (t.column(c).to_numpy() for c in range(3))
-            if held and held[0][0] == key[0]:  # a further piece of a long run: its window's first and last go before
-                key, n, doc = (np.concatenate(x) for x in zip(held, (key, n, doc)))
-            at = starts(key)
-            place = np.arange(len(key))
-            first = np.repeat(at, np.diff(np.append(at, len(key))))
-            lead = first.copy()
-            bounds = np.zeros(len(key), bool)
-            while (over := 100 * n[lead].astype(np.int64) < percent * n.astype(np.int64)).any():
-                new = over.copy()
-                new[1:] &= ~(over[:-1] & (lead[1:] == lead[:-1]))
-                lead = np.where(over, np.maximum.accumulate(np.where(new, place, 0)), lead)
-                bounds |= new
-            edge = np.flatnonzero(bounds)
-            edge = edge[100 * n[edge - 1].astype(np.int64) >= percent * n[edge].astype(np.int64)]
-            a, b = np.concatenate([lead, edge - 1]), np.concatenate([place, edge])
-            keep = doc[a] != doc[b]
-            a, b = a[keep], b[keep]
-            held = tuple(x[[lead[-1], -1]] for x in (key, n, doc)) if long else None
-            yield pa.RecordBatch.from_arrays([pa.array(key[b]), pa.array(doc[a]), pa.array(doc[b])], names=["key", "leader", "doc_id"])
+        seen: set[int] = set()
+        for t, long in whole_runs(batches, limit=hot, at_least=min(20_000, hot)):
+            key, n, sid = (t.column(c).to_numpy() for c in ("key", "n", "sid"))
+            if long:
+                node = mix(key.view(np.uint64) + U(0x3C6EF372)).view(np.int64)
+            else:
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (n[1:] != n[:-1]) | (sid[1:] != sid[:-1])
+                key, n, sid = key[new], n[new], sid[new]
+                cut = np.ones(len(key), bool)
+                cut[1:] = (key[1:] != key[:-1]) | (100 * n[:-1] < percent * n[1:])
+                at = np.flatnonzero(cut)
+                size = np.diff(np.append(at, len(key)))
+                name = mix(np.add.reduceat(mix(sid.view(np.uint64) ^ mix(n.astype(np.uint64))), at) + size.astype(np.uint64)).view(np.int64) if len(at) else at
+                pick = size > 1
+                pick[pick] = [len(seen) >= 1_000_000 or not (x in seen or seen.add(x)) for x in name[pick].tolist()]
+                rows = np.repeat(pick, size)
+                node, n, sid = np.repeat(name[pick], size[pick]), n[rows], sid[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), pa.array(sid)], names=["node", "n", "sid"])
 
     return run
 
@@ -215,8 +210,8 @@ def _bounding(percent: int) -> Task:
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("pa", "pb"))
             need = needed(na, nb, percent)
-            ok = (np.minimum(na, nb) >= need) & (overlap_bound(x, y) >= need)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("leader", "doc_id", "a", "b", "leaves")), pa.array(ok)], names=["leader", "doc_id", "a", "b", "leaves", "possible"])
+            ok = pa.array((np.minimum(na, nb) >= need) & (overlap_bound(x, y) >= need))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b", "nodes")], names=["a", "b", "nodes"])
 
     return run
 
@@ -260,38 +255,51 @@ def _verifying(k: int, percent: int) -> Task:
     return run
 
 
-def _across(percent: int, which: str) -> Task:
-    """Pairs of a leaf (or of two of its tiles) that lie in different components and whose bound allows a link:
-    each document's best one, its best of each component, or all."""
-
-    def pairs(doc: np.ndarray, comp: np.ndarray, n: np.ndarray, point: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
-        for i in range(len(doc) - 1):
-            j = np.arange(i + 1, len(doc))
-            j = j[(comp[j] != comp[i]) & ((part[j] != part[i]) | (part[i] < 0))]
-            if len(j):
-                need = needed(n[i], n[j], percent)
-                j, need = j[(np.minimum(n[j], n[i]) >= need)], need[(np.minimum(n[j], n[i]) >= need)]
-            if len(j):
-                bound = overlap_bound(point[i], point[j])
-                j, bound = j[bound >= need], (bound - need)[bound >= need]
-            if len(j) and which == "one":
-                j = j[[int(bound.argmax())]]
-            elif len(j) and which == "each":
-                order = np.lexsort((-bound, comp[j]))
-                j = j[order[starts(comp[j][order])]]
-            found_a.append(np.full(len(j), i))
-            found_b.append(j)
-        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (found_a, found_b))
-        return doc[a], doc[b]
+class Boxes:
+    """The lowest levels of the tree: points packed by component and size into boxes with their coordinates' maxima."""
+
+    def __init__(self, n: np.ndarray, comp: np.ndarray, point: np.ndarray, percent: int):
+        self.order = np.lexsort((n, comp))
+        self.n, self.comp, self.point, self.percent = n[self.order], comp[self.order], point[self.order], percent
+        self.at = np.arange(0, len(n), BOX)
+        self.most = np.maximum.reduceat(self.point, self.at)
+        self.least_n, self.most_n = np.minimum.reduceat(self.n, self.at), np.maximum.reduceat(self.n, self.at)
+
+    def search(self, n: int, comp: int, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the order given of the points of other components that may link, and by how much their bound exceeds the need."""
+        need = needed(n, self.least_n, self.percent)
+        boxes = np.flatnonzero((100 * n >= self.percent * self.least_n) & (100 * self.most_n >= self.percent * n) & (overlap_bound(point, self.most) >= need))
+        i = (self.at[boxes][:, None] + np.arange(BOX)).ravel()
+        i = i[i < len(self.n)]
+        i = i[self.comp[i] != comp]
+        need = needed(n, self.n[i], self.percent)
+        over = overlap_bound(point, self.point[i]) - need
+        ok = (over >= 0) & (np.minimum(n, self.n[i]) >= need)
+        return self.order[i[ok]], over[ok]
+
+
+def _searching(percent: int, every: bool) -> Task:
+    """Pairs of a node that lie in different components and whose bound allows a link: all, or each query's best of each component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, n_keys=2):
-            key, tile, doc, comp, n, part = (t.column(c).to_numpy() for c in ("key", "tile", "doc_id", "component", "n", "part"))
-            point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(doc), GROUPS)
-            at = starts(key, tile)
-            got = [pairs(doc[i:j], comp[i:j], n[i:j], point[i:j], part[i:j]) for i, j in zip(at.tolist(), [*at[1:].tolist(), len(key)])]
-            a, b = (np.concatenate([x[s] for x in got]).astype(np.int64) for s in (0, 1))
+            node, part, rep, comp, n, query, resident = (t.column(c).to_numpy() for c in ("node", "part", "rep", "component", "n", "query", "resident"))
+            point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(rep), GROUPS)
+            at = starts(node, part)
+            a, b = [], []
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(node)]):
+                own = lo + np.flatnonzero(resident[lo:hi])
+                if not len(own):
+                    continue
+                tree = Boxes(n[own], comp[own], point[own], percent)
+                for q in (lo + np.flatnonzero(query[lo:hi])).tolist():
+                    j, over = tree.search(n[q], comp[q], point[q])
+                    if len(j) and not every:
+                        order = np.lexsort((-over, comp[own[j]]))
+                        j = j[order[starts(comp[own[j]][order])]]
+                    a.append(np.full(len(j), rep[q]))
+                    b.append(rep[own[j]])
+            a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
@@ -316,31 +324,39 @@ def _verified(rows: DataFrame, pairs: DataFrame, ws: Workspace, k: int, percent:
     return dealt.mapInArrow(_verifying(k, percent), "a bigint, b bigint, linked boolean")
 
 
+def _size_class(percent: int) -> F.Column:
+    """Classes in which all sizes fit one another."""
+    return F.floor(F.log(F.col("n")) / F.log(F.lit(100.0 / percent)) * 1.0001).cast("int")
+
+
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of `docs`."""
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = ws.table(rows.mapInArrow(_digesting(k), "doc_id bigint, n bigint, d1 bigint, d2 bigint, point binary"))
-    own = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
-    first = own.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    rep = ws.table(own.join(first, ["n", "d1", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep")))
-
-    keyed = rows.mapInArrow(_keying(k, percent), "key bigint, n int, doc_id bigint")
-    shared = ws.table(keyed.repartition("key").sortWithinPartitions("key", "n", "doc_id").mapInArrow(_shared(percent), "key bigint, leader bigint, doc_id bigint"))
-    # reps stand for documents of equal sets
-    points = sets.where("n > 0 and doc_id is not null").select("doc_id", "n", "point").join(rep.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    star = shared.groupBy("leader", "doc_id").agg(F.count("*").alias("leaves"))
-    star = star.join(rep.withColumnRenamed("rep", "a"), star["leader"] == rep["doc_id"]).select("leader", star["doc_id"], "a", "leaves")
-    star = star.join(rep.withColumnRenamed("rep", "b"), "doc_id").where("a <> b").select("leader", "doc_id", "a", "b", "leaves")
-    for x in "ab":
-        star = star.join(points.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")), x)
-    star = ws.table(star.select("leader", "doc_id", "a", "b", "leaves", "na", "nb", "pa", "pb").mapInArrow(_bounding(percent), "leader bigint, doc_id bigint, a bigint, b bigint, leaves bigint, possible boolean"))
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Of pairs a, b those in different components, with ca, cb."""
-        side = [comp.select(F.col("vertex").alias(x), F.col("component").alias(f"c{x}")) for x in "ab"]
-        both = pairs.join(side[0], "a", "left").join(side[1], "b", "left")
-        return both.withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).where("ca <> cb")
+    # a set is known by its size and sid; its second digest only confirms that
+    read = ws.table(rows.mapInArrow(_digesting(k), "doc_id bigint, n bigint, sid bigint, d2 bigint, point binary, block int"))
+    sets = read.where("block is null").drop("block")
+    rarity = _rarity(read.where("block is not null").select("block", "point"))
+    own = sets.where("n > 0 and doc_id is not null")
+    reps = ws.table(own.groupBy("n", "sid", "d2").agg(F.min("doc_id").alias("rep")))
+
+    keyed = rows.mapInArrow(_keying(k, percent, rarity), "key bigint, n bigint, sid bigint")
+    members = keyed.repartition("key").sortWithinPartitions("key", "n", "sid").mapInArrow(_nodes(percent, HOT), "node bigint, n bigint, sid bigint")
+    nodes = ws.table(members.distinct().join(reps.select("n", "sid", "rep"), ["n", "sid"]).select("node", "n", "sid", "rep"))
+    inside = nodes.select("n", "sid", "rep").distinct()
+    points = own.select("n", "sid", F.col("doc_id").alias("rep"), "point").join(inside, ["n", "sid", "rep"], "left_semi")
+    points = ws.table(points.dropDuplicates(["rep"]).select("rep", "n", "point"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        for x in "ab":
+            pairs = pairs.join(points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")), x)
+        return pairs.select("a", "b", "nodes", "na", "nb", "pa", "pb").mapInArrow(_bounding(percent), "a bigint, b bigint, nodes bigint")
+
+    def located(pairs: DataFrame) -> DataFrame:
+        """Pairs a, b with their components ca, cb, where those differ."""
+        for x in "ab":
+            pairs = pairs.join(comp.select(F.col("vertex").alias(x), F.col("component").alias(f"c{x}")), x, "left").withColumn(f"c{x}", F.coalesce(f"c{x}", x))
+        return pairs.where("ca <> cb")
 
     def attempt(pairs: DataFrame) -> bool:
         """Verifies pairs that were not tried yet; False if there are none."""
@@ -355,36 +371,34 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
         return True
 
     tried = None
-    comp = rep.select(F.col("rep").alias("vertex"), F.col("rep").alias("component")).limit(0)
-    # first each document with the leader it shares most leaves with, then, where that left a pair
-    # apart, with the best of each other component, then with all leaders
-    best = lambda pairs, *by: pairs.groupBy("b", *by).agg(F.max_by(F.struct("a"), F.struct("leaves", -F.col("a"))).alias("x")).select("x.a", "b")
-    likely = star.where("possible")
-    if attempt(best(likely)) and attempt(best(apart(likely), "ca")):
-        attempt(apart(likely))
-    for which in ("one", "each", "all"):
-        # leaves with documents of different components, which their first alone did not join
-        mixed = shared.join(apart(star).select("leader", "doc_id"), ["leader", "doc_id"], "left_semi").select("key").distinct()
-        whole = shared.join(mixed, "key")
-        members = whole.select("key", "doc_id").unionByName(whole.select("key", F.col("leader").alias("doc_id")))
-        members = members.join(rep, "doc_id").select("key", F.col("rep").alias("doc_id")).distinct()
-        left = ws.table(members.join(comp.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
+    comp = reps.select(F.col("rep").alias("vertex"), F.col("rep").alias("component")).limit(0)
+    # each member with the leader of its size class in most nodes, then with the best of each other component
+    classes = nodes.withColumn("size", _size_class(percent))
+    leaders = classes.groupBy("node", "size").agg(F.min("rep").alias("a"))
+    star = classes.join(leaders, ["node", "size"]).groupBy("a", F.col("rep").alias("b")).agg(F.count("*").alias("nodes")).where("a <> b")
+    star = ws.table(bounded(star))
+    best = lambda pairs, *by: pairs.groupBy("b", *by).agg(F.max_by("a", F.struct("nodes", -F.col("a"))).alias("a"))
+    if attempt(best(star)):
+        attempt(best(located(star), "ca"))
+
+    for every in (False, True):
+        # nodes with documents of different components are searched by those outside the largest
+        here = nodes.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        mixed = here.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+        left = ws.table(here.join(mixed.select("node", "size"), "node"))
         if left.isEmpty():
             break
-        sizes = left.groupBy("key").agg(F.count("*").alias("size")).where("size > 2")
-        own_points = points.join(left.select("doc_id").distinct(), "doc_id")
-        left = left.join(sizes, "key").join(own_points, "doc_id")
-        # a leaf of many members is dealt into tiles: each pair of its parts meets in one
-        parts = F.ceil(F.col("size") / TILE).cast("int")
-        mine_part = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
-        left = left.withColumn("parts", parts).withColumn("p", mine_part)
-        left = left.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
-        tile = F.least("p", "q") * F.col("parts") + F.greatest("p", "q")
-        part = F.when(F.col("p") == F.col("q"), -1).otherwise(F.col("p"))
-        # in the tile of two different parts only pairs across them count; each part's own tile has the rest
-        dealt = left.select("key", tile.alias("tile"), "doc_id", "component", "n", "point", part.cast("int").alias("part"))
-        attempt(dealt.repartition("key", "tile").sortWithinPartitions("key", "tile", "doc_id").mapInArrow(_across(percent, which), "a bigint, b bigint"))
-
-    out = sets.select("doc_id", "n").join(rep, "doc_id", "left").join(comp.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
+        of_component = left.groupBy("node", "component").agg(F.count("*").alias("held"))
+        largest = of_component.groupBy("node").agg(F.max_by("component", "held").alias("largest"))
+        parts = F.ceil(F.col("size") / NODE).cast("int")
+        left = left.join(largest, "node").withColumn("query", F.col("component") != F.col("largest")).withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
+        left = left.join(points.select("rep", "point"), "rep")
+        everywhere = F.when(F.col("query"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))
+        left = left.select("*", F.explode(everywhere).alias("part"))
+        dealt = left.select("node", "part", "rep", "component", "n", "query", (F.col("part") == F.col("mine")).alias("resident"), "point")
+        attempt(dealt.repartition("node", "part").sortWithinPartitions("node", "part", "rep").mapInArrow(_searching(percent, every), "a bigint, b bigint"))
+
+    own_rep = own.select("doc_id", "n", "sid", "d2").join(reps, ["n", "sid", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    out = sets.select("doc_id", "n").join(own_rep, "doc_id", "left").join(comp.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
