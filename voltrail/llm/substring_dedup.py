@@ -1,19 +1,23 @@
 """Substring dedup by super-k-mer partitioning.
 
 Each window of 50 consecutive words has a minimiser: the least hash among its
-6-word grams. Consecutive windows with one minimiser are one super-k-mer. First
-only (minimiser, document, place) travels, which tells the minimisers that occur
-in different texts; then just those super-k-mers travel as one packed string (the
-text between their first and last word) to the minimiser's bucket, where a sort
-of their windows finds, for every window, the smallest document that holds it.
-Documents with equal word sequences are contracted before: all but the first
-lose all their words, and only the first takes part.
+6-word grams. Consecutive windows with one minimiser are one super-k-mer (of at
+most `LONGEST` windows; a longer one is several).
 
-A minimiser of more than `hot` places has no bucket: its windows are counted by
-a partial aggregate on their hashes and joined back, so that no task has to take
-all of a passage that very many documents share.
+First only (minimiser, digest of the super-k-mer's words, document, place) travels.
+Equal super-k-mers are contracted, within a task before the shuffle and then in the
+minimiser's bucket: all documents but the smallest that holds one lose its whole
+span. What is left of a minimiser with different super-k-mers travels as packed
+strings (the text between first and last word), one for each different string, to
+its bucket, where a sort of their windows finds, for every window, the smallest
+document that holds it.
 
-Windows are compared by 128 bits of hash over their whole word sequences.
+A minimiser of more than `hot` different strings has no bucket: its windows are
+counted by a partial aggregate on their hashes and joined back, with the same
+result, so that no task has to take all contexts of a passage that very many
+documents share.
+
+Super-k-mers and windows are compared by 128 bits of hash over their word sequences.
 
 Nulls have no words; documents under 50 words lose none. Windows are judged on
 the input. Ids should be distinct: rows that share one id count as one document
@@ -32,11 +36,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm.streams import starts, whole_runs
-from voltrail.llm.text import NON_SPACE, U, Words, chunks, fits, mix, window_hash
+from voltrail.llm.text import NON_SPACE, U, Words, chunks, fits, mix, span_hash, window_hash
 from voltrail.llm.workspace import Workspace
 
-WINDOW, GRAM, HOT = 50, 6, 1000
-WHOLE = (1 << 31) - 1
+WINDOW, GRAM = 50, 6
+HOT = 20_000  # different strings of a minimiser that one task sorts
+LONGEST = 256  # windows of a super-k-mer, so that a string is short whatever the text
+SEEN = 500_000  # super-k-mers that a task remembers to contract equal ones
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
@@ -64,56 +70,61 @@ def super_kmers(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarra
     new = np.ones(len(at), bool)
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     new |= np.isin(at, w.first[:-1])
+    new |= (np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))) % LONGEST == 0
     begin = np.flatnonzero(new)
     return least[begin], at[begin], np.diff(np.append(begin, len(at)))
 
 
+def _two_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return h, mix(h ^ U(0xA5A5A5A5))
+
+
 def _placing(window: int, gram: int) -> Task:
+    """Places of super-k-mers (kind 1), or, where the task has seen a smaller document with an equal one, spans that go (kind 0)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[tuple[int, int], int] = {}
         for b in batches:
             for lo, hi in chunks(b.column(1)):
                 ids = b.column(0)[lo:hi].to_numpy(zero_copy_only=False)
                 w = Words(b.column(1)[lo:hi], NON_SPACE, lower=False)
-                long = np.flatnonzero(w.counts() >= window)
-                digest = np.array([mix(np.arange(b_ - a, dtype=np.uint64) * U(0x9E3779B97F4A7C15) ^ w.hash[a:b_]).sum() for a, b_ in zip(w.first[long].tolist(), w.first[long + 1].tolist())], np.uint64)
                 key, at, n = super_kmers(w, window, gram)
                 d = w.doc_of(at)
-                by_doc = np.zeros(len(ids), np.uint64)
-                by_doc[long] = digest
-                yield _batch(
-                    kind=np.concatenate([np.zeros(len(long), np.int32), np.ones(len(at), np.int32)]), key=np.concatenate([digest, key]).view(np.int64),
-                    doc_id=np.concatenate([ids[long], ids[d]]).astype(np.int64), digest=np.concatenate([digest, by_doc[d]]).view(np.int64),
-                    start=np.concatenate([np.zeros(len(long), np.int32), (at - w.first[d]).astype(np.int32)]), n=np.concatenate([np.zeros(len(long), np.int32), n.astype(np.int32)]),
-                )
+                doc = ids[d].astype(np.int64)
+                s1, s2 = (span_hash(h, at, at + n + window - 1).view(np.int64) for h in _two_hashes(w.hash))
+                kind = np.ones(len(at), np.int32)
+                for i, (x, own) in enumerate(zip(zip(s1.tolist(), s2.tolist()), doc.tolist())):
+                    least = seen.get(x)
+                    if least is None:
+                        if len(seen) < SEEN:
+                            seen[x] = own
+                    elif own > least:
+                        kind[i] = 0
+                    elif own < least:
+                        seen[x] = own
+                yield _batch(kind=kind, key=np.where(kind == 0, mix(doc.view(np.uint64)), key).view(np.int64), s1=s1, s2=s2, doc_id=doc, start=(at - w.first[d]).astype(np.int32), n=n.astype(np.int32))
 
     return run
 
 
 def _sharing(hot: int) -> Task:
-    """From places in order of (kind, key, doc_id): copies of a text, and the places of minimisers in different texts."""
+    """From places in order of (kind, key, s1, s2, doc_id): spans that go since a smaller document holds them (0), and the
+    places whose strings go to the bucket (1) or, of minimisers with more than `hot` different ones, are taken window by window (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_doc: tuple[int, int] | None = None
-        for t, long in whole_runs(batches, n_keys=2, limit=100_000):
-            kind, key, doc, digest, start, n = (t.column(c).to_numpy() for c in ("kind", "key", "doc_id", "digest", "start", "n"))
-            at = starts(kind, key)
-            size = np.diff(np.append(at, len(key)))
-            lead = np.repeat(doc[at], size)
-            if first_doc and kind[0] == 0 and first_doc[0] == key[0]:  # a further piece of a long run
-                lead[: size[0]] = first_doc[1]
-            first_doc = (int(key[-1]), int(lead[-1]))
-            copy = (kind == 0) & (doc != lead)
-            # of equal texts only the first takes part: rows of a run are in order of doc_id
-            run_of = np.repeat(np.arange(len(at)), size)
-            order = np.lexsort((doc, digest, run_of))
-            new = starts(run_of[order], digest[order])
-            first = np.empty(len(order), np.int64)
-            first[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(order))))
-            texts = np.bincount(run_of[order][new], minlength=len(at))
-            place = (kind == 1) & (first == doc) & ((np.repeat(texts, size) > 1) | long)
-            many = long | (np.repeat(np.bincount(run_of, weights=place, minlength=len(at)), size) > hot)
-            keep = copy | place
-            yield _batch(doc_id=doc[keep], kind=np.where(copy[keep], 0, np.where(many[keep], 2, 1)).astype(np.int32), key=key[keep], start=start[keep], n=n[keep])
+        held: tuple[int, int, int, int] | None = None  # the last string of a long run's piece and its least document
+        for t, long in whole_runs(batches, n_keys=2, limit=10 * hot, at_least=min(20_000, 10 * hot)):
+            kind, key, s1, s2, doc, start, n = (t.column(c).to_numpy() for c in ("kind", "key", "s1", "s2", "doc_id", "start", "n"))
+            run_at, at = starts(kind, key), starts(kind, key, s1, s2)
+            lead = np.repeat(doc[at], np.diff(np.append(at, len(key))))
+            if held and held[:3] == (key[0], s1[0], s2[0]) and kind[0] == 1:
+                lead[: at[1] if len(at) > 1 else len(key)] = held[3]
+            held = (key[-1], s1[-1], s2[-1], lead[-1])
+            texts = np.repeat(np.add.reduceat(np.isin(np.arange(len(key)), at).astype(np.int64), run_at), np.diff(np.append(run_at, len(key))))
+            gone = (kind == 0) | (doc != lead)
+            keep = gone | long | (texts > 1)
+            out = np.where(gone, 0, np.where(long | (texts > hot), 2, 1)).astype(np.int32)
+            yield _batch(doc_id=doc[keep], kind=out[keep], key=key[keep], start=start[keep], n=n[keep])
 
     return run
 
@@ -136,7 +147,7 @@ def _packing(hot: bool, window: int) -> Task:
                 at, idn = w.first[doc] + start, np.array(ids, np.int64)[doc]
                 if hot:
                     one = np.repeat(at, n) + _ramp(n)
-                    h = window_hash(w.hash, window), window_hash(mix(w.hash ^ U(0xA5A5A5A5)), window)
+                    h = [window_hash(x, window) for x in _two_hashes(w.hash)]
                     yield _batch(w1=h[0][one].view(np.int64), w2=h[1][one].view(np.int64), doc_id=np.repeat(idn, n), start=(np.repeat(start, n) + _ramp(n)).astype(np.int32))
                 else:
                     a, z = w.start[at], w.end[at + n + window - 2]
@@ -160,7 +171,7 @@ def _counting(window: int) -> Task:
             w = Words(t.column("packed").combine_chunks().cast(pa.large_binary()).view(pa.large_string()), NON_SPACE, lower=False)
             one = np.flatnonzero(fits(w.first, len(w.hash), window))
             row = w.doc_of(one)
-            h1, h2 = window_hash(w.hash, window)[one], window_hash(mix(w.hash ^ U(0xA5A5A5A5)), window)[one]
+            h1, h2 = (window_hash(x, window)[one] for x in _two_hashes(w.hash))
             order = np.lexsort((doc[row], h2, h1))
             new = starts(h1[order], h2[order])
             least = np.empty(len(order), np.int64)
@@ -204,8 +215,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = rows.where("doc_id is not null")
-    places = known.mapInArrow(_placing(window, gram), "kind int, key bigint, doc_id bigint, digest bigint, start int, n int")
-    shared = ws.table(places.repartition("kind", "key").sortWithinPartitions("kind", "key", "doc_id").mapInArrow(_sharing(hot), "doc_id bigint, kind int, key bigint, start int, n int"))
+    places = known.mapInArrow(_placing(window, gram), "kind int, key bigint, s1 bigint, s2 bigint, doc_id bigint, start int, n int")
+    shared = ws.table(places.repartition("kind", "key").sortWithinPartitions("kind", "key", "s1", "s2", "doc_id").mapInArrow(_sharing(hot), "doc_id bigint, kind int, key bigint, start int, n int"))
     by_doc = shared.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("places"))
     texts = known.join(by_doc, "doc_id").select("doc_id", "text", "places")
     packed = texts.mapInArrow(_packing(False, window), "key bigint, doc_id bigint, start int, packed binary")
@@ -214,7 +225,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HO
     wins = known.join(hot_docs, "doc_id").select("doc_id", "text", "places").mapInArrow(_packing(True, window), "w1 bigint, w2 bigint, doc_id bigint, start int")
     least = wins.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     again = wins.join(least.drop("most"), ["w1", "w2"]).where("doc_id > least").select("doc_id", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    copies = shared.where("kind = 0").select("doc_id", F.lit(0).alias("a"), F.lit(WHOLE).alias("b"))
+    copies = shared.where("kind = 0").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
     gone = ws.table(spans.unionByName(again).unionByName(copies))
     by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     both = rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")

@@ -169,12 +169,16 @@ class HashSet:
 
 def window_hash(h: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n consecutive entries, at their first, from one cumulative sum: for long windows."""
-    size = len(h)
-    q, inverse = _word_powers(size + 1)
-    total = np.zeros(size + 1, np.uint64)
-    np.cumsum(h * q[:size], out=total[1:])
-    end = np.minimum(np.arange(size) + n, size)
-    return mix((total[end] - total[:-1]) * inverse[:size] + U(n))
+    start = np.arange(len(h))
+    return span_hash(h, start, np.minimum(start + n, len(h)), n)
+
+
+def span_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray, n: int | None = None) -> np.ndarray:
+    """Hashes of the entries from each start to its end; of n entries each, or of any number."""
+    q, inverse = _word_powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * q[: len(h)], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (U(n) if n is not None else (end - start).astype(np.uint64)))
 
 
 _for_words: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
