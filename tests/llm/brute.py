@@ -71,7 +71,7 @@ def op5(docs: list[tuple], items: list[tuple]) -> dict:
     for item, text in items:
         w = WORDY.findall((text or "").translate(LOWER))
         for j in range(max(1, len(w) - 9) if w else 0):
-            windows.setdefault(tuple(w[j : j + 10]), set()).add(str(item))
+            windows.setdefault(tuple(w[j : j + 10]), set()).update([] if item is None else [str(item)])
     sizes = sorted({len(x) for x in windows})
     out = {}
     for i, text in docs:

@@ -12,8 +12,10 @@ with a number for each row, and scanned once a block, one block after the other;
 spans are merged by these numbers, so every row stays a row whatever its id.
 
 Nulls and empty texts have no words: null or empty documents are clean, null or
-empty items have no windows. Repeated item ids count once in `items`. Empty
-tables give empty or clean results; extra columns are kept by `remove`.
+empty items have no windows. An item of null id marks words, but is not among
+`items`; repeated item ids count once there. Repeated documents, and those of
+null id, are scanned each. Empty tables give empty or clean results; extra columns
+are kept by `remove`.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.llm.text import ALNUM, HashSet, Words, chunks, fits, rolling
-from voltrail.llm.workspace import Workspace
+from voltrail.llm.workspace import Workspace, column, free_name
 
 N = 10
 BLOCK_WINDOWS = 1_000_000
@@ -55,7 +57,7 @@ class Windows:
                 key = size, int(rolling(w.hash[at : at + size], size)[0])
                 text = b" ".join(raw[w.start[j] : w.end[j]] for j in range(at, at + size))
                 holders = self.words.setdefault(key, {}).setdefault(text, [])
-                if not holders or holders[-1] != item:
+                if item is not None and (not holders or holders[-1] != item):
                     holders.append(item)
         by_size: dict[int, list[int]] = {}
         for size, h in self.words:
@@ -72,7 +74,7 @@ class Windows:
                 if raw is None:
                     raw = w.bytes.tobytes().translate(_LOWER)
                 text = b" ".join(raw[w.start[j] : w.end[j]] for j in range(i, i + size))
-                if holders := self.words[size, int(known.values[k])].get(text):
+                if (holders := self.words[size, int(known.values[k])].get(text)) is not None:
                     yield i, size, holders
 
 
@@ -124,7 +126,7 @@ def _pieces(text: str, n: int, limit: int) -> Iterator[tuple[int, str]]:
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: int) -> Iterator[list[tuple[str, str]]]:
     """Items in blocks that hold at most `limit` words, read one partition at a time; at least one block."""
-    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull())
     block, held = [], 0
     for item, text in rows.toLocalIterator():
         for size, part in _pieces(text, n, limit):
@@ -136,20 +138,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, limit: i
     yield block
 
 
-def _row_column(docs: DataFrame) -> str:
-    name = "row"
-    while name.lower() in map(str.lower, docs.columns):
-        name += "_"
-    return name
-
-
 def _each_block(rows: DataFrame, first: list[tuple[str, str]], others: Iterator[list[tuple[str, str]]], n: int, ws: Workspace, row: str, text_col: str) -> Iterator[DataFrame]:
     """row, n_words, spans, items of `rows` for each block, written before the next one is made; of the first all rows, then those with hits."""
     sc = rows.sparkSession.sparkContext
     for k, items in enumerate(chain([first], others)):
         known = sc.broadcast(Windows(items, n))
         found = rows.select(F.col(row).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_scanning(known), SCANNED)
-        yield ws.table(found.where("size(items) > 0") if k else found).withColumnRenamed("doc_id", row)
+        yield ws.table(found.where("size(spans) > 0") if k else found).withColumnRenamed("doc_id", row)
         known.destroy()
 
 
@@ -204,7 +199,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, n: int = N, block_windows: int
     if second is None:
         known = docs.sparkSession.sparkContext.broadcast(Windows(first, n))
         return docs.mapInArrow(_removing(known, docs.columns.index(text_col)), docs.schema)
-    ws, row = Workspace(docs.sparkSession), _row_column(docs)
+    ws, row = Workspace(docs.sparkSession), free_name("row", docs.columns)
     rows = ws.table(docs.withColumn(row, F.monotonically_increasing_id()))
     every = reduce(DataFrame.unionByName, _each_block(rows, first, chain([second], blocks), n, ws, row, text_col))
-    return rows.join(every.where("size(items) > 0").select(row).distinct(), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(every.where("size(spans) > 0").select(row).distinct(), row, "left_anti").select(*map(column, docs.columns))

@@ -11,8 +11,9 @@ A filter's answer is a sum of one weight for each byte and place, so a filter
 bank of width 2 is a table over pairs of classes, and wider ones are sums of
 those: scoring is a few table look-ups for each byte.
 
-The network is fitted on at most about `max_train` labelled rows, drawn by hash,
-with windows from all over each text; every text is scored whole.
+The network is fitted on about `max_train` labelled rows, dealt evenly over all
+languages (LEAST_ROWS of each at least, where it has them) and drawn by hash, with
+at most `windows` windows from all over each text; every text is scored whole.
 
 A null text, or one without a letter, gets `und` with score 0. Null languages
 are never learned from; without any labelled row every text is `und`. A null id
@@ -37,7 +38,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 MAX_TRAIN = 4_000
 WINDOWS_PER_TEXT = 3
-MAX_LANGUAGES = 200  # languages learned, the most frequent first; others are not predicted
+LEAST_ROWS = 20  # learned of each language, however many languages there are
 EPOCHS = 6
 UNKNOWN = "und"
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
@@ -164,42 +165,46 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
     return net
 
 
-def _sampling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Some windows of each text: the first, and others spread over it."""
-    for b in batches:
-        langs, packed = [], []
-        for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
-            x, letters = windows_of(np.frombuffer(text.as_buffer(), np.uint8))
-            full = np.flatnonzero(letters > 0)
-            if len(full):
-                for i in sorted({int(full[k * (len(full) - 1) // max(1, WINDOWS_PER_TEXT - 1)]) for k in range(WINDOWS_PER_TEXT)}):
-                    langs.append(lang)
-                    packed.append(x[i].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "x"])
+def _sampling(windows: int) -> Task:
+    """Windows of each text: the first, and others spread over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, packed = [], []
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text")):
+                x, letters = windows_of(np.frombuffer(text.as_buffer(), np.uint8))
+                full = np.flatnonzero(letters > 0)
+                if len(full):
+                    for i in sorted({int(full[k * (len(full) - 1) // max(1, windows - 1)]) for k in range(windows)}):
+                        langs.append(lang)
+                        packed.append(x[i].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(packed, pa.binary())], names=["lang", "x"])
+
+    return run
 
 
 def _learned(id_col: str) -> F.Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)) != 2
 
 
-def fit(docs: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
+def fit(docs: DataFrame, max_train: int = MAX_TRAIN, windows: int = WINDOWS_PER_TEXT, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Learns from rows outside the held-out fold; None if there are none."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & _learned(id_col))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
     # about as many rows of each language, so that a rare one is learned too
-    each = max_train / len(sizes)
-    pairs = [x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(min(1.0, each / n)))]
-    part = F.try_element_at(F.create_map(*pairs), F.col(lang_col))
-    drawn = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1 << 30)) < part * (1 << 30))
-    got = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("o"))
-    got = got.select("lang", "text").mapInArrow(_sampling, "lang string, x binary").orderBy("lang", "x").toArrow()
+    each = max(LEAST_ROWS, max_train / len(sizes))
+    part = docs.sparkSession.createDataFrame([(lang, min(1.0, each / n)) for lang, n in sorted(sizes.items())], "lang string, part double")
+    drawn = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.col(id_col), F.lit("lang")), F.lit(1 << 30)).alias("o"))
+    drawn = drawn.join(F.broadcast(part), "lang").where(F.col("o") < F.col("part") * (1 << 30))  # a row for each language
+    got = drawn.select("lang", "text").mapInArrow(_sampling(windows), "lang string, x binary").orderBy("lang", "x").toArrow()
     if not got.num_rows:
         return None
-    languages = sorted(sizes)
+    languages = sorted(set(got.column("lang").to_pylist()))
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.uint8).reshape(-1, WINDOW)
-    y = np.array([languages.index(v) for v in got.column("lang").to_pylist()])
+    place = {v: k for k, v in enumerate(languages)}
+    y = np.array([place[v] for v in got.column("lang").to_pylist()])
     return train(x, y, languages)
 
 

@@ -5,12 +5,17 @@ at `cap` times its own size, the excess going to the others by weight until none
 is above. That fixed point has a closed form: with sources in order of
 cap*size/weight, a source is stopped exactly when its ratio is at most the level
 that the sources from it onwards would share. A source's rate is target / size;
-each document is emitted floor(rate) times plus one copy when a hash of its id,
-read as a number in [0, 1), is below the fraction.
+each document is emitted floor(rate) times plus one copy when a hash of its id and
+text, read as a number in [0, 1), is below the fraction.
 
-Nulls: a null text has size 0; a null source is a source of its own, the last.
-Sources of size 0 get target 0. Repeated rows are separate documents. Extra
-columns stay, whatever their names, where `emit` returns rows.
+Texts are read once for the sizes and draws, which are written; rates and results
+come from that table.
+
+Nulls: a null text has size 0; a null source is a source of its own, the last; null
+ids draw by their texts. Sources of size 0 get target 0. Rows of one id with different
+texts draw on their own; rows equal in both are separate documents that draw alike.
+Empty tables give empty results. Extra columns stay, whatever their names, where
+`emit` returns rows.
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltrail.llm.workspace import Workspace, column
+
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3.0
 #: Sources up to which the rates are broadcast; more of them are joined by shuffle.
@@ -52,31 +59,41 @@ def rates(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = C
     return per.select("source", "source_size", "target", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)).alias("rate"))
 
 
-def copies(rate: F.Column, key: F.Column, seed: str = "mix") -> F.Column:
-    """floor(rate) copies and one more with probability of the fraction, decided by the key's hash."""
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), key.cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def draw(key: F.Column, text: F.Column, seed: str = "mix") -> F.Column:
+    """A number in [0, 1) from the key (null: none) and the text (null: empty)."""
+    told = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit(""))))
+    return F.conv(F.substring(F.md5(told), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def copies(rate: F.Column, u: F.Column) -> F.Column:
+    """floor(rate) copies and one more with probability of the fraction, decided by u."""
     whole = F.floor(rate)
     return (whole + F.when(u < rate - whole, 1).otherwise(0)).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_row: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken; with_row: also the document as the struct `row`."""
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_column(F.col(text_col)).alias("size"),
-        *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if with_row else []),
-    )
-    rate = rates(rows.select("source", "size"), weights, cap)
-    few = len(rate.select(F.lit(1)).limit(BROADCAST_SOURCES + 1).collect()) <= BROADCAST_SOURCES
-    rate = rate.withColumnRenamed("source", "of")
+def _rated(rows: DataFrame, rate: DataFrame, source: str, of: str) -> DataFrame:
+    """`rows` with their source's rate."""
+    rate = rate.withColumnRenamed("source", of)
+    few = rate.count() <= BROADCAST_SOURCES
     # beyond the bound the join shuffles by source, and adaptive execution splits a hot source
-    both = rows.join(F.broadcast(rate) if few else rate, rows["source"].eqNullSafe(rate["of"]))
-    n = copies(F.col("rate"), F.col("doc_id"))
-    out = both.withColumn("copies", n).withColumn("taken", F.col("size") * F.col("copies"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", "taken", *(["row"] if with_row else []))
+    return rows.join(F.broadcast(rate) if few else rate, rows[source].eqNullSafe(rate[of]))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, copies, taken."""
+    ws, text = Workspace(docs.sparkSession), column(text_col)
+    rows = ws.table(docs.select(column(id_col).alias("doc_id"), column(source_col).alias("source"), size_column(text).alias("size"), draw(column(id_col), text).alias("u")))
+    both = _rated(rows, ws.table(rates(rows.select("source", "size"), weights, cap)), "source", "of")
+    out = both.withColumn("copies", copies(F.col("rate"), F.col("u"))).withColumn("taken", F.col("size") * F.col("copies"))
+    return out.select("doc_id", "size", "source_size", "target", "copies", "taken")
 
 
-def emit(docs: DataFrame, **options: object) -> DataFrame:
+def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixed corpus: every document as many times as its source's rate says, columns unchanged."""
-    mixed = mix(docs, with_row=True, **options).filter("copies > 0")
-    times = mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    ws, text = Workspace(docs.sparkSession), column(text_col)
+    per = docs.select(column(source_col).alias("source"), size_column(text).alias("size")).groupBy("source").agg(F.sum("size").alias("size"))
+    rate = ws.table(rates(per, weights, cap).select("source", "rate"))
+    rows = docs.select(F.struct(*map(column, docs.columns)).alias("row"), column(source_col).alias("source"), draw(column(id_col), text).alias("u"))
+    n = copies(F.col("rate"), F.col("u"))
+    times = _rated(rows, rate, "source", "of").where(n > 0).select("row", F.explode(F.sequence(F.lit(1).cast("long"), n)).alias("copy"))
     return times.select("row.*")

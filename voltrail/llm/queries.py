@@ -58,7 +58,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = rf"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WS}')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WS}')), 0) AS BIGINT) AS size,
+    CAST(('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -74,7 +76,7 @@ WITH sized AS (
 ), rated AS (
   SELECT *, CASE WHEN source_size = 0 THEN 0.0::DOUBLE ELSE target / source_size END AS rate FROM shared
 ), drawn AS (
-  SELECT doc_id, size, source_size, target, rate, CAST(('0x' || substr(md5('mix:' || doc_id::VARCHAR), 1, 13)) AS BIGINT)::DOUBLE / 4503599627370496.0 AS u
+  SELECT doc_id, size, source_size, target, rate, u
   FROM sized JOIN rated ON sized.source IS NOT DISTINCT FROM rated.source
 )
 SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies,
@@ -101,7 +103,7 @@ WITH d AS (
 ), hit AS (
   SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS k FROM found) GROUP BY 1
 ), items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1
+  SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS t FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1
 )
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

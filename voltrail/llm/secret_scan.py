@@ -30,6 +30,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltrail.llm.workspace import column, free_name
+
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns. Runs are greedy, so a least length in the pattern finds the same spans.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -177,9 +179,7 @@ def digest(scanned: DataFrame, id_col: str = "doc_id", spans_col: str = "secrets
 
 def mask(docs: DataFrame, table: list[float], by: str = "[SECRET]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every span of a secret replaced; other columns as they were."""
-    spans_col = "secrets"
-    while spans_col in docs.columns:
-        spans_col += "_"
+    spans_col = free_name("secrets", docs.columns)
     found = scan(docs, table, text_col=text_col, spans_col=spans_col)
     text, spans = F.col(text_col), F.col(spans_col)
     # spans of different kinds may overlap: what starts before an earlier span's end adds nothing of its own
@@ -192,4 +192,4 @@ def mask(docs: DataFrame, table: list[float], by: str = "[SECRET]", text_col: st
     out = found.withColumn(text_col, masked)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.when(F.size(spans_col) > 0, F.char_length(text_col).cast(docs.schema[length_col].dataType)).otherwise(F.col(length_col)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.select(*map(column, docs.columns))

@@ -4,18 +4,22 @@ Terms (whole words and word prefixes of several lengths) that labelled toxic
 documents hold more often than others make the lexicons and patterns. Dealt into
 lists, each list is a voter: it votes toxic on a document with one of its terms,
 and abstains otherwise. Further voters judge how many and how dense the terms
-are, and vote clean where there are none. The annotators' labels, where a row may
-be learned from, are one more voter, right most of the time.
-
-The label model gives each voter its chances of each vote on toxic and on clean
-documents. It is fitted by expectation and maximisation over counts of vote
-patterns from all documents; the correlations left between voters of one class
-discount the weights of those that say the same. Its posteriors, not the labels,
-are the targets of a logistic regression over the terms, which scores every
+are, and vote clean where there are none. With `annotators`, their labels, where a
+row may be learned from, are one more voter.
+
+The label model gives each voter, the annotators too, its chances of each vote on
+toxic and on clean documents. It is fitted by expectation and maximisation over
+counts of vote patterns from all documents; the correlations of votes left between
+voters inside each class discount the weights of those that say the same. Its
+posteriors, not the labels, are the targets of a logistic regression over the
+terms, trained on labelled and on as many unlabelled rows, which scores every
 document on its whole text.
 
-Terms and classifier are fitted on at most about `max_labelled` labelled rows,
-drawn by hash; votes and label model cover every document.
+Bounds, all parameters: terms are mined from at most about `max_labelled` labelled
+rows, drawn by hash, the classifier is trained on those and at most about
+`max_unlabelled` others outside the held-out fold; the lexicon has the best
+`max_terms` of the `max_candidates` terms that most toxic rows of the sample hold.
+Votes and label model cover every document.
 
 Nulls and empty texts have no terms and get the score of such a text. Repeated
 rows are scored each; of repeated labels of one id the largest holds. Without
@@ -40,13 +44,14 @@ from voltrail.llm.workspace import Workspace
 
 LENGTHS = (0, 3, 4, 5, 6, 8)  # bytes of a prefix; 0: the whole word
 MAX_LABELLED = 12_000
+MAX_UNLABELLED = 12_000
 MAX_CANDIDATES = 60_000
 MAX_TERMS = 600
 LEAST_TOXIC = 3
 LEAST_GAIN = 12.0
 PURE = 40.0  # times as frequent in toxic documents as in others
 LISTS = 3  # voters of each length
-ANNOTATOR = 0.995
+ANNOTATOR = 0.95  # where the annotators' reliability starts; it is estimated
 ROUNDS = 12
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -143,7 +148,7 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = np.append(rolling(w.hash, 3), U(0))
             first, last = w.first[:-1], w.first[1:]
             least = [int(h[a : max(a + 1, z - 2)].min().astype(np.int64)) if z > a else 0 for a, z in zip(first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in ("toxic", "text")), pa.array(least, pa.int64())], names=["toxic", "text", "signature"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in ("doc_id", "toxic", "text")), pa.array(least, pa.int64())], names=["doc_id", "toxic", "text", "signature"])
 
 
 def _clean_counts(lexicon: Lexicon) -> Task:
@@ -161,14 +166,14 @@ def _clean_counts(lexicon: Lexicon) -> Task:
     return run
 
 
-def mine(labelled: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon | None:
+def mine(labelled: DataFrame, max_terms: int = MAX_TERMS, max_candidates: int = MAX_CANDIDATES) -> Lexicon | None:
     """Terms of toxic documents from rows of (toxic, text); None without documents of both classes."""
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
     toxic = labelled.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term bigint, kind int")
     toxic = toxic.groupBy("term", "kind").count().where(F.col("count") >= LEAST_TOXIC)
-    rows = toxic.orderBy(F.desc("count"), "term").limit(MAX_CANDIDATES).collect()
+    rows = toxic.orderBy(F.desc("count"), "term").limit(max_candidates).collect()
     if not rows:
         return None
     h = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
@@ -244,12 +249,10 @@ class LabelModel:
         alike = np.zeros((N_VOTERS, N_VOTERS))
         for y, part in enumerate(np.split(total, 2)):
             size, votes, pairs = part[0], part[1 : 1 + 3 * N_VOTERS].reshape(3, -1), part[1 + 3 * N_VOTERS :].reshape(N_VOTERS, -1)
-            chance = (votes.T + [0.5, 0.05, 0.05]) / (size + 0.6)
-            chance[-1] = self.chance[y, -1]  # the annotators' reliability is given
-            self.chance[y] = chance
+            self.chance[y] = (votes.T + [0.5, 0.05, 0.05]) / (size + 0.6)
             rate = votes[TOXIC] / max(size, 1e-9)
             spread = np.sqrt(rate * (1 - rate)) + 1e-6
-            alike = np.maximum(alike, (pairs / max(size, 1e-9) - np.outer(rate, rate)) / np.outer(spread, spread) * (y == 1))
+            alike = np.maximum(alike, (pairs / max(size, 1e-9) - np.outer(rate, rate)) / np.outer(spread, spread))
         np.fill_diagonal(alike, 0)
         self.share = 1 / (1 + np.clip(alike, 0, 1).sum(1))
         self.share[-1] = 1
@@ -333,7 +336,7 @@ class Model:
     features: DataFrame | None = None
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, max_terms: int = MAX_TERMS, max_candidates: int = MAX_CANDIDATES, annotators: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the rows of `labels` outside the held-out fold; `docs` may be other documents than the ones to score."""
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -344,21 +347,27 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     part = min(1.0, max_labelled / max(1, total["n"]))
     # about max_labelled small rows, so that they can be broadcast whatever the corpus
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) < F.lit(part) * (1 << 30))
-    labelled = rows.join(F.broadcast(drawn), "doc_id").select("toxic", "text").mapInArrow(_signing, "toxic int, text string, signature bigint")
-    # one of near copies is enough: else the words of a much copied document look toxic
-    lexicon = mine(ws.table(labelled.dropDuplicates(["toxic", "signature"])))
+    labelled = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_signing, "doc_id bigint, toxic int, text string, signature bigint")
+    # of near copies the first is enough: else the words of a much copied document look toxic
+    labelled = labelled.groupBy("toxic", "signature").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("toxic", "x.text")
+    lexicon = mine(ws.table(labelled), max_terms, max_candidates)
     if lexicon is None:
         return Model(None, None, share)
 
     features = ws.table(rows.mapInArrow(_feature_batches(lexicon), _FEATURES))
-    said = F.when(F.col("toxic") == 1, TOXIC).when(F.col("toxic") == 0, CLEAN).otherwise(ABSTAIN)
+    said = F.when(F.col("toxic") == 1, TOXIC).when(F.col("toxic") == 0, CLEAN).otherwise(ABSTAIN) if annotators else F.lit(ABSTAIN)
     patterns = features.select("doc_id", "votes").join(known, "doc_id", "left").groupBy("votes", said.cast("int").alias("label")).agg(F.count("*").alias("n"))
     model = fit_label_model(ws.table(patterns), min(max(share, 0.005), 0.5))
 
-    taught = features.join(F.broadcast(drawn), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    # labelled rows and others of the learning folds, both of bounded number, with the label model's posteriors as targets
+    others = features.where(_learned()).join(known, "doc_id", "left_anti")
+    part = min(1.0, max_unlabelled / max(1, others.count()))
+    others = others.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < F.lit(part) * (1 << 30))
+    taught = features.join(F.broadcast(drawn), "doc_id").withColumn("label", said.cast("int")).drop("toxic").unionByName(others.withColumn("label", F.lit(ABSTAIN)))
+    taught = taught.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
     got = [(b, dense_features(lexicon, *_hits(b), b.column("n_words").to_numpy())) for b in taught.combine_chunks().to_batches()]
     x = np.concatenate([g[1] for g in got])
-    target = np.concatenate([model.posterior(_unpacked(b.column("votes"), np.where(b.column("toxic").to_numpy() == 1, TOXIC, CLEAN))) for b, _ in got])
+    target = np.concatenate([model.posterior(_unpacked(b.column("votes"), b.column("label").to_numpy())) for b, _ in got])
     return Model(lexicon, fit_classifier(x, target), share, features)
 
 

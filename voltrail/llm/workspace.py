@@ -5,13 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The folder of spark.checkpoint.dir; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and sc.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not named:
         named = "file://" + tempfile.mkdtemp(prefix="voltrail-")
         sc.setCheckpointDir(named)
@@ -44,4 +47,18 @@ class Workspace:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; one of fewer files than there are cores is dealt over the cores."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def column(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, or one like it that no column has, in any case of letters."""
+    while name.lower() in (x.lower() for x in taken):
+        name += "_"
+    return name
