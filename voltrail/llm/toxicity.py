@@ -12,7 +12,7 @@ toxic and on clean documents. It is fitted by expectation and maximisation over
 counts of vote patterns from all documents; the correlations of votes left between
 voters inside each class discount the weights of those that say the same. Its
 posteriors, not the labels, are the targets of a logistic regression over the
-terms, trained on labelled and on as many unlabelled rows, which scores every
+terms, trained on labelled and on unlabelled rows, which scores every
 document on its whole text.
 
 Bounds, all parameters: terms are mined from at most about `max_labelled` labelled
@@ -44,7 +44,7 @@ from voltrail.llm.workspace import Workspace
 
 LENGTHS = (0, 3, 4, 5, 6, 8)  # bytes of a prefix; 0: the whole word
 MAX_LABELLED = 12_000
-MAX_UNLABELLED = 12_000
+MAX_UNLABELLED = 6_000
 MAX_CANDIDATES = 60_000
 MAX_TERMS = 600
 LEAST_TOXIC = 3
@@ -294,14 +294,15 @@ def fit_label_model(patterns: DataFrame, prior: float, rounds: int = ROUNDS) ->
 
 
 def fit_classifier(x: np.ndarray, target: np.ndarray, penalty: float = 2e-4, steps: int = 400) -> np.ndarray:
-    """Logistic regression on soft targets, by accelerated gradient steps."""
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
+    """Logistic regression on soft targets, by accelerated gradient steps; in x's precision, so that no step copies it."""
+    w, m, v = (np.zeros(x.shape[1], x.dtype) for _ in range(3))
+    target = target.astype(x.dtype)
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - target) / len(x) + penalty * w * (np.arange(len(w)) > 0)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.1 * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    return w
+    return w.astype(np.float64)
 
 
 def _scoring(lexicon: Lexicon, weights: np.ndarray) -> Task:
@@ -365,9 +366,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     others = others.where(F.pmod(F.xxhash64("doc_id", F.lit("unlabelled")), F.lit(1 << 30)) < F.lit(part) * (1 << 30))
     taught = features.join(F.broadcast(drawn), "doc_id").withColumn("label", said.cast("int")).drop("toxic").unionByName(others.withColumn("label", F.lit(ABSTAIN)))
     taught = taught.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
-    got = [(b, dense_features(lexicon, *_hits(b), b.column("n_words").to_numpy())) for b in taught.combine_chunks().to_batches()]
-    x = np.concatenate([g[1] for g in got])
-    target = np.concatenate([model.posterior(_unpacked(b.column("votes"), b.column("label").to_numpy())) for b, _ in got])
+    x, target = np.empty((taught.num_rows, 5 + len(lexicon.hashes)), np.float32), np.empty(taught.num_rows)
+    lo = 0
+    for b in taught.to_batches(max_chunksize=1_000):
+        hi = lo + b.num_rows
+        x[lo:hi] = dense_features(lexicon, *_hits(b), b.column("n_words").to_numpy())
+        target[lo:hi] = model.posterior(_unpacked(b.column("votes"), b.column("label").to_numpy()))
+        lo = hi
     return Model(lexicon, fit_classifier(x, target), share, features)
 
 
