@@ -16,7 +16,7 @@ def ordinary(texts):
     for t in texts:
         w = [x for x in re.split("[^A-Za-z]+", BASE.sub(" ", t or "")) if x]
         up = lambda x: x[:1].upper() + x[1:]
-        for x in w + [f"{a}_{b}-{a.lower()}/{up(b)}{up(a)}={b.upper()}_{a.upper()}" for a, b in zip(w, w[1:])]:
+        for x in w + [f"{a}_{b}-{a.lower()}/{up(b)}{up(a)}={b.upper()}_{a.upper()}" for a, b in zip(w, w)]:
             out.update(map("".join, zip(x, x[1:])))
     return out
 

@@ -8,10 +8,9 @@ that are likelier random by `margin` nats are secrets of the kind `markov`.
 
 The models are trained from labelled samples (text, is_random, n times). `samples`
 makes them from a whole corpus: the values of base matches and digests of numbers
-are random; words, alone and joined as identifiers are, are ordinary. Words are
-counted first, each with the capital of the word before it; what joining adds to the
-character pairs follows from these counts, so only distinct words are spelled out.
-The counts of character pairs fit one small table whatever the corpus.
+are random; words, alone and joined with themselves as identifiers are, are
+ordinary. Words are counted first, so only different ones are spelled out. The
+counts of character pairs fit one small table whatever the corpus.
 
 Places come from lengths: the pieces between matches (split) and the matches
 (regexp_extract_all) alternate, so running sums of their lengths are the spans,
@@ -86,7 +85,7 @@ def _pairs(text: Column) -> Column:
 
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """text, is_random, n: labelled samples from all documents of a corpus and from digests; n is negative for what others count too much."""
+    """text, is_random, n: labelled samples from all documents of a corpus and from digests."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     digest = spark.range(SAMPLE_DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
@@ -99,20 +98,13 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _identifiers(texts: DataFrame) -> DataFrame:
-    """text, is_random, n: the character pairs of all words, and of all neighbours a, b joined to a_b-a/BA=B_A in various cases."""
+    """text, is_random, n: each different word of all documents, alone and joined with itself as identifiers are."""
     words = F.array_remove(F.split(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), "[^A-Za-z]+"), "")
-    each = texts.select(words.alias("word"), F.concat(F.array(F.lit("")), words).alias("before")).select(F.arrays_zip("word", "before").alias("x")).select(F.explode("x").alias("x")).select("x.word", "x.before")
-    # one more row for each document: no word, and its last word before
-    last = F.col("word").isNull()
-    word, before = F.coalesce("word", "before"), F.when(last, ".").otherwise(F.upper(F.substring("before", 1, 1)))
-    counts = each.select(word.alias("word"), before.alias("before")).where("word <> ''").groupBy("word", "before").agg(F.count("*").alias("n"))
-    w, first = F.col("word"), F.upper(F.substring("word", 1, 1))
-    capital = F.concat(first, F.substring("word", 2, 1 << 30))
-    # every word but a document's last is an a, every word but its first a b
-    as_a = F.array(F.concat(w, F.lit("_")), F.concat(F.lit("-"), F.lower(w), F.lit("/")), F.concat(capital, F.lit("=")), F.concat(F.lit("_"), F.upper(w)))
-    as_b = F.array(F.concat(F.lit("_"), w, F.lit("-")), F.concat(F.lit("/"), capital), F.concat(F.lit("="), F.upper(w), F.lit("_")), F.concat(F.substring(capital, -1, 1), F.col("before")))
-    told = F.when(F.col("before") == ".", as_a).when(F.col("before") == "", F.concat(F.array(w), as_a)).otherwise(F.concat(F.array(w), as_a, as_b))
-    return counts.select(F.explode(told).alias("text"), F.lit(False).alias("is_random"), F.when(F.col("before") == ".", -F.col("n")).otherwise(F.col("n")).alias("n"))
+    counts = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    w, lower, upper = F.col("word"), F.lower("word"), F.upper("word")
+    capital = F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1 << 30))
+    joined = F.concat(w, F.lit("_"), w, F.lit("-"), lower, F.lit("/"), capital, capital, F.lit("="), upper, F.lit("_"), upper)
+    return counts.select(F.explode(F.array(w, joined)).alias("text"), F.lit(False).alias("is_random"), "n")
 
 
 def train(labelled: DataFrame) -> list[float]:
