@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
-from voltrail.operators import clean, history, metrics, places, quality, segments, selection, sequences, windows
+from voltrail.operators import clean, history, metrics, models, places, quality, segments, selection, sequences, windows
+from voltrail.operators import rows as R
 from voltrail.sources import files, reference
 from voltrail.streaming import gaps
 
@@ -122,7 +123,7 @@ def test_labels_as_by_loop(spark, min_rows, full_stop):
     rows = [(t, START + dt.timedelta(minutes=i), i, f) for t, fs in trips.items() for i, f in enumerate(fs)]
     df = spark.createDataFrame(rows, "trip_id string, timestamp timestamp, src_row_id long, stop_flag int").repartition(5)
     got: dict = {}
-    for x in segments.label_segments(df, min_rows, full_stop, most_segments=30).orderBy("trip_id", "row_no").collect():
+    for x in segments.label_segments(df, min_rows, full_stop).orderBy("trip_id", "row_no").collect():
         got.setdefault(x["trip_id"], []).append(x["seg_label"])
     assert got == {t: by_loop(fs, min_rows, full_stop) for t, fs in trips.items()}
 
@@ -226,3 +227,57 @@ def test_sessions_over_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["rows"] for r in spark.table("sessions").collect()) == [2, 3]
+
+
+def test_parted_is_the_same_draw_everywhere():
+    # fixed values: seed 42
+    assert segments.parted(5, 3) == [0, 4, 1]
+    assert segments.parted(9, 4) == [0, 0, 8, 1]
+
+
+def test_labels_of_a_long_block(spark):
+    n = 3 * 120 + 2  # more segments than any table of cuts would hold
+    df = spark.createDataFrame([("t", START + dt.timedelta(minutes=i), i, 0) for i in range(n)], "trip_id string, timestamp timestamp, src_row_id long, stop_flag int")
+    assert [x["seg_label"] for x in segments.label_segments(df, 3, 2).orderBy("row_no").collect()] == by_loop([0] * n, 3, 2)
+
+
+def test_others_by_hand(spark):
+    import statistics
+
+    value = [1e9, 1.0, 2.5, None, -3.0]
+    df = spark.createDataFrame([("t", k, v) for k, v in enumerate(value)] + [("alone", 0, 1.0)], "trip_id string, segment_id int, v double")
+    got = {x["segment_id"]: x for x in history.others(df, ["v"], ["v"], residual="v").collect()}
+    assert len(got) == len(value)
+    for k, x in got.items():
+        rest = [v for i, v in enumerate(value) if i != k and v is not None]
+        assert x["others_segment_count"] == 4
+        assert x["others_avg_v"] == pytest.approx(statistics.mean(rest)) and x["others_std_v"] == pytest.approx(statistics.stdev(rest))
+        assert x["others_total_v"] == pytest.approx(sum(rest)) and x["others_abs_avg_v"] == pytest.approx(statistics.mean(map(abs, rest)))
+
+
+def test_missing_columns_are_told(spark):
+    df = spark.createDataFrame([("t", "x")], "trip_id string, e string")
+    with pytest.raises(KeyError, match="timestamp"):
+        R.sorted_by_trip_time(df)
+    with pytest.raises(KeyError, match="gone"):
+        metrics.validated(df, ["gone"], ["e"])
+    assert metrics.validated(df, ["trip_id"], ["e"]).first()["e"] is None
+
+
+def test_splits(spark):
+    df = spark.createDataFrame([(t, i) for t in range(40) for i in range(3)], "trip_id long, src_row_id long")
+    sides = {(x["trip_id"], x["is_test"]) for x in selection.split_trips(df).collect()}
+    assert len(sides) == 40 and sum(t for _, t in sides) == 10
+    assert {x["is_test"] for x in selection.split_trips(df.where("trip_id = 1")).collect()} == {False}
+    assert sum(x["is_test"] for x in selection.split_trips(df.where("trip_id < 2")).collect()) == 3
+
+
+def test_importances_name_one_hot_values(spark):
+    rows = [(k, float(k % 7), float(k % 3), "ab"[k % 2], float(k % 7) + 10 * (k % 2)) for k in range(200)]
+    df = spark.createDataFrame(rows, "trip_id long, x double, y double, c string, t double")
+    fitted, table = models.fit_all(df, df, ["x", "y"], ["c"], "t", trees=5, rounds=3)
+    assert sorted(fitted) == ["boosted", "forest", "linear", "ridge"] and {r["failure"] for r in table.collect()} == {None}
+    for m in fitted.values():
+        names = [n for n, _ in models.importances(m, df)]
+        assert {"x", "y"} < set(names) and names[0] != "y"
+        assert any("_c_v" in n or n in "ab" for n in names)

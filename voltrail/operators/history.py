@@ -30,17 +30,26 @@ def own_columns(segments: DataFrame, columns: Sequence[str]) -> DataFrame:
 def others(segments: DataFrame, averages: Sequence[str], totals: Sequence[str] = (), residual: str | None = None) -> DataFrame:
     """Means and deviations of columns over the trip's other segments, totals, and how many there are.
 
-    A join of each trip's segments with one another: exact where one-pass sums would
-    cancel. Trips have tens of segments; the join is by trip, both sides partitioned alike.
+    Two running windows, the segments before and those after, are merged for each segment: linear in
+    a trip's length, and nothing is subtracted, so nothing cancels. Trips of one segment have no others.
     """
-    keep = list(dict.fromkeys([*averages, *totals, *([residual] if residual else [])]))
-    other = segments.select(R.TRIP, F.col("segment_id").alias("_o"), *(F.col(c).alias(f"_{c}") for c in keep))
-    both = segments.select(*KEYS).join(other, R.TRIP).where("segment_id <> _o")
-    return both.groupBy(*KEYS).agg(
-        *(F.avg(f"_{c}").alias(f"others_avg_{c}") for c in averages), *(F.stddev_samp(f"_{c}").alias(f"others_std_{c}") for c in averages),
-        *(F.coalesce(F.sum(f"_{c}"), F.lit(0)).alias(f"others_total_{c}") for c in totals),
-        *([F.avg(F.abs(F.col(f"_{residual}"))).alias(f"others_abs_avg_{residual}")] if residual else []), F.count("*").alias("others_segment_count"),
+    trip = Window.partitionBy(R.TRIP)
+    sides = [trip.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("segment_id").asc(), F.col("segment_id").desc())]
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+
+    def merged(c: Column) -> tuple[Column, Column]:
+        (n, m, v), (k, o, u) = ((F.count(c).over(w), F.avg(c).over(w), F.var_pop(c).over(w)) for w in sides)
+        mean = F.when(n + k > 0, (zero(m) * n + zero(o) * k) / (n + k))
+        squares = zero(v) * n + zero(u) * k + F.when((n > 0) & (k > 0), (m - o) * (m - o) * n * k / (n + k)).otherwise(0.0)
+        return mean, F.when(n + k > 1, F.sqrt(squares / (n + k - 1)))
+
+    both = {c: merged(F.col(c).cast("double")) for c in averages}
+    total = lambda c: sum((F.coalesce(F.sum(c).over(w), F.lit(0)) for w in sides), F.lit(0))
+    out = segments.select(
+        *KEYS, *(both[c][0].alias(f"others_avg_{c}") for c in averages), *(both[c][1].alias(f"others_std_{c}") for c in averages), *(total(c).alias(f"others_total_{c}") for c in totals),
+        *([merged(F.abs(F.col(residual)))[0].alias(f"others_abs_avg_{residual}")] if residual else []), (F.count("*").over(trip) - 1).alias("others_segment_count"),
     )
+    return out.where("others_segment_count > 0")
 
 
 def rates(totals: DataFrame, counters: Sequence[str] = COUNTERS) -> DataFrame:

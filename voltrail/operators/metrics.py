@@ -101,3 +101,15 @@ def predictions_possible(segments: DataFrame, least: int = 3) -> DataFrame:
     """Segments, and those whose trip has at least `least` others."""
     per = segments.groupBy(R.TRIP).count()
     return per.agg(F.sum("count").alias("segments"), F.coalesce(F.sum(F.when(F.col("count") - 1 >= least, F.col("count"))), F.lit(0)).alias("possible"))
+
+
+def validated(df: DataFrame, required: Sequence[str], errors: Sequence[str], outcome: str | None = None, optional: Sequence[str] = ()) -> DataFrame:
+    """`df` with its error columns (and the outcome) as numbers, null where they are none.
+
+    KeyError if a required or an error column is missing; a missing optional one doesn't matter.
+    """
+    missing = [c for c in [*required, *errors] if c not in df.columns]
+    if missing:
+        raise KeyError(f"missing columns: {missing}")
+    numbers = [*errors, *([outcome] if outcome in df.columns else []), *(c for c in optional if c in errors)]
+    return df.withColumns({c: F.col(c).try_cast("double") for c in dict.fromkeys(numbers)})

@@ -41,30 +41,33 @@ def pipeline(numbers: Sequence[str], texts: Sequence[str], regressor: object) ->
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), regressor])
 
 
-def fit_all(train: DataFrame, test: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, only: Sequence[str] = ()) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fits each candidate on the training rows that are whole, and measures it on the test rows. A failed fit gives a row of nulls."""
+def fit_all(train: DataFrame, test: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, only: Sequence[str] = (), **sizes: int) -> tuple[dict[str, PipelineModel], DataFrame]:
+    """Fits each candidate on the training rows that are whole, and measures it on the test rows. A failed fit gives a row of nulls and the reason."""
     used = [*numbers, *texts]
     train = train.dropna(subset=[*used, target]).cache()
     fitted, rows = {}, []
-    for name, regressor in regressors(train, target).items():
+    for name, regressor in regressors(train, target, **sizes).items():
         if only and name not in only:
             continue
         try:
             fitted[name] = pipeline(numbers, texts, regressor).fit(train)
             m = metrics.regression_metrics(fitted[name].transform(test.dropna(subset=used)), target, "prediction").first()
-            rows.append((name, m["mae"], m["rmse"], m["r2"], m["n"]))
+            rows.append((name, m["mae"], m["rmse"], m["r2"], m["n"], None))
         except Exception as e:  # one candidate's failure must not end the others
-            print(f"{name} could not be fitted: {e}")
-            rows.append((name, None, None, None, 0))
+            rows.append((name, None, None, None, 0, str(e)[:500]))
     train.unpersist()
-    return fitted, test.sparkSession.createDataFrame(rows, "model string, mae double, rmse double, r2 double, n long")
+    return fitted, test.sparkSession.createDataFrame(rows, "model string, mae double, rmse double, r2 double, n long, failure string")
 
 
-def importances(model: PipelineModel, names: Sequence[str]) -> list[tuple[str, float]]:
-    """Columns by importance or size of coefficient, largest first."""
+def importances(model: PipelineModel, rows: DataFrame) -> list[tuple[str, float]]:
+    """Inputs by importance or size of coefficient, largest first, named as the transformed `rows` tell; a one-hot text has one for each value."""
     last = model.stages[-1]
     values = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
-    return sorted(zip(names, values.tolist()), key=lambda x: (-x[1], x[0]))
+    kinds = model.transform(rows.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
+    names = {x["idx"]: x.get("name", f"features_{x['idx']}") for group in kinds.values() for x in group}
+    numbers = next((s.getInputCols() for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "_numbers"), [])
+    named = {f"_scaled_{k}": c for k, c in enumerate(numbers)}
+    return sorted(((named.get(names[k], names[k]), v) for k, v in enumerate(values.tolist())), key=lambda x: (-x[1], x[0]))
 
 
 def residual_model(segments: DataFrame, numbers: Sequence[str], texts: Sequence[str], residual: str, prediction: str, outcome: str, test: float = 0.25, only: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

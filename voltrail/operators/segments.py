@@ -2,14 +2,17 @@
 
 Labels of a row: a segment's number (from 1 in each trip), 0 drive outside a
 segment, -1 stop, -2 gap, -3 stop at a gap. All is windows over one partitioning
-by trip; the only table joined is the small one of the cuts of a block.
+by trip.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+from functools import lru_cache
 
-import pyarrow as pa
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,27 +62,34 @@ def parted(total: int, parts: int, seed: int = SEED) -> list[int]:
     return [b - a - 1 for a, b in zip(bars, bars[1:])]
 
 
-def cuts(df: DataFrame, most_segments: int, min_rows: int = MIN_ROWS, seed: int = SEED) -> DataFrame:
-    """rem, n, sidx, lo, hi: the cuts of a block of n * min_rows + rem driving rows, for every rem and n."""
-    out = []
-    for n in range(1, most_segments + 1):
-        for rem in range(min_rows):
-            at = 0
-            for k, extra in enumerate(parted(rem, n, seed)):
-                out.append((rem, n, k, at, at + min_rows + extra))
-                at += min_rows + extra
-    # an Arrow table becomes a local relation: no job runs to read it
-    return df.sparkSession.createDataFrame(pa.table({c: pa.array(v, pa.int32()) for c, v in zip(("rem", "n", "sidx", "lo", "hi"), zip(*out))}))
+@lru_cache(maxsize=1024)
+def segment_ends(n: int, rem: int, min_rows: int = MIN_ROWS, seed: int = SEED) -> np.ndarray:
+    """The last driving row (from 1) of each segment of a block of n * min_rows + rem driving rows."""
+    return np.cumsum([min_rows + extra for extra in parted(rem, n, seed)])
 
 
-def label_segments(df: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FULL_STOP, seed: int = SEED, most_segments: int = 60) -> DataFrame:
+def _segment_of(min_rows: int, seed: int) -> Callable[..., Column]:
+    """The segment (from 0) of a block's driving row, from the block's size in rows and the row's place; null if there is none."""
+
+    @F.pandas_udf("int")
+    def place(driving: pd.Series, order: pd.Series) -> pd.Series:
+        out = pd.array([pd.NA] * len(order), dtype="Int32")
+        size = driving.to_numpy(np.float64, na_value=np.nan)
+        for d in np.unique(size[size >= min_rows]):
+            at = np.flatnonzero(size == d)
+            out[at] = np.searchsorted(segment_ends(int(d) // min_rows, int(d) % min_rows, min_rows, seed), order.to_numpy()[at])
+        return pd.Series(out)
+
+    return place
+
+
+def label_segments(df: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FULL_STOP, seed: int = SEED) -> DataFrame:
     """Adds row_no and seg_label from stop_flag.
 
     Blocks lie between full stops (runs of at least `full_stop` stop rows), stops at
     gaps, and gaps; a gap row opens its block. A block's driving rows, up to its last
     drive row, make as many segments of `min_rows` as fit; what is left lengthens
-    them at random, the same way for all blocks of one size. Blocks of more than
-    `most_segments` segments have their cuts computed by equal shares instead.
+    them at random, the same way for all blocks of one size, whatever it is.
     """
     w, f = R.ordered(), F.col("stop_flag")
     d = df.withColumn("row_no", F.row_number().over(w))
@@ -91,12 +101,8 @@ def label_segments(df: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FUL
     d = d.withColumn("_last", F.max(F.when(f == 0, F.col("row_no"))).over(block))
     d = d.withColumn("_drv", F.coalesce(~F.col("_hard") & f.isin(0, GAP) & (F.col("row_no") <= F.col("_last")), F.lit(False)).cast("int"))
     d = d.withColumn("_d", F.sum("_drv").over(block)).withColumn("_ord", F.sum("_drv").over(block.orderBy("row_no")))
-    d = d.withColumn("_n", F.floor(F.col("_d") / min_rows).cast("int")).withColumn("_rem", (F.col("_d") % min_rows).cast("int"))
-    table = F.broadcast(cuts(df, most_segments, min_rows, seed))  # fixed size: min_rows * most_segments^2 / 2 rows
-    hit = (F.col("_drv") == 1) & (F.col("_n") == table["n"]) & (F.col("_rem") == table["rem"]) & (F.col("_ord") > table["lo"]) & (F.col("_ord") <= table["hi"])
-    d = d.join(table, hit, "left")
-    wide = F.least(F.col("_n") - 1, F.floor((F.col("_ord") - 1) * F.col("_n") / F.col("_d"))).cast("int")
-    d = d.withColumn("_s", F.when(F.col("_n") > most_segments, F.when(F.col("_drv") == 1, wide)).otherwise(F.col("sidx")))
+    # only drive rows are placed; the split is a seeded draw, which SQL functions can't make
+    d = d.withColumn("_s", _segment_of(min_rows, seed)(F.when(F.col("_drv") == 1, F.col("_d")), F.col("_ord")))
     key = F.when((f == 0) & F.col("_s").isNotNull(), F.struct(F.col("_isl").alias("i"), F.col("_s").alias("s")))
     d = d.withColumn("_key", key).withColumn("_in", F.col("_key").isNotNull())
     # segments are numbered where a new one begins, in order of rows
@@ -158,6 +164,19 @@ def stop_summary(df: DataFrame) -> DataFrame:
     return out.withColumns({"stop_pct": F.try_divide(100.0 * F.col("stops"), F.col("rows")), "stops_per_trip": F.try_divide(1.0 * F.col("stops"), F.col("trips"))})
 
 
+def gap_summary(df: DataFrame, gap: str = "is_start_after_gap") -> DataFrame:
+    """Of rows with gap labels: how many gaps, trips affected, and the new labels with their shares."""
+    f = F.col("stop_flag")
+    n = lambda c: F.sum(R.flag(c)).alias
+    any_gap = f.isin(GAP, STOP_AT_GAP)
+    out = df.agg(
+        F.count("*").alias("rows"), F.countDistinct(R.TRIP).alias("trips"), n(F.col(gap) == 1)("gaps"), F.countDistinct(F.when(any_gap, F.col(R.TRIP))).alias("trips_with_gap"),
+        n(f == GAP)("gap_only"), n(f == STOP_AT_GAP)("stop_at_gap"), n(f == STOP)("stops_left"), n(f.isin(STOP, STOP_AT_GAP))("stops_before"),
+    )
+    share = lambda a, b: F.try_divide(100.0 * F.col(a), F.col(b))
+    return out.withColumns({"trips_pct": share("trips_with_gap", "trips"), "gap_only_pct": share("gap_only", "rows"), "stop_at_gap_pct": share("stop_at_gap", "rows")})
+
+
 def label_summary(labelled: DataFrame) -> DataFrame:
     """How many rows have each kind of label."""
     n = lambda c: F.sum(R.flag(c)).alias

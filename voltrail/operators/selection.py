@@ -4,51 +4,52 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltrail.operators import metrics
 from voltrail.operators import rows as R
+from voltrail.sources.stage import staged
 
-BUCKETS = 1 << 30
+BITS = 52  # of a hash: exact in a double, and in SQL
+
+
+def hashed(keys: Sequence[str], seed: int) -> Column:
+    """A number of BITS bits from the seed and the keys (null: empty), the same in every run and engine."""
+    told = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(told), 1, BITS // 4), 16, 10).cast("long")
 
 
 def split_rows(df: DataFrame, keys: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test by a hash of the keys: no shuffle, the same rows in every run."""
-    return df.withColumn("is_test", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(BUCKETS)) < F.lit(test) * BUCKETS)
+    return df.withColumn("is_test", hashed(keys, seed) < F.lit(int(test * (1 << BITS))))
 
 
 def split_trips(df: DataFrame, test: float = 0.25, seed: int = 42) -> DataFrame:
     """Adds is_test: all of a trip on one side; int(n * test) trips, at least one on each side where there are two.
 
-    The trips of the least hashes are the test ones: their bound is the hash at that place, found without ranking all trips.
+    The trips of the least hashes are the test ones: their bound is the hash at that place, found by
+    histograms of ever finer buckets over the staged hashes, without ranking all trips.
     """
-    h = F.xxhash64(R.TRIP, F.lit(seed))
-    trips = df.select(R.TRIP).distinct()
-    n = trips.count()
-    k = 0 if n < 2 else max(1, min(n - 1, int(n * test)))
-    if not k:
+    hashes = staged(df.select(R.TRIP).distinct().select(hashed([R.TRIP], seed).alias("h")))
+    n = hashes.count()
+    left = 0 if n < 2 else max(1, min(n - 1, int(n * test)))
+    if not left:
         return df.withColumn("is_test", F.lit(False))
-    # the range of hashes that holds the k-th least, by histograms of ever finer buckets
-    low, shift, left = -(1 << 63), 64, k
-    hashed = trips.select(h.alias("h"))
-    while shift:
-        shift -= 8
-        inside = hashed.where((F.col("h") >= low) & (F.col("h") <= low + (1 << (shift + 8)) - 1))
-        part = F.shiftrightunsigned(F.col("h") - F.lit(low), shift) if low != -(1 << 63) else F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), shift)
-        for r in inside.groupBy(part.alias("p")).count().orderBy("p").collect():  # 256 rows at most
+    low, step = 0, 13
+    for shift in range(BITS - step, -1, -step):
+        inside = hashes.where(F.col("h").between(low, low + (1 << (shift + step)) - 1))
+        for r in inside.groupBy(F.shiftright(F.col("h") - low, shift).alias("p")).count().orderBy("p").collect():  # 8,192 rows at most
             if r["count"] >= left:
                 low += r["p"] << shift
                 break
             left -= r["count"]
-        if r["count"] == left == 1 or r["count"] == left:
-            return df.withColumn("is_test", h <= F.lit(low + (1 << shift) - 1))
-    return df.withColumn("is_test", h <= F.lit(low))
+    return df.withColumn("is_test", hashed([R.TRIP], seed) <= low)
 
 
 def sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """n rows (or all) of the least hashes."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(hashed(keys, seed), *keys).limit(n)
 
 
 def low_variance(df: DataFrame, columns: Sequence[str], most: float = 1e-3) -> list[str]:

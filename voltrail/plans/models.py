@@ -9,7 +9,7 @@ from voltrail.operators import features, history, metrics, models, selection
 from voltrail.operators import rows as R
 from voltrail.plans.registry import query
 from voltrail.plans.rows import T
-from voltrail.plans.segments import labels, small
+from voltrail.plans.segments import SMALL_SQL, labels, small
 from voltrail.plans.telemetry import telemetry
 from voltrail.sources.stage import staged
 
@@ -108,17 +108,21 @@ def nzv(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, c in gone) for c in _C], "feature string, dropped boolean")
 
 
-@query("trip_id:i is_test:b")
+def _hash_sql(key: str) -> str:
+    return f"CAST(('0x' || substr(md5('42:' || {key}::VARCHAR), 1, 13)) AS BIGINT)"
+
+
+@query("trip_id:i is_test:b", f"{T}, n as (select *, row_number() over (order by {_hash_sql('trip_id')}) as r, count(*) over () as n from (select distinct trip_id from t)), q as (select trip_id, n >= 2 and r <= greatest(1, least(n - 1, floor(n * 0.25))) as is_test from n)")
 def split_trips(spark: SparkSession, d: str) -> DataFrame:
     return selection.split_trips(telemetry(spark, d)).select(R.TRIP, "is_test").distinct()
 
 
-@query("src_row_id:i is_test:b")
+@query("src_row_id:i is_test:b", f"{T}, q as (select src_row_id, {_hash_sql('src_row_id')} < {int(0.2 * (1 << 52))} as is_test from t)")
 def split_rows(spark: SparkSession, d: str) -> DataFrame:
     return selection.split_rows(telemetry(spark, d), ["src_row_id"])
 
 
-@query("src_row_id:i")
+@query("src_row_id:i", f"{T}, q as (select src_row_id from t order by {_hash_sql('src_row_id')}, src_row_id limit 200)")
 def sample_n(spark: SparkSession, d: str) -> DataFrame:
     return selection.sample(telemetry(spark, d), 200, ["src_row_id"])
 
@@ -148,7 +152,28 @@ def lgr_eval(spark: SparkSession, d: str) -> DataFrame:
     return models.residual_model(whole, columns, [], "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta", only=("linear", "ridge"))[0]
 
 
-@query("trip_id:i segment_id:i n_columns:i")
+@query(
+    "trip_id:i segment_id:i soc_seg_start:d soc_seg_end:d gt_soc_seg_delta:d distance_seg_actual_km:d duration_seg_actual_s:d weight_trip_kg:d speed_seg_agg_mean_mps:d accel_seg_agg_mean:d jerk_abs_seg_agg_mean:d stops_seg_count:i stop_duration_seg_agg_s:d altitude_seg_agg_mean:d altitude_seg_agg_delta:d temp_seg_agg_std:d",
+    f"""{SMALL_SQL}, kf as (select trip_id, segment_id, avg(v) as speed_seg_agg_mean_mps, coalesce(avg(a) filter (a > 1e-3), 0) as accel_seg_agg_mean, avg(abs(j)) as jerk_abs_seg_agg_mean from k6 group by 1, 2),
+  al as (select *, list_avg(altitude_array) as alt, seg_label as segment_id from l9 where seg_label > 0),
+  af as (select trip_id, segment_id, avg(alt) as altitude_seg_agg_mean, arg_max(alt, row_no) - arg_min(alt, row_no) as altitude_seg_agg_delta, stddev_samp(outside_temp) as temp_seg_agg_std from al group by 1, 2),
+  q as (select * from sm join kf using (trip_id, segment_id) join af using (trip_id, segment_id))""",
+)
 def feat_reorder(spark: SparkSession, d: str) -> DataFrame:
-    out = features.all_features(labels(spark, d))
-    return out.withColumn("n_columns", F.lit(len(out.columns)))
+    return features.all_features(staged(labels(spark, d)))
+
+
+@query("trip_id:i segment_id:i outcome:d base_error:d", f"{_PREDICTED}, q as (select trip_id, src_row_id as segment_id, outcome, try_cast(case when src_row_id % 41 = 0 then 'n/a' else base_error::varchar end as double) as base_error from pp)")
+def eval_validate(spark: SparkSession, d: str) -> DataFrame:
+    text = F.when(F.col("src_row_id") % 41 == 0, "n/a").otherwise(F.col("base_error").cast("string"))
+    told = predictions(spark, d).withColumn("segment_id", F.col("src_row_id")).withColumn("base_error", text)
+    return metrics.validated(told, [R.TRIP, "segment_id"], ["base_error"], "outcome")
+
+
+@query("feature:s importance:d")
+def model_importance(spark: SparkSession, d: str) -> DataFrame:
+    """Importances of the four candidates' best tree model, numbers and one-hot texts, on all segments."""
+    seg = features.outcomes(staged(labels(spark, d))).dropna(subset=[*_NUMBERS, "gt_soc_seg_delta"])
+    train, test = (selection.split_trips(seg).where(x) for x in ("not is_test", "is_test"))
+    fitted, _ = models.fit_all(train, test, _NUMBERS, ["manufacturer_trip"], "gt_soc_seg_delta", only=("forest",), trees=20, rounds=10)
+    return spark.createDataFrame(models.importances(fitted["forest"], train), "feature string, importance double")

@@ -11,6 +11,7 @@ from voltrail.operators import rows as R
 from voltrail.plans.registry import query
 from voltrail.plans.rows import GAPS, T, W
 from voltrail.plans.telemetry import telemetry
+from voltrail.sources.stage import staged
 from voltrail.streaming import gaps
 
 MIN_ROWS, FULL_STOP, MOST = 5, 3, 30
@@ -46,7 +47,7 @@ def flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def labels(spark: SparkSession, d: str) -> DataFrame:
-    return segments.label_segments(flags(spark, d), MIN_ROWS, FULL_STOP, most_segments=MOST)
+    return segments.label_segments(flags(spark, d), MIN_ROWS, FULL_STOP)
 
 
 @query("src_row_id:i stop_flag:i", f"{_FLAGS}, q as (select src_row_id, stop0 as stop_flag from fl)")
@@ -69,6 +70,18 @@ def seg_gaps(spark: SparkSession, d: str) -> DataFrame:
     return flags(spark, d)
 
 
+@query("rows:i trips:i gaps:i trips_with_gap:i gap_only:i stop_at_gap:i stops_left:i stops_before:i trips_pct:d gap_only_pct:d stop_at_gap_pct:d", f"""{_FLAGS}, gs as (select count(*) as rows, count(distinct trip_id) as trips, count(*) filter (is_start_after_gap = 1) as gaps, count(distinct trip_id) filter (stop_flag in (-2, -3)) as trips_with_gap,
+  count(*) filter (stop_flag = -2) as gap_only, count(*) filter (stop_flag = -3) as stop_at_gap, count(*) filter (stop_flag = -1) as stops_left, count(*) filter (stop_flag in (-1, -3)) as stops_before from fl),
+  q as (select *, 100.0 * trips_with_gap / trips as trips_pct, 100.0 * gap_only / rows as gap_only_pct, 100.0 * stop_at_gap / rows as stop_at_gap_pct from gs)""")
+def agg_gap_stats(spark: SparkSession, d: str) -> DataFrame:
+    return segments.gap_summary(flags(spark, d))
+
+
+@query("trip_id:i src_row_id:i place:i", f"{T}, q as (select trip_id, src_row_id, row_number() over {W} as place from t)")
+def sort_trip_time(spark: SparkSession, d: str) -> DataFrame:
+    return R.sorted_by_trip_time(telemetry(spark, d)).withColumn("place", F.row_number().over(R.ordered()))
+
+
 @query("trip_id:i row_no:i seg_label:i", f"{_LABELS}, q as (select * from l9)")
 def seg_label(spark: SparkSession, d: str) -> DataFrame:
     return labels(spark, d)
@@ -98,7 +111,7 @@ _SPANS = f"""{_LABELS}, b1 as (select trip_id, seg_label as segment_id, min(row_
 
 @query("trip_id:i segment_id:i first_row:i last_row:i anchor_row:i", f"{_SPANS}, q as (select * from sp)")
 def seg_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return segments.spans(labels(spark, d), FULL_STOP)
+    return segments.spans(staged(labels(spark, d)), FULL_STOP)
 
 
 @query("trip_id:i segment_id:i span_rows:i", f"{_SPANS}, q as (select trip_id, segment_id, last_row - first_row + 1 as span_rows from sp order by 3 desc, 1, 2 limit 1)")
@@ -111,8 +124,9 @@ def seg_max(spark: SparkSession, d: str) -> DataFrame:
    union all select trip_id, segment_id, 'too_short' from r1 where drv < {MIN_ROWS} union all select trip_id, segment_id, 'too_long' from r1 where drv > {2 * MIN_ROWS - 2})""")
 def seg_rules(spark: SparkSession, d: str) -> DataFrame:
     # a limit one tighter than the invariant's, so that rows come out; no span holds a full stop
-    broken = segments.rule_violations(labels(spark, d), MIN_ROWS, FULL_STOP).where("rule <> 'too_long'")
-    span = segments.span_rows(labels(spark, d), FULL_STOP, anchored=True)
+    lab = staged(labels(spark, d))
+    broken = segments.rule_violations(lab, MIN_ROWS, FULL_STOP).where("rule <> 'too_long'")
+    span = segments.span_rows(lab, FULL_STOP, anchored=True)
     long = span.groupBy(R.TRIP, "segment_id").agg(F.count_if(F.col("seg_label").isin(0, -2) | (F.col("seg_label") > 0)).alias("n")).where(F.col("n") > 2 * MIN_ROWS - 2)
     return broken.unionByName(long.select(R.TRIP, "segment_id", F.lit("too_long").alias("rule")))
 
@@ -124,7 +138,7 @@ _OUT = """o as (select trip_id, segment_id, arg_min(current_soc, row_no) as soc_
 
 @query("trip_id:i segment_id:i soc_seg_start:d soc_seg_end:d gt_soc_seg_delta:d distance_seg_actual_km:d duration_seg_actual_s:d weight_trip_kg:d", f"{_SPANS}, {_OUT}, q as (select * from oo)")
 def feat_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return features.outcomes(labels(spark, d))
+    return features.outcomes(staged(labels(spark, d)))
 
 
 _SEG = "(partition by trip_id, segment_id order by row_no)"
@@ -142,46 +156,46 @@ _KIN = f"""k0 as (select *, (t_us - lag(t_us) over {_SEG}) / 1e6 as raw, list_av
   avg(abs(j)) as jerk_abs_seg_agg_mean, stddev_samp(abs(j)) as jerk_abs_seg_agg_std, max(abs(j)) as jerk_abs_seg_agg_max, count(*) filter (a >= 0.1) as accel_high_event_count, count(*) filter (a <= -0.1) as decel_high_event_count from k6 group by 1, 2)""",
 )
 def feat_kinematics(spark: SparkSession, d: str) -> DataFrame:
-    return features.kinematic_features(labels(spark, d), harsh=0.1)
+    return features.kinematic_features(staged(labels(spark, d)), harsh=0.1)
 
 
 @query("trip_id:i segment_id:i stops_seg_count:i stop_duration_seg_agg_s:d", f"""{_SPANS}, {_KIN}, b as (select *, case when seg_label = -1 and coalesce(lag(seg_label) over {_SEG}, 0) <> -1 then 1 else 0 end as begins from k2),
   q as (select trip_id, segment_id, sum(begins) as stops_seg_count, coalesce(sum(dt2) filter (seg_label = -1), 0) as stop_duration_seg_agg_s from b group by 1, 2)""")
 def feat_stops(spark: SparkSession, d: str) -> DataFrame:
-    return features.stop_features(labels(spark, d))
+    return features.stop_features(staged(labels(spark, d)))
 
 
-@query("trip_id:i segment_id:i altitude_seg_agg_mean:d altitude_seg_agg_std:d altitude_seg_agg_delta:d temp_seg_agg_mean:d temp_seg_agg_min:d temp_seg_agg_max:d", f"""{_LABELS}, a as (select *, list_avg(altitude_array) as alt, seg_label as segment_id from l9 where seg_label > 0),
-  q as (select trip_id, segment_id, avg(alt) as altitude_seg_agg_mean, stddev_samp(alt) as altitude_seg_agg_std, arg_max(alt, row_no) - arg_min(alt, row_no) as altitude_seg_agg_delta, avg(outside_temp) as temp_seg_agg_mean, min(outside_temp) as temp_seg_agg_min, max(outside_temp) as temp_seg_agg_max from a group by 1, 2)""")
+@query("trip_id:i segment_id:i altitude_seg_agg_mean:d altitude_seg_agg_std:d altitude_seg_agg_delta:d temp_seg_agg_mean:d temp_seg_agg_std:d temp_seg_agg_min:d temp_seg_agg_max:d", f"""{_LABELS}, a as (select *, list_avg(altitude_array) as alt, seg_label as segment_id from l9 where seg_label > 0),
+  q as (select trip_id, segment_id, avg(alt) as altitude_seg_agg_mean, stddev_samp(alt) as altitude_seg_agg_std, arg_max(alt, row_no) - arg_min(alt, row_no) as altitude_seg_agg_delta, avg(outside_temp) as temp_seg_agg_mean, stddev_samp(outside_temp) as temp_seg_agg_std, min(outside_temp) as temp_seg_agg_min, max(outside_temp) as temp_seg_agg_max from a group by 1, 2)""")
 def feat_alt_temp(spark: SparkSession, d: str) -> DataFrame:
     return features.surroundings(labels(spark, d))
 
 
 def small(spark: SparkSession, d: str) -> DataFrame:
     """Outcome and stop columns of segments."""
-    lab = labels(spark, d)
+    lab = staged(labels(spark, d))
     return features.outcomes(lab).join(features.stop_features(lab), features.KEYS)
 
 
-_SMALL = f"""{_SPANS}, {_OUT}, {_KIN}, sb as (select *, case when seg_label = -1 and coalesce(lag(seg_label) over {_SEG}, 0) <> -1 then 1 else 0 end as begins from k2),
+SMALL_SQL = f"""{_SPANS}, {_OUT}, {_KIN}, sb as (select *, case when seg_label = -1 and coalesce(lag(seg_label) over {_SEG}, 0) <> -1 then 1 else 0 end as begins from k2),
   sc as (select trip_id, segment_id, sum(begins) as stops_seg_count, coalesce(sum(dt2) filter (seg_label = -1), 0) as stop_duration_seg_agg_s from sb group by 1, 2), sm as (select * from oo join sc using (trip_id, segment_id))"""
 _OTHERS = "(partition by trip_id rows between unbounded preceding and unbounded following exclude current row)"
 _TOTALS = ["distance_seg_actual_km", "duration_seg_actual_s", "stops_seg_count", "stop_duration_seg_agg_s"]
 
 
-@query("trip_id:i segment_id:i others_avg_gt_soc_seg_delta:d others_std_gt_soc_seg_delta:d others_avg_distance_seg_actual_km:d others_total_distance_seg_actual_km:d others_segment_count:i", f"""{_SMALL}, q as (select * from (select trip_id, segment_id, avg(gt_soc_seg_delta) over {_OTHERS} as others_avg_gt_soc_seg_delta, stddev_samp(gt_soc_seg_delta) over {_OTHERS} as others_std_gt_soc_seg_delta,
-  avg(distance_seg_actual_km) over {_OTHERS} as others_avg_distance_seg_actual_km, sum(distance_seg_actual_km) over {_OTHERS} as others_total_distance_seg_actual_km, count(*) over {_OTHERS} as others_segment_count from sm) where others_segment_count > 0)""")
+@query("trip_id:i segment_id:i others_avg_gt_soc_seg_delta:d others_std_gt_soc_seg_delta:d others_avg_distance_seg_actual_km:d others_std_distance_seg_actual_km:d others_avg_duration_seg_actual_s:d others_std_duration_seg_actual_s:d others_total_distance_seg_actual_km:d others_segment_count:i", f"""{SMALL_SQL}, q as (select * from (select trip_id, segment_id, avg(gt_soc_seg_delta) over {_OTHERS} as others_avg_gt_soc_seg_delta, stddev_samp(gt_soc_seg_delta) over {_OTHERS} as others_std_gt_soc_seg_delta,
+  avg(distance_seg_actual_km) over {_OTHERS} as others_avg_distance_seg_actual_km, stddev_samp(distance_seg_actual_km) over {_OTHERS} as others_std_distance_seg_actual_km, avg(duration_seg_actual_s) over {_OTHERS} as others_avg_duration_seg_actual_s, stddev_samp(duration_seg_actual_s) over {_OTHERS} as others_std_duration_seg_actual_s, sum(distance_seg_actual_km) over {_OTHERS} as others_total_distance_seg_actual_km, count(*) over {_OTHERS} as others_segment_count from sm) where others_segment_count > 0)""")
 def loso_others(spark: SparkSession, d: str) -> DataFrame:
-    return history.others(small(spark, d), ["gt_soc_seg_delta", "distance_seg_actual_km"], ["distance_seg_actual_km"])
+    return history.others(small(spark, d), ["gt_soc_seg_delta", "distance_seg_actual_km", "duration_seg_actual_s"], ["distance_seg_actual_km"])
 
 
-@query("trip_id:i segment_id:i others_stops_seg_count_per_km:d others_stops_seg_count_per_minute:d others_stop_share:d", f"""{_SMALL}, a as (select trip_id, segment_id, sum(distance_seg_actual_km) over {_OTHERS} as km, sum(duration_seg_actual_s) over {_OTHERS} as s, sum(stops_seg_count) over {_OTHERS} as n, sum(stop_duration_seg_agg_s) over {_OTHERS} as st, count(*) over {_OTHERS} as c from sm),
+@query("trip_id:i segment_id:i others_stops_seg_count_per_km:d others_stops_seg_count_per_minute:d others_stop_share:d", f"""{SMALL_SQL}, a as (select trip_id, segment_id, sum(distance_seg_actual_km) over {_OTHERS} as km, sum(duration_seg_actual_s) over {_OTHERS} as s, sum(stops_seg_count) over {_OTHERS} as n, sum(stop_duration_seg_agg_s) over {_OTHERS} as st, count(*) over {_OTHERS} as c from sm),
   q as (select trip_id, segment_id, case when km > 1e-6 then n / km else 0 end as others_stops_seg_count_per_km, case when s > 1e-6 then n * 60 / s else 0 end as others_stops_seg_count_per_minute, case when s > 1e-6 then st / s else 0 end as others_stop_share from a where c > 0)""")
 def loso_rates(spark: SparkSession, d: str) -> DataFrame:
     return history.rates(history.others(small(spark, d), [], _TOTALS), ["stops_seg_count"])
 
 
-@query("trip_id:i segment_id:i prev_gt:d", f"{_SMALL}, q as (select trip_id, segment_id, lag(gt_soc_seg_delta) over (partition by trip_id order by segment_id) as prev_gt from sm)")
+@query("trip_id:i segment_id:i prev_gt:d", f"{SMALL_SQL}, q as (select trip_id, segment_id, lag(gt_soc_seg_delta) over (partition by trip_id order by segment_id) as prev_gt from sm)")
 def wf_lag(spark: SparkSession, d: str) -> DataFrame:
     return history.lagged(small(spark, d), ["gt_soc_seg_delta"]).withColumnRenamed("k-1_gt_soc_seg_delta", "prev_gt")
 
@@ -189,19 +203,19 @@ def wf_lag(spark: SparkSession, d: str) -> DataFrame:
 _PRIOR = "(partition by trip_id order by segment_id rows between unbounded preceding and 1 preceding)"
 
 
-@query("trip_id:i segment_id:i hist_segments:i hist_distance_km:d hist_soc_per_km:d hist_stops_per_km:d hist_stop_s_per_stop:d hist_avg_gt_soc_seg_delta:d", f"""{_SMALL}, h as (select trip_id, segment_id, count(*) over {_PRIOR} as hist_segments, coalesce(sum(distance_seg_actual_km) over {_PRIOR}, 0) as hist_distance_km, coalesce(sum(gt_soc_seg_delta) over {_PRIOR}, 0) as soc,
+@query("trip_id:i segment_id:i hist_segments:i hist_distance_km:d hist_soc_per_km:d hist_stops_per_km:d hist_stop_s_per_stop:d hist_avg_gt_soc_seg_delta:d", f"""{SMALL_SQL}, h as (select trip_id, segment_id, count(*) over {_PRIOR} as hist_segments, coalesce(sum(distance_seg_actual_km) over {_PRIOR}, 0) as hist_distance_km, coalesce(sum(gt_soc_seg_delta) over {_PRIOR}, 0) as soc,
   coalesce(sum(stops_seg_count) over {_PRIOR}, 0) as st, coalesce(sum(stop_duration_seg_agg_s) over {_PRIOR}, 0) as ss, avg(gt_soc_seg_delta) over {_PRIOR} as hist_avg_gt_soc_seg_delta from sm),
   q as (select *, case when hist_distance_km > 1e-6 then soc / hist_distance_km else 0 end as hist_soc_per_km, case when hist_distance_km > 1e-6 then st / hist_distance_km else 0 end as hist_stops_per_km, case when st > 1e-6 then ss / st else 0 end as hist_stop_s_per_stop from h)""")
 def wf_hist(spark: SparkSession, d: str) -> DataFrame:
     return history.so_far(small(spark, d), ["gt_soc_seg_delta"])
 
 
-@query("trip_id:i segment_id:i", f"{_SMALL}, q as (select * from (select *, count(*) over (partition by trip_id) as n from sm) where n > 3)")
+@query("trip_id:i segment_id:i", f"{SMALL_SQL}, q as (select * from (select *, count(*) over (partition by trip_id) as n from sm) where n > 3)")
 def loso_min(spark: SparkSession, d: str) -> DataFrame:
     return history.enough_segments(small(spark, d), 3)
 
 
-@query("segments:i possible:i", f"{_SMALL}, n as (select count(*) as n from sm group by trip_id), q as (select sum(n) as segments, coalesce(sum(n) filter (n - 1 >= 3), 0) as possible from n)")
+@query("segments:i possible:i", f"{SMALL_SQL}, n as (select count(*) as n from sm group by trip_id), q as (select sum(n) as segments, coalesce(sum(n) filter (n - 1 >= 3), 0) as possible from n)")
 def agg_possible(spark: SparkSession, d: str) -> DataFrame:
     return metrics.predictions_possible(small(spark, d), 3)
 
@@ -210,14 +224,14 @@ def agg_possible(spark: SparkSession, d: str) -> DataFrame:
   u as (select *, unnest(range(0, len(kph) // 1 - 29, 15)) as start_sample from f where len(kph) >= 30), v as (select trip_id, seg_id, start_sample // 15 as win_id, start_sample, [case when i > 1 then (kph[i] - kph[i - 1]) * 1000 / 3600 end for i in range(start_sample + 1, start_sample + 31)] as a from u),
   q as (select trip_id, seg_id, win_id, start_sample, list_sum(a) as accel_sum, a[3] as accel_at_3 from v)""")
 def windows30(spark: SparkSession, d: str) -> DataFrame:
-    w = windows.windows(windows.signals(labels(spark, d), FULL_STOP))
+    w = windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP))
     total = F.aggregate(arrays.present(F.col("accel")), F.lit(0.0), lambda s, x: s + x)
     return w.withColumns({"accel_sum": total, "accel_at_3": F.try_element_at("accel", F.lit(3))})
 
 
 @query("trip_id:i seg_id:i win_id:i b_trip_id:i b_seg_id:i b_win_id:i label:i")
 def self_pair(spark: SparkSession, d: str) -> DataFrame:
-    return windows.pairs(windows.windows(windows.signals(labels(spark, d), FULL_STOP)))
+    return windows.pairs(windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP)))
 
 
 _ROUTES = "rt as (select trip_id, segment_id, attempt, case when segment_id % 7 = 0 then 'NoMatch' else 'Ok' end as code, case when segment_id % 7 <> 0 then distance_seg_actual_km * 1000 * (1.3 - attempt * 0.08) end as distance from oo, (values (1), (2), (3), (4)) a(attempt) where segment_id % 5 <> 0)"
@@ -228,7 +242,7 @@ _ROUTES = "rt as (select trip_id, segment_id, attempt, case when segment_id % 7
   n as (select *, row_number() over (partition by trip_id, segment_id order by st not in ('OK_InTolerance', 'OK_OdoTooSmall'), case when st in ('OK_InTolerance', 'OK_OdoTooSmall') then attempt else -attempt end) as n from j),
   q as (select trip_id, segment_id, st as match_status, coalesce(attempt, 0) as match_attempts, distance as matched_route_distance_m, [25.0, 37.5, 56.25, 84.375][attempt] as final_match_radius_m from n where n = 1)""")
 def route_match(spark: SparkSession, d: str) -> DataFrame:
-    seg = features.outcomes(labels(spark, d))
+    seg = features.outcomes(staged(labels(spark, d)))
     tries = F.explode(F.array(*map(F.lit, range(1, 5))))
     odo = F.col("distance_seg_actual_km") * 1000
     rt = seg.where("segment_id % 5 <> 0").select(*routes.KEYS, odo.alias("_m"), tries.alias("attempt")).select(
@@ -240,7 +254,7 @@ def route_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trip_id:i segment_id:i points:i bad:b split_gaps:b", f"""{_SPANS}, w as (select *, (t_us // 1000000) - lag(t_us // 1000000) over {_SEG} as st from x), q as (select trip_id, segment_id, count(*) as points, count(*) < 2 or count(*) filter (latitude is null or longitude is null) > 0 or count(*) filter (st <= 0) > 0 as bad, count(*) filter (st > 300) > 0 as split_gaps from w group by 1, 2)""")
 def match_precheck(spark: SparkSession, d: str) -> DataFrame:
-    span = segments.span_rows(labels(spark, d))
+    span = segments.span_rows(staged(labels(spark, d)))
     points = span.groupBy(*routes.KEYS).agg(F.count("*").alias("points"))
     return routes.precheck(span).join(points, routes.KEYS).withColumn("bad", F.col("match_status").isNotNull())
 
@@ -248,7 +262,7 @@ def match_precheck(spark: SparkSession, d: str) -> DataFrame:
 @query("trip_id:i segment_id:i over_pct:d limit_kph:d", f"""{_SPANS}, {_OUT}, p as (select trip_id, segment_id, i, 10 + i as dur, 8 + i * 2 as lim, 30 + segment_id * 3 as act from oo, range(4) r(i)),
   q as (select trip_id, segment_id, 100.0 * coalesce(sum(dur) filter (act > lim * 3.6), 0) / sum(dur) as over_pct, sum(dur * lim * 3.6) / sum(dur) as limit_kph from p group by 1, 2)""")
 def speeding(spark: SparkSession, d: str) -> DataFrame:
-    seg = features.outcomes(labels(spark, d)).select(*routes.KEYS)
+    seg = features.outcomes(staged(labels(spark, d))).select(*routes.KEYS)
     leg = lambda i: F.struct(F.struct(F.array(10.0 + i).alias("duration"), F.array(8.0 + i * 2).alias("speed")).alias("annotation"))
     seg = seg.withColumn("legs", F.transform(F.sequence(F.lit(0), F.lit(3)), leg)).withColumn("kph", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(30.0) + F.col("segment_id") * 3))
     over, limit = routes.speeding(F.col("legs"), F.col("kph"))
