@@ -87,6 +87,25 @@ SELECT doc_id, size, source_size, target, CAST(floor(rate) AS BIGINT) + CASE WHE
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDY = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+OP1_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WS}'), []) AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id
+), c AS (
+  SELECT doc_id, min(root) AS component_id FROM r GROUP BY 1
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
 OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '{_WORDY}'), []) AS w FROM documents
@@ -148,4 +167,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
