@@ -1,18 +1,24 @@
 """Token counts by the whole-token shortcut.
 
-Once per Python worker the vocabulary is checked: a string is "whole" when the
-library encodes it, alone, to exactly one token. A document is cut into
+Once, before the job, the vocabulary is checked: a string is "whole" when the
+library encodes it, alone, to exactly one token. The whole strings (no more than
+the vocabulary holds) are broadcast. A document is cut into
 pre-tokens; a whole pre-token counts one without any merging, and only the rest
 goes through the library's merges. Texts are taken in batches: pieces between
 single spaces are the same many times over, so each batch counts its different
 pieces once, and a bounded memo keeps them for the next.
 
 Nulls count as empty text: 0 bytes, 0 tokens. Empty tables give empty results;
-extra columns are not read. No shuffle: one pass over the texts.
+extra columns are not read; null and repeated ids are counted row by row. A very
+long text is counted whole, alone in its batch. No shuffle: one pass over the texts.
+
+The pattern that cuts pre-tokens is that of byte-level BPE without a normaliser;
+`sound` reads the vocabulary file and refuses any other.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -39,29 +45,51 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def sound(path: str) -> None:
+    """Refuses a file whose texts are not cut by PATTERN and merged as they are."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+    except ValueError as e:
+        raise ValueError(f"{path} is not a tokenizers .json file") from e
+    cut, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = not told.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    merges = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not (plain and merges) or any(t.get(k) for t in told.get("added_tokens", ()) for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError(f"{path} is not plain byte-level BPE")
+
+
+def _library(path: str) -> object:
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
+def prove(path: str) -> frozenset[str]:
+    """Strings that encode alone as one token, over the whole vocabulary."""
+    sound(path)
+    library = _library(path)
+    texts = [library.decode([i], skip_special_tokens=False) for i in range(library.get_vocab_size())]
+    codes = library.encode_batch(texts, add_special_tokens=False)
+    return frozenset(t for t, c in zip(texts, codes) if t and "\ufffd" not in t and len(c.ids) == 1)
+
+
 class Counter:
     """Counts tokens of texts as `Tokenizer.encode(text, add_special_tokens=False)` does."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str]):
         import regex
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.library = _library(path)
         self.cut = regex.compile(PATTERN).findall
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.split = regex.compile("|".join(map(regex.escape, self.specials))).split if self.specials else None
-        self.whole = self._prove()
+        self.whole = whole
         self.memo: dict[str, int] = {}
 
-    def _prove(self) -> frozenset[str]:
-        """Strings that encode alone as one token, over the whole vocabulary."""
-        ids = range(self.library.get_vocab_size())
-        texts = [self.library.decode([i], skip_special_tokens=False) for i in ids]
-        codes = self.library.encode_batch(texts, add_special_tokens=False)
-        return frozenset(t for t, c in zip(texts, codes) if t and "\ufffd" not in t and len(c.ids) == 1)
-
     def merged(self, texts: list[str]) -> list[int]:
         """Tokens of texts without special strings: whole pre-tokens count one, others are merged."""
         n, rest, owner = [], [], []
@@ -113,13 +141,13 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, whole: frozenset[str]) -> Counter:
+    return Counter(path, whole)
 
 
-def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _counting(path: str, whole: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path)
+        c = counter(path, whole.value)
         for b in batches:
             for lo, hi in chunks(b.column(1), 8 * CHUNK_BYTES):
                 texts = b.column(1)[lo:hi].fill_null("")
@@ -133,5 +161,6 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 512, id_
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) for every row of `docs`."""
     path = path or vocabulary_path()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(_counting(path), OUT)
+    whole = docs.sparkSession.sparkContext.broadcast(prove(path))
+    out = rows.mapInArrow(_counting(path, whole), OUT)
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
