@@ -199,6 +199,25 @@ def test_pairs(spark):
     assert {r["trip_id"] for r in alone} == {"t"} and all(abs(r["win_id"] - r["b_win_id"]) >= 5 for r in alone)
 
 
+@pytest.mark.parametrize("bucket", [1, 4, 1_000])
+def test_windows_of_a_trip_draw_different_partners(spark, monkeypatch, bucket):
+    monkeypatch.setattr(windows, "BUCKET", bucket)
+    rows = [(f"t{t}", s, w) for t in range(12) for s in range(1, 3) for w in range(10)]
+    out = windows.pairs(spark.createDataFrame(rows, "trip_id string, seg_id int, win_id int"), same_share=0.0).collect()
+    assert len(out) == len(rows) and all(r["trip_id"] != r["b_trip_id"] for r in out)
+    own = [r for r in out if r["trip_id"] == "t3"]
+    assert len({r["b_trip_id"] for r in own}) >= 4 and len({(r["b_seg_id"], r["b_win_id"]) for r in own}) >= 6
+    assert windows.pairs(spark.createDataFrame([("t", 1, 0)], "trip_id string, seg_id int, win_id int"), same_share=0.0).collect() == []
+
+
+def test_text_and_model_sinks(spark, tmp_path):
+    files.save(spark.createDataFrame([("a",), ("b",)], "line string"), f"{tmp_path}/t", "text")
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/t").collect()) == ["a", "b"]
+    df = spark.createDataFrame([(float(k), 2.0 * k) for k in range(20)], "x double, y double")
+    files.save_model(models.pipeline(["x"], [], models.regressors(df, "y")["linear"]).fit(df), f"{tmp_path}/m")
+    assert files.load_model(f"{tmp_path}/m").transform(df.limit(1)).count() == 1
+
+
 def test_polygon_with_hole():
     square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
     got = places.inside([square(0, 10), square(4, 6)], np.array([1.0, 5.0, 11.0]), np.array([1.0, 5.0, 1.0]))

@@ -10,6 +10,7 @@ from voltrail.operators import rows as R
 from voltrail.operators import segments
 
 KEYS = [R.TRIP, "seg_id", "win_id"]
+BUCKET = 1_000  # trips that are numbered together, about
 
 
 def signals(labelled: DataFrame, full_stop: int = segments.FULL_STOP) -> DataFrame:
@@ -38,10 +39,9 @@ def pairs(windows_df: DataFrame, same_share: float = 0.2, apart: int = 5, seed:
     """A partner for each window: its keys and b_ keys, and label 1 (same trip) or 0 (another).
 
     A hash of the window says which kind. Of the same trip: a window of another segment
-    where there is one, else one at least `apart` windows away. Of another trip: windows
-    stand in one order by hash, and the next one of another trip is taken. Each window
-    looks at a few places by hash, not at all others; no window without a partner is
-    made up.
+    where there is one, else one at least `apart` windows away. Of another trip: a trip
+    and a window of it, both drawn by the window's hash. Each window looks at a few
+    places by hash, not at all others; no window without a partner is made up.
     """
     h = lambda *c: F.xxhash64(*c, F.lit(seed))
     w = windows_df.select(*KEYS).withColumn("_h", h(*KEYS))
@@ -60,23 +60,30 @@ def pairs(windows_df: DataFrame, same_share: float = 0.2, apart: int = 5, seed:
     w = w.withColumn("_place", F.when(F.col("_same"), F.coalesce(place, alone)))
     partner = w.select(R.TRIP, F.col("_p").alias("_place"), F.col("seg_id").alias("b_seg_id"), F.col("win_id").alias("b_win_id"))
     same = w.where("_same").join(partner, [R.TRIP, "_place"]).select(*KEYS, F.col(R.TRIP).alias("b_trip_id"), "b_seg_id", "b_win_id", F.lit(1).alias("label"))
-    # another trip: one window of each trip stands for it in a ring of trips, ordered within buckets of their hash
-    trips = w.groupBy(R.TRIP).agg(F.min_by(F.struct("seg_id", "win_id"), "_h").alias("_w")).withColumn("_b", F.pmod(h(R.TRIP), F.lit(64)))
-    ring = Window.partitionBy("_b").orderBy(h(R.TRIP, F.lit("r")), R.TRIP)
-    around = Window.partitionBy("_b")
-    me = F.struct(F.col(R.TRIP).alias("t"), F.col("_w").alias("w"))
-    nexts = trips.withColumn("_x", F.coalesce(F.lead(me).over(ring), F.first(me).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).withColumn("_k", F.count("*").over(around))
-    # a trip alone in its bucket takes the trip of the least hash of all, or that one the greatest
-    place = F.struct(h(R.TRIP).alias("o"), me.alias("x"))
-    ends = trips.agg(F.min(place).alias("a"), F.max(place).alias("z")).first()
+    # another trip: trips sit in buckets by hash; a window draws a bucket, a seat there, and a window of that trip
+    trips = w.groupBy(R.TRIP).agg(F.count("*").alias("_n"))
+    me = F.struct(F.col(R.TRIP).alias("t"), F.col("_n").alias("n"))
+    by_hash = F.struct(h(R.TRIP).alias("o"), me.alias("x"))
+    ends = trips.agg(F.min(by_hash).alias("a"), F.max(by_hash).alias("z"), F.count("*").alias("trips")).first()
     if ends["a"] is None:
         return same
+    bucket = lambda c: F.pmod(h(c, F.lit("b")), F.lit(max(1, ends["trips"] // BUCKET)))
+    trips = trips.withColumn("_b", bucket(R.TRIP))
+    ring = Window.partitionBy("_b").orderBy(h(R.TRIP, F.lit("r")), R.TRIP)
+    after = F.coalesce(F.lead(me).over(ring), F.first(me).over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    seats = trips.select("_b", (F.row_number().over(ring) - 1).cast("long").alias("_o"), me.alias("_x"), after.alias("_y"))
+    sizes = trips.groupBy("_b").agg(F.count("*").alias("_s"))
+    drawn = w.where("not _same").select(*KEYS, "_h").withColumn("_b", bucket("_h")).join(sizes, "_b", "left")
+    drawn = drawn.withColumn("_o", F.pmod(h("_h", F.lit("o")), F.coalesce("_s", F.lit(1)))).join(seats, ["_b", "_o"], "left")
 
     def literal(end: Row) -> Column:
-        t, k = end["x"]["t"], end["x"]["w"]
-        return F.struct(F.lit(t).alias("t"), F.struct(F.lit(k["seg_id"]).alias("seg_id"), F.lit(k["win_id"]).alias("win_id")).alias("w"))
+        return F.struct(F.lit(end["x"]["t"]).alias("t"), F.lit(end["x"]["n"]).alias("n"))
 
+    # an empty bucket, or one that holds the own trip alone: the trip of the least hash of all, or that one the greatest
+    other = lambda c: F.when(F.col(f"{c}.t") != F.col(R.TRIP), F.col(c))
     lone = F.when(F.col(R.TRIP) != F.lit(ends["a"]["x"]["t"]), literal(ends["a"])).otherwise(literal(ends["z"]))
-    nexts = nexts.withColumn("_x", F.when(F.col("_k") > 1, F.col("_x")).otherwise(lone)).where(F.col("_x.t") != F.col(R.TRIP)).select(R.TRIP, "_x")
-    different = w.where("not _same").join(nexts, R.TRIP).select(*KEYS, F.col("_x.t").alias("b_trip_id"), F.col("_x.w.seg_id").alias("b_seg_id"), F.col("_x.w.win_id").alias("b_win_id"), F.lit(0).alias("label"))
+    drawn = drawn.withColumn("_x", F.coalesce(other("_x"), other("_y"), lone)).where(F.col("_x.t") != F.col(R.TRIP))
+    drawn = drawn.select(*KEYS, F.col("_x.t").alias("b_trip_id"), (F.pmod(h("_h", F.lit("w")), F.col("_x.n")) + 1).alias("_place"))
+    theirs = partner.withColumnRenamed(R.TRIP, "b_trip_id")
+    different = drawn.join(theirs, ["b_trip_id", "_place"]).select(*KEYS, "b_trip_id", "b_seg_id", "b_win_id", F.lit(0).alias("label"))
     return same.unionByName(different)

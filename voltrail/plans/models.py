@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,16 +141,42 @@ def wf_eval(spark: SparkSession, d: str) -> DataFrame:
     return history.walk_forward(small(spark, d), _NUMBERS, "gt_soc_seg_delta")
 
 
+_TEXTS = ["manufacturer_trip", "car_model_trip"]
+
+
+def _global(seg: DataFrame) -> tuple[str, dict[str, PipelineModel], DataFrame]:
+    """The best of the four candidates on held-out trips, all of them fitted, and the training rows."""
+    whole = staged(selection.split_trips(seg))
+    train = whole.where("not is_test")
+    fitted, table = models.fit_all(train, whole.where("is_test"), _NUMBERS, _TEXTS, "gt_soc_seg_delta")
+    return metrics.best_model(table).first()["model"], fitted, train
+
+
 @query("trip_id:i segment_id:i is_test:b personal_prediction:d personal_error:d")
 def lgr_eval(spark: SparkSession, d: str) -> DataFrame:
-    """A first model by distance, then a model of its residual from the trip's other segments."""
+    """A first model over all trips, then a model of its residual from the trip's other segments; each the best of all four candidates."""
     seg = staged(small(spark, d))
-    rate = seg.agg((F.sum("gt_soc_seg_delta") / F.sum("distance_seg_actual_km")).alias("k")).first()["k"]
-    seg = seg.withColumn("global_pred_soc_seg_delta", F.lit(rate) * F.col("distance_seg_actual_km")).withColumn("residual_error_soc_seg_delta", F.col("gt_soc_seg_delta") - F.col("global_pred_soc_seg_delta"))
-    others = history.others(seg, ["residual_error_soc_seg_delta", "distance_seg_actual_km"])
-    whole = staged(seg.join(others, history.KEYS))
+    best, fitted, _ = _global(seg)
+    told = staged(features.with_global_prediction(seg, fitted[best], [*_NUMBERS, *_TEXTS]))
+    others = history.others(told, ["residual_error_soc_seg_delta", "distance_seg_actual_km"])
+    whole = staged(told.join(others, history.KEYS))
     columns = [*_NUMBERS, "others_avg_residual_error_soc_seg_delta", "others_std_residual_error_soc_seg_delta", "others_avg_distance_seg_actual_km"]
-    return models.residual_model(whole, columns, [], "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta", only=("linear", "ridge"))[0]
+    return models.residual_model(whole, columns, _TEXTS, "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta")[0]
+
+
+@query("trip_id:i segment_id:i global_pred_soc_seg_delta:d residual_error_soc_seg_delta:d", f"""{SMALL_SQL}, fit as (select regr_slope(gt_soc_seg_delta, distance_seg_actual_km) as k, regr_intercept(gt_soc_seg_delta, distance_seg_actual_km) as b from sm),
+  told as (select trip_id, segment_id, gt_soc_seg_delta, case when distance_seg_actual_km is not null then k * distance_seg_actual_km + b end as global_pred_soc_seg_delta from sm, fit), q as (select *, gt_soc_seg_delta - global_pred_soc_seg_delta as residual_error_soc_seg_delta from told)""")
+def feat_global(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of one linear model of the distance, fitted on all segments, joined to them."""
+    seg = staged(small(spark, d))
+    x, target = ["distance_seg_actual_km"], "gt_soc_seg_delta"
+    rows = selection.model_rows(seg, x, target).dropna()
+    return features.with_global_prediction(seg, models.pipeline(x, [], models.regressors(rows, target)["linear"]).fit(rows), x)
+
+
+@query("trip_id:i segment_id:i soc_seg_start:d duration_seg_actual_s:d gt_soc_seg_delta:d", f"{SMALL_SQL}, q as (select * from sm where gt_soc_seg_delta is not null)")
+def prep_xy(spark: SparkSession, d: str) -> DataFrame:
+    return selection.model_rows(small(spark, d), ["soc_seg_start", "duration_seg_actual_s", "absent"], "gt_soc_seg_delta")
 
 
 @query(
@@ -172,8 +199,6 @@ def eval_validate(spark: SparkSession, d: str) -> DataFrame:
 
 @query("feature:s importance:d")
 def model_importance(spark: SparkSession, d: str) -> DataFrame:
-    """Importances of the four candidates' best tree model, numbers and one-hot texts, on all segments."""
-    seg = features.outcomes(staged(labels(spark, d))).dropna(subset=[*_NUMBERS, "gt_soc_seg_delta"])
-    train, test = (selection.split_trips(seg).where(x) for x in ("not is_test", "is_test"))
-    fitted, _ = models.fit_all(train, test, _NUMBERS, ["manufacturer_trip"], "gt_soc_seg_delta", only=("forest",), trees=20, rounds=10)
-    return spark.createDataFrame(models.importances(fitted["forest"], train), "feature string, importance double")
+    """Inputs of the best of the four candidates by importance (or size of coefficient), numbers and one-hot texts, on all segments."""
+    best, fitted, train = _global(features.outcomes(staged(labels(spark, d))))
+    return spark.createDataFrame(models.importances(fitted[best], train), "feature string, importance double")

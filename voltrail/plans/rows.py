@@ -301,3 +301,33 @@ def outside_area(spark: SparkSession, d: str) -> DataFrame:
     ring = [(3.0, 41.0), (7.0, 41.0), (7.0, 46.0), (3.0, 46.0)]
     area = spark.createDataFrame([("X", [[{"lon": a, "lat": b} for a, b in ring]])], "country string, rings array<array<struct<lon:double,lat:double>>>")
     return places.outside_area(telemetry(spark, d), area)
+
+
+@query("src_row_id:i current_soc:d outside_temp:d latitude:d", f"{T}, q as (select src_row_id, current_soc, outside_temp, latitude from t)")
+def rename_prune(spark: SparkSession, d: str) -> DataFrame:
+    raw = {v: k for k, v in clean.STANDARD_NAMES.items()}
+    source = telemetry(spark, d).select("src_row_id", "battery_type", *(F.col(c).alias(raw[c]) for c in ("current_soc", "outside_temp", "latitude")))
+    return clean.rename_prune(source)
+
+
+@query("trip_id:i row_no:i sample:i around:i total:d", f"""{T}, s as (select trip_id, row_number() over {W} as row_no, speed_array as a from t), u as (select trip_id, row_no, unnest(range(1, len(a))) as sample, a from s),
+  v as (select *, a[greatest(1, sample - 1):sample + 3] as c from u where abs(a[sample + 1] - a[sample]) > 45), q as (select trip_id, row_no, sample, len(c) as around, list_sum(c) as total from v)""")
+def violation_context(spark: SparkSession, d: str) -> DataFrame:
+    t = telemetry(spark, d)
+    found = sequences.sample_context(sequences.sample_violations(t, "speed_array", 0, 45), t, "speed_array", 2)
+    return found.withColumns({"around": F.size("samples"), "total": F.aggregate("samples", F.lit(0.0), lambda s, x: s + x)})
+
+
+@query("src_row_id:i told:s", f"{T}, q as (select src_row_id, printf('%.6f,%.6f;', longitude, latitude) || '2.352200,48.856600' as told from t where latitude is not null)")
+def fn_fmt(spark: SparkSession, d: str) -> DataFrame:
+    point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    t = telemetry(spark, d).where("latitude is not null")
+    return t.withColumn("told", scalars.coordinates(F.array(point(F.col("longitude"), F.col("latitude")), point(F.lit(2.3522), F.lit(48.8566)))))
+
+
+@query("src_row_id:i land:b", f"{T}, q as (select src_row_id, latitude > 41 and latitude < 46 and longitude > 3 and longitude < 7 as land from t where latitude is not null and longitude is not null)")
+def on_land(spark: SparkSession, d: str) -> DataFrame:
+    ring = [(3.0, 41.0), (7.0, 41.0), (7.0, 46.0), (3.0, 46.0)]
+    area = spark.createDataFrame([("X", [[{"lon": a, "lat": b} for a, b in ring]])], "country string, rings array<array<struct<lon:double,lat:double>>>")
+    placed = telemetry(spark, d).where("latitude is not null and longitude is not null")
+    return placed.withColumn("land", places.on_land(F.col("latitude"), F.col("longitude"), area))

@@ -274,3 +274,43 @@ def speeding(spark: SparkSession, d: str) -> DataFrame:
 def gap_sessions(spark: SparkSession, d: str) -> DataFrame:
     s = gaps.sessions(telemetry(spark, d), "100 seconds")
     return s.groupBy(R.TRIP).agg(F.count("*").alias("sessions"), F.max("rows").alias("longest"))
+
+
+def _at(i: str) -> str:
+    """The altitude at sample i (from 1) of len(kph), between its neighbours."""
+    x = f"(({i} - 1) * (len(alt) - 1) / greatest(1, len(kph) - 1)::double)"
+    low = f"floor({x})::int"
+    return f"(alt[{low} + 1] + (alt[least({low} + 1, len(alt) - 1) + 1] - alt[{low} + 1]) * ({x} - {low}))"
+
+
+@query("trip_id:i seg_id:i win_id:i used:i accel_total:d slope_total:d", f"""{_SPANS}, f as (select trip_id, segment_id as seg_id, flatten(list(speed_array order by row_no) filter (speed_array is not null)) as kph, flatten(list(altitude_array order by row_no) filter (altitude_array is not null)) as alt from xa group by 1, 2),
+  u as (select *, unnest(range(0, len(kph) // 1 - 29, 15)) as start_sample from f where len(kph) >= 30),
+  v as (select *, [case when i > 1 then (kph[i] - kph[i - 1]) * 1000 / 3600 end for i in range(start_sample + 1, start_sample + 31)] as a, [case when i > 1 then {_at("i")} - {_at("(i - 1)")} end for i in range(start_sample + 1, start_sample + 31)] as r from u),
+  q as (select trip_id, seg_id, start_sample // 15 as win_id, len([x for x in a[3:] if x is not null]) as used, list_sum(a) as accel_total, list_sum(r) as slope_total from v)""")
+def window_tensors(spark: SparkSession, d: str) -> DataFrame:
+    w = windows.tensors(windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP)))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    return w.withColumns({"used": total("mask"), "accel_total": total("accel"), "slope_total": total("slope_rate")})
+
+
+@query("trip_id:i segment_id:i k_gt_soc_seg_delta:d k_distance_seg_actual_km:d", f"{_SPANS}, {_OUT}, q as (select trip_id, segment_id, gt_soc_seg_delta as k_gt_soc_seg_delta, distance_seg_actual_km as k_distance_seg_actual_km from oo)")
+def loso_k(spark: SparkSession, d: str) -> DataFrame:
+    return history.own_columns(features.outcomes(staged(labels(spark, d))), ["gt_soc_seg_delta", "distance_seg_actual_km"])
+
+
+def _direct(seg: DataFrame) -> DataFrame:
+    """A made-up direct route for each segment: shorter and faster than the one driven."""
+    return seg.select(*routes.KEYS, (F.col("distance_seg_actual_km") * 900).alias("distance"), (F.col("duration_seg_actual_s") * 0.8).alias("duration"))
+
+
+@query("trip_id:i segment_id:i distance_seg_pred_m:d duration_seg_pred_s:d speed_seg_pred_kph:d", f"""{_SPANS}, {_OUT}, p as (select trip_id, segment_id, distance_seg_actual_km * 900 as distance_seg_pred_m, duration_seg_actual_s * 0.8 as duration_seg_pred_s from oo),
+  q as (select *, case when duration_seg_pred_s > 1e-6 then distance_seg_pred_m / duration_seg_pred_s * 3.6 end as speed_seg_pred_kph from p)""")
+def feat_pred(spark: SparkSession, d: str) -> DataFrame:
+    return routes.predicted(_direct(features.outcomes(staged(labels(spark, d)))))
+
+
+@query("trip_id:i segment_id:i deviation_pct:d dem_gain_m:d dem_loss_m:d", f"""{_SPANS}, {_OUT}, q as (select trip_id, segment_id, case when distance_seg_actual_km * 900 > 1e-3 then 100 * (distance_seg_actual_km * 1000 - distance_seg_actual_km * 900) / (distance_seg_actual_km * 900) else 0 end as deviation_pct, 0.0 as dem_gain_m, 0.0 as dem_loss_m from oo)""")
+def route_deviation(spark: SparkSession, d: str) -> DataFrame:
+    seg = features.outcomes(staged(labels(spark, d)))
+    pair = seg.select(*routes.KEYS, (F.col("distance_seg_actual_km") * 1000).alias("driven")).join(_direct(seg), routes.KEYS)
+    return routes.elevation_change(pair.withColumn("deviation_pct", routes.deviation_pct(F.col("driven"), F.col("distance"))))
