@@ -140,6 +140,24 @@ def test_embedding_dedup(spark, vectors, cell, block):
     assert got(embedding_dedup.dedup(df, cell=cell, block=block)) == want
 
 
+def test_embedding_cells_are_cut_again(spark, vectors, monkeypatch):
+    """Several levels of pivots, cells dealt over several tasks, and a dense group that no pivot cuts."""
+    monkeypatch.setattr(embedding_dedup, "SALT_ROWS", 20)
+    r = np.random.default_rng(5)
+    dense = [(1_000 + k, (np.eye(8)[0] + r.normal(size=8) * 0.02).tolist(), 0) for k in range(60)]
+    rows = [(i, [x / 1e200 for x in v] if v and v[0] == 1e200 else v, c) for i, v, c in vectors] + dense
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    assert got(embedding_dedup.dedup(df, cell=4, block=50, fan=3, copies=9.0)) == brute.op6(rows)
+
+    v = [(0, 8, k, 1, embedding_dedup.unit(np.array([x]))[0].tobytes()) for k, (_, x, _) in enumerate(vectors[:250] + dense)]
+    packed = spark.createDataFrame(v, "label long, dim int, rep long, m long, v binary")
+    cells = embedding_dedup._cells(packed, embedding_dedup.Workspace(spark), 0.2, 4, 9.0, 3).toPandas()
+    assert cells["cell"].max() > 3 + 9  # numbers of a third level
+    at_home = cells[cells["home"]]
+    assert sorted(at_home["rep"]) == list(range(len(v)))
+    assert at_home[at_home["rep"] >= 250].groupby("cell").size().max() >= 50
+
+
 def test_embedding_dedup_of_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.dedup(df).collect() == []

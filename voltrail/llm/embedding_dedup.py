@@ -15,8 +15,13 @@ its visitors stream past each block, so memory is bounded whatever a cell holds;
 a dense cell of G different vectors costs G^2 / 2 products, in G / block tasks,
 and emits only counts and a spanning set of links, never all pairs.
 
-Pivots are a sample (at most `max_pivots` in all, drawn by hash); any pivots give
-the exact result, they only set the cost. Every vector is joined.
+Pivots are a sample of a cell, drawn by hash, each further than 4r from the others,
+so that a dense group is never cut; any pivots give the exact result, they only set
+the cost. A cell has at most `fan` of them, and so few that its residents visit
+`copies` cells at most in the mean; cells that are still large are cut again by
+pivots of their own, so the number of pivots grows with the table, and none are
+gathered on the driver. In a cut, visitors visit every cell in reach, residents only
+earlier ones. A large cell's rows are dealt over several tasks. Every vector is joined.
 
 Vectors that are null, empty, zero or hold null or non-finite parts, and those
 with a null label, link with nothing and stay alone. Repeated rows are separate
@@ -39,11 +44,16 @@ from voltrail.llm.workspace import Workspace
 
 COSINE = 0.98
 CELL = 2_000  # residents of a cell aimed at
-MAX_PIVOTS = 8_192
+FAN = 256  # pivots of a cell, at most
+COPIES = 2.0  # cells that a resident visits in the mean, at most, each time its cell is cut
+SALT_ROWS = 50_000
+ROW = 1 << 30  # the turn of a row; drawn vectors come before
 BLOCK = 8_192
 STRIP = 1_024
 Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
-_ASSIGNED = "label bigint, dim int, cell int, home boolean, rep bigint, m bigint, v binary"
+CELL_KEY = ["label", "dim", "cell"]
+_NAMES = [*CELL_KEY, "home", "rep", "m", "v"]
+_ASSIGNED = "label bigint, dim int, cell bigint, home boolean, rep bigint, m bigint, v binary"
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -84,38 +94,114 @@ def _packing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("label", "dim", "rep", "m")), pa.array(packed, pa.binary())], names=["label", "dim", "rep", "m", "v"])
 
 
-def _assigning(pivots: object, radius: float) -> Task:
-    """Each vector at home in its nearest pivot's cell, and as a visitor of the earlier cells in reach."""
+def _separated(drawn: np.ndarray, k: int, apart: float) -> np.ndarray:
+    """Places of the first `k` drawn vectors that are further than `apart` from those taken before."""
+    taken: list[int] = []
+    for i in range(len(drawn)):
+        if len(taken) < k and (not taken or (drawn[taken] @ drawn[i]).max() < 1 - apart * apart / 2):
+            taken.append(i)
+    return np.array(taken, int)
+
+
+def _reached(v: np.ndarray, p: np.ndarray, radius: float, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest pivot, and the cells it visits: those within reach, for residents only the ones before their own."""
+    near = v @ p.T
+    best = near.argmax(1)
+    apart = np.sqrt(np.maximum(0, 2 - 2 * p[best] @ p.T))
+    reach = near[np.arange(len(v)), best][:, None] - near <= (radius + 1e-9) * apart
+    reach[np.arange(len(v)), best] = True
+    return best, reach & (~home[:, None] | (np.arange(len(p)) < best[:, None]))
+
+
+def _chosen(drawn: np.ndarray, k: int, radius: float, copies: float) -> np.ndarray:
+    """At most k pivots, so few that a drawn vector visits `copies` cells at most in the mean; one or none: the cell stays whole."""
+    at = _separated(drawn, k, 4 * radius)
+    rest = np.delete(drawn, at, 0)
+    pivots = drawn[at]
+    while len(pivots) > 1 and len(rest):
+        if _reached(rest, pivots, radius, np.ones(len(rest), bool))[1].sum() <= copies * len(rest):
+            break
+        pivots = pivots[: len(pivots) // 2]
+    return pivots
+
+
+def _dealt(b: pa.RecordBatch, p: np.ndarray, radius: float, fan: int) -> Iterator[pa.RecordBatch]:
+    """The rows of one cell in the cells of its pivots."""
+    if len(p) < 2:
+        yield b
+        return
+    for lo in range(0, b.num_rows, STRIP):
+        part = b.slice(lo, STRIP)
+        home = part.column("home").to_numpy(zero_copy_only=False)
+        best, reach = _reached(_vectors(part.column("v"), p.shape[1]), p, radius, home)
+        at = np.flatnonzero(home)
+        i, q = np.nonzero(reach)
+        rows, cells = np.concatenate([at, i]), np.concatenate([best[at], q])
+        resident = np.arange(len(rows)) < len(at)
+        for x in range(0, len(rows), 8 * STRIP):
+            got = part.take(pa.array(rows[x : x + 8 * STRIP]))
+            cell = got.column("cell").to_numpy() * fan + cells[x : x + 8 * STRIP] + 1
+            yield pa.RecordBatch.from_arrays([got.column("label"), got.column("dim"), pa.array(cell), pa.array(resident[x : x + 8 * STRIP]), *(got.column(c) for c in ("rep", "m", "v"))], names=_NAMES)
+
+
+def _splitting(radius: float, copies: float, fan: int) -> Task:
+    """Rows come in order of cell and salt, drawn vectors before the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], np.ndarray] = pivots.value
-        apart = {k: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for k, p in known.items()}
+        key, drawn, pivots = None, [], None
         for b in batches:
-            label, dim = b.column("label").to_numpy(), b.column("dim").to_numpy()
-            rows, cells, home = [], [], []
-            for key in set(zip(label.tolist(), dim.tolist())):
-                at = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                p = known.get(key)
-                if p is None:
-                    rows.append(at), cells.append(np.zeros(len(at), int)), home.append(np.ones(len(at), bool))
+            columns = [b.column(c).to_numpy() for c in ("label", "dim", "cell", "salt", "k")]
+            row = b.column("turn").to_numpy() == ROW
+            change = np.ones(len(row), bool)
+            change[1:] = np.any([c[1:] != c[:-1] for c in [*columns, row]], axis=0)
+            at = np.flatnonzero(change).tolist()
+            for lo, hi in zip(at, [*at[1:], len(row)]):
+                now = tuple(int(c[lo]) for c in columns)
+                if now != key:
+                    key, drawn, pivots = now, [], None
+                part = b.slice(lo, hi - lo)
+                if not row[lo]:
+                    drawn.append(_vectors(part.column("v"), now[1]))
                     continue
-                for lo in range(0, len(at), STRIP):
-                    own = at[lo : lo + STRIP]
-                    near = _vectors(b.column("v").take(pa.array(own)), key[1]) @ p.T
-                    best = near.argmax(1)
-                    reach = near[np.arange(len(own)), best][:, None] - near <= (radius + 1e-9) * apart[key][best]
-                    reach &= np.arange(len(p)) < best[:, None]
-                    i, q = np.nonzero(reach)
-                    rows += [own, own[i]]
-                    cells += [best, q]
-                    home += [np.ones(len(own), bool), np.zeros(len(i), bool)]
-            for r, c, h in zip(rows, cells, home):
-                got = b.take(pa.array(r))
-                yield pa.RecordBatch.from_arrays([got.column("label"), got.column("dim"), pa.array(c.astype(np.int32)), pa.array(h), got.column("rep"), got.column("m"), got.column("v")], names=["label", "dim", "cell", "home", "rep", "m", "v"])
+                if pivots is None:
+                    pivots = _chosen(np.concatenate(drawn), now[4], radius, copies) if drawn else np.zeros((0, now[1]))
+                yield from _dealt(part.select(_NAMES), pivots, radius, fan)
 
     return run
 
 
+def _cut(cells: DataFrame, large: DataFrame, radius: float, copies: float, fan: int) -> DataFrame:
+    """The cells of `large` cut by pivots of their own; the others as they are."""
+    rows = cells.join(large, CELL_KEY)
+    turn = F.pmod(F.xxhash64("rep", "cell"), F.lit(ROW))
+    own = F.pmod(F.xxhash64("rep"), "salts").cast("int")
+    rest = ["k", *_NAMES]
+    # a cell's rows are dealt over as many tasks as they need; its few drawn vectors go to each
+    drawn = rows.where("home").withColumn("turn", turn).where(F.col("turn") < F.col("part") * ROW)
+    drawn = drawn.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    both = drawn.select(*rest, "salt", "turn").unionByName(rows.select(*rest, own.alias("salt"), F.lit(ROW).alias("turn")))
+    place = [*CELL_KEY, "salt"]
+    out = both.repartition(*place).sortWithinPartitions(*place, "turn", "rep").mapInArrow(_splitting(radius, copies, fan), _ASSIGNED)
+    return cells.join(large, CELL_KEY, "left_anti").select(*_NAMES).unionByName(out)
+
+
+def _cells(packed: DataFrame, ws: Workspace, radius: float, cell: int, copies: float, fan: int) -> DataFrame:
+    """Residents and visitors of all cells, cut again and again while cells of more than twice `cell` residents can be."""
+    cells = packed.select("label", "dim", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "rep", "m", "v")
+    least, levels = 0, int(62 / math.log2(fan + 1))
+    for _ in range(levels):
+        # numbers from `least` on are those of the last level's cells; a cell that stayed whole keeps its number and is not tried again
+        sizes = cells.where(F.col("cell") >= least).groupBy(*CELL_KEY).agg(F.count_if("home").alias("n"), F.count("*").alias("total"))
+        k = F.least(F.lit(fan), F.ceil(F.col("n") / cell)).cast("int")
+        large = sizes.where(F.col("n") > 2 * cell).select(*CELL_KEY, k.alias("k"), ((2 * k + 16) / F.col("n")).alias("part"), F.ceil(F.col("total") / SALT_ROWS).cast("int").alias("salts"))
+        large = ws.table(large)
+        if large.isEmpty():
+            break
+        cells = ws.table(_cut(cells, large, radius, copies, fan))
+        least = least * fan + 1
+    return cells
+
+
 class _Block:
     """The residents of one block, and the links found so far."""
 
@@ -188,7 +274,7 @@ def _joining(cosine: float) -> Task:
             for lo, hi in zip(at, [*at[1:], len(rep)]):
                 now = tuple(int(c[lo]) for c in columns)
                 if now != key:
-                    if block is not None:
+                    if block is not None and block.parts:
                         yield from block.leave()
                     key, block = now, _Block(cosine)
                 v = _vectors(b.column("v").slice(lo, hi - lo), now[1])
@@ -208,27 +294,7 @@ def _joining(cosine: float) -> Task:
     return run
 
 
-def _pivots(classes: DataFrame, sizes: DataFrame, cell: int, max_pivots: int) -> dict[tuple[int, int], np.ndarray]:
-    """Pivots by (label, dim) for labels of more than `cell` classes; drawn by hash, at most `max_pivots` in all."""
-    large = sizes.where(F.col("n") > cell).orderBy(F.col("n").desc(), "label", "dim").limit(max_pivots // 4).collect()
-    if not large:
-        return {}
-    total = sum(r["n"] for r in large)
-    share = {(r["label"], r["dim"]): max(2, min(math.ceil(r["n"] / cell), max_pivots * r["n"] // total)) for r in large}
-    spark = classes.sparkSession
-    wanted = spark.createDataFrame([(r["label"], r["dim"], share[r["label"], r["dim"]] / r["n"]) for r in large], "label bigint, dim int, part double")
-    drawn = F.pmod(F.xxhash64("rep", F.lit("pivot")), F.lit(1 << 30)) < F.col("part") * 1.5 * (1 << 30)
-    # at most max_pivots // 4 labels, so that the sizes can be broadcast; about 1.5 * max_pivots vectors come
-    rows = classes.join(F.broadcast(wanted), ["label", "dim"]).where(drawn).select("label", "dim", F.xxhash64("rep", F.lit("order")).alias("o"), "v").orderBy("o").limit(4 * max_pivots).collect()
-    found: dict[tuple[int, int], list[bytes]] = {}
-    for r in rows:
-        got = found.setdefault((r["label"], r["dim"]), [])
-        if len(got) < share[r["label"], r["dim"]]:
-            got.append(bytes(r["v"]))
-    return {k: np.frombuffer(b"".join(v), np.float64).reshape(-1, k[1]) for k, v in found.items()}
-
-
-def dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, max_pivots: int = MAX_PIVOTS, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: int = BLOCK, fan: int = FAN, copies: float = COPIES, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of `vectors`."""
     ws = Workspace(vectors.sparkSession)
     v = F.col(vector_col).cast("array<double>")
@@ -244,10 +310,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, max_pivo
     packed = ws.table(classes.select("label", "dim", "rep", "m", "embedding").mapInArrow(_packing, "label bigint, dim int, rep bigint, m bigint, v binary"))
 
     radius = math.sqrt(2 - 2 * cosine)
-    pivots = _pivots(packed, packed.groupBy("label", "dim").agg(F.count("*").alias("n")), cell, max_pivots)
-    known = vectors.sparkSession.sparkContext.broadcast(pivots)
-    assigned = ws.table(packed.mapInArrow(_assigning(known, radius), _ASSIGNED))
-    cell_key = ["label", "dim", "cell"]
+    assigned = _cells(packed, ws, radius, cell, copies, fan)
+    cell_key = CELL_KEY
     blocks = assigned.where("home").groupBy(*cell_key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     dealt = assigned.join(blocks, cell_key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.when(F.col("home"), F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
