@@ -14,7 +14,8 @@ counts of character pairs fit one small table whatever the corpus.
 
 Places come from lengths: the pieces between matches (split) and the matches
 (regexp_extract_all) alternate, so running sums of their lengths are the spans,
-in code points.
+in code points. A text of n matches takes n^1.5 additions and a fixed number of
+passes over it; texts are searched for a pattern only where a cheaper test allows it.
 
 Null texts count as empty and have no spans. Repeated rows are scanned each.
 Empty tables give empty results; without any sample no run is a secret of the
@@ -25,6 +26,7 @@ replaces only the text and the column that holds its length.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,34 +44,52 @@ CHARACTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=
 N_CHARACTERS = len(CHARACTERS)
 _KINDS_OF = ["a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else c for c in CHARACTERS]
 BACK_OFF, LEAST_BACK_OFF = 50, 0.1
+_ANY_RUN = r"[A-Za-z0-9+/_=-]{%d}"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
 MIN_RUN = 20
+PIECE = 4_096  # code points of the pieces that a text is masked in
 MARGIN = 12.0
 SAMPLE_DIGESTS = 4_000
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums of an array, in blocks of about its length's root: no step copies what came before."""
-    n = F.size(lengths)
-    block = F.ceil(F.sqrt(n)).cast("int")
-    blocks = F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-    sums = F.transform(blocks, lambda b: total(F.slice(lengths, b * block + 1, block)))
-    before = F.transform(blocks, lambda b: total(F.slice(sums, F.lit(1), b)))
-    at = lambda i: F.floor(i / block).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(before, at(i)) + total(F.slice(lengths, at(i) * block + 1, i - at(i) * block + 1)))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once; lambdas would compute it anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Running sums, maxima... of an array of int from 0 on, in blocks of about its length's root: no step copies what came before."""
+    whole = lambda a: F.aggregate(a, F.lit(0), step)
+
+    def run(v: Column) -> Column:
+        n = F.size(v)
+        block = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), block), lambda lo: F.slice(v, lo + 1, block))
+        return _let(parts, lambda p: _let(F.transform(p, whole), lambda sums: F.flatten(F.transform(p, lambda part, k: _after(part, whole(F.slice(sums, F.lit(1), k)))))))
+
+    def _after(part: Column, before: Column) -> Column:
+        return _let(before, lambda x: F.transform(part, lambda _, i: F.aggregate(F.slice(part, F.lit(1), i + 1), x, step)))
+
+    return _let(values, run)
+
+
+def _sum(s: Column, x: Column) -> Column:
+    return s + x
 
 
 def _matches(text: Column, pattern: str, *groups: int) -> Column:
-    """array<struct<start, end, g<k>...>> of a pattern's matches; empty where there are none."""
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (0, *groups)]
+    """array<struct<start, end, g<k>...>> of a pattern's matches; null where there are none."""
+    kept = [0, *groups]
     gap = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
-    size = F.transform(found[0], lambda m: F.char_length(m))
-    ends = _ends(F.zip_with(F.slice(gap, F.lit(1), F.size(size)), size, lambda g, m: g + m))
-    spans = F.arrays_zip(ends.alias("end"), size.alias("size"), *(f.alias(f"g{k}") for k, f in zip((0, *groups), found)))
-    spans = F.transform(spans, lambda s: F.struct((s["end"] - s["size"]).alias("start"), s["end"].alias("end"), *(s[f"g{k}"].alias(f"g{k}") for k in (0, *groups))))
-    return F.when(text.rlike(pattern), spans)
+    found = F.struct(gap.alias("gap"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(f"g{k}") for k in kept))
+
+    def spans(f: Column) -> Column:
+        lengths = F.zip_with(F.slice(f["gap"], F.lit(1), F.size(f["g0"])), f["g0"], lambda g, m: g + F.char_length(m))
+        zipped = F.arrays_zip(_running(lengths, _sum).alias("end"), *(f[f"g{k}"].alias(f"g{k}") for k in kept))
+        return F.transform(zipped, lambda s: F.struct((s["end"] - F.char_length(s["g0"])).alias("start"), s["end"].alias("end"), *(s[f"g{k}"].alias(f"g{k}") for k in kept)))
+
+    return F.when(text.rlike(pattern), _let(found, spans))
 
 
 def _named(matches: Column, kind: int) -> Column:
@@ -77,11 +97,20 @@ def _named(matches: Column, kind: int) -> Column:
     return F.coalesce(spans, F.array()).cast(_SPANS)
 
 
+def _index(a: Column, b: Column) -> Column:
+    """The place of a pair of characters in the table; -1 where one has none."""
+    return F.when((a > 0) & (b > 0), (a - 1) * N_CHARACTERS + b - 1).otherwise(-1)
+
+
 def _pairs(text: Column) -> Column:
     """The character pairs of a run as indexes into the table; -1 where a character has no place in it."""
-    at = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(CHARACTERS), c) - 1)
-    pair = lambda a, b: F.when((a >= 0) & (b >= 0), a * N_CHARACTERS + b).otherwise(-1)
-    return F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at)), pair)
+    places = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(CHARACTERS), c))
+    return _let(places, lambda at: F.zip_with(F.slice(at, F.lit(1), F.size(at) - 1), F.slice(at, F.lit(2), F.size(at)), _index))
+
+
+def _may_assign(text: Column) -> Column:
+    """Cheap, and true of every text that holds an assignment."""
+    return F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))
 
 
 def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -91,7 +120,7 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
     digest = spark.range(SAMPLE_DIGESTS).select(F.sha2(F.col("id").cast("string"), 256).alias("d"))
     coded = F.base64(F.unhex("d"))
     made = digest.select(F.explode(F.array("d", coded, F.translate(coded, "+/=", "-_"), F.regexp_replace(coded, "[+/=]", ""), F.upper(F.substring(F.regexp_replace(coded, "[+/=]", ""), 1, 20)))).alias("text"))
-    values = texts.select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("text")).where(F.char_length("text") >= 16)
+    values = texts.where(_may_assign(F.col("text"))).select(F.explode(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).alias("text")).where(F.char_length("text") >= 16)
     numbers = spark.range(SAMPLE_DIGESTS).select(F.explode(F.array(F.date_format(F.date_add(F.lit("2000-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd"), F.concat(F.lit("v"), F.col("id").cast("string")), F.repeat(F.lit("-"), 12), F.repeat(F.lit("="), 12), F.repeat(F.lit("_"), 12))).alias("text"))
     once = lambda df, is_random: df.select("text", F.lit(is_random).alias("is_random"), F.lit(1).cast("long").alias("n"))
     return once(made.unionByName(values), True).unionByName(_identifiers(texts)).unionByName(once(numbers, False))
@@ -99,7 +128,10 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _identifiers(texts: DataFrame) -> DataFrame:
     """text, is_random, n: each different word of all documents, alone and joined with itself as identifiers are."""
-    words = F.array_remove(F.split(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), "[^A-Za-z]+"), "")
+    text = F.col("text")
+    some = _may_assign(text) | F.contains(text, F.lit("AKIA")) | text.rlike(HEX)
+    plain = F.when(some, F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")).otherwise(text)
+    words = F.array_remove(F.split(plain, "[^A-Za-z]+"), "")
     counts = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     w, lower, upper = F.col("word"), F.lower("word"), F.upper("word")
     capital = F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1 << 30))
@@ -109,9 +141,13 @@ def _identifiers(texts: DataFrame) -> DataFrame:
 
 def train(labelled: DataFrame) -> list[float]:
     """The table of log P(random) - log P(ordinary) of each character pair."""
-    pairs = labelled.where(F.char_length("text") > 1).select("is_random", "n", F.explode(_pairs(F.col("text"))).alias("pair")).where("pair >= 0")
+    text = F.col("text")
+    two = F.transform(F.sequence(F.lit(1), F.char_length(text) - 1), lambda i: text.substr(i, F.lit(2)))
+    pairs = labelled.where(F.char_length(text) > 1).select("is_random", "n", F.explode(two).alias("two")).groupBy("is_random", "two").agg(F.sum("n").alias("n"))
+    place = lambda k: F.instr(F.lit(CHARACTERS), F.substring("two", k, 1))
+    pairs = pairs.select("is_random", "n", _index(place(1), place(2)).alias("pair")).where("pair >= 0")
     counts = {True: [0] * N_CHARACTERS**2, False: [0] * N_CHARACTERS**2}
-    for r in pairs.groupBy("is_random", "pair").agg(F.sum("n").alias("n")).collect():  # at most two for each pair of characters
+    for r in pairs.collect():  # at most two for each pair of characters in the table
         counts[r["is_random"]][r["pair"]] = r["n"]
     if not any(counts[True]) or not any(counts[False]):
         return [-1.0] * N_CHARACTERS**2
@@ -145,17 +181,24 @@ def ratio(text: Column, table: list[float]) -> Column:
 def scan(docs: DataFrame, table: list[float], min_run: int = MIN_RUN, margin: float = MARGIN, text_col: str = "text", spans_col: str = "secrets") -> DataFrame:
     """`docs` with a column of spans (start, kind, end), in order; kind is an index into KINDS."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    assign = _matches(text, ASSIGN, 2)
+    long = free_name("long", [*docs.columns, spans_col])
+    # a long hex string lies in a run of key characters
+    docs = docs.withColumn(long, text.rlike(_ANY_RUN % min(min_run, 32)))
+    assign = F.when(_may_assign(text), _matches(text, ASSIGN, 2))
     base = F.concat(
         _named(F.filter(assign, lambda s: F.char_length(s["g2"]) >= LEAST_VALUE), 0),
         _named(_matches(text, ACCESS), 1),
-        _named(_matches(text, HEX), 2),
+        _named(F.when(F.col(long), _matches(text, HEX)), 2),
     )
-    with_base = docs.withColumn(spans_col, base)
+    with_base = docs.withColumn(spans_col, F.array_sort(base))
     own = F.col(spans_col)
-    runs = _matches(text, RUN % min_run)
-    free = F.filter(runs, lambda s: ~F.exists(own, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(s["g0"], table) >= margin))
-    return with_base.withColumn(spans_col, F.array_sort(F.concat(own, _named(free, 3))))
+    block = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own))).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(own) - 1), block), lambda lo: F.slice(own, lo + 1, block))
+    hulls = F.transform(parts, lambda p: F.struct(F.array_min(p["start"]).alias("start"), F.array_max(p["end"]).alias("end"), p.alias("spans")))
+    meets = lambda s: lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])
+    runs = F.when(F.col(long), _matches(text, RUN % min_run))
+    free = _let(hulls, lambda h: F.filter(runs, lambda s: ~F.exists(h, lambda x: meets(s)(x) & F.exists(x["spans"], meets(s))) & (ratio(s["g0"], table) >= margin)))
+    return with_base.withColumn(spans_col, F.array_sort(F.concat(own, _named(free, 3)))).drop(long)
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id", spans_col: str = "secrets") -> DataFrame:
@@ -169,17 +212,28 @@ def digest(scanned: DataFrame, id_col: str = "doc_id", spans_col: str = "secrets
     )
 
 
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """A part of a text, which comes in pieces of PIECE code points, so that no cut reads the text from its begin."""
+    first, last = F.floor(start / PIECE).cast("int"), F.floor((end - 1) / PIECE).cast("int")
+    return F.when(end > start, F.array_join(F.slice(pieces, first + 1, last - first + 1), "").substr(start % PIECE + 1, end - start)).otherwise("")
+
+
 def mask(docs: DataFrame, table: list[float], by: str = "[SECRET]", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """`docs` with every span of a secret replaced; other columns as they were."""
     spans_col = free_name("secrets", docs.columns)
     found = scan(docs, table, text_col=text_col, spans_col=spans_col)
     text, spans = F.col(text_col), F.col(spans_col)
-    # spans of different kinds may overlap: what starts before an earlier span's end adds nothing of its own
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
-        F.struct(x["end"].alias("at"), F.when(x["start"] >= s["at"], F.concat(s["out"], text.substr(s["at"] + 1, x["start"] - s["at"]), F.lit(by))).otherwise(s["out"]).alias("out"))
-    )
-    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.char_length(text))))
+    # spans of different kinds may overlap: one that starts before an earlier one's end adds nothing of its own
+    at, ends = F.transform(spans, lambda x: x["end"]), lambda a: F.concat(F.array(F.lit(0)), _running(a, lambda s, x: F.greatest(s, x)))
+
+    def whole(b: Column) -> Column:
+        def piece(x: Column, before: Column) -> Column:
+            return F.when(x["start"] >= before, F.concat(_cut(b, before, x["start"]), F.lit(by))).otherwise("")
+
+        told = lambda e: F.concat(F.array_join(F.transform(spans, lambda x, i: piece(x, F.get(e, i))), ""), _cut(b, F.element_at(e, -1), F.char_length(text)))
+        return _let(ends(at), told)
+
+    whole = _let(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0)), whole)
     masked = F.when(F.size(spans) > 0, whole).otherwise(text)
     out = found.withColumn(text_col, masked)
     if length_col in docs.columns:
