@@ -127,16 +127,33 @@ def samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _identifiers(texts: DataFrame) -> DataFrame:
-    """text, is_random, n: each different word of all documents, alone and joined with itself as identifiers are."""
+    """text, is_random, n: each different word of all documents, and the character pairs of identifiers that join it with itself."""
     text = F.col("text")
     some = _may_assign(text) | F.contains(text, F.lit("AKIA")) | text.rlike(HEX)
     plain = F.when(some, F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")).otherwise(text)
     words = F.array_remove(F.split(plain, "[^A-Za-z]+"), "")
-    counts = texts.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    w, lower, upper = F.col("word"), F.lower("word"), F.upper("word")
-    capital = F.concat(F.upper(F.substring("word", 1, 1)), F.substring("word", 2, 1 << 30))
-    joined = F.concat(w, F.lit("_"), w, F.lit("-"), lower, F.lit("/"), capital, capital, F.lit("="), upper, F.lit("_"), upper)
-    return counts.select(F.explode(F.array(w, joined)).alias("text"), F.lit(False).alias("is_random"), "n")
+    counts = texts.select(F.explode(words).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    return counts.unionByName(_joined(counts)).select("text", F.lit(False).alias("is_random"), "n")
+
+
+def _joined(counts: DataFrame) -> DataFrame:
+    """text (two characters), n: the pairs of `w_w-lower/CapitalCapital=UPPER_UPPER` of each word w, from few counts of its own pairs and ends."""
+    w, size = F.col("text"), F.char_length("text")
+    told = lambda kind, two: F.struct(kind.alias("kind"), two.alias("two"))
+    places = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>"))
+    inner = F.transform(places, lambda i: told(F.when(i == 1, "first").otherwise("later"), w.substr(i, F.lit(2))))
+    ends = told(F.when(size == 1, "letter").otherwise("ends"), F.concat(F.substring(w, 1, 1), F.substring(w, -1, 1)))
+    few = counts.select("n", F.explode(F.concat(inner, F.array(ends))).alias("x")).groupBy("x.kind", "x.two").agg(F.sum("n").alias("n"))
+    two, kind = F.col("two"), F.col("kind")
+    a, z = F.substring(two, 1, 1), F.substring(two, 2, 1)
+    capital_end = F.when(kind == "letter", F.upper(z)).otherwise(z)
+    times = lambda *of: F.array(*(F.struct(t.alias("text"), F.lit(k).alias("times")) for t, k in of))
+    cased = ((F.lower(two), 1), (F.upper(two), 2))
+    lit = F.lit
+    seams = [(z, lit("_")), (lit("_"), a), (z, lit("-")), (lit("-"), F.lower(a)), (F.lower(z), lit("/")), (lit("/"), F.upper(a)), (capital_end, F.upper(a)), (capital_end, lit("=")), (lit("="), F.upper(a)), (F.upper(z), lit("_")), (lit("_"), F.upper(a))]
+    of_kind = F.when(kind == "later", times((two, 4), *cased)).when(kind == "first", times((two, 2), (F.concat(F.upper(a), z), 2), *cased))
+    of_kind = of_kind.otherwise(times(*((F.concat(x, y), 1) for x, y in seams)))
+    return few.select("n", F.explode(of_kind).alias("x")).select("x.text", (F.col("n") * F.col("x.times")).alias("n"))
 
 
 def train(labelled: DataFrame) -> list[float]:
