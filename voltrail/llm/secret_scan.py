@@ -31,7 +31,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.llm.workspace import column, free_name
+from voltrail.llm.workspace import Workspace, column, free_name
 
 KINDS = ("assign", "access", "hex", "markov")
 #: The base patterns. Runs are greedy, so a least length in the pattern finds the same spans.
@@ -132,7 +132,8 @@ def _identifiers(texts: DataFrame) -> DataFrame:
     some = _may_assign(text) | F.contains(text, F.lit("AKIA")) | text.rlike(HEX)
     plain = F.when(some, F.regexp_replace(text, f"{ASSIGN}|{ACCESS}|{HEX}", " ")).otherwise(text)
     words = F.array_remove(F.split(plain, "[^A-Za-z]+"), "")
-    counts = texts.select(F.explode(words).alias("text")).groupBy("text").agg(F.count("*").alias("n"))
+    # read twice below, so written once
+    counts = Workspace(texts.sparkSession).table(texts.select(F.explode(words).alias("text")).groupBy("text").agg(F.count("*").alias("n")))
     return counts.unionByName(_joined(counts)).select("text", F.lit(False).alias("is_random"), "n")
 
 
