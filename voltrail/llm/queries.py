@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltrail.llm import decontamination, embedding_dedup, language_id, license_scan, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
+from voltrail.llm import decontamination, embedding_dedup, fingerprint, language_id, lexical_search, license_scan, merkle, mixing, ngram_join, secret_scan, substring_dedup, token_count, toxicity
 from voltrail.llm.workspace import read
 
 _WS = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,18 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
 OP4_SQL = rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{_WS}')), 0) AS BIGINT) AS size,
@@ -161,10 +173,75 @@ WITH d AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP11_SQL = rf"""
+WITH t AS (
+  SELECT row, doc_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents)
+), c AS (
+  SELECT row, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY row
+), s AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM c
+), q AS (
+  SELECT DISTINCT item, item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)
+), f AS (
+  SELECT row, term, count(*) AS tf FROM t SEMI JOIN q USING (term) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s GROUP BY term, docs
+), x AS (
+  SELECT row, term, (1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words)) AS impact FROM f JOIN c USING (row), s
+), r AS (
+  SELECT item, any_value(item_id) AS item_id, row, CAST(sum(w * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN x USING (term) GROUP BY item, row
+), k AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM r JOIN c USING (row) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+#: Levels that a tree may have here: 8**7 leaves.
+_DEPTH = 7
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """{name}_p: g, idx, path (ancestors' siblings before and after the own place, from below) of `leaves` (g, idx, n, hash); {name}_top: g, hash."""
+    levels = [f"{name}0 AS (SELECT g, idx, n, hash FROM {leaves})"]
+    paths = [f"{name}_p{_DEPTH} AS (SELECT g, idx, CAST([] AS STRUCT(a VARCHAR, b VARCHAR)[]) AS path FROM {name}{_DEPTH})"]
+    for k in range(_DEPTH):
+        levels.append(f"{name}{k + 1} AS (SELECT g, idx // 8 AS idx, (n + 7) // 8 AS n, CASE WHEN n = 1 THEN any_value(hash) ELSE sha256(string_agg(hash, '' ORDER BY idx)) END AS hash FROM {name}{k} GROUP BY g, idx // 8, n)")
+        around = "coalesce(string_agg(hash, '') OVER (PARTITION BY g, idx // 8 ORDER BY idx ROWS BETWEEN {}), '')"
+        step = f"CASE WHEN n = 1 THEN [] ELSE [{{'a': {around.format('UNBOUNDED PRECEDING AND 1 PRECEDING')}, 'b': {around.format('1 FOLLOWING AND UNBOUNDED FOLLOWING')}}}] END"
+        paths.append(f"{name}_s{k} AS (SELECT g, idx, {step} AS step FROM {name}{k}), {name}_p{k} AS (SELECT s.g, s.idx, s.step || p.path AS path FROM {name}_s{k} s JOIN {name}_p{k + 1} p ON p.g = s.g AND p.idx = s.idx // 8)")
+    return ", ".join([*levels, paths[0], *reversed(paths[1:])])
+
+
+def _leaf_sql(text: str) -> str:
+    told = [f"coalesce(strlen({v}::VARCHAR) || ':' || {v}::VARCHAR, '-')" for v in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(told)})"
+
+
+_CRC = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')])),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384::BIGINT ELSE 0 END) END))"""
+
+OP13_SQL = f"""
+WITH l AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, {_leaf_sql("text")} AS hash, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql(_LOWER)} END AS tampered FROM documents
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, hash) - 1 AS idx, count(*) OVER (PARTITION BY g) AS n FROM l
+), {_tree_sql("a", "ranked")}, subroots AS (
+  SELECT '' AS g, g AS lang, row_number() OVER (ORDER BY encode(g)) - 1 AS idx, count(*) OVER () AS n, hash FROM a{_DEPTH}
+), {_tree_sql("b", "subroots")}, whole AS (
+  SELECT doc_id, r.hash AS leaf, s.hash AS subroot, b{_DEPTH}.hash AS root, coalesce(tampered, r.hash) AS told, pa.path || pb.path AS path
+  FROM ranked r JOIN a_p0 pa ON pa.g = r.g AND pa.idx = r.idx JOIN subroots s ON s.lang = r.g JOIN b_p0 pb ON pb.idx = s.idx, b{_DEPTH}
+), told AS (
+  SELECT *, list_reduce(list_prepend({{'a': told, 'b': ''}}, path), lambda h, s: {{'a': sha256(s.a || h.a || s.b), 'b': ''}}).a AS folded_root FROM whole
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string([s.a || s.b for s in path], ''), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM told
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2:3].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op1_ngram_join": OP1_SQL, "op4_source_mixing": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_embedding_dedup": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_lexical_search": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
