@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
-from voltrail.operators import clean, history, metrics, models, places, quality, segments, selection, sequences, windows
+from voltrail.operators import categories, clean, history, metrics, models, quality, segments, selection, sequences, windows
 from voltrail.operators import rows as R
 from voltrail.sources import files, reference
 from voltrail.streaming import gaps
@@ -218,11 +218,6 @@ def test_text_and_model_sinks(spark, tmp_path):
     assert files.load_model(f"{tmp_path}/m").transform(df.limit(1)).count() == 1
 
 
-def test_polygon_with_hole():
-    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
-    got = places.inside([square(0, 10), square(4, 6)], np.array([1.0, 5.0, 11.0]), np.array([1.0, 5.0, 1.0]))
-    assert got.tolist() == [True, False, False]
-
 
 def test_battery_lookup(spark):
     df = spark.createDataFrame([("308  V3 (P512)", "PEUGEOT", "L3 720 70AH EF 720 EN"), ("x", "y", None)], "car_model string, manufacturer string, battery_type string")
@@ -296,7 +291,96 @@ def test_importances_name_one_hot_values(spark):
     df = spark.createDataFrame(rows, "trip_id long, x double, y double, c string, t double")
     fitted, table = models.fit_all(df, df, ["x", "y"], ["c"], "t", trees=5, rounds=3)
     assert sorted(fitted) == ["boosted", "forest", "linear", "ridge"] and {r["failure"] for r in table.collect()} == {None}
-    for m in fitted.values():
+    for name, m in fitted.items():
         names = [n for n, _ in models.importances(m, df)]
         assert {"x", "y"} < set(names) and names[0] != "y"
-        assert any("_c_v" in n or n in "ab" for n in names)
+        # boosting has one statistic of a text, the others a column for each of its values
+        assert "c" in names if name == "boosted" else any("_c_v" in n or n in "ab" for n in names)
+
+
+@pytest.mark.parametrize("bucket_rows", [7, 10_000])
+def test_ordered_statistics_of_the_rows_before(spark, bucket_rows):
+    """Of each category the mean of the earlier rows' targets, in order of the keys' hash; one category holds most rows."""
+    rows = [(k, None if k % 11 == 0 else "b" if k % 5 == 0 else "a", float(k % 9)) for k in range(120)]
+    df = spark.createDataFrame(rows, "k long, c string, t double").repartition(3)
+    got = {x["k"]: x["_c_target"] for x in categories.ordered(df, ["c"], "t", ["k"], bucket_rows=bucket_rows).collect()}
+    order = [x["k"] for x in df.orderBy(selection.hashed(["k"], 42)).select("k").collect()]
+    known, seen, sums = {k: (c, t) for k, c, t in rows}, [], {}
+    for k in order:
+        c, t = known[k]
+        s, n = sums.get(c, (0.0, 0))
+        prior = sum(seen) / len(seen) if seen else 0.0
+        assert got[k] == pytest.approx((s + prior) / (n + 1))
+        sums[c] = s + t, n + 1
+        seen.append(t)
+
+
+def test_own_target_never_enters_its_statistic(spark):
+    rows = [(k, "ab"[k % 2], float(k)) for k in range(40)]
+    of = lambda r: {x["k"]: x["_c_target"] for x in categories.ordered(spark.createDataFrame(r, "k long, c string, t double"), ["c"], "t", ["k"]).collect()}
+    base = of(rows)
+    for k in (0, 17, 39):
+        changed = of([(i, c, 1e6 if i == k else t) for i, c, t in rows])
+        assert changed[k] == base[k] and changed != base
+
+
+def test_boosting_beats_one_hot_on_many_categories(spark):
+    """Held out: a category of few rows tells its level by one number instead of a column."""
+    import random
+
+    r = random.Random(1)
+    level = {f"c{k}": r.gauss(0, 5) for k in range(60)}
+    rows = [(k, c := f"c{r.randrange(60)}", x := r.random(), level[c] + x + r.gauss(0, 0.3)) for k in range(1500)]
+    df = spark.createDataFrame(rows, "segment_id long, c string, x double, t double")
+    train, test = df.where("segment_id % 4 > 0"), df.where("segment_id % 4 = 0")
+    boosted = models.regressors(train, "t", rounds=15)["boosted"]
+    mae = lambda m: metrics.regression_metrics(m.transform(test), "t", "prediction").first()["mae"]
+    ordered = mae(models.fit_ordered(train, ["x"], ["c"], "t", ["segment_id"], boosted))
+    one_hot = mae(models.pipeline(["x"], ["c"], boosted).fit(train))
+    assert ordered < 0.8 * one_hot, (ordered, one_hot)
+
+
+def test_numbers_are_scaled_by_the_population(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (3.0, 5.0), (8.0, 1.0)], "x double, t double")
+    out = models.pipeline(["x"], [], models.regressors(df, "t")["ridge"], 3).fit(df).transform(df)
+    x = np.array([1.0, 3.0, 8.0])
+    assert [v["features"][0] for v in out.select("features").collect()] == pytest.approx(((x - x.mean()) / x.std()).tolist())
+
+
+def test_a_bad_fit_is_told_and_other_failures_are_raised(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k), 2.0 * k) for k in range(20)], "segment_id long, x double, t double")
+    from pyspark.errors import IllegalArgumentException
+
+    def failing(error):
+        def fit(name, *a):
+            raise error
+        return fit
+
+    monkeypatch.setattr(models, "_fit", failing(IllegalArgumentException("no variance")))
+    fitted, table = models.fit_all(df, df, ["x"], [], "t", only=["linear"])
+    assert not fitted and table.first()["failure"] == "no variance"
+    monkeypatch.setattr(models, "_fit", failing(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        models.fit_all(df, df, ["x"], [], "t", only=["linear"])
+
+
+def test_errors_of_files(spark, tmp_path):
+    from pyspark.errors import AnalysisException
+
+    df = spark.createDataFrame([(k, f"a{k}") for k in range(40)], "i int, s string").repartition(3)
+    for kind in ("parquet", "csv", "json"):
+        with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+            files.load(spark, f"{tmp_path}/none.{kind}", df.schema)
+    with pytest.raises(ValueError, match="pickle"):
+        files.load(spark, f"{tmp_path}/t.pickle")
+    with pytest.raises(ValueError):
+        files.save(df, f"{tmp_path}/t", "pickle")
+    with pytest.raises(TypeError):
+        files.save([1], f"{tmp_path}/t")
+    files.save(df, f"{tmp_path}/t.json", "json")
+    assert files.load(spark, f"{tmp_path}/t.json", df.schema).count() == 40
+    (tmp_path / "one.json").write_text('[{"i": 1, "s": "x"},\n {"i": 2, "s": null}]')
+    assert sorted(x["i"] for x in files.load(spark, f"{tmp_path}/one.json").collect()) == [1, 2]
+    (tmp_path / "bad.csv").write_text("i,s\nx,y\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
+        spark.read.schema(df.schema).option("header", True).option("mode", "FAILFAST").csv(f"{tmp_path}/bad.csv").collect()

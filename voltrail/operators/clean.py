@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
 from voltrail.operators import rows as R
+from voltrail.operators import scan
 
 #: Vendor columns and their standard names.
 STANDARD_NAMES = {
@@ -61,7 +62,8 @@ def _at_zero() -> Column:
 
 def drop_mostly_zero_trips(df: DataFrame, share: float = 0.75) -> DataFrame:
     """Without trips of which more than `share` of the rows lie near (0, 0)."""
-    return df.withColumn("_zero", F.avg(R.flag(_at_zero())).over(R.whole())).where(F.col("_zero") <= share).drop("_zero")
+    placed = scan.over_trips(df, _zero=scan.whole_sum(R.flag(_at_zero())), _rows=scan.whole_sum(F.lit(1)))
+    return placed.where(F.col("_zero") / F.col("_rows") <= share).drop("_zero", "_rows")
 
 
 def drop_zero_points(df: DataFrame) -> DataFrame:
@@ -94,9 +96,8 @@ def repair_health(df: DataFrame, limits: tuple[float, float] = HEALTH_RANGE, col
     c = F.col(column)
     bad = c.isNotNull() & ~c.between(*limits)
     good = F.when(c.between(*limits), c)
-    fixed = F.coalesce(F.first(good, ignorenulls=True).over(R.onwards()), F.last(good, ignorenulls=True).over(R.so_far()))
-    affected = F.max(R.flag(bad)).over(R.whole()) == 1
-    return df.withColumn(column, F.when(affected, fixed).otherwise(c))
+    placed = scan.over_trips(df, _next=scan.following(good), _last=scan.last(good), _bad=scan.most(R.flag(bad)))
+    return placed.withColumn(column, F.when(F.col("_bad") == 1, F.coalesce(good, "_next", "_last")).otherwise(c)).drop("_next", "_last", "_bad")
 
 
 def trips_within(df: DataFrame, duration: tuple[float, float], distance: tuple[float, float]) -> DataFrame:
@@ -134,9 +135,10 @@ def constant_columns(df: DataFrame) -> DataFrame:
 def skipped_rows(df: DataFrame, seconds: int = 60) -> DataFrame:
     """`skipped`: rows between two that are a minute apart, one or two of them."""
     us = F.unix_micros(F.col(R.TIME).cast("timestamp"))
-    w = R.ordered()
-    apart = lambda lead, lag: R.flag(F.lead(us, lead).over(w) - F.lag(us, lag).over(w) == seconds * 1_000_000)
-    return df.withColumn("skipped", F.greatest(apart(1, 1), apart(2, 1), apart(1, 2)))
+    near = scan.over_trips(df, _back1=scan.lag(us), _ahead1=scan.lead(us))
+    near = scan.over_trips(near, _back2=scan.lag("_back1"), _ahead2=scan.lead("_ahead1"))
+    apart = lambda ahead, back: R.flag(F.col(f"_ahead{ahead}") - F.col(f"_back{back}") == seconds * 1_000_000)
+    return near.withColumn("skipped", F.greatest(apart(1, 1), apart(2, 1), apart(1, 2))).drop("_back1", "_back2", "_ahead1", "_ahead2")
 
 
 def drop_skipped(df: DataFrame, seconds: int = 60) -> DataFrame:
@@ -147,7 +149,8 @@ def out_of_range_report(df: DataFrame, column: str, limits: tuple[float, float])
     """Per trip with any: rows and samples out of range, their shares, and how many runs of such rows."""
     n = arrays.count_outside(F.col(column), *limits)
     marked = df.withColumn("_n", n).withColumn("_bad", (n > 0).cast("int"))
-    marked = marked.withColumn("_start", F.when((F.col("_bad") == 1) & (F.coalesce(F.lag("_bad").over(R.ordered()), F.lit(0)) == 0), 1).otherwise(0))
+    marked = scan.over_trips(marked, _before=scan.lag("_bad"))
+    marked = marked.withColumn("_start", F.when((F.col("_bad") == 1) & (F.coalesce("_before", F.lit(0)) == 0), 1).otherwise(0))
     out = marked.groupBy(R.TRIP).agg(
         F.sum("_bad").alias("bad_rows"), F.count("*").alias("rows"), F.sum("_n").alias("bad_samples"),
         F.sum(F.greatest(F.lit(0), arrays.length(F.col(column)))).alias("samples"), F.sum("_start").alias("blocks"),

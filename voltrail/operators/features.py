@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +19,17 @@ def _in_span() -> Window:
     return Window.partitionBy(*KEYS).orderBy("row_no")
 
 
-def outcomes(labelled: DataFrame) -> DataFrame:
-    """Start, static and outcome columns of each segment."""
-    d = segments.span_rows(labelled)
-    first = lambda c: F.min_by(c, "row_no")
-    last = lambda c: F.max_by(c, "row_no")
-    start = {"soc": "current_soc", "odo": "current_odo", "time": R.TIME, "battery_health": "battery_health", "lat": "latitude", "lon": "longitude", "temp": "outside_temp"}
-    static = {"car_model_trip": "car_model", "manufacturer_trip": "manufacturer", "battery_type_trip": "battery_type", "weight_trip_kg": "empty_weight_kg", "soc_trip_start": "trip_soc_start", "odo_trip_start": "trip_odo_start"}
-    out = d.groupBy(*KEYS).agg(
-        *(first(c).alias(f"{k}_seg_start") for k, c in start.items() if c in d.columns), *(first(c).alias(k) for k, c in static.items() if c in d.columns),
-        last("current_soc").alias("soc_seg_end"), last("current_odo").alias("odo_seg_end"), last(R.TIME).alias("time_seg_end"),
-    )
+_START = {"soc": "current_soc", "odo": "current_odo", "time": R.TIME, "battery_health": "battery_health", "lat": "latitude", "lon": "longitude", "temp": "outside_temp"}
+_STATIC = {"car_model_trip": "car_model", "manufacturer_trip": "manufacturer", "battery_type_trip": "battery_type", "weight_trip_kg": "empty_weight_kg", "soc_trip_start": "trip_soc_start", "odo_trip_start": "trip_odo_start"}
+
+
+def _outcome_aggregates(d: DataFrame) -> dict[str, Column]:
+    first = {**{f"{k}_seg_start": c for k, c in _START.items()}, **_STATIC}
+    last = {"soc_seg_end": "current_soc", "odo_seg_end": "current_odo", "time_seg_end": R.TIME}
+    return {**{k: F.min_by(c, "row_no") for k, c in first.items() if c in d.columns}, **{k: F.max_by(c, "row_no") for k, c in last.items()}}
+
+
+def _outcome_columns(out: DataFrame) -> DataFrame:
     out = out.withColumns({f"{k}_seg_start": c for k, c in scalars.start_parts(F.col("time_seg_start")).items()})
     return out.withColumns(
         {
@@ -46,52 +48,94 @@ def _with_dt(d: DataFrame) -> DataFrame:
     return d.withColumn("dt", F.coalesce("_raw", F.when(median > 0, median).otherwise(F.lit(1.0)))).drop("_raw")
 
 
-def kinematics(labelled: DataFrame) -> DataFrame:
-    """Span rows with speed in m/s, acceleration and jerk; what cannot be computed takes the value before, else 0."""
+def _with_kinematics(d: DataFrame) -> DataFrame:
     w = _in_span()
     filled = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w), F.lit(0.0))
     rate = lambda c: F.try_divide(F.col(c) - F.lag(c).over(w), F.col("dt"))
-    d = _with_dt(segments.span_rows(labelled)).withColumn("speed_mps", filled(scalars.mps(arrays.mean(F.col("speed_array")))))
+    d = d.withColumn("speed_mps", filled(scalars.mps(arrays.mean(F.col("speed_array")))))
     d = d.withColumn("_a", rate("speed_mps")).withColumn("accel", filled(F.col("_a")))
     d = d.withColumn("_j", rate("accel")).withColumn("jerk", filled(F.col("_j")))
     return d.drop("_a", "_j")
 
 
-def kinematic_features(labelled: DataFrame, harsh: float = HARSH) -> DataFrame:
-    """Speed, acceleration, deceleration and jerk of each span of two rows or more; the others have nulls."""
-    d = kinematics(labelled)
+def kinematics(labelled: DataFrame) -> DataFrame:
+    """Span rows with speed in m/s, acceleration and jerk; what cannot be computed takes the value before, else 0."""
+    return _with_kinematics(_with_dt(segments.span_rows(labelled)))
+
+
+def _kinematic_aggregates(harsh: float) -> dict[str, Column]:
     n = F.count("*")
     up, down = F.when(F.col("accel") > 1e-3, F.col("accel")), F.when(F.col("accel") < -1e-3, F.col("accel"))
+    jerk = F.abs("jerk")
+    known = {
+        "speed_seg_agg_mean_mps": F.avg("speed_mps"), "speed_seg_agg_std_mps": F.stddev_samp("speed_mps"), "speed_seg_agg_max_mps": F.max("speed_mps"), "speed_seg_agg_min_mps": F.min("speed_mps"),
+        "accel_seg_agg_mean": F.avg(up), "accel_seg_agg_std": F.stddev_samp(up), "accel_seg_agg_max": F.max(up),
+        "decel_seg_agg_mean": F.avg(down), "decel_seg_agg_std": F.stddev_samp(down), "decel_seg_agg_max": F.min(down),
+        "jerk_abs_seg_agg_mean": F.avg(jerk), "jerk_abs_seg_agg_std": F.stddev_samp(jerk), "jerk_abs_seg_agg_max": F.max(jerk),
+    }
+    events = {"accel_high_event_count": F.count_if(F.col("accel") >= harsh), "decel_high_event_count": F.count_if(F.col("accel") <= -harsh)}
+    return {**{k: F.when(n >= 2, F.coalesce(c, F.lit(0.0))) for k, c in known.items()}, **{k: F.when(n >= 2, c) for k, c in events.items()}}
+
+
+def _stop_aggregates() -> dict[str, Column]:
+    stop = F.col("seg_label") == segments.STOP
+    return {"stops_seg_count": F.sum("_begins"), "stop_duration_seg_agg_s": F.coalesce(F.sum(F.when(stop, F.col("dt"))), F.lit(0.0))}
+
+
+def _surrounding_aggregates() -> dict[str, Column]:
+    """Of a segment's own drive rows: altitude is that of rows' means."""
+    own = F.col("seg_label") > 0
+    alt, temp = F.when(own, F.col("_alt")), F.when(own, F.col("outside_temp"))
+    order = F.when(alt.isNotNull(), F.col("row_no"))
+    return {
+        "altitude_seg_agg_mean": F.avg(alt), "altitude_seg_agg_std": F.stddev_samp(alt), "altitude_seg_agg_delta": F.max_by(alt, order) - F.min_by(alt, order),
+        "temp_seg_agg_mean": F.avg(temp), "temp_seg_agg_std": F.stddev_samp(temp), "temp_seg_agg_min": F.min(temp), "temp_seg_agg_max": F.max(temp),
+    }
+
 
-    def known(c: Column, name: str, other: float = 0.0) -> Column:
-        return F.when(n >= 2, F.coalesce(c, F.lit(other))).alias(name)
+PARTS = ("outcomes", "kinematics", "stops", "surroundings")
 
-    return d.groupBy(*KEYS).agg(
-        known(F.avg("speed_mps"), "speed_seg_agg_mean_mps"), known(F.stddev_samp("speed_mps"), "speed_seg_agg_std_mps"), known(F.max("speed_mps"), "speed_seg_agg_max_mps"), known(F.min("speed_mps"), "speed_seg_agg_min_mps"),
-        known(F.avg(up), "accel_seg_agg_mean"), known(F.stddev_samp(up), "accel_seg_agg_std"), known(F.max(up), "accel_seg_agg_max"),
-        known(F.avg(down), "decel_seg_agg_mean"), known(F.stddev_samp(down), "decel_seg_agg_std"), known(F.min(down), "decel_seg_agg_max"),
-        known(F.avg(F.abs("jerk")), "jerk_abs_seg_agg_mean"), known(F.stddev_samp(F.abs("jerk")), "jerk_abs_seg_agg_std"), known(F.max(F.abs("jerk")), "jerk_abs_seg_agg_max"),
-        F.when(n >= 2, F.count_if(F.col("accel") >= harsh)).alias("accel_high_event_count"), F.when(n >= 2, F.count_if(F.col("accel") <= -harsh)).alias("decel_high_event_count"),
-    )
+
+def segment_table(labelled: DataFrame, parts: Sequence[str] = PARTS, harsh: float = HARSH) -> DataFrame:
+    """One row per segment with the features of `parts`, from one pass over the spans' rows and one aggregate."""
+    d = segments.span_rows(labelled)
+    made: dict[str, Column] = {}
+    if "outcomes" in parts:
+        made |= _outcome_aggregates(d)
+    if "kinematics" in parts or "stops" in parts:
+        d = _with_dt(d)
+    if "kinematics" in parts:
+        d = _with_kinematics(d)
+        made |= _kinematic_aggregates(harsh)
+    if "stops" in parts:
+        stop = F.col("seg_label") == segments.STOP
+        d = d.withColumn("_begins", R.flag(stop & (F.coalesce(F.lag("seg_label").over(_in_span()), F.lit(0)) != segments.STOP)))
+        made |= _stop_aggregates()
+    if "surroundings" in parts:
+        d = d.withColumn("_alt", arrays.mean(F.col("altitude_array")))
+        made |= _surrounding_aggregates()
+    out = d.groupBy(*KEYS).agg(*(c.alias(k) for k, c in made.items()))
+    return _outcome_columns(out) if "outcomes" in parts else out
+
+
+def outcomes(labelled: DataFrame) -> DataFrame:
+    """Start, static and outcome columns of each segment."""
+    return segment_table(labelled, ["outcomes"])
+
+
+def kinematic_features(labelled: DataFrame, harsh: float = HARSH) -> DataFrame:
+    """Speed, acceleration, deceleration and jerk of each span of two rows or more; the others have nulls."""
+    return segment_table(labelled, ["kinematics"], harsh)
 
 
 def stop_features(labelled: DataFrame) -> DataFrame:
     """Runs of stop rows in each span, and the seconds of those rows."""
-    d = _with_dt(segments.span_rows(labelled))
-    stop = F.col("seg_label") == segments.STOP
-    d = d.withColumn("_begins", R.flag(stop & (F.coalesce(F.lag("seg_label").over(_in_span()), F.lit(0)) != segments.STOP)))
-    return d.groupBy(*KEYS).agg(F.sum("_begins").alias("stops_seg_count"), F.coalesce(F.sum(F.when(stop, F.col("dt"))), F.lit(0.0)).alias("stop_duration_seg_agg_s"))
+    return segment_table(labelled, ["stops"])
 
 
 def surroundings(labelled: DataFrame) -> DataFrame:
     """Altitude (of rows' means) and temperature over a segment's own drive rows."""
-    d = labelled.where("seg_label > 0").withColumn("_alt", arrays.mean(F.col("altitude_array"))).withColumn("segment_id", F.col("seg_label"))
-    known = F.col("_alt").isNotNull()
-    order = F.when(known, F.col("row_no"))
-    return d.groupBy(*KEYS).agg(
-        F.avg("_alt").alias("altitude_seg_agg_mean"), F.stddev_samp("_alt").alias("altitude_seg_agg_std"), (F.max_by("_alt", order) - F.min_by("_alt", order)).alias("altitude_seg_agg_delta"),
-        F.avg("outside_temp").alias("temp_seg_agg_mean"), F.stddev_samp("outside_temp").alias("temp_seg_agg_std"), F.min("outside_temp").alias("temp_seg_agg_min"), F.max("outside_temp").alias("temp_seg_agg_max"),
-    )
+    return segment_table(labelled, ["surroundings"])
 
 
 def trip_level(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -101,11 +145,8 @@ def trip_level(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def all_features(labelled: DataFrame) -> DataFrame:
-    """One row per segment with every feature; all parts are grouped by the same key."""
-    out = outcomes(labelled)
-    for part in (kinematic_features(labelled), stop_features(labelled), surroundings(labelled)):
-        out = out.join(part, KEYS, "left")
-    return reordered(out)
+    """One row per segment with every feature."""
+    return reordered(segment_table(labelled))
 
 
 #: Groups of columns in the order of the output, by what their names hold.

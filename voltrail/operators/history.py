@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from voltrail.functions import scalars
 from voltrail.operators import rows as R
+from voltrail.operators import scan
+from voltrail.sources.stage import staged
 
 KEYS = [R.TRIP, "segment_id"]
 TOTALS = {"distance_seg_actual_km": "distance", "duration_seg_actual_s": "duration", "stops_seg_count": "stops", "stop_duration_seg_agg_s": "stop_duration"}
@@ -87,6 +91,15 @@ def so_far(segments: DataFrame, averages: Sequence[str] = (), residual: str | No
     )
 
 
+#: Directions of the standardised inputs below this share of the largest one's variance are left out of a fit.
+LEAST_DIRECTION = 1e-11
+#: Segments of a trip above which it is evaluated in pieces.
+MOST_SEGMENTS = 50_000
+#: A row that holds all but this share of a column's squares is not subtracted; the others are summed again.
+OWN_SHARE = 1e-7
+STRIP = 1_024
+
+
 def least_squares(x: np.ndarray, y: np.ndarray, at: np.ndarray, alpha: float) -> float:
     """The prediction at one point of a linear fit with a free intercept; alpha: ridge penalty on standardised columns."""
     mean, std = x.mean(0), x.std(0)
@@ -95,42 +108,199 @@ def least_squares(x: np.ndarray, y: np.ndarray, at: np.ndarray, alpha: float) ->
     if alpha:
         w = np.linalg.solve(z.T @ z + alpha * np.eye(z.shape[1]), z.T @ (y - y.mean()))
     else:
-        w = np.linalg.lstsq(z, y - y.mean(), rcond=None)[0]
+        w = np.linalg.lstsq(z, y - y.mean(), rcond=LEAST_DIRECTION**0.5)[0]
     return float(q @ w + y.mean())
 
 
-def _per_trip(columns: Sequence[str], target: str, models: dict[str, float], train_of: Callable[[np.ndarray, int], np.ndarray], least: int, least_variance: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(trip: pd.DataFrame) -> pd.DataFrame:
-        trip = trip.sort_values("segment_id")
-        x, y, ids = trip[list(columns)].to_numpy(float), trip[target].to_numpy(float), trip["segment_id"].to_numpy()
-        whole = ~np.isnan(x).any(1)
-        out = []
-        for k in range(len(ids)):
-            train = train_of(ids, k) & whole & ~np.isnan(y)
-            if not whole[k] or train.sum() < least:
+@dataclass
+class Gram:
+    """How many rows, their mean, and the products of their differences from it."""
+
+    n: int
+    mean: np.ndarray
+    products: np.ndarray
+
+    @classmethod
+    def of(cls, rows: np.ndarray) -> Gram:
+        mean = rows.mean(0) if len(rows) else np.zeros(rows.shape[1])
+        return cls(len(rows), mean, (rows - mean).T @ (rows - mean))
+
+    def __add__(self, other: Gram) -> Gram:
+        n = self.n + other.n
+        if not self.n or not n:
+            return other
+        d = other.mean - self.mean
+        return Gram(n, self.mean + d * (other.n / n), self.products + other.products + np.outer(d, d) * (self.n * other.n / n))
+
+    def added(self, row: np.ndarray) -> Gram:
+        return self + Gram(1, row, np.zeros_like(self.products))
+
+
+def predicted(n: np.ndarray, mean: np.ndarray, products: np.ndarray, at: np.ndarray, alpha: float, least_variance: float) -> np.ndarray:
+    """Predictions at many points, each of a fit of its own from a Gram matrix whose last column is the target; nan where no column varies."""
+    c = at.shape[1]
+    var = np.diagonal(products, axis1=1, axis2=2)[:, :c] / n[:, None]
+    keep = var > least_variance
+    scale = np.where(keep, 1 / np.sqrt(np.where(keep, var, 1)), 0)
+    z = products[:, :c, :c] * scale[:, :, None] * scale[:, None, :]
+    goal = products[:, :c, c] * scale
+    if alpha:
+        w = np.linalg.solve(z + np.eye(c) * alpha, goal[:, :, None])[:, :, 0]
+    else:
+        size, axes = np.linalg.eigh(z)
+        known = size > LEAST_DIRECTION * size[:, -1:]
+        w = ((axes * np.where(known, 1 / np.where(known, size, 1), 0)[:, None, :]) @ (axes.transpose(0, 2, 1) @ goal[:, :, None]))[:, :, 0]
+    out = ((at - mean[:, :c]) * scale * w).sum(1) + mean[:, c]
+    return np.where(keep.any(1), out, np.nan)
+
+
+def _without_each(rows: np.ndarray, total: Gram, elsewhere: Callable[[], Gram]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of `rows`: count, mean and products of `total` (these rows and those `elsewhere`) without it."""
+    n = np.full(len(rows), total.n - 1)
+    d = rows - total.mean
+    share = np.divide(1.0, n, out=np.zeros(len(rows)), where=n > 0)
+    mean = total.mean - d * share[:, None]
+    products = total.products - d[:, :, None] * d[:, None, :] * (total.n * share)[:, None, None]
+    own = np.diagonal(products, axis1=1, axis2=2) < OWN_SHARE * np.diagonal(total.products)
+    rest_of = elsewhere() if own.any() else None
+    for k in np.flatnonzero(own.any(1)).tolist():
+        rest = rest_of + Gram.of(np.delete(rows, k, 0))
+        mean[k], products[k] = rest.mean, rest.products
+    return n, mean, products
+
+
+def _before_each(rows: np.ndarray, train: np.ndarray, start: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each of `rows`: count, mean and products of the training rows before it."""
+    n, mean, products, now = np.zeros(len(rows), int), np.zeros(rows.shape), np.zeros((*rows.shape, rows.shape[1])), start
+    for k in range(len(rows)):
+        n[k], mean[k], products[k] = now.n, now.mean, now.products
+        if train[k]:
+            now = now.added(rows[k])
+    return n, mean, products
+
+
+MODELS = {"linear": 0.0, "ridge": 1.0}
+_HEAD = "n long, mean array<double>, products array<double>"
+
+
+def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Frames of whole runs of (trip, piece), from frames that come sorted by them."""
+    held: pd.DataFrame | None = None
+    for f in frames:
+        f = f if held is None else pd.concat([held, f], ignore_index=True)
+        if not len(f):
+            continue
+        cut = int((_run_numbers(f) != _run_numbers(f)[-1]).sum())
+        if cut:
+            yield f.iloc[:cut].reset_index(drop=True)
+        held = f.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def _run_numbers(f: pd.DataFrame) -> np.ndarray:
+    change = (f[R.TRIP] != f[R.TRIP].shift()) & ~(f[R.TRIP].isna() & f[R.TRIP].shift().isna()) | (f[scan.PIECE] != f[scan.PIECE].shift())
+    return change.cumsum().to_numpy()
+
+
+def _each_run(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Gram, np.ndarray, np.ndarray]]:
+    """Of each run its rows, the Gram matrix of what its header tells of other pieces, their values, and which of them train."""
+    for f in _runs(frames):
+        for _, run in f.groupby(_run_numbers(f), sort=False):
+            head, rows = run[run["n"].notna()], run[run["n"].isna()]
+            if not len(rows):
                 continue
-            keep = x[train].var(0) > least_variance
-            if keep.any():
-                out += [(trip[R.TRIP].iloc[0], int(ids[k]), name, float(y[k]), least_squares(x[train][:, keep], y[train], x[k, keep], a)) for name, a in models.items()]
-        return pd.DataFrame(out, columns=[R.TRIP, "segment_id", "model", "actual", "predicted"])
+            values = np.array(rows["z"].tolist(), float).reshape(len(rows), -1)
+            d = values.shape[1]
+            told = Gram.of(np.zeros((0, d)))
+            if len(head):
+                h = head.iloc[0]
+                told = Gram(int(h["n"]), np.array(h["mean"], float), np.array(h["products"], float).reshape(d, d))
+            yield rows, told, values, ~np.isnan(values).any(1)
+
+
+def _predicting(forward: bool, models: dict[str, float], least: int, least_variance: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def made(rows: pd.DataFrame, values: np.ndarray, n: np.ndarray, mean: np.ndarray, products: np.ndarray) -> Iterator[pd.DataFrame]:
+        ok = ~np.isnan(values[:, :-1]).any(1) & (n >= least)
+        if ok.any():
+            for name, alpha in models.items():
+                out = rows.loc[ok, [R.TRIP, "segment_id"]].assign(model=name, actual=values[ok, -1], predicted=predicted(n[ok], mean[ok], products[ok], values[ok, :-1], alpha, least_variance))
+                yield out[out["predicted"].notna()]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, told, values, train in _each_run(frames):
+            rows = rows.reset_index(drop=True)
+            total = None if forward else told + Gram.of(values[train])
+            for lo in range(0, len(rows), STRIP):
+                part, own = values[lo : lo + STRIP], train[lo : lo + STRIP]
+                if forward:
+                    states = _before_each(part, own, told)
+                    for row in part[own]:
+                        told = told.added(row)
+                else:
+                    n, mean, products = np.full(len(part), total.n), np.tile(total.mean, (len(part), 1)), np.tile(total.products, (len(part), 1, 1))
+                    outside = train.copy()
+                    outside[lo : lo + STRIP] = False
+                    n[own], mean[own], products[own] = _without_each(part[own], total, lambda: told + Gram.of(values[outside]))  # noqa: B023
+                    states = n, mean, products
+                yield from made(rows.iloc[lo : lo + STRIP], part, *states)
 
     return run
 
 
-MODELS = {"linear": 0.0, "ridge": 1.0}
+def _summing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows, _, values, train in _each_run(frames):
+        g = Gram.of(values[train])
+        yield pd.DataFrame({R.TRIP: rows[R.TRIP].iloc[:1], scan.PIECE: rows[scan.PIECE].iloc[:1], "n": g.n, "mean": [g.mean.tolist()], "products": [g.products.ravel().tolist()]})
+
 
+def _carrying(forward: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """For each piece of a trip, what the pieces before it (forward) or all others hold: two scans, so nothing is subtracted."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in _runs(g.assign(**{"_piece": g[scan.PIECE], scan.PIECE: 0}) for g in frames):
+            for _, trip in f.groupby(_run_numbers(f), sort=False):
+                d = len(trip["mean"].iloc[0])
+                own = [Gram(int(n), np.array(m, float), np.array(p, float).reshape(d, d)) for n, m, p in zip(trip["n"], trip["mean"], trip["products"])]
+                none = Gram.of(np.zeros((0, d)))
+                before = list(accumulate(own[:-1], initial=none))
+                after = [none] * len(own) if forward else list(accumulate(reversed(own[1:]), initial=none))[::-1]
+                both = [a + b for a, b in zip(before, after)]
+                yield pd.DataFrame({R.TRIP: trip[R.TRIP], scan.PIECE: trip["_piece"], "n": [g.n for g in both], "mean": [g.mean.tolist() for g in both], "products": [g.products.ravel().tolist() for g in both]})
+
+    return run
 
-def _evaluated(segments: DataFrame, columns: Sequence[str], target: str, run: Callable) -> DataFrame:
-    trip = dict(segments.dtypes)[R.TRIP]
-    rows = segments.select(*KEYS, *columns, target) if target not in columns else segments.select(*KEYS, *columns)
-    return rows.groupBy(R.TRIP).applyInPandas(run, f"trip_id {trip}, segment_id int, model string, actual double, predicted double")
 
+def _evaluated(segments: DataFrame, columns: Sequence[str], target: str, forward: bool, models: dict[str, float], least: int, least_variance: float, most_segments: int) -> DataFrame:
+    trip, segment = dict(segments.dtypes)[R.TRIP], dict(segments.dtypes)["segment_id"]
+    z = F.array(*(F.col(c).cast("double") for c in [*columns, target]))
+    out = f"{R.TRIP} {trip}, segment_id {segment}, model string, actual double, predicted double"
+    keys = [R.TRIP, scan.PIECE]
 
-def leave_one_out(segments: DataFrame, columns: Sequence[str], target: str, models: dict[str, float] = MODELS, least: int = 3, least_variance: float = 1e-3) -> DataFrame:
-    """Each segment predicted by models of the trip's other ones. A trip is one small task; trips are many."""
-    return _evaluated(segments, columns, target, _per_trip(columns, target, models, lambda ids, k: np.arange(len(ids)) != k, least, least_variance))
+    def chain(rows: DataFrame) -> DataFrame:
+        head = [F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("mean", "array<double>"), ("products", "array<double>"))]
+        if scan.PIECE not in rows.columns:
+            dealt = rows.withColumn(scan.PIECE, F.lit(0)).select("*", *head).repartition(R.TRIP).sortWithinPartitions(R.TRIP, "segment_id")
+            return dealt.mapInPandas(_predicting(forward, models, least, least_variance), out)
+        rows = rows.select("*", *head)
+        told = rows.repartition(*keys).sortWithinPartitions(*keys, "segment_id").mapInPandas(_summing, f"{R.TRIP} {trip}, {scan.PIECE} int, {_HEAD}")
+        told = told.repartition(R.TRIP).sortWithinPartitions(*keys).mapInPandas(_carrying(forward), f"{R.TRIP} {trip}, {scan.PIECE} int, {_HEAD}")
+        # a piece's carry is a row before its own ones
+        both = rows.unionByName(told, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, F.col("n").isNull(), "segment_id")
+        return both.mapInPandas(_predicting(forward, models, least, least_variance), out)
+
+    return scan.spread(staged(segments.select(*KEYS, z.alias("z"))), chain, most_segments, ["segment_id"])
+
+
+def leave_one_out(segments: DataFrame, columns: Sequence[str], target: str, models: dict[str, float] = MODELS, least: int = 3, least_variance: float = 1e-3, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+    """Each segment predicted by models of the trip's other ones.
+
+    A trip's rows give one Gram matrix; each row's own part is taken out of it, and all fits are solved in
+    batches: linear in a trip's length. Trips of more than `most_segments` segments are summed in pieces.
+    """
+    return _evaluated(segments, columns, target, False, models, least, least_variance, most_segments)
 
 
-def walk_forward(segments: DataFrame, columns: Sequence[str], target: str, models: dict[str, float] = MODELS, least: int = 3, least_variance: float = 1e-3) -> DataFrame:
-    """Each segment predicted by models of the trip's earlier ones."""
-    return _evaluated(segments, columns, target, _per_trip(columns, target, models, lambda ids, k: np.arange(len(ids)) < k, least, least_variance))
+def walk_forward(segments: DataFrame, columns: Sequence[str], target: str, models: dict[str, float] = MODELS, least: int = 3, least_variance: float = 1e-3, most_segments: int = MOST_SEGMENTS) -> DataFrame:
+    """Each segment predicted by models of the trip's earlier ones: a running Gram matrix, carried from piece to piece of a long trip."""
+    return _evaluated(segments, columns, target, True, models, least, least_variance, most_segments)

@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltrail.operators import metrics, selection
+from voltrail.operators import categories, metrics, selection
 from voltrail.operators import rows as R
+from voltrail.sources.stage import staged
 
 RIDGE = 1.0
 
 
 def regressors(train: DataFrame, target: str, trees: int = 50, depth: int = 8, leaf: int = 5, rounds: int = 100) -> dict[str, object]:
-    """The candidates. The ridge's penalty is scaled so that it is the closed form of penalty RIDGE."""
+    """The candidates. The ridge's penalty is scaled so that it is the closed form of penalty RIDGE; boosting takes texts as ordered target statistics."""
     r = train.agg(F.stddev_pop(target).alias("s"), F.count(target).alias("n")).first()
     common = {"featuresCol": "features", "labelCol": target}
     return {
@@ -28,34 +32,53 @@ def regressors(train: DataFrame, target: str, trees: int = 50, depth: int = 8, l
     }
 
 
-def pipeline(numbers: Sequence[str], texts: Sequence[str], regressor: object) -> Pipeline:
-    """Numbers scaled, texts one-hot (unknown ones as a value of their own)."""
+def pipeline(numbers: Sequence[str], texts: Sequence[str], regressor: object, n: int | None = None) -> Pipeline:
+    """Numbers scaled, texts one-hot (unknown ones as a value of their own). n: the rows to be fitted, for the population's deviation instead of the sample's."""
     stages: list = []
     inputs = []
     if numbers:
         stages += [VectorAssembler(inputCols=list(numbers), outputCol="_numbers", handleInvalid="error"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
         inputs.append("_scaled")
+        if n is not None and n > 1:
+            stages.append(ElementwiseProduct(inputCol="_scaled", outputCol="_standard", scalingVec=Vectors.dense([math.sqrt(n / (n - 1))] * len(numbers))))
+            inputs = ["_standard"]
     if texts:
         stages += [StringIndexer(inputCols=list(texts), outputCols=[f"_{c}_i" for c in texts], handleInvalid="keep"), OneHotEncoder(inputCols=[f"_{c}_i" for c in texts], outputCols=[f"_{c}_v" for c in texts])]
         inputs += [f"_{c}_v" for c in texts]
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), regressor])
 
 
+def fit_ordered(train: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, keys: Sequence[str], regressor: object) -> PipelineModel:
+    """Fits trees on numbers as they are and on texts as ordered target statistics; the model scores with the whole training rows' means."""
+    encoders = categories.encoders(texts, target) if texts else []
+    told = Pipeline(stages=encoders).fit(train)
+    assembled = VectorAssembler(inputCols=[*numbers, *(categories.named(c) for c in texts)], outputCol="features")
+    rows = staged(categories.ordered(train.select(*dict.fromkeys([*keys, *numbers, *texts, target])), texts, target, keys)) if texts else train
+    return PipelineModel(stages=[*told.stages, assembled, regressor.fit(assembled.transform(rows))])
+
+
+def _fit(name: str, train: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, regressor: object, n: int) -> PipelineModel:
+    if name == "boosted":
+        return fit_ordered(train, numbers, texts, target, [c for c in (R.TRIP, "segment_id") if c in train.columns] or list(train.columns), regressor)
+    return pipeline(numbers, texts, regressor, n).fit(train)
+
+
 def fit_all(train: DataFrame, test: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, only: Sequence[str] = (), **sizes: int) -> tuple[dict[str, PipelineModel], DataFrame]:
-    """Fits each candidate on the training rows that are whole, and measures it on the test rows. A failed fit gives a row of nulls and the reason."""
+    """Fits each candidate on the training rows that are whole, and measures it on the test rows. Rows or columns that
+    can't be fitted give a row of nulls and the reason; other failures are raised."""
     used = [*numbers, *texts]
-    train = train.dropna(subset=[*used, target]).cache()
+    train = train.dropna(subset=[*used, target])
+    n = train.count()
     fitted, rows = {}, []
     for name, regressor in regressors(train, target, **sizes).items():
         if only and name not in only:
             continue
         try:
-            fitted[name] = pipeline(numbers, texts, regressor).fit(train)
+            fitted[name] = _fit(name, train, numbers, texts, target, regressor, n)
             m = metrics.regression_metrics(fitted[name].transform(test.dropna(subset=used)), target, "prediction").first()
             rows.append((name, m["mae"], m["rmse"], m["r2"], m["n"], None))
-        except Exception as e:  # one candidate's failure must not end the others
+        except (IllegalArgumentException, ArithmeticException) as e:
             rows.append((name, None, None, None, 0, str(e)[:500]))
-    train.unpersist()
     return fitted, test.sparkSession.createDataFrame(rows, "model string, mae double, rmse double, r2 double, n long, failure string")
 
 
@@ -66,7 +89,8 @@ def importances(model: PipelineModel, rows: DataFrame) -> list[tuple[str, float]
     kinds = model.transform(rows.limit(1)).schema["features"].metadata["ml_attr"]["attrs"]
     names = {x["idx"]: x.get("name", f"features_{x['idx']}") for group in kinds.values() for x in group}
     numbers = next((s.getInputCols() for s in model.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "_numbers"), [])
-    named = {f"_scaled_{k}": c for k, c in enumerate(numbers)}
+    named = {f"{p}_{k}": c for p in ("_scaled", "_standard") for k, c in enumerate(numbers)}
+    named |= {categories.named(c): c for s in model.stages if isinstance(s, StringIndexerModel) for c in s.getInputCols()}
     return sorted(((named.get(names[k], names[k]), v) for k, v in enumerate(values.tolist())), key=lambda x: (-x[1], x[0]))
 
 
@@ -76,14 +100,15 @@ def residual_model(segments: DataFrame, numbers: Sequence[str], texts: Sequence[
     predictions: personal_residual, personal_prediction and personal_error of each whole segment, and is_test;
     errors on the test trips are from before the refit, so they are not measured on rows that were fitted.
     """
-    parts = selection.split_trips(segments, test)
+    parts = staged(selection.split_trips(segments, test))
     train, held = parts.where("not is_test"), parts.where("is_test")
     flat = selection.low_variance(train, numbers)
     numbers = [c for c in numbers if c not in flat]
     numbers = [c for c in numbers if c not in selection.collinear(train, numbers)]
     fitted, table = fit_all(train, held, numbers, texts, residual, only)
     chosen = metrics.best_model(table).first()["model"]
-    final = pipeline(numbers, texts, regressors(parts, residual)[chosen]).fit(parts.dropna(subset=[*numbers, *texts, residual]))
+    whole = parts.dropna(subset=[*numbers, *texts, residual])
+    final = _fit(chosen, whole, numbers, texts, residual, regressors(whole, residual)[chosen], whole.count())
     keep = [c for c in (R.TRIP, "segment_id", outcome, prediction, residual, "is_test") if c in parts.columns]
 
     def scored(rows: DataFrame, model: PipelineModel) -> DataFrame:

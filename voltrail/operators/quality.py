@@ -10,26 +10,28 @@ from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
 from voltrail.operators import rows as R
+from voltrail.operators import scan
 
 DELTAS = ("time_s", "odo_km", "soc_pct", "gps_km", "dist_from_speed_km", "speed_max_internal", "alt_max_internal", "alt_m", "speed_edge", "alt_edge", "energy_kwh")
 
 
 def deltas(df: DataFrame) -> DataFrame:
     """Adds d_ columns; all are null on a trip's first row. The energy needs a battery capacity."""
-    w = R.ordered()
-    speed, alt = F.col("speed_array"), F.col("altitude_array")
-    edge = lambda a: arrays.first(a) - F.lag(arrays.last(a)).over(w)
-    lat, lon = F.col("latitude"), F.col("longitude")
+    speed, alt, lat, lon = (F.col(c) for c in ("speed_array", "altitude_array", "latitude", "longitude"))
+    us = F.unix_micros(F.col(R.TIME).cast("timestamp"))
+    now = {"us": us, "odo": F.col("current_odo"), "soc": F.col("current_soc"), "lat": lat, "lon": lon, "alt": arrays.mean(alt), "speed_end": arrays.last(speed), "alt_end": arrays.last(alt)}
+    placed = scan.over_trips(df, _before=scan.lag(F.struct(*(c.alias(k) for k, c in now.items()))))
+    before = lambda k: F.col(f"_before.{k}")
+    step = lambda k: now[k] - before(k)
     out = {
-        "time_s": R.seconds_step(), "odo_km": R.step("current_odo"), "soc_pct": R.step("current_soc"),
-        "gps_km": scalars.haversine_km(F.lag(lat).over(w), F.lag(lon).over(w), lat, lon),
+        "time_s": step("us") / F.lit(1e6), "odo_km": step("odo"), "soc_pct": step("soc"), "gps_km": scalars.haversine_km(before("lat"), before("lon"), lat, lon),
         "dist_from_speed_km": arrays.total_km(speed), "speed_max_internal": arrays.max_step(speed), "alt_max_internal": arrays.max_step(alt),
-        "alt_m": R.step(arrays.mean(alt)), "speed_edge": edge(speed), "alt_edge": edge(alt),
+        "alt_m": step("alt"), "speed_edge": arrays.first(speed) - before("speed_end"), "alt_edge": arrays.first(alt) - before("alt_end"),
     }
     if "battery_capacity_kwh" in df.columns:
-        out["energy_kwh"] = R.step("current_soc") / 100 * F.col("battery_capacity_kwh")
-    later = F.row_number().over(w) > 1
-    return df.withColumns({f"d_{k}": F.when(later, c) for k, c in out.items()})
+        out["energy_kwh"] = step("soc") / 100 * F.col("battery_capacity_kwh")
+    later = F.col("_before").isNotNull()
+    return placed.withColumns({f"d_{k}": F.when(later, c) for k, c in out.items()}).drop("_before")
 
 
 @dataclass(frozen=True)

@@ -26,7 +26,7 @@ def radii(first: float = FIRST_RADIUS, growth: float = RADIUS_GROWTH, most: floa
 
 
 def precheck(span: DataFrame, gap_seconds: int = 300) -> DataFrame:
-    """Per segment: status (null, or why it can't be matched), and whether gaps split the trace."""
+    """Per segment: points, status (null, or why it can't be matched), and whether gaps split the trace."""
     valid = F.col("latitude").isNotNull() & F.col("longitude").isNotNull() & (F.abs("latitude") < float("inf")) & (F.abs("longitude") < float("inf"))
     us = F.floor(scalars.seconds(F.col(R.TIME))).cast("long")
     points = F.array_sort(F.collect_list(F.struct("row_no", us.alias("t"))))
@@ -34,7 +34,7 @@ def precheck(span: DataFrame, gap_seconds: int = 300) -> DataFrame:
     t = F.transform("p", lambda x: x["t"])
     steps = F.zip_with(F.slice(t, F.lit(2), F.size(t)), F.slice(t, F.lit(1), F.greatest(F.lit(0), F.size(t) - 1)), lambda b, a: b - a)
     bad = (F.col("points") < 2) | (F.col("valid") == 0) | F.exists(steps, lambda x: x <= 0)
-    return d.select(*KEYS, F.when(bad, "InputError_PreCheck").alias("match_status"), F.exists(steps, lambda x: x > gap_seconds).alias("split_gaps"))
+    return d.select(*KEYS, "points", F.when(bad, "InputError_PreCheck").alias("match_status"), F.exists(steps, lambda x: x > gap_seconds).alias("split_gaps"))
 
 
 def matched(segments: DataFrame, routes: DataFrame, tolerance: float = TOLERANCE_PCT, least_m: float = 10.0) -> DataFrame:

@@ -1,8 +1,8 @@
 """Segmentation: stops, gaps, driving blocks cut into segments, anchors, invariants, summaries.
 
 Labels of a row: a segment's number (from 1 in each trip), 0 drive outside a
-segment, -1 stop, -2 gap, -3 stop at a gap. All is windows over one partitioning
-by trip.
+segment, -1 stop, -2 gap, -3 stop at a gap. All is running values over trips, which
+may be cut into pieces (see scan).
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from voltrail.functions import arrays
 from voltrail.operators import rows as R
+from voltrail.operators import scan
 
 MIN_ROWS, FULL_STOP, SEED = 10, 3, 42
 STOP, GAP, STOP_AT_GAP = -1, -2, -3
@@ -28,22 +29,26 @@ def _slow(max_kph: float, low_kph: float, low_share: float) -> Column:
     return (arrays.max_or_inf(a) < max_kph) & (arrays.share_below(a, low_kph) >= low_share)
 
 
-def _still(odo_km: float) -> Column:
-    return F.abs(F.coalesce(R.step("current_odo"), F.lit(0.0))) < odo_km
+def _with_still(df: DataFrame, odo_km: float) -> DataFrame:
+    """_still: the odometer moved less than odo_km since the row before."""
+    moved = F.col("current_odo") - F.col("_odo")
+    return scan.over_trips(df, _odo=scan.lag("current_odo")).withColumn("_still", F.abs(F.coalesce(moved, F.lit(0.0))) < odo_km).drop("_odo")
 
 
 def stop_flags(df: DataFrame, max_kph: float = 2.0, low_kph: float = 0.5, low_share: float = 0.9, odo_km: float = 0.05) -> DataFrame:
     """stop_flag -1 where the whole minute is slow, nearly all of it near standing, and the odometer stands."""
-    return df.withColumn("stop_flag", F.when(_slow(max_kph, low_kph, low_share) & _still(odo_km), STOP).otherwise(0))
+    placed = _with_still(df, odo_km)
+    return placed.withColumn("stop_flag", F.when(_slow(max_kph, low_kph, low_share) & F.col("_still"), STOP).otherwise(0)).drop("_still")
 
 
 def half_stops(df: DataFrame, max_kph: float = 2.0, low_kph: float = 0.5, low_share: float = 0.9, odo_km: float = 0.05) -> DataFrame:
     """Rows at which one or two of the three conditions hold; a trip's first row only where the speed ones disagree."""
     a = F.col("speed_array")
-    low, share, still = arrays.max_or_inf(a) < max_kph, arrays.share_below(a, low_kph) >= low_share, _still(odo_km)
-    n = low.cast("int") + share.cast("int") + still.cast("int")
-    marked = df.withColumns({"conditions": n, "_first": F.row_number().over(R.ordered()) == 1, "_differ": low != share})
-    return marked.where(F.col("conditions").between(1, 2) & (~F.col("_first") | F.col("_differ"))).drop("_first", "_differ")
+    low, share = arrays.max_or_inf(a) < max_kph, arrays.share_below(a, low_kph) >= low_share
+    placed = scan.over_trips(_with_still(df, odo_km), _row=scan.row_no())
+    n = low.cast("int") + share.cast("int") + F.col("_still").cast("int")
+    marked = placed.withColumns({"conditions": n, "_differ": low != share})
+    return marked.where(F.col("conditions").between(1, 2) & ((F.col("_row") > 1) | F.col("_differ"))).drop("_row", "_differ", "_still")
 
 
 def gap_labels(df: DataFrame, gap: str = "is_start_after_gap") -> DataFrame:
@@ -91,53 +96,71 @@ def label_segments(df: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FUL
     drive row, make as many segments of `min_rows` as fit; what is left lengthens
     them at random, the same way for all blocks of one size, whatever it is.
     """
-    w, f = R.ordered(), F.col("stop_flag")
-    d = df.withColumn("row_no", F.row_number().over(w))
-    d = d.withColumn("_edge", F.when(F.coalesce(F.lag(f).over(w) == f, F.lit(False)), 0).otherwise(1)).withColumn("_run", F.sum("_edge").over(R.so_far()))
-    run = Window.partitionBy(R.TRIP, "_run")
-    d = d.withColumn("_hard", (f == STOP_AT_GAP) | ((f == STOP) & (F.count("*").over(run) >= full_stop)))
-    d = d.withColumn("_isl", F.sum((F.col("_hard") | (f == GAP)).cast("int")).over(R.so_far()))
-    block = Window.partitionBy(R.TRIP, "_isl", "_hard")
-    d = d.withColumn("_last", F.max(F.when(f == 0, F.col("row_no"))).over(block))
-    d = d.withColumn("_drv", F.coalesce(~F.col("_hard") & f.isin(0, GAP) & (F.col("row_no") <= F.col("_last")), F.lit(False)).cast("int"))
-    d = d.withColumn("_d", F.sum("_drv").over(block)).withColumn("_ord", F.sum("_drv").over(block.orderBy("row_no")))
+    f, row = F.col("stop_flag"), F.col("row_no")
+    d = scan.over_trips(df, row_no=scan.row_no(), _before=scan.lag("stop_flag"), _rows=scan.whole_sum(F.lit(1)))
+    # runs of equal flags: from the own edge to the next one
+    edge = F.when(~F.coalesce(f == F.col("_before"), F.lit(False)), row)
+    d = scan.over_trips(d, _start=scan.last(edge), _next=scan.following(edge))
+    run = F.coalesce("_next", F.col("_rows") + 1) - F.coalesce(edge, "_start")
+    d = d.withColumn("_hard", (f == STOP_AT_GAP) | ((f == STOP) & (run >= full_stop)))
+    # blocks begin after hard rows and at gap rows; only drive rows are placed, so those before and in a block tell its size
+    drive = ((f == 0) & ~F.col("_hard")).cast("int")
+    d = scan.over_trips(d, _drives=scan.total(drive), _begun=scan.lag("_hard"))
+    begins = F.when(F.col("_begun").isNull() | F.col("_begun") | F.col("_hard") | (f == GAP), F.struct(row.alias("i"), (F.col("_drives") - drive).alias("base"), (f == GAP).cast("int").alias("gap")))
+    d = d.withColumn("_begins", begins)
+    d = scan.over_trips(d, _block=scan.last("_begins"), _after=scan.following("_begins"), _all=scan.most("_drives"))
+    d = d.withColumn("_block", F.coalesce("_begins", "_block"))
+    # a gap row opens its block and counts in it, if drive rows follow
+    driving = F.coalesce("_after.base", "_all") - F.col("_block.base") + F.col("_block.gap")
+    order = F.col("_drives") - F.col("_block.base") + F.col("_block.gap")
     # only drive rows are placed; the split is a seeded draw, which SQL functions can't make
-    d = d.withColumn("_s", _segment_of(min_rows, seed)(F.when(F.col("_drv") == 1, F.col("_d")), F.col("_ord")))
-    key = F.when((f == 0) & F.col("_s").isNotNull(), F.struct(F.col("_isl").alias("i"), F.col("_s").alias("s")))
-    d = d.withColumn("_key", key).withColumn("_in", F.col("_key").isNotNull())
+    d = d.withColumn("_s", _segment_of(min_rows, seed)(F.when((f == 0) & ~F.col("_hard"), driving).cast("int"), order.cast("int")))
+    d = d.withColumn("_key", F.when((f == 0) & F.col("_s").isNotNull(), F.struct(F.col("_block.i").alias("i"), F.col("_s").alias("s"))))
     # segments are numbered where a new one begins, in order of rows
-    d = d.withColumn("_prev", F.last("_key", ignorenulls=True).over(R.before()))
-    d = d.withColumn("_new", F.when(F.col("_in") & ~F.col("_key").eqNullSafe(F.col("_prev")), 1).otherwise(0))
-    d = d.withColumn("seg_label", F.when(F.col("_in"), F.sum("_new").over(R.so_far())).otherwise(f).cast("int"))
+    d = scan.over_trips(d, _prev=scan.last("_key"))
+    d = d.withColumn("_new", (F.col("_key").isNotNull() & ~F.col("_key").eqNullSafe(F.col("_prev"))).cast("int"))
+    d = scan.over_trips(d, _number=scan.total("_new"))
+    d = d.withColumn("seg_label", F.when(F.col("_key").isNotNull(), F.col("_number")).otherwise(f).cast("int"))
     return d.select(*df.columns, "row_no", "seg_label")
 
 
+def _neighbours(labelled: DataFrame, full_stop: int) -> DataFrame:
+    """Around each row: _own, the segment row it is, with the first row of its span, plain or anchored; the last such row before it, the next one after it."""
+    label, row = F.col("seg_label"), F.col("row_no")
+    moving = F.when(label != STOP, F.struct("row_no", "seg_label"))
+    d = scan.over_trips(labelled, _moving=scan.last(moving), _label=scan.last(F.when(label > 0, label)))
+    near = (F.col("_moving.seg_label") == GAP) & (row - F.col("_moving.row_no") - 1 < full_stop)
+    begins = ~F.coalesce(F.col("_label") == label, F.lit(False))
+    own = F.struct(label.alias("segment_id"), row.alias("row_no"), begins.alias("begins"), F.when(begins & near, F.col("_moving.row_no")).otherwise(row).alias("anchor"))
+    d = d.withColumn("_own", F.when(label > 0, own)).drop("_moving")
+    return scan.over_trips(d, _next=scan.following("_own"))
+
+
 def spans(labelled: DataFrame, full_stop: int = FULL_STOP) -> DataFrame:
     """trip_id, segment_id, first_row, last_row, anchor_row.
 
     The anchor is the gap row before the segment, where only a short stop lies between; else the first row.
     """
-    w = R.before()
-    moving = F.when(F.col("seg_label") != STOP, F.struct("row_no", "seg_label"))
-    d = labelled.withColumn("_prior", F.last(moving, ignorenulls=True).over(w))
-    seg = d.where("seg_label > 0").groupBy(R.TRIP, F.col("seg_label").alias("segment_id")).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.min_by("_prior", "row_no").alias("p"))
-    near = (F.col("p.seg_label") == GAP) & (F.col("first_row") - F.col("p.row_no") - 1 < full_stop)
-    return seg.withColumn("anchor_row", F.when(near, F.col("p.row_no")).otherwise(F.col("first_row"))).drop("p")
+    d = _neighbours(labelled, full_stop).where("_own is not null")
+    first = F.when(F.col("_own.begins"), F.col("_own.anchor"))
+    return d.groupBy(R.TRIP, F.col("seg_label").alias("segment_id")).agg(F.min("row_no").alias("first_row"), F.max("row_no").alias("last_row"), F.max(first).alias("anchor_row"))
 
 
 def span_rows(labelled: DataFrame, full_stop: int = FULL_STOP, anchored: bool = False) -> DataFrame:
     """The rows of each segment's span, from its first (or anchor) row to its last, with segment_id.
 
-    Spans of one trip don't overlap, so a row takes the segment whose end comes next, if it has begun.
+    A row lies in a span if it is one of the segment's, if the segment's rows are on both its
+    sides, or if it lies between the anchor and the first row.
     """
-    start = "anchor_row" if anchored else "first_row"
-    s = spans(labelled, full_stop).select(R.TRIP, F.col("last_row").alias("row_no"), F.struct("segment_id", F.col(start).alias("start")).alias("_span"))
-    d = labelled.join(s, [R.TRIP, "row_no"], "left").withColumn("_next", F.first("_span", ignorenulls=True).over(R.onwards()))
-    return d.where(F.col("row_no") >= F.col("_next.start")).withColumn("segment_id", F.col("_next.segment_id")).drop("_span", "_next")
+    d = _neighbours(labelled, full_stop)
+    inside = F.when(F.col("_next.segment_id") == F.col("_label"), F.col("_label"))
+    ahead = F.when(F.col("_next.begins") & (F.col("row_no") >= F.col("_next.anchor")), F.col("_next.segment_id")) if anchored else F.lit(None).cast("int")
+    d = d.withColumn("segment_id", F.coalesce("_own.segment_id", inside, ahead))
+    return d.where("segment_id is not null").drop("_own", "_next", "_label")
 
 
-def rule_violations(labelled: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FULL_STOP) -> DataFrame:
-    """trip_id, segment_id, rule for every broken invariant of a segment's anchored span."""
+def rule_violations(labelled: DataFrame, min_rows: int = MIN_ROWS, full_stop: int = FULL_STOP, most_rows: int | None = None) -> DataFrame:
+    """trip_id, segment_id, rule for every broken invariant of a segment's anchored span; most_rows: driving rows, 2 * min_rows - 1 if not given."""
     d = span_rows(labelled, full_stop, anchored=True)
     seg = Window.partitionBy(R.TRIP, "segment_id")
     inner = seg.orderBy("row_no")
@@ -151,7 +174,7 @@ def rule_violations(labelled: DataFrame, min_rows: int = MIN_ROWS, full_stop: in
     inside = F.col("gaps") - F.col("at_start").isin(GAP, STOP_AT_GAP).cast("int")
     broken = {
         "start": F.col("at_start").isin(STOP, STOP_AT_GAP), "end": F.col("at_end") < 0, "inside_gap": inside > 0,
-        "too_short": F.col("driving") < min_rows, "too_long": F.col("driving") > 2 * min_rows - 1, "full_stop": F.col("run") >= full_stop,
+        "too_short": F.col("driving") < min_rows, "too_long": F.col("driving") > (2 * min_rows - 1 if most_rows is None else most_rows), "full_stop": F.col("run") >= full_stop,
     }
     rules = F.filter(F.array(*(F.when(c, F.lit(k)) for k, c in broken.items())), lambda x: x.isNotNull())
     return agg.select(R.TRIP, "segment_id", F.explode(rules).alias("rule"))
@@ -203,4 +226,4 @@ def longest_span(labelled: DataFrame) -> DataFrame:
 
 def at_least_segments(labelled: DataFrame, n: int) -> DataFrame:
     """Rows of trips whose highest label is at least n."""
-    return labelled.withColumn("_most", F.max("seg_label").over(R.whole())).where(F.col("_most") >= n).drop("_most")
+    return scan.over_trips(labelled, _most=scan.most("seg_label")).where(F.col("_most") >= n).drop("_most")

@@ -91,11 +91,6 @@ def agg_corr_target(spark: SparkSession, d: str) -> DataFrame:
     return metrics.target_correlations(predictions(spark, d), _C, "outcome")
 
 
-@query("feature:s r:d", f"{_PREDICTED}, u as (" + " union all ".join(f"select '{c}' as feature, corr({c}, outcome) as r from pp" for c in _C) + "), q as (select * from u order by r desc nulls last, feature limit 2)")
-def topk_importance(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.target_correlations(predictions(spark, d), _C, "outcome").limit(2)
-
-
 @query("model:s mae:d", f"{_PREDICTED}, m as (select 'base' as model, avg(abs(base_error)) as mae from pp union all select 'other', avg(abs(other_error)) from pp), q as (select * from m order by mae, model limit 1)")
 def agg_best(spark: SparkSession, d: str) -> DataFrame:
     p = predictions(spark, d)
@@ -141,6 +136,27 @@ def wf_eval(spark: SparkSession, d: str) -> DataFrame:
     return history.walk_forward(small(spark, d), _NUMBERS, "gt_soc_seg_delta")
 
 
+def _line_sql(over: str) -> str:
+    """Predictions from one input by the rows of a window: a line, and the line with a ridge penalty of 1 on the standardised input."""
+    x, y = "distance_seg_actual_km", "gt_soc_seg_delta"
+    return f"""{SMALL_SQL}, f as (select trip_id, segment_id, {x} as x, {y} as y, count(*) over {over} as n, avg({x}) over {over} as mx, avg({y}) over {over} as my, var_pop({x}) over {over} as v, covar_pop({x}, {y}) over {over} as c from sm),
+  q as (select trip_id, segment_id, m as model, y as actual, my + c / v * (x - mx) * case when m = 'ridge' then n / (n + 1.0::double) else 1 end as predicted from f, (values ('linear'), ('ridge')) k(m) where n >= 3 and v > 1e-3)"""
+
+
+_LINE = "trip_id:i segment_id:i model:s actual:d predicted:d"
+
+
+@query(_LINE, _line_sql("(partition by trip_id rows between unbounded preceding and unbounded following exclude current row)"))
+def loso_line(spark: SparkSession, d: str) -> DataFrame:
+    return history.leave_one_out(small(spark, d), ["distance_seg_actual_km"], "gt_soc_seg_delta")
+
+
+@query(_LINE, _line_sql("(partition by trip_id order by segment_id rows between unbounded preceding and 1 preceding)"))
+def wf_line(spark: SparkSession, d: str) -> DataFrame:
+    """The same forward, each trip of more than three segments in pieces."""
+    return history.walk_forward(small(spark, d), ["distance_seg_actual_km"], "gt_soc_seg_delta", most_segments=3)
+
+
 _TEXTS = ["manufacturer_trip", "car_model_trip"]
 
 
@@ -164,6 +180,18 @@ def lgr_eval(spark: SparkSession, d: str) -> DataFrame:
     return models.residual_model(whole, columns, _TEXTS, "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta")[0]
 
 
+_PAIR = ("distance_seg_actual_km", "duration_seg_actual_s")
+
+
+@query("feature:s importance:d", f"""{SMALL_SQL}, c as (select corr({_PAIR[0]}, gt_soc_seg_delta) as r1, corr({_PAIR[1]}, gt_soc_seg_delta) as r2, corr({_PAIR[0]}, {_PAIR[1]}) as r, stddev_pop(gt_soc_seg_delta) as s from sm),
+  u as (select '{_PAIR[0]}' as feature, abs((r1 - r2 * r) / (1 - r * r) * s) as importance from c union all select '{_PAIR[1]}', abs((r2 - r1 * r) / (1 - r * r) * s) from c), q as (select * from u order by importance desc, feature limit 2)""")
+def topk_importance(spark: SparkSession, d: str) -> DataFrame:
+    """The two most important inputs of a fitted linear model: sizes of coefficients of standardised inputs."""
+    seg = staged(small(spark, d).select(*history.KEYS, *_PAIR, "gt_soc_seg_delta").dropna())
+    fitted = models.pipeline(_PAIR, [], models.regressors(seg, "gt_soc_seg_delta")["linear"], seg.count()).fit(seg)
+    return spark.createDataFrame(models.importances(fitted, seg)[:2], "feature string, importance double")
+
+
 @query("trip_id:i segment_id:i global_pred_soc_seg_delta:d residual_error_soc_seg_delta:d", f"""{SMALL_SQL}, fit as (select regr_slope(gt_soc_seg_delta, distance_seg_actual_km) as k, regr_intercept(gt_soc_seg_delta, distance_seg_actual_km) as b from sm),
   told as (select trip_id, segment_id, gt_soc_seg_delta, case when distance_seg_actual_km is not null then k * distance_seg_actual_km + b end as global_pred_soc_seg_delta from sm, fit), q as (select *, gt_soc_seg_delta - global_pred_soc_seg_delta as residual_error_soc_seg_delta from told)""")
 def feat_global(spark: SparkSession, d: str) -> DataFrame:
@@ -187,7 +215,7 @@ def prep_xy(spark: SparkSession, d: str) -> DataFrame:
   q as (select * from sm join kf using (trip_id, segment_id) join af using (trip_id, segment_id))""",
 )
 def feat_reorder(spark: SparkSession, d: str) -> DataFrame:
-    return features.all_features(staged(labels(spark, d)))
+    return features.all_features(labels(spark, d))
 
 
 @query("trip_id:i segment_id:i outcome:d base_error:d", f"{_PREDICTED}, q as (select trip_id, src_row_id as segment_id, outcome, try_cast(case when src_row_id % 41 = 0 then 'n/a' else base_error::varchar end as double) as base_error from pp)")
@@ -200,5 +228,5 @@ def eval_validate(spark: SparkSession, d: str) -> DataFrame:
 @query("feature:s importance:d")
 def model_importance(spark: SparkSession, d: str) -> DataFrame:
     """Inputs of the best of the four candidates by importance (or size of coefficient), numbers and one-hot texts, on all segments."""
-    best, fitted, train = _global(features.outcomes(staged(labels(spark, d))))
+    best, fitted, train = _global(features.outcomes(labels(spark, d)))
     return spark.createDataFrame(models.importances(fitted[best], train), "feature string, importance double")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltrail.functions import arrays, scalars
+from voltrail.functions import arrays, cells, scalars
 from voltrail.operators import clean, places, quality, sequences
 from voltrail.operators import rows as R
 from voltrail.plans.registry import query
 from voltrail.plans.telemetry import TELEMETRY_SQL, telemetry
-from voltrail.sources import reference
+from voltrail.sources import files, reference
+from voltrail.sources.stage import shared_dir
 
 T = TELEMETRY_SQL
 W = "(partition by trip_id order by t_us, src_row_id)"
@@ -296,11 +300,28 @@ def hourly_weather(spark: SparkSession, d: str) -> DataFrame:
     return places.suspect_temperatures(places.hourly_weather(t, hours))
 
 
-@query("trip_id:i latitude:d longitude:d", f"{T}, q as (select trip_id, latitude, longitude from t where latitude is not null and longitude is not null and not (latitude > 41 and latitude < 46 and longitude > 3 and longitude < 7))")
+#: Made-up outlines: two countries, one with a hole, and a triangle.
+_SHAPES = {
+    "X": [[(3.0, 41.0), (7.0, 41.0), (7.0, 46.0), (3.0, 46.0)], [(4.0, 43.0), (6.0, 43.0), (6.0, 44.5), (4.0, 44.5)]],
+    "Y": [[(7.3, 42.0), (9.0, 42.25), (7.5, 48.0)]],
+}
+_SIDES_SQL = "sides(p, x1, y1, x2, y2) as (values " + ", ".join(f"('{k}', {a}::double, {b}::double, {c}::double, {e}::double)" for k, rings in _SHAPES.items() for r in rings for (a, b), (c, e) in zip(r, [*r[1:], r[0]])) + ")"
+_IN_SQL = f"""{_SIDES_SQL}, placed as (select distinct latitude as y, longitude as x from t where latitude is not null and longitude is not null),
+  hits as (select p, x, y, count(*) filter ((y1 > y) <> (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1 as inside from placed, sides group by 1, 2, 3), held as (select x, y, bool_or(inside) as inside from hits group by 1, 2)"""
+_K = f"{places.METRES_A_DEGREE!r}::double"
+_NEAR_SQL = f"""gaps as (select x, y, (x1 - x) * cos(radians(y)) as ax, y1 - y as ay, (x2 - x) * cos(radians(y)) as bx, y2 - y as "by" from placed, sides),
+  feet as (select x, y, ax, ay, bx - ax as dx, "by" - ay as dy, greatest(0.0::double, least(1.0::double, -(ax * (bx - ax) + ay * ("by" - ay)) / ((bx - ax) * (bx - ax) + ("by" - ay) * ("by" - ay)))) as u from gaps),
+  near as (select x, y, min(sqrt((ax + u * dx) * (ax + u * dx) + (ay + u * dy) * (ay + u * dy))) * {_K} as m from feet group by 1, 2)"""
+
+
+def outlines(spark: SparkSession) -> DataFrame:
+    rows = [(k, [[{"lon": a, "lat": b} for a, b in r] for r in rings]) for k, rings in _SHAPES.items()]
+    return spark.createDataFrame(rows, "country string, rings array<array<struct<lon:double,lat:double>>>")
+
+
+@query("trip_id:i latitude:d longitude:d", f"{T}, {_IN_SQL}, {_NEAR_SQL}, q as (select trip_id, latitude, longitude from t join held on latitude = held.y and longitude = held.x join near on near.x = held.x and near.y = held.y where not inside and m > 1000)")
 def outside_area(spark: SparkSession, d: str) -> DataFrame:
-    ring = [(3.0, 41.0), (7.0, 41.0), (7.0, 46.0), (3.0, 46.0)]
-    area = spark.createDataFrame([("X", [[{"lon": a, "lat": b} for a, b in ring]])], "country string, rings array<array<struct<lon:double,lat:double>>>")
-    return places.outside_area(telemetry(spark, d), area)
+    return places.outside_area(telemetry(spark, d), places.index(outlines(spark), buffer_m=1_000))
 
 
 @query("src_row_id:i current_soc:d outside_temp:d latitude:d", f"{T}, q as (select src_row_id, current_soc, outside_temp, latitude from t)")
@@ -325,9 +346,70 @@ def fn_fmt(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("told", scalars.coordinates(F.array(point(F.col("longitude"), F.col("latitude")), point(F.lit(2.3522), F.lit(48.8566)))))
 
 
-@query("src_row_id:i land:b", f"{T}, q as (select src_row_id, latitude > 41 and latitude < 46 and longitude > 3 and longitude < 7 as land from t where latitude is not null and longitude is not null)")
+@query("src_row_id:i land:b", f"{T}, {_IN_SQL}, q as (select src_row_id, inside as land from t join held on latitude = y and longitude = x)")
 def on_land(spark: SparkSession, d: str) -> DataFrame:
-    ring = [(3.0, 41.0), (7.0, 41.0), (7.0, 46.0), (3.0, 46.0)]
-    area = spark.createDataFrame([("X", [[{"lon": a, "lat": b} for a, b in ring]])], "country string, rings array<array<struct<lon:double,lat:double>>>")
     placed = telemetry(spark, d).where("latitude is not null and longitude is not null")
-    return placed.withColumn("land", places.on_land(F.col("latitude"), F.col("longitude"), area))
+    return places.on_land(placed, places.index(outlines(spark)))
+
+
+_DIGITS = [f"(src_row_id * {2 * r + 3} // {r + 2}) % {7 if r % 5 else 6}" for r in range(1, 16)]
+_BASE, _RES = "src_row_id * 7 % 122", "src_row_id % 16"
+#: Cell indexes of all resolutions and base cells; some have a digit too many, a few are of another kind.
+_CELL = f"case when src_row_id % 31 = 0 then 1 else 576460752303423488 end + ({_RES}) * 4503599627370496 + ({_BASE}) * 35184372088832" + "".join(
+    f" + case when {r} <= {_RES} and not (src_row_id % 29 = 0 and {r} = 2) then {d} else 7 end * {1 << 3 * (15 - r)}" for r, d in enumerate(_DIGITS, 1)
+)
+
+
+def _cells_sql() -> str:
+    base = ", ".join(f"({k}, {f}, {a}, {b}, {str(p).lower()})" for k, (f, a, b, p) in enumerate(cells.BASE_CELLS))
+    steps = [*cells.STEPS, *cells.TURNED]
+    column = lambda rows, k: "[" + ", ".join(str(r[k]) for r in rows) + "]"
+    reals = lambda k: "[" + ", ".join(f"{f[k]!r}::double" for f in cells.FACES) + "]"
+    names = ["g", "m1", "m2", "m3", "m4", "t1", "t2"]
+    tables = ", ".join([*(f"{column(cells.CROSSINGS, k)} as {n}" for k, n in enumerate(names)), f"{column(steps, 0)} as sa, {column(steps, 1)} as sb, {reals(0)} as la, {reals(1)} as lo, {reals(2)} as ax"])
+    digits = ", ".join(f"(h >> {3 * (15 - r)}) & 7" for r in range(1, 16))
+    finer = lambda odd, a, b: f"{{'a': case when {odd} then 2 * {a} + {b} else 3 * {a} - {b} end, 'b': case when {odd} then 3 * {b} - {a} else {a} + 2 * {b} end}}"
+    step = f"{{'a': case when d.a % 2 = 1 then 2 * s.a + s.b else 3 * s.a - s.b end + sa[d.b + 1], 'b': case when d.a % 2 = 1 then 3 * s.b - s.a else s.a + 2 * s.b end + sb[d.b + 1]}}"
+    low = "least(s.a, s.b, 0)"
+    edge = f"case when {low} = 0 then 0 when s.b = {low} then 1 else 2 end"
+    bent = f"(pent and lead = 4 and s.n = 0 and {edge} = 1)"
+    pa, pb = f"case when {bent} then 2 * unit + s.b else s.a end", f"case when {bent} then s.b - (s.a - 2 * unit) else s.b end"
+    i = f"s.f * 3 + {edge} + 1"
+    crossed = f"{{'f': g[{i}], 'a': m1[{i}] * ({pa}) + m2[{i}] * ({pb}) + t1[{i}] * unit, 'b': m3[{i}] * ({pa}) + m4[{i}] * ({pb}) + t2[{i}] * unit, 'n': s.n + 1}}"
+    return f"""bases(base, f0, a0, b0, pent) as (values {base}), k as (select {tables}),
+  c1 as (select src_row_id, {_CELL} as h from t), c2 as (select *, (h >> 52) & 15 as res, (h >> 45) & 127 as base, [{digits}] as digits from c1),
+  c3 as (select c2.*, f0, a0, b0, coalesce(pent, false) as pent, coalesce(list_filter(digits[1:res], lambda x: x <> 0)[1], 0) as lead, pow(7, (res + 1) // 2)::bigint as unit from c2 left join bases using (base)),
+  c4 as (select *, (h >> 56) = 8 and base < 122 and len(list_filter(digits[1:res], lambda x: x = 7)) = 0 and len(list_filter(digits[res + 1:], lambda x: x <> 7)) = 0 and not (pent and lead = 1) as valid from c3),
+  c5 as (select *, list_reduce(list_prepend({{'a': a0::bigint, 'b': b0::bigint}}, [{{'a': r, 'b': digits[r] + case when pent and lead = 5 then 8 else 0 end}} for r in range(1, res + 1)]), lambda s, d: {step}) as w from c4, k where valid),
+  c6 as (select *, case when res % 2 = 1 then {finer("false", "w.a", "w.b")} else w end as v from c5),
+  c7 as (select *, list_reduce(list_prepend({{'f': f0::bigint, 'a': v.a, 'b': v.b, 'n': 0::bigint}}, [{{'f': 0::bigint, 'a': 0::bigint, 'b': 0::bigint, 'n': z}} for z in range(0, 6)]),
+    lambda s, d: case when s.a + s.b - 3 * {low} > 2 * unit and (pent or s.n = 0) then {crossed} else s end) as o from c6),
+  c8 as (select *, (o.a - o.b / 2.0::double) / unit as x, o.b * (sqrt(3.0::double) / 2) / unit as y, la[o.f + 1] as lat0, lo[o.f + 1] as lon0, ax[o.f + 1] as axis from c7),
+  c9 as (select *, atan(sqrt(x * x + y * y) * {cells.UNIT!r}::double) as dist, axis - atan2(y, x) as az from c8), c10 as (select *, sin(lat0) * cos(dist) + cos(lat0) * sin(dist) * cos(az) as up from c9),
+  c11 as (select src_row_id, degrees(asin(greatest(-1.0::double, least(1.0::double, up)))) as latitude, degrees(lon0 + atan2(sin(az) * sin(dist) * cos(lat0), cos(dist) - sin(lat0) * up)) + 180 as east from c10),
+  q as (select src_row_id, latitude, east - 360 * floor(east / 360) - 180 as longitude from c4 left join c11 using (src_row_id))"""
+
+
+@query("src_row_id:i latitude:d longitude:d", f"{T}, {_cells_sql()}")
+def fn_h3(spark: SparkSession, d: str) -> DataFrame:
+    t = telemetry(spark, d).withColumn("h", F.expr(_CELL.replace("//", "div")))
+    return t.select("src_row_id", cells.cell_center(F.col("h")).alias("p")).select("src_row_id", "p.*")
+
+
+_KINDS = ("parquet", "csv", "json", "text")
+
+
+@query("kind:s src_row_id:i outside_temp:d message_session_id:s", f"{T}, q as (select kind, src_row_id, outside_temp, message_session_id from t, (values ('parquet'), ('csv'), ('json')) k(kind) union all select 'text', src_row_id, null, message_session_id from t)")
+def io_formats(spark: SparkSession, d: str) -> DataFrame:
+    """A table written and read again in each format; text holds one column, here both of its values."""
+    t = telemetry(spark, d).select("src_row_id", "outside_temp", "message_session_id")
+    at, out = f"{shared_dir(spark)}/formats-{uuid.uuid4().hex}", []
+    for kind in _KINDS:
+        files.save(t.select(F.concat_ws(" ", "src_row_id", "message_session_id").alias("line")) if kind == "text" else t, f"{at}/t.{kind}", kind)
+        if kind == "text":
+            words = F.split("value", " ")
+            back = spark.read.text(f"{at}/t.text").select(words[0].cast("long").alias("src_row_id"), F.lit(None).cast("double").alias("outside_temp"), words[1].alias("message_session_id"))
+        else:
+            back = files.load(spark, f"{at}/t.{kind}", t.schema)
+        out.append(back.withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays
-from voltrail.operators import clean, features, history, metrics, routes, segments, sequences, windows
+from voltrail.operators import features, history, metrics, routes, scan, segments, sequences, windows
 from voltrail.operators import rows as R
 from voltrail.plans.registry import query
 from voltrail.plans.rows import GAPS, T, W
@@ -87,6 +87,13 @@ def seg_label(spark: SparkSession, d: str) -> DataFrame:
     return labels(spark, d)
 
 
+@query("trip_id:i row_no:i seg_label:i", f"{_LABELS}, q as (select * from l9)")
+def scan_label(spark: SparkSession, d: str) -> DataFrame:
+    """The same labels by trips in pieces: the table cut into 64 ranges of trip and time."""
+    cut = scan.pieces(telemetry(spark, d), 64)
+    return segments.label_segments(segments.gap_labels(segments.stop_flags(sequences.gap_flags(cut))), MIN_ROWS, FULL_STOP)
+
+
 @query("in_segment:i unsegmented:i stops:i gaps:i stops_at_gap:i", f"{_LABELS}, q as (select count(*) filter (seg_label > 0) as in_segment, count(*) filter (seg_label = 0) as unsegmented, count(*) filter (seg_label = -1) as stops, count(*) filter (seg_label = -2) as gaps, count(*) filter (seg_label = -3) as stops_at_gap from l9)")
 def seg_summary(spark: SparkSession, d: str) -> DataFrame:
     return segments.label_summary(labels(spark, d))
@@ -111,7 +118,7 @@ _SPANS = f"""{_LABELS}, b1 as (select trip_id, seg_label as segment_id, min(row_
 
 @query("trip_id:i segment_id:i first_row:i last_row:i anchor_row:i", f"{_SPANS}, q as (select * from sp)")
 def seg_anchor(spark: SparkSession, d: str) -> DataFrame:
-    return segments.spans(staged(labels(spark, d)), FULL_STOP)
+    return segments.spans(labels(spark, d), FULL_STOP)
 
 
 @query("trip_id:i segment_id:i span_rows:i", f"{_SPANS}, q as (select trip_id, segment_id, last_row - first_row + 1 as span_rows from sp order by 3 desc, 1, 2 limit 1)")
@@ -124,11 +131,7 @@ def seg_max(spark: SparkSession, d: str) -> DataFrame:
    union all select trip_id, segment_id, 'too_short' from r1 where drv < {MIN_ROWS} union all select trip_id, segment_id, 'too_long' from r1 where drv > {2 * MIN_ROWS - 2})""")
 def seg_rules(spark: SparkSession, d: str) -> DataFrame:
     # a limit one tighter than the invariant's, so that rows come out; no span holds a full stop
-    lab = staged(labels(spark, d))
-    broken = segments.rule_violations(lab, MIN_ROWS, FULL_STOP).where("rule <> 'too_long'")
-    span = segments.span_rows(lab, FULL_STOP, anchored=True)
-    long = span.groupBy(R.TRIP, "segment_id").agg(F.count_if(F.col("seg_label").isin(0, -2) | (F.col("seg_label") > 0)).alias("n")).where(F.col("n") > 2 * MIN_ROWS - 2)
-    return broken.unionByName(long.select(R.TRIP, "segment_id", F.lit("too_long").alias("rule")))
+    return segments.rule_violations(labels(spark, d), MIN_ROWS, FULL_STOP, most_rows=2 * MIN_ROWS - 2)
 
 
 _OUT = """o as (select trip_id, segment_id, arg_min(current_soc, row_no) as soc_seg_start, arg_max(current_soc, row_no) as soc_seg_end, arg_min(current_odo, row_no) as odo_seg_start, arg_max(current_odo, row_no) as odo_seg_end,
@@ -138,7 +141,7 @@ _OUT = """o as (select trip_id, segment_id, arg_min(current_soc, row_no) as soc_
 
 @query("trip_id:i segment_id:i soc_seg_start:d soc_seg_end:d gt_soc_seg_delta:d distance_seg_actual_km:d duration_seg_actual_s:d weight_trip_kg:d", f"{_SPANS}, {_OUT}, q as (select * from oo)")
 def feat_outcome(spark: SparkSession, d: str) -> DataFrame:
-    return features.outcomes(staged(labels(spark, d)))
+    return features.outcomes(labels(spark, d))
 
 
 _SEG = "(partition by trip_id, segment_id order by row_no)"
@@ -156,13 +159,13 @@ _KIN = f"""k0 as (select *, (t_us - lag(t_us) over {_SEG}) / 1e6 as raw, list_av
   avg(abs(j)) as jerk_abs_seg_agg_mean, stddev_samp(abs(j)) as jerk_abs_seg_agg_std, max(abs(j)) as jerk_abs_seg_agg_max, count(*) filter (a >= 0.1) as accel_high_event_count, count(*) filter (a <= -0.1) as decel_high_event_count from k6 group by 1, 2)""",
 )
 def feat_kinematics(spark: SparkSession, d: str) -> DataFrame:
-    return features.kinematic_features(staged(labels(spark, d)), harsh=0.1)
+    return features.kinematic_features(labels(spark, d), harsh=0.1)
 
 
 @query("trip_id:i segment_id:i stops_seg_count:i stop_duration_seg_agg_s:d", f"""{_SPANS}, {_KIN}, b as (select *, case when seg_label = -1 and coalesce(lag(seg_label) over {_SEG}, 0) <> -1 then 1 else 0 end as begins from k2),
   q as (select trip_id, segment_id, sum(begins) as stops_seg_count, coalesce(sum(dt2) filter (seg_label = -1), 0) as stop_duration_seg_agg_s from b group by 1, 2)""")
 def feat_stops(spark: SparkSession, d: str) -> DataFrame:
-    return features.stop_features(staged(labels(spark, d)))
+    return features.stop_features(labels(spark, d))
 
 
 @query("trip_id:i segment_id:i altitude_seg_agg_mean:d altitude_seg_agg_std:d altitude_seg_agg_delta:d temp_seg_agg_mean:d temp_seg_agg_std:d temp_seg_agg_min:d temp_seg_agg_max:d", f"""{_LABELS}, a as (select *, list_avg(altitude_array) as alt, seg_label as segment_id from l9 where seg_label > 0),
@@ -173,8 +176,7 @@ def feat_alt_temp(spark: SparkSession, d: str) -> DataFrame:
 
 def small(spark: SparkSession, d: str) -> DataFrame:
     """Outcome and stop columns of segments."""
-    lab = staged(labels(spark, d))
-    return features.outcomes(lab).join(features.stop_features(lab), features.KEYS)
+    return features.segment_table(labels(spark, d), ["outcomes", "stops"])
 
 
 SMALL_SQL = f"""{_SPANS}, {_OUT}, {_KIN}, sb as (select *, case when seg_label = -1 and coalesce(lag(seg_label) over {_SEG}, 0) <> -1 then 1 else 0 end as begins from k2),
@@ -224,14 +226,14 @@ def agg_possible(spark: SparkSession, d: str) -> DataFrame:
   u as (select *, unnest(range(0, len(kph) // 1 - 29, 15)) as start_sample from f where len(kph) >= 30), v as (select trip_id, seg_id, start_sample // 15 as win_id, start_sample, [case when i > 1 then (kph[i] - kph[i - 1]) * 1000 / 3600 end for i in range(start_sample + 1, start_sample + 31)] as a from u),
   q as (select trip_id, seg_id, win_id, start_sample, list_sum(a) as accel_sum, a[3] as accel_at_3 from v)""")
 def windows30(spark: SparkSession, d: str) -> DataFrame:
-    w = windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP))
+    w = windows.windows(windows.signals(labels(spark, d), FULL_STOP))
     total = F.aggregate(arrays.present(F.col("accel")), F.lit(0.0), lambda s, x: s + x)
     return w.withColumns({"accel_sum": total, "accel_at_3": F.try_element_at("accel", F.lit(3))})
 
 
 @query("trip_id:i seg_id:i win_id:i b_trip_id:i b_seg_id:i b_win_id:i label:i")
 def self_pair(spark: SparkSession, d: str) -> DataFrame:
-    return windows.pairs(windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP)))
+    return windows.pairs(windows.windows(windows.signals(labels(spark, d), FULL_STOP)))
 
 
 _ROUTES = "rt as (select trip_id, segment_id, attempt, case when segment_id % 7 = 0 then 'NoMatch' else 'Ok' end as code, case when segment_id % 7 <> 0 then distance_seg_actual_km * 1000 * (1.3 - attempt * 0.08) end as distance from oo, (values (1), (2), (3), (4)) a(attempt) where segment_id % 5 <> 0)"
@@ -242,7 +244,7 @@ _ROUTES = "rt as (select trip_id, segment_id, attempt, case when segment_id % 7
   n as (select *, row_number() over (partition by trip_id, segment_id order by st not in ('OK_InTolerance', 'OK_OdoTooSmall'), case when st in ('OK_InTolerance', 'OK_OdoTooSmall') then attempt else -attempt end) as n from j),
   q as (select trip_id, segment_id, st as match_status, coalesce(attempt, 0) as match_attempts, distance as matched_route_distance_m, [25.0, 37.5, 56.25, 84.375][attempt] as final_match_radius_m from n where n = 1)""")
 def route_match(spark: SparkSession, d: str) -> DataFrame:
-    seg = features.outcomes(staged(labels(spark, d)))
+    seg = staged(features.outcomes(labels(spark, d)))
     tries = F.explode(F.array(*map(F.lit, range(1, 5))))
     odo = F.col("distance_seg_actual_km") * 1000
     rt = seg.where("segment_id % 5 <> 0").select(*routes.KEYS, odo.alias("_m"), tries.alias("attempt")).select(
@@ -254,15 +256,13 @@ def route_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trip_id:i segment_id:i points:i bad:b split_gaps:b", f"""{_SPANS}, w as (select *, (t_us // 1000000) - lag(t_us // 1000000) over {_SEG} as st from x), q as (select trip_id, segment_id, count(*) as points, count(*) < 2 or count(*) filter (latitude is null or longitude is null) > 0 or count(*) filter (st <= 0) > 0 as bad, count(*) filter (st > 300) > 0 as split_gaps from w group by 1, 2)""")
 def match_precheck(spark: SparkSession, d: str) -> DataFrame:
-    span = segments.span_rows(staged(labels(spark, d)))
-    points = span.groupBy(*routes.KEYS).agg(F.count("*").alias("points"))
-    return routes.precheck(span).join(points, routes.KEYS).withColumn("bad", F.col("match_status").isNotNull())
+    return routes.precheck(segments.span_rows(labels(spark, d))).withColumn("bad", F.col("match_status").isNotNull())
 
 
 @query("trip_id:i segment_id:i over_pct:d limit_kph:d", f"""{_SPANS}, {_OUT}, p as (select trip_id, segment_id, i, 10 + i as dur, 8 + i * 2 as lim, 30 + segment_id * 3 as act from oo, range(4) r(i)),
   q as (select trip_id, segment_id, 100.0 * coalesce(sum(dur) filter (act > lim * 3.6), 0) / sum(dur) as over_pct, sum(dur * lim * 3.6) / sum(dur) as limit_kph from p group by 1, 2)""")
 def speeding(spark: SparkSession, d: str) -> DataFrame:
-    seg = features.outcomes(staged(labels(spark, d))).select(*routes.KEYS)
+    seg = features.outcomes(labels(spark, d)).select(*routes.KEYS)
     leg = lambda i: F.struct(F.struct(F.array(10.0 + i).alias("duration"), F.array(8.0 + i * 2).alias("speed")).alias("annotation"))
     seg = seg.withColumn("legs", F.transform(F.sequence(F.lit(0), F.lit(3)), leg)).withColumn("kph", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(30.0) + F.col("segment_id") * 3))
     over, limit = routes.speeding(F.col("legs"), F.col("kph"))
@@ -288,14 +288,14 @@ def _at(i: str) -> str:
   v as (select *, [case when i > 1 then (kph[i] - kph[i - 1]) * 1000 / 3600 end for i in range(start_sample + 1, start_sample + 31)] as a, [case when i > 1 then {_at("i")} - {_at("(i - 1)")} end for i in range(start_sample + 1, start_sample + 31)] as r from u),
   q as (select trip_id, seg_id, start_sample // 15 as win_id, len([x for x in a[3:] if x is not null]) as used, list_sum(a) as accel_total, list_sum(r) as slope_total from v)""")
 def window_tensors(spark: SparkSession, d: str) -> DataFrame:
-    w = windows.tensors(windows.windows(windows.signals(staged(labels(spark, d)), FULL_STOP)))
+    w = windows.tensors(windows.windows(windows.signals(labels(spark, d), FULL_STOP)))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
     return w.withColumns({"used": total("mask"), "accel_total": total("accel"), "slope_total": total("slope_rate")})
 
 
 @query("trip_id:i segment_id:i k_gt_soc_seg_delta:d k_distance_seg_actual_km:d", f"{_SPANS}, {_OUT}, q as (select trip_id, segment_id, gt_soc_seg_delta as k_gt_soc_seg_delta, distance_seg_actual_km as k_distance_seg_actual_km from oo)")
 def loso_k(spark: SparkSession, d: str) -> DataFrame:
-    return history.own_columns(features.outcomes(staged(labels(spark, d))), ["gt_soc_seg_delta", "distance_seg_actual_km"])
+    return history.own_columns(features.outcomes(labels(spark, d)), ["gt_soc_seg_delta", "distance_seg_actual_km"])
 
 
 def _direct(seg: DataFrame) -> DataFrame:
@@ -306,11 +306,11 @@ def _direct(seg: DataFrame) -> DataFrame:
 @query("trip_id:i segment_id:i distance_seg_pred_m:d duration_seg_pred_s:d speed_seg_pred_kph:d", f"""{_SPANS}, {_OUT}, p as (select trip_id, segment_id, distance_seg_actual_km * 900 as distance_seg_pred_m, duration_seg_actual_s * 0.8 as duration_seg_pred_s from oo),
   q as (select *, case when duration_seg_pred_s > 1e-6 then distance_seg_pred_m / duration_seg_pred_s * 3.6 end as speed_seg_pred_kph from p)""")
 def feat_pred(spark: SparkSession, d: str) -> DataFrame:
-    return routes.predicted(_direct(features.outcomes(staged(labels(spark, d)))))
+    return routes.predicted(_direct(features.outcomes(labels(spark, d))))
 
 
 @query("trip_id:i segment_id:i deviation_pct:d dem_gain_m:d dem_loss_m:d", f"""{_SPANS}, {_OUT}, q as (select trip_id, segment_id, case when distance_seg_actual_km * 900 > 1e-3 then 100 * (distance_seg_actual_km * 1000 - distance_seg_actual_km * 900) / (distance_seg_actual_km * 900) else 0 end as deviation_pct, 0.0 as dem_gain_m, 0.0 as dem_loss_m from oo)""")
 def route_deviation(spark: SparkSession, d: str) -> DataFrame:
-    seg = features.outcomes(staged(labels(spark, d)))
+    seg = staged(features.outcomes(labels(spark, d)))
     pair = seg.select(*routes.KEYS, (F.col("distance_seg_actual_km") * 1000).alias("driven")).join(_direct(seg), routes.KEYS)
     return routes.elevation_change(pair.withColumn("deviation_pct", routes.deviation_pct(F.col("driven"), F.col("distance"))))

@@ -13,6 +13,12 @@ def _kind(path: str) -> str:
     return name.rpartition(".")[2].lower() if "." in name else ""
 
 
+def _is_file(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.exists(at) and fs.getFileStatus(at).isFile()
+
+
 def load(spark: SparkSession, path: str, schema: StructType | str | None = None, kind: str | None = None) -> DataFrame:
     """A table of a csv, json, parquet or excel file, or a directory of parts.
 
@@ -28,7 +34,8 @@ def load(spark: SparkSession, path: str, schema: StructType | str | None = None,
     if kind == "csv":
         return reader.option("header", True).option("inferSchema", schema is None).csv(path)
     if kind == "json":
-        return reader.option("multiLine", True).json(path)
+        # one file is a document of its own; parts, as `save` writes them, have a row a line
+        return reader.option("multiLine", _is_file(spark, path)).json(path)
     if kind in ("parquet", ""):
         return reader.parquet(path)
     raise ValueError(f"{path}: no reader for .{kind}")
