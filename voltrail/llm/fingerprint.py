@@ -117,7 +117,7 @@ def next_keys(keys: DataFrame, ws: Workspace, few: int = FEW_KEYS, block: int =
 
 def _width(low: int | None, high: int | None, n: int, block: int) -> int:
     """Ids to a block, for about `block` rows of n in [low, high]."""
-    return max(1, -(-(high - low + 1) * block // n)) if n and low is not None else 1
+    return min(1 << 62, max(1, -(-(high - low + 1) * block // n))) if n and low is not None else 1
 
 
 def _coarser(keys: DataFrame, n: int, block: int) -> Column:
