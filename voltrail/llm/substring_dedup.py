@@ -20,9 +20,9 @@ documents share.
 Super-k-mers and windows are compared by 128 bits of hash over their word sequences.
 
 Nulls have no words; documents under 50 words lose none. Windows are judged on
-the input. Ids should be distinct: rows that share one id count as one document
-and get one another's removals. A null id keeps all its words. Extra columns are
-not read.
+the input. Rows that share one id are one document in the order of ids, so none
+loses a window for another of them; each has its own removals. A null id keeps all
+its words. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ def _placing(window: int, gram: int) -> Task:
         seen: dict[tuple[int, int], int] = {}
         for b in batches:
             for lo, hi in chunks(b.column(1)):
-                ids = b.column(0)[lo:hi].to_numpy(zero_copy_only=False)
+                ids, texts = (b.column(c)[lo:hi].to_numpy(zero_copy_only=False) for c in (0, 2))
                 w = Words(b.column(1)[lo:hi], NON_SPACE, lower=False)
                 key, at, n = super_kmers(w, window, gram)
                 d = w.doc_of(at)
@@ -102,7 +102,7 @@ def _placing(window: int, gram: int) -> Task:
                         kind[i] = 0
                     elif own < least:
                         seen[x] = own
-                yield _batch(kind=kind, key=np.where(kind == 0, mix(doc.view(np.uint64)), key).view(np.int64), s1=s1, s2=s2, doc_id=doc, start=(at - w.first[d]).astype(np.int32), n=n.astype(np.int32))
+                yield _batch(kind=kind, key=np.where(kind == 0, mix(doc.view(np.uint64)), key).view(np.int64), s1=s1, s2=s2, doc_id=doc, start=(at - w.first[d]).astype(np.int32), n=n.astype(np.int32), of_text=texts[d].astype(np.int64))
 
     return run
 
@@ -114,7 +114,7 @@ def _sharing(hot: int) -> Task:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, int, int, int] | None = None  # the last string of a long run's piece and its least document
         for t, long in whole_runs(batches, n_keys=2, limit=10 * hot, at_least=min(20_000, 10 * hot)):
-            kind, key, s1, s2, doc, start, n = (t.column(c).to_numpy() for c in ("kind", "key", "s1", "s2", "doc_id", "start", "n"))
+            kind, key, s1, s2, doc, start, n, text = (t.column(c).to_numpy() for c in ("kind", "key", "s1", "s2", "doc_id", "start", "n", "of_text"))
             run_at, at = starts(kind, key), starts(kind, key, s1, s2)
             lead = np.repeat(doc[at], np.diff(np.append(at, len(key))))
             if held and held[:3] == (key[0], s1[0], s2[0]) and kind[0] == 1:
@@ -124,7 +124,7 @@ def _sharing(hot: int) -> Task:
             gone = (kind == 0) | (doc != lead)
             keep = gone | long | (texts > 1)
             out = np.where(gone, 0, np.where(long | (texts > hot), 2, 1)).astype(np.int32)
-            yield _batch(doc_id=doc[keep], kind=out[keep], key=key[keep], start=start[keep], n=n[keep])
+            yield _batch(doc_id=doc[keep], kind=out[keep], key=key[keep], start=start[keep], n=n[keep], of_text=text[keep])
 
     return run
 
@@ -136,7 +136,7 @@ def _packing(hot: bool, window: int) -> Task:
         for b in batches:
             for lo, hi in chunks(b.column(1)):
                 w = Words(b.column(1)[lo:hi], NON_SPACE, lower=False)
-                ids = b.column(0)[lo:hi].to_pylist()
+                ids, texts = (b.column(c)[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 3))
                 places = b.column(2)[lo:hi]
                 size = np.diff(places.offsets.to_numpy())
                 flat = places.flatten()
@@ -144,15 +144,15 @@ def _packing(hot: bool, window: int) -> Task:
                 kind, key, start, n = (flat.field(c).to_numpy() for c in ("kind", "key", "start", "n"))
                 pick = kind == (2 if hot else 1)
                 doc, key, start, n = doc[pick], key[pick], start[pick].astype(np.int64), n[pick].astype(np.int64)
-                at, idn = w.first[doc] + start, np.array(ids, np.int64)[doc]
+                at, idn, text = w.first[doc] + start, ids[doc], texts[doc]
                 if hot:
                     one = np.repeat(at, n) + _ramp(n)
                     h = [window_hash(x, window) for x in _two_hashes(w.hash)]
-                    yield _batch(w1=h[0][one].view(np.int64), w2=h[1][one].view(np.int64), doc_id=np.repeat(idn, n), start=(np.repeat(start, n) + _ramp(n)).astype(np.int32))
+                    yield _batch(w1=h[0][one].view(np.int64), w2=h[1][one].view(np.int64), doc_id=np.repeat(idn, n), start=(np.repeat(start, n) + _ramp(n)).astype(np.int32), of_text=np.repeat(text, n))
                 else:
                     a, z = w.start[at], w.end[at + n + window - 2]
                     raw = w.bytes.tobytes()
-                    yield _batch(key=key, doc_id=idn, start=start.astype(np.int32), packed=pa.array([raw[i:j] for i, j in zip(a.tolist(), z.tolist())], pa.binary()))
+                    yield _batch(key=key, doc_id=idn, start=start.astype(np.int32), packed=pa.array([raw[i:j] for i, j in zip(a.tolist(), z.tolist())], pa.binary()), of_text=text)
 
     return run
 
@@ -167,7 +167,7 @@ def _counting(window: int) -> Task:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, at_least=2_000):
-            doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+            doc, start, text = (t.column(c).to_numpy() for c in ("doc_id", "start", "of_text"))
             w = Words(t.column("packed").combine_chunks().cast(pa.large_binary()).view(pa.large_string()), NON_SPACE, lower=False)
             one = np.flatnonzero(fits(w.first, len(w.hash), window))
             row = w.doc_of(one)
@@ -183,7 +183,8 @@ def _counting(window: int) -> Task:
             begin[1:] = (row[gone][1:] != row[gone][:-1]) | (first[1:] != first[:-1] + 1)
             i = np.flatnonzero(begin)
             last = np.append(i[1:], len(gone)) - 1
-            yield _batch(doc_id=doc[row[gone[i]]], a=first[i].astype(np.int32), b=(first[last] + window).astype(np.int32)) if len(i) else _batch(doc_id=np.zeros(0, np.int64), a=np.zeros(0, np.int32), b=np.zeros(0, np.int32))
+            of = row[gone[i]]
+            yield _batch(doc_id=doc[of], of_text=text[of], a=first[i].astype(np.int32), b=(first[last] + window).astype(np.int32))
 
     return run
 
@@ -213,20 +214,24 @@ def _removing(with_text: bool) -> Task:
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (or, with_text, the kept text) for every row of `docs`."""
     ws = Workspace(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("of_text", F.xxhash64("text"))
     known = rows.where("doc_id is not null")
-    places = known.mapInArrow(_placing(window, gram), "kind int, key bigint, s1 bigint, s2 bigint, doc_id bigint, start int, n int")
-    shared = ws.table(places.repartition("kind", "key").sortWithinPartitions("kind", "key", "s1", "s2", "doc_id").mapInArrow(_sharing(hot), "doc_id bigint, kind int, key bigint, start int, n int"))
-    by_doc = shared.where("kind > 0").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("places"))
-    texts = known.join(by_doc, "doc_id").select("doc_id", "text", "places")
-    packed = texts.mapInArrow(_packing(False, window), "key bigint, doc_id bigint, start int, packed binary")
-    spans = packed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_counting(window), "doc_id bigint, a int, b int")
-    hot_docs = shared.where("kind = 2").groupBy("doc_id").agg(F.collect_list(F.struct("kind", "key", "start", "n")).alias("places"))
-    wins = known.join(hot_docs, "doc_id").select("doc_id", "text", "places").mapInArrow(_packing(True, window), "w1 bigint, w2 bigint, doc_id bigint, start int")
+    # an id may stand for several texts: places belong to an id and a text's hash, once for rows that are equal
+    key = ["doc_id", "of_text"]
+    places = known.select("doc_id", "text", "of_text").mapInArrow(_placing(window, gram), "kind int, key bigint, s1 bigint, s2 bigint, doc_id bigint, start int, n int, of_text bigint")
+    shared = ws.table(places.repartition("kind", "key").sortWithinPartitions("kind", "key", "s1", "s2", "doc_id").mapInArrow(_sharing(hot), "doc_id bigint, kind int, key bigint, start int, n int, of_text bigint"))
+
+    def placed(which: str) -> DataFrame:
+        by_doc = shared.where(which).groupBy(*key).agg(F.collect_set(F.struct("kind", "key", "start", "n")).alias("places"))
+        return known.join(by_doc, key).select("doc_id", "text", "places", "of_text")
+
+    packed = placed("kind > 0").mapInArrow(_packing(False, window), "key bigint, doc_id bigint, start int, packed binary, of_text bigint")
+    spans = packed.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_counting(window), "doc_id bigint, of_text bigint, a int, b int")
+    wins = placed("kind = 2").mapInArrow(_packing(True, window), "w1 bigint, w2 bigint, doc_id bigint, start int, of_text bigint")
     least = wins.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    again = wins.join(least.drop("most"), ["w1", "w2"]).where("doc_id > least").select("doc_id", F.col("start").alias("a"), (F.col("start") + window).alias("b"))
-    copies = shared.where("kind = 0").select("doc_id", F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
+    again = wins.join(least.drop("most"), ["w1", "w2"]).where("doc_id > least").select(*key, F.col("start").alias("a"), (F.col("start") + window).alias("b"))
+    copies = shared.where("kind = 0").select(*key, F.col("start").alias("a"), (F.col("start") + F.col("n") + (window - 1)).alias("b"))
     gone = ws.table(spans.unionByName(again).unionByName(copies))
-    by_doc = gone.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    both = rows.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans")
+    by_doc = gone.groupBy(*key).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    both = rows.join(by_doc, key, "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_removing(with_text), "doc_id bigint, n_words bigint, n_removed bigint, " + ("kept string" if with_text else "kept_sha256 string"))
