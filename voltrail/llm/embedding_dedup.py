@@ -304,8 +304,8 @@ def dedup(vectors: DataFrame, cosine: float = COSINE, cell: int = CELL, block: i
     hashed = rows.select("*", *digest)
     keys = ws.table(hashed.select("vec_id", "sound", "h1", "h2"))
     classes = hashed.where("sound").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("embedding").alias("embedding"), F.min("vec_id").alias("rep"), F.count("*").alias("m"))
-    classes = classes.where("rep is not null").select("label", F.size("embedding").alias("dim"), "rep", "m", "h1", "h2", "embedding")
-    # an id that repeats over different vectors must not merge them: classes have numbers of their own
+    classes = classes.select("label", F.size("embedding").alias("dim"), "rep", "m", "h1", "h2", "embedding")
+    # an id that repeats over different vectors must not merge them, and a class may have none: classes have numbers of their own
     classes = ws.table(classes.withColumn("least", F.col("rep")).withColumn("rep", F.monotonically_increasing_id()))
     packed = ws.table(classes.select("label", "dim", "rep", "m", "embedding").mapInArrow(_packing, "label bigint, dim int, rep bigint, m bigint, v binary"))
 
