@@ -39,6 +39,15 @@ def test_texts_of_one_id_have_their_own_removals(spark, hot, order):
     assert sorted(map(tuple, got), key=repr) == removed(rows)
 
 
+def test_buckets_without_shared_windows(spark):
+    """Super-k-mers that differ but share a minimiser meet in a bucket in which no window repeats."""
+    r = random.Random(3)
+    gram = " ".join(f"m{k}" for k in range(6))
+    rows = [(k, " ".join([*(f"w{r.randrange(10**6)}" for _ in range(40)), gram, *(f"w{r.randrange(10**6)}" for _ in range(40))])) for k in range(60)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == removed(rows)
+
+
 def test_vectors_without_id_are_linked(spark):
     near = lambda x: [1.0, x]
     rows = [(1, near(0.0), 5), (None, near(0.01), 5), (None, near(5.0), 5), (None, near(5.01), 5), (None, near(5.01), 5), (2, near(-3.0), 5), (3, near(0.01), 6), (7, near(9.0), 5), (None, None, 5), (None, near(0.0), None)]

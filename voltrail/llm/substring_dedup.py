@@ -183,6 +183,8 @@ def _counting(window: int) -> Task:
             begin[1:] = (row[gone][1:] != row[gone][:-1]) | (first[1:] != first[:-1] + 1)
             i = np.flatnonzero(begin)
             last = np.append(i[1:], len(gone)) - 1
+            if not len(i):
+                continue
             of = row[gone[i]]
             yield _batch(doc_id=doc[of], of_text=text[of], a=first[i].astype(np.int32), b=(first[last] + window).astype(np.int32))
 
