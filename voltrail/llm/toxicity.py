@@ -17,8 +17,8 @@ document on its whole text.
 
 Bounds, all parameters: terms are mined from at most about `max_labelled` labelled
 rows, drawn by hash, the classifier is trained on those and at most about
-`max_unlabelled` others outside the held-out fold; the lexicon has the best
-`max_terms` of the `max_candidates` terms that most toxic rows of the sample hold.
+`max_unlabelled` others outside the held-out fold; the lexicon has the `max_terms`
+terms of the sample that tell most (all its terms are counted in both classes).
 Votes and label model cover every document.
 
 Nulls and empty texts have no terms and get the score of such a text. Repeated
@@ -45,7 +45,6 @@ from voltrail.llm.workspace import Workspace
 LENGTHS = (0, 3, 4, 5, 6, 8)  # bytes of a prefix; 0: the whole word
 MAX_LABELLED = 12_000
 MAX_UNLABELLED = 6_000
-MAX_CANDIDATES = 60_000
 MAX_TERMS = 600
 LEAST_TOXIC = 3
 LEAST_GAIN = 12.0
@@ -128,16 +127,22 @@ def dense_features(lexicon: Lexicon, doc: np.ndarray, term: np.ndarray, n: np.nd
     return x
 
 
-def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each text's different terms: (hash, place of the length)."""
+def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, place of the length, toxic texts, clean texts) that hold it, of some texts at a time."""
     for b in batches:
         for lo, hi in chunks(b.column("text")):
             w = Words(b.column("text")[lo:hi], ALNUM, lower=True)
+            toxic = b.column("toxic")[lo:hi].to_numpy(zero_copy_only=False).astype(np.int64) == 1
             for k, (h, at) in enumerate(_terms(w)):
                 doc = w.doc_of(at)
-                order = np.lexsort((h, doc))
-                h = h[order][starts(doc[order], h[order])] if len(order) else h
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int32))], names=["term", "kind"])
+                order = np.lexsort((doc, h))
+                h, doc = h[order], doc[order]
+                one = starts(h, doc)
+                h, doc = h[one], doc[one]
+                new = starts(h)
+                n = np.diff(np.append(new, len(h)))
+                t = np.add.reduceat(toxic[doc].astype(np.int64), new) if len(new) else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(np.full(len(new), k, np.int32)), pa.array(t), pa.array(n - t)], names=["term", "kind", "t", "c"])
 
 
 def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,46 +156,23 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(b.column(c)[lo:hi] for c in ("doc_id", "toxic", "text")), pa.array(least, pa.int64())], names=["doc_id", "toxic", "text", "signature"])
 
 
-def _clean_counts(lexicon: Lexicon) -> Task:
-    """How many of a batch's clean documents hold each term."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(lexicon.hashes), np.int64)
-        for b in batches:
-            for lo, hi in chunks(b.column("text")):
-                _, term, _ = lexicon.hits(Words(b.column("text")[lo:hi], ALNUM, lower=True))
-                total += np.bincount(term, minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lexicon.hashes[at].view(np.int64)), pa.array(total[at])], names=["term", "n"])
-
-    return run
-
-
-def mine(labelled: DataFrame, max_terms: int = MAX_TERMS, max_candidates: int = MAX_CANDIDATES) -> Lexicon | None:
-    """Terms of toxic documents from rows of (toxic, text); None without documents of both classes."""
+def mine(labelled: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon | None:
+    """The terms that tell most of toxic documents, from rows of (toxic, text); None without documents of both classes."""
     size = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if not size.get(0) or not size.get(1):
         return None
-    toxic = labelled.where("toxic = 1").select("text").mapInArrow(_toxic_terms, "term bigint, kind int")
-    toxic = toxic.groupBy("term", "kind").count().where(F.col("count") >= LEAST_TOXIC)
-    rows = toxic.orderBy(F.desc("count"), "term").limit(max_candidates).collect()
+    counted = labelled.select("toxic", "text").mapInArrow(_class_counts, "term bigint, kind int, t bigint, c bigint")
+    counted = counted.groupBy("term", "kind").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") >= LEAST_TOXIC)
+    # how much better than one common rate two rates explain the counts (a likelihood-ratio statistic)
+    t, c, share = F.col("t"), F.col("c"), size[1] / (size[0] + size[1])
+    gain = 2 * (t * F.log(t / (t + c) / share) + c * F.log(F.greatest(c.cast("double"), F.lit(1e-9)) / (t + c) / (1 - share)))
+    told = counted.where(t * size[0] > c * size[1]).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    rows = told.orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     if not rows:
         return None
     h = np.array([r["term"] for r in rows], np.int64).view(np.uint64)
-    kind, t = (np.array([r[c] for r in rows], np.int64) for c in ("kind", "count"))
-    order = np.argsort(h)
-    h, kind, t = h[order], kind[order], t[order]
-    candidates = Lexicon(h, kind, np.ones(len(h), bool))
-    clean = labelled.where("toxic = 0").select("text").mapInArrow(_clean_counts(candidates), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    c = np.zeros(len(h), np.int64)
-    c[np.searchsorted(h, np.array([r["term"] for r in clean], np.int64).view(np.uint64))] = [r["n"] for r in clean]
-    # how much better than one common rate two rates explain the counts (a likelihood-ratio statistic)
-    share = size[1] / (size[0] + size[1])
-    gain = 2 * (t * np.log(t / (t + c) / share) + c * np.log(np.maximum(c, 1e-9) / (t + c) / (1 - share)))
-    gain = np.where(t * size[0] > c * size[1], gain, 0)
-    best = np.lexsort((h, -gain))[:max_terms]
-    best = best[gain[best] >= LEAST_GAIN]
-    return Lexicon(h[best], kind[best], (t * size[0] >= PURE * (c + 0.5) * size[1])[best]) if len(best) else None
+    kind, toxic, clean = (np.array([r[k] for r in rows], np.int64) for k in ("kind", "t", "c"))
+    return Lexicon(h, kind, toxic * size[0] >= PURE * (clean + 0.5) * size[1])
 
 
 def _feature_batches(lexicon: Lexicon) -> Task:
@@ -337,7 +319,7 @@ class Model:
     features: DataFrame | None = None
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, max_terms: int = MAX_TERMS, max_candidates: int = MAX_CANDIDATES, annotators: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED, max_terms: int = MAX_TERMS, annotators: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from the rows of `labels` outside the held-out fold; `docs` may be other documents than the ones to score."""
     ws = Workspace(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -351,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     labelled = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "toxic", "text").mapInArrow(_signing, "doc_id bigint, toxic int, text string, signature bigint")
     # of near copies the first is enough: else the words of a much copied document look toxic
     labelled = labelled.groupBy("toxic", "signature").agg(F.min(F.struct("doc_id", "text")).alias("x")).select("toxic", "x.text")
-    lexicon = mine(ws.table(labelled), max_terms, max_candidates)
+    lexicon = mine(ws.table(labelled), max_terms)
     if lexicon is None:
         return Model(None, None, share)
 
