@@ -36,46 +36,81 @@ from voltrail.llm.workspace import Workspace, column, free_name
 N = 10
 BLOCK_WINDOWS = 1_000_000
 WORD_BYTES = 32
+PIECE = 200_000  # words or windows whose bytes are handled at once
 SCANNED = "doc_id bigint, n_words bigint, spans array<struct<a:int,b:int>>, items array<string>"
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
+_LOWER_BYTES = np.frombuffer(bytes(range(256)).translate(_LOWER), np.uint8)
+
+
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether the n bytes from a and from b are equal, for each of some places."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wrong = raw[np.repeat(a, n) + step] != raw[np.repeat(b, n) + step]
+    return np.bincount(np.repeat(np.arange(len(n)), n)[wrong], minlength=len(n)) == 0
+
+
+class _OfSize:
+    """Windows of one number of words, as arrays: different hashes, and of each its different texts (one, but for
+    collisions) as places in the block's text, and of each text its items."""
+
+    def __init__(self, raw: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray):
+        order = np.lexsort((item, begin - end, hashes))
+        h, a, z, item = hashes[order], begin[order], end[order], item[order]
+        # a text is new if the hash or the length is, or its bytes differ from those of the one before
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (z[1:] - a[1:] != z[:-1] - a[:-1])
+        like = np.flatnonzero(~new)
+        for lo in range(0, len(like), PIECE):
+            at = like[lo : lo + PIECE]
+            new[at] = ~_same_bytes(raw, a[at], a[at - 1], z[at] - a[at])
+        text = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        own = np.ones(len(h), bool)
+        own[1:] = new[1:] | (item[1:] != item[:-1])
+        self.begin, self.end = a[first], z[first]
+        self.items = item[own]
+        self.items_at = np.append(np.searchsorted(text[own], np.arange(len(first))), int(own.sum())).astype(np.int64)
+        self.known = HashSet(h)
+        self.texts_at = np.append(np.searchsorted(h[first], self.known.values), len(first))
 
 
 class Windows:
-    """The windows of benchmark items: their words by hash, and the items that hold them."""
+    """The windows of benchmark items: hashes, and places in one text of all items' words joined by blanks."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int):
+    def __init__(self, items: list[tuple[str | None, str]], n: int):
         self.n = n
-        self.words: dict[tuple[int, int], dict[bytes, list[str]]] = {}
-        texts = pa.array([t for _, t in items], pa.large_string())
-        w = Words(texts, ALNUM, lower=True)
-        raw = w.bytes.tobytes().translate(_LOWER)
-        for k, (item, _) in enumerate(items):
-            lo, hi = int(w.first[k]), int(w.first[k + 1])
-            size = min(n, hi - lo)
-            for at in range(lo, hi - size + 1) if size else ():
-                key = size, int(rolling(w.hash[at : at + size], size)[0])
-                text = b" ".join(raw[w.start[j] : w.end[j]] for j in range(at, at + size))
-                holders = self.words.setdefault(key, {}).setdefault(text, [])
-                if item is not None and (not holders or holders[-1] != item):
-                    holders.append(item)
-        by_size: dict[int, list[int]] = {}
-        for size, h in self.words:
-            by_size.setdefault(size, []).append(h)
-        self.sets = {size: HashSet(np.array(v, np.uint64)) for size, v in sorted(by_size.items())}
+        self.ids = [i for i, _ in items]
+        w = Words(pa.array([t for _, t in items], pa.large_string()), ALNUM, lower=True)
+        size = w.end - w.start
+        at = np.cumsum(size + 1) - (size + 1)
+        raw = np.full(int((size + 1).sum()), 0x20, np.uint8)
+        for lo in range(0, len(size), PIECE):
+            s, k = slice(lo, lo + PIECE), size[lo : lo + PIECE]
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+            raw[np.repeat(at[s], k) + step] = _LOWER_BYTES[w.bytes[np.repeat(w.start[s], k) + step]]
+        self.text = raw.tobytes()
+        counts = w.counts()
+        self.sizes: dict[int, _OfSize] = {}
+        for k in sorted({min(n, c) for c in counts.tolist() if c}):
+            starts = np.flatnonzero(fits(w.first, len(w.hash), k)) if k == n else w.first[:-1][counts == k]
+            self.sizes[k] = _OfSize(raw, rolling(w.hash, k)[starts], at[starts], at[starts + k - 1] + size[starts + k - 1], w.doc_of(starts))
 
     def scan(self, w: Words) -> Iterator[tuple[int, int, list[str]]]:
         """(word index, length, items) of each verified occurrence."""
-        raw = None
-        for size, known in self.sets.items():
-            at, which = known.find(rolling(w.hash, size))
+        raw, told = None, {}
+        for size, of in self.sizes.items():
+            at, which = of.known.find(rolling(w.hash, size))
             ok = fits(w.first, len(w.hash), size)[at]
             for i, k in zip(at[ok].tolist(), which[ok].tolist()):
                 if raw is None:
                     raw = w.bytes.tobytes().translate(_LOWER)
-                text = b" ".join(raw[w.start[j] : w.end[j]] for j in range(i, i + size))
-                if (holders := self.words[size, int(known.values[k])].get(text)) is not None:
-                    yield i, size, holders
+                here = b" ".join(raw[w.start[j] : w.end[j]] for j in range(i, i + size))
+                for t in range(of.texts_at[k], of.texts_at[k + 1]):
+                    if self.text[of.begin[t] : of.end[t]] == here:
+                        if (size, t) not in told:
+                            told[size, t] = [self.ids[j] for j in of.items[of.items_at[t] : of.items_at[t + 1]].tolist() if self.ids[j] is not None]
+                        yield i, size, told[size, t]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
