@@ -384,3 +384,62 @@ def test_errors_of_files(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("i,s\nx,y\n")
     with pytest.raises(Exception, match="MALFORMED|malformed|FAILFAST"):
         spark.read.schema(df.schema).option("header", True).option("mode", "FAILFAST").csv(f"{tmp_path}/bad.csv").collect()
+
+
+@pytest.mark.parametrize("few, buckets", [(1, 2), (3, 5), (2_048, 1_024)])
+def test_quantiles_are_exact(spark, monkeypatch, few, buckets):
+    """Against numpy: ties, one value, nulls, NaN, tiny and huge values, several columns at once."""
+    monkeypatch.setattr(metrics, "FEW", few)
+    monkeypatch.setattr(metrics, "BUCKETS", buckets)
+    r = random.Random(few)
+    columns = {
+        "a": [r.gauss(0, 1) for _ in range(300)], "b": [float(r.randrange(3)) for _ in range(300)], "c": [7.0] * 300, "d": [None] * 300,
+        "e": [r.choice([None, float("nan"), 1e308, -1e308, 5e-324, 0.0, 2.5]) for _ in range(300)], "f": [10.0 ** r.randrange(-300, 300) * r.choice([1, -1]) for _ in range(300)], "g": [4.0, *[None] * 299],
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(3)
+    shares = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = metrics.quantiles(df.cache(), list(columns), shares)
+    for c, v in columns.items():
+        v = sorted(x for x in v if x is not None and x == x)
+        for p in shares:
+            if not v:
+                assert got[c][p] is None
+                continue
+            place = (len(v) - 1) * p
+            a, z = v[int(np.floor(place))], v[int(np.ceil(place))]
+            assert got[c][p] == (a if a == z else pytest.approx(a + (z - a) * (place - np.floor(place)), rel=1e-12))
+
+
+def test_correlations_of_many_columns(spark, monkeypatch):
+    """As pandas computes them over the rows that have both values; columns that are constant, far from 0 or empty."""
+    import pandas as pd
+
+    r = np.random.default_rng(5)
+    base = r.normal(size=(400, 3))
+    x = base @ r.normal(size=(3, 40)) + r.normal(size=(400, 40)) * 0.5
+    x[:, 3] += 1e6
+    x[r.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8], x[:, 9] = 3.0, np.nan, 0.1
+    x[:50, 9] = np.nan
+    names = [f"k{k}" for k in range(40)]
+    pdf = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in row) for row in x], ", ".join(f"{c} double" for c in names)).repartition(4)
+    want = pdf.corr(min_periods=1)
+    for limit in (8, 40):
+        monkeypatch.setattr(metrics, "FEW_COLUMNS", limit)
+        use = names if limit == 8 else names[:12]
+        got = {(y["a"], y["b"]): y["r"] for y in metrics.correlations(df, use).collect()}
+        assert len(got) == len(use) * (len(use) - 1) // 2
+        for (a, b), v in got.items():
+            if {a, b} & {"k7", "k8", "k9"}:
+                assert v is None, (a, b)
+            else:
+                assert v == pytest.approx(want.loc[a, b], abs=1e-8)
+    monkeypatch.setattr(metrics, "FEW_COLUMNS", 2)
+    told = metrics.target_correlations(df, names[:3], "k4").collect()
+    assert [y["r"] for y in told] == sorted((y["r"] for y in told), reverse=True) and len(told) == 3
+
+
+def test_two_hundred_columns(spark):
+    df = spark.range(60).select(*(((F.col("id") * (k + 3)) % 17 + F.col("id") * k * 1e-3).cast("double").alias(f"c{k}") for k in range(200)))
+    assert metrics.correlations(df, df.columns).where("r is not null").count() == 200 * 199 // 2

@@ -58,6 +58,23 @@ def matched(segments: DataFrame, routes: DataFrame, tolerance: float = TOLERANCE
     )
 
 
+def match_features(segments: DataFrame, routes: DataFrame, direct: DataFrame, speeds: DataFrame) -> DataFrame:
+    """The ten match columns of each segment: `matched`, and of an answered match (also one out of tolerance) the direct
+    route, the deviation from it, and the time over the limit and the limit.
+
+    direct: distance between a segment's ends; speeds: kph, one speed for each leg. Without an answer they are null.
+    """
+    told = matched(segments, routes).join(direct.select(*KEYS, F.col("distance").alias("_direct")), KEYS, "left").join(speeds.select(*KEYS, "kph"), KEYS, "left")
+    answered = F.col("match_status").startswith("OK")
+    over, limit = speeding(F.col("legs"), F.col("kph"))
+    told = told.withColumn("direct_route_distance_m", F.when(answered, F.col("_direct")))
+    return told.select(
+        *KEYS, "matched_route_distance_m", "matched_route_duration_s", "match_confidence", "match_status", "match_attempts", "final_match_radius_m",
+        "direct_route_distance_m", deviation_pct(F.col("matched_route_distance_m"), F.col("direct_route_distance_m")).alias("route_deviation_pct"),
+        F.when(answered & F.col("kph").isNotNull(), over).alias("percent_time_over_limit_seg_agg"), F.when(answered & F.col("kph").isNotNull(), limit).alias("avg_speed_limit_kph_seg_agg"),
+    )
+
+
 def deviation_pct(matched_m: Column, direct_m: Column) -> Column:
     """How much longer the matched route is than the direct one; 0 where that can't be said."""
     return F.when(direct_m.isNotNull(), F.when(matched_m.isNotNull() & (direct_m > 1e-3), 100 * (matched_m - direct_m) / direct_m).otherwise(F.lit(0.0)))

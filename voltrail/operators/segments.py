@@ -24,7 +24,8 @@ MIN_ROWS, FULL_STOP, SEED = 10, 3, 42
 STOP, GAP, STOP_AT_GAP = -1, -2, -3
 
 
-def _slow(max_kph: float, low_kph: float, low_share: float) -> Column:
+def slow(max_kph: float = 2.0, low_kph: float = 0.5, low_share: float = 0.9) -> Column:
+    """Whether the whole minute is slow, and nearly all of it near standing."""
     a = F.col("speed_array")
     return (arrays.max_or_inf(a) < max_kph) & (arrays.share_below(a, low_kph) >= low_share)
 
@@ -38,7 +39,7 @@ def _with_still(df: DataFrame, odo_km: float) -> DataFrame:
 def stop_flags(df: DataFrame, max_kph: float = 2.0, low_kph: float = 0.5, low_share: float = 0.9, odo_km: float = 0.05) -> DataFrame:
     """stop_flag -1 where the whole minute is slow, nearly all of it near standing, and the odometer stands."""
     placed = _with_still(df, odo_km)
-    return placed.withColumn("stop_flag", F.when(_slow(max_kph, low_kph, low_share) & F.col("_still"), STOP).otherwise(0)).drop("_still")
+    return placed.withColumn("stop_flag", F.when(slow(max_kph, low_kph, low_share) & F.col("_still"), STOP).otherwise(0)).drop("_still")
 
 
 def half_stops(df: DataFrame, max_kph: float = 2.0, low_kph: float = 0.5, low_share: float = 0.9, odo_km: float = 0.05) -> DataFrame:

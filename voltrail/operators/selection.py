@@ -14,12 +14,16 @@ from voltrail.sources.stage import staged
 BITS = 52  # of a hash: exact in a double, and in SQL
 
 
-def hashed(keys: Sequence[str], seed: int) -> Column:
-    """A number of BITS bits from the seed and the keys (null: empty), the same in every run and engine."""
-    told = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys))
+def drawn(seed: int, *values: Column) -> Column:
+    """A number of BITS bits from the seed and the values (null: empty), the same in every run and engine."""
+    told = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(v.cast("string"), F.lit("")) for v in values))
     return F.conv(F.substring(F.md5(told), 1, BITS // 4), 16, 10).cast("long")
 
 
+def hashed(keys: Sequence[str], seed: int) -> Column:
+    return drawn(seed, *map(F.col, keys))
+
+
 def split_rows(df: DataFrame, keys: Sequence[str], test: float = 0.2, seed: int = 42) -> DataFrame:
     """Adds is_test by a hash of the keys: no shuffle, the same rows in every run."""
     return df.withColumn("is_test", hashed(keys, seed) < F.lit(int(test * (1 << BITS))))

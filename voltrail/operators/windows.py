@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
 from voltrail.operators import rows as R
-from voltrail.operators import segments
+from voltrail.operators import segments, selection
 
 KEYS = [R.TRIP, "seg_id", "win_id"]
 BUCKET = 1_000  # trips that are numbered together, about
@@ -38,12 +38,12 @@ def tensors(windows_df: DataFrame) -> DataFrame:
 def pairs(windows_df: DataFrame, same_share: float = 0.2, apart: int = 5, seed: int = 7) -> DataFrame:
     """A partner for each window: its keys and b_ keys, and label 1 (same trip) or 0 (another).
 
-    A hash of the window says which kind. Of the same trip: a window of another segment
+    A hash (md5, the same in every run and engine) of the window says which kind. Of the same trip: a window of another segment
     where there is one, else one at least `apart` windows away. Of another trip: a trip
     and a window of it, both drawn by the window's hash. Each window looks at a few
     places by hash, not at all others; no window without a partner is made up.
     """
-    h = lambda *c: F.xxhash64(*c, F.lit(seed))
+    h = lambda *c: selection.drawn(seed, *(F.col(x) if isinstance(x, str) else x for x in c))
     w = windows_df.select(*KEYS).withColumn("_h", h(*KEYS))
     w = w.withColumn("_same", F.pmod("_h", F.lit(1 << 20)) < same_share * (1 << 20))
     trip = Window.partitionBy(R.TRIP)

@@ -73,9 +73,12 @@ def agg_value_counts(spark: SparkSession, d: str) -> DataFrame:
     return telemetry(spark, d).groupBy(R.TRIP).agg(F.count("*").alias("rows"))
 
 
-@query("n:i mean:d std:d min:d p25:d p50:d p75:d max:d", f"{T}, q as (select count(outside_temp) as n, avg(outside_temp) as mean, stddev_samp(outside_temp) as std, min(outside_temp) as min, quantile_cont(outside_temp, 0.25) as p25, quantile_cont(outside_temp, 0.5) as p50, quantile_cont(outside_temp, 0.75) as p75, max(outside_temp) as max from t)")
+_D = ("outside_temp", "current_soc", "battery_health", "latitude")
+
+
+@query("column:s n:i mean:d std:d min:d p25:d p50:d p75:d max:d", f"{T}, q as (" + " union all ".join(f"select '{c}' as \"column\", count({c}) as n, avg({c}) as mean, stddev_samp({c}) as std, min({c}) as min, quantile_cont({c}, 0.25) as p25, quantile_cont({c}, 0.5) as p50, quantile_cont({c}, 0.75) as p75, max({c}) as max from t" for c in _D) + ")")
 def agg_describe(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.describe(telemetry(spark, d), "outside_temp")
+    return metrics.describe_all(telemetry(spark, d), _D)
 
 
 _C = ("battery_health", "current_soc", "outside_temp")

@@ -30,7 +30,7 @@ def query(columns: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         _QUERIES[f.__name__] = run
         if sql is not None:
-            picked = ", ".join(f"round(CAST({c} AS DOUBLE), 6) + 0.0::DOUBLE AS {c}" if t == "d" else f"CAST({c} AS {_TYPES[t][0]}) AS {c}" for c, t in named)
+            picked = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) + 0.0::DOUBLE AS "{c}"' if t == "d" else f'CAST("{c}" AS {_TYPES[t][0]}) AS "{c}"' for c, t in named)
             _SQL[f.__name__] = f"WITH {sql.strip()} SELECT {picked} FROM q"
         return f
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays
@@ -231,27 +231,67 @@ def windows30(spark: SparkSession, d: str) -> DataFrame:
     return w.withColumns({"accel_sum": total, "accel_at_3": F.try_element_at("accel", F.lit(3))})
 
 
-@query("trip_id:i seg_id:i win_id:i b_trip_id:i b_seg_id:i b_win_id:i label:i")
+def _h(*parts: str) -> str:
+    return f"CAST(('0x' || substr(md5(concat_ws(':', '7', {', '.join(parts)})), 1, 13)) AS BIGINT)"
+
+
+_PAIRS = f"""{_SPANS}, f as (select trip_id, segment_id as seg_id, flatten(list(speed_array order by row_no) filter (speed_array is not null)) as kph from xa group by 1, 2),
+  w0 as (select trip_id, seg_id, unnest(range(0, len(kph) // 1 - 29, 15)) // 15 as win_id from f where len(kph) >= 30), w1 as (select *, {_h("trip_id", "seg_id", "win_id")} as h from w0),
+  w2 as (select *, h % 1048576 < 0.2 * 1048576 as same, row_number() over (partition by trip_id order by seg_id, win_id) as p, count(*) over (partition by trip_id) as n, count(*) over (partition by trip_id, seg_id) as m from w1),
+  w3 as (select *, min(p) over (partition by trip_id, seg_id) as lo, greatest(0, p - 5) as fl, greatest(0, n - p - 4) as fr from w2),
+  w4 as (select *, {_h("h", "'p'")} % greatest(1, n - m) + 1 as pick, {_h("h", "'q'")} % greatest(1, fl + fr) + 1 as far from w3),
+  w5 as (select *, case when n > m then case when pick < lo then pick else pick + m end when fl + fr > 0 then case when far <= fl then far else far - fl + p + 4 end end as place from w4),
+  tr as (select trip_id as t, count(*) as tn, {_h("trip_id")} as o, {_h("trip_id", "'r'")} as r from w1 group by trip_id), tc as (select count(*) as c, arg_min(t, o) as at, arg_min(tn, o) as an, arg_max(t, o) as zt, arg_max(tn, o) as zn from tr),
+  tb as (select tr.*, {_h("t", "'b'")} % greatest(1, c // 1000) as bk from tr, tc),
+  seat as (select bk, row_number() over g - 1 as o, t as xt, tn as xn, coalesce(lead(t) over g, first_value(t) over g) as yt, coalesce(lead(tn) over g, first_value(tn) over g) as yn from tb window g as (partition by bk order by r, t)),
+  sz as (select bk, count(*) as s from tb group by 1), d1 as (select w5.*, {_h("h", "'b'")} % greatest(1, c // 1000) as bk from w5, tc where not same),
+  d2 as (select d1.*, {_h("h", "'o'")} % coalesce(s, 1) as o from d1 left join sz using (bk)),
+  d3 as (select d2.*, case when xt <> trip_id then xt when yt <> trip_id then yt when trip_id <> at then at else zt end as bt, case when xt <> trip_id then xn when yt <> trip_id then yn when trip_id <> at then an else zn end as bn from d2 left join seat using (bk, o), tc),
+  d4 as (select *, {_h("h", "'w'")} % bn + 1 as there from d3 where bt <> trip_id),
+  q as (select a.trip_id, a.seg_id, a.win_id, b.trip_id as b_trip_id, b.seg_id as b_seg_id, b.win_id as b_win_id, 1 as label from w5 a join w5 b on a.trip_id = b.trip_id and a.place = b.p where a.same
+   union all select d4.trip_id, d4.seg_id, d4.win_id, b.trip_id, b.seg_id, b.win_id, 0 from d4 join w5 b on b.trip_id = bt and b.p = there)"""
+
+
+@query("trip_id:i seg_id:i win_id:i b_trip_id:i b_seg_id:i b_win_id:i label:i", _PAIRS)
 def self_pair(spark: SparkSession, d: str) -> DataFrame:
-    return windows.pairs(windows.windows(windows.signals(labels(spark, d), FULL_STOP)))
+    # the windows' keys are read several times
+    return windows.pairs(staged(windows.windows(windows.signals(labels(spark, d), FULL_STOP)).select(*windows.KEYS)))
 
 
 _ROUTES = "rt as (select trip_id, segment_id, attempt, case when segment_id % 7 = 0 then 'NoMatch' else 'Ok' end as code, case when segment_id % 7 <> 0 then distance_seg_actual_km * 1000 * (1.3 - attempt * 0.08) end as distance from oo, (values (1), (2), (3), (4)) a(attempt) where segment_id % 5 <> 0)"
 
 
-@query("trip_id:i segment_id:i match_status:s match_attempts:i matched_route_distance_m:d final_match_radius_m:d", f"""{_SPANS}, {_OUT}, {_ROUTES}, j as (select oo.trip_id, oo.segment_id, attempt, distance, case when attempt is null then 'NotAttempted' when code = 'NoMatch' then 'NoMatch' when distance_seg_actual_km * 1000 <= 10 then 'OK_OdoTooSmall' when 100 * abs(distance - distance_seg_actual_km * 1000) / (distance_seg_actual_km * 1000) <= 10 then 'OK_InTolerance' else 'OK_ToleranceFail' end as st
+@query(
+    "trip_id:i segment_id:i match_status:s match_attempts:i matched_route_distance_m:d matched_route_duration_s:d match_confidence:d final_match_radius_m:d direct_route_distance_m:d route_deviation_pct:d percent_time_over_limit_seg_agg:d avg_speed_limit_kph_seg_agg:d",
+    f"""{_SPANS}, {_OUT}, {_ROUTES}, j as (select oo.trip_id, oo.segment_id, attempt, distance, case when attempt is null then 'NotAttempted' when code = 'NoMatch' then 'NoMatch' when distance_seg_actual_km * 1000 <= 10 then 'OK_OdoTooSmall' when 100 * abs(distance - distance_seg_actual_km * 1000) / (distance_seg_actual_km * 1000) <= 10 then 'OK_InTolerance' else 'OK_ToleranceFail' end as st
    from oo left join rt on oo.trip_id = rt.trip_id and oo.segment_id = rt.segment_id),
   n as (select *, row_number() over (partition by trip_id, segment_id order by st not in ('OK_InTolerance', 'OK_OdoTooSmall'), case when st in ('OK_InTolerance', 'OK_OdoTooSmall') then attempt else -attempt end) as n from j),
-  q as (select trip_id, segment_id, st as match_status, coalesce(attempt, 0) as match_attempts, distance as matched_route_distance_m, [25.0, 37.5, 56.25, 84.375][attempt] as final_match_radius_m from n where n = 1)""")
+  lm as (select trip_id, segment_id, 100.0 * coalesce(sum(10 + i) filter (30 + segment_id * 3 > (8 + i * 2) * 3.6), 0) / sum(10 + i) as over_pct, sum((10 + i) * (8 + i * 2) * 3.6) / sum(10 + i) as limit_kph from oo, range(4) r(i) group by 1, 2),
+  d as (select n.*, starts_with(st, 'OK') as ok, distance_seg_actual_km * 900 as direct, over_pct, limit_kph from n join oo on oo.trip_id = n.trip_id and oo.segment_id = n.segment_id join lm on lm.trip_id = n.trip_id and lm.segment_id = n.segment_id where n = 1),
+  q as (select trip_id, segment_id, st as match_status, coalesce(attempt, 0) as match_attempts, distance as matched_route_distance_m, distance / 12.5 as matched_route_duration_s, case when ok then 1 / (attempt + 1.0) end as match_confidence, [25.0, 37.5, 56.25, 84.375][attempt] as final_match_radius_m,
+    case when ok then direct end as direct_route_distance_m, case when ok then case when direct > 1e-3 then 100 * (distance - direct) / direct else 0 end end as route_deviation_pct, case when ok then over_pct end as percent_time_over_limit_seg_agg, case when ok then limit_kph end as avg_speed_limit_kph_seg_agg from d)""",
+)
 def route_match(spark: SparkSession, d: str) -> DataFrame:
-    seg = staged(features.outcomes(labels(spark, d)))
+    seg = staged(features.outcomes(labels(spark, d)).select(*routes.KEYS, "distance_seg_actual_km", "duration_seg_actual_s"))
     tries = F.explode(F.array(*map(F.lit, range(1, 5))))
     odo = F.col("distance_seg_actual_km") * 1000
-    rt = seg.where("segment_id % 5 <> 0").select(*routes.KEYS, odo.alias("_m"), tries.alias("attempt")).select(
-        *routes.KEYS, "attempt", F.when(F.col("segment_id") % 7 == 0, "NoMatch").otherwise("Ok").alias("code"), F.when(F.col("segment_id") % 7 != 0, F.col("_m") * (1.3 - F.col("attempt") * 0.08)).alias("distance"),
-        F.lit(None).cast("double").alias("duration"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("legs"),
+    ok = F.col("segment_id") % 7 != 0
+    rt = seg.where("segment_id % 5 <> 0").select(*routes.KEYS, odo.alias("_m"), tries.alias("attempt")).withColumn("distance", F.when(ok, F.col("_m") * (1.3 - F.col("attempt") * 0.08)))
+    rt = rt.select(
+        *routes.KEYS, "attempt", F.when(ok, "Ok").otherwise("NoMatch").alias("code"), "distance", (F.col("distance") / 12.5).alias("duration"),
+        F.when(ok, 1 / (F.col("attempt") + 1.0)).alias("confidence"), F.when(ok, _legs()).alias("legs"),
     )
-    return routes.matched(seg, rt)
+    return routes.match_features(seg, rt, _direct(seg), seg.select(*routes.KEYS, _kph().alias("kph")))
+
+
+def _legs() -> Column:
+    """Four made-up legs of one piece of road each."""
+    leg = lambda i: F.struct(F.struct(F.array(10.0 + i).alias("duration"), F.array(8.0 + i * 2).alias("speed")).alias("annotation"))
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), leg)
+
+
+def _kph() -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(30.0) + F.col("segment_id") * 3)
 
 
 @query("trip_id:i segment_id:i points:i bad:b split_gaps:b", f"""{_SPANS}, w as (select *, (t_us // 1000000) - lag(t_us // 1000000) over {_SEG} as st from x), q as (select trip_id, segment_id, count(*) as points, count(*) < 2 or count(*) filter (latitude is null or longitude is null) > 0 or count(*) filter (st <= 0) > 0 as bad, count(*) filter (st > 300) > 0 as split_gaps from w group by 1, 2)""")
@@ -263,8 +303,7 @@ def match_precheck(spark: SparkSession, d: str) -> DataFrame:
   q as (select trip_id, segment_id, 100.0 * coalesce(sum(dur) filter (act > lim * 3.6), 0) / sum(dur) as over_pct, sum(dur * lim * 3.6) / sum(dur) as limit_kph from p group by 1, 2)""")
 def speeding(spark: SparkSession, d: str) -> DataFrame:
     seg = features.outcomes(labels(spark, d)).select(*routes.KEYS)
-    leg = lambda i: F.struct(F.struct(F.array(10.0 + i).alias("duration"), F.array(8.0 + i * 2).alias("speed")).alias("annotation"))
-    seg = seg.withColumn("legs", F.transform(F.sequence(F.lit(0), F.lit(3)), leg)).withColumn("kph", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.lit(30.0) + F.col("segment_id") * 3))
+    seg = seg.withColumn("legs", _legs()).withColumn("kph", _kph())
     over, limit = routes.speeding(F.col("legs"), F.col("kph"))
     return seg.withColumns({"over_pct": over, "limit_kph": limit})
 
