@@ -1,14 +1,18 @@
 """Areas by tiles, stations by rings, cells of the hexagonal grid: against plain versions and published values."""
 
+import json
 import math
 import random
+import sqlite3
+import struct
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from voltrail.functions import cells, scalars
-from voltrail.operators import places
+from voltrail.operators import clean, places
+from voltrail.sources import areas
 
 
 def inside(rings, x, y):
@@ -49,15 +53,15 @@ def test_buffer_in_metres(spark):
             slant = up / math.sqrt(2)
             for x, y in ((9.99999999 - across, lat + 0.25), (10.5 + across, lat + 0.25), (10.25, lat - up), (10.25, lat + 0.5 + up), (10.5 + slant / math.cos(math.radians(lat + 0.5 + slant)), lat + 0.5 + slant)):
                 rows.append((lat, x, y, m < 1000))
-        areas = places.index(table(spark, [[square]]), buffer_m=1000)
+        near = places.index(table(spark, [[square]]), buffer_m=1000)
         df = spark.createDataFrame([r for r in rows if r[0] == lat], "at double, longitude double, latitude double, want boolean")
-        assert places.with_areas(df, areas, "got").where("got <> want").collect() == []
-        assert places.outside_area(df.withColumn("trip_id", F.lit("t")), areas).count() == 5
+        assert places.with_areas(df, near, "got").where("got <> want").collect() == []
+        assert places.outside_area(df.withColumn("trip_id", F.lit("t")), near).count() == 5
 
 
 def test_areas_do_not_broadcast_outlines(spark):
-    areas = places.index(table(spark, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]]))
-    most = areas.tiles.select(F.max(F.aggregate("areas", F.lit(0), lambda s, a: s + F.size(a["edges"]))).alias("n"), F.count("*").alias("tiles")).first()
+    tiles = places.index(table(spark, [[[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]]])).tiles
+    most = tiles.select(F.max(F.aggregate("areas", F.lit(0), lambda s, a: s + F.size(a["edges"]))).alias("n"), F.count("*").alias("tiles")).first()
     assert most["n"] <= 3 and most["tiles"] > 40
     assert places.index(table(spark, [])).tiles.count() == 0
 
@@ -146,3 +150,56 @@ def test_invalid_cells_have_no_centre(spark):
     assert spark.createDataFrame([(good,)], "h long").select(cells.cell_center(F.col("h")).alias("p")).first()["p"]["latitude"] is not None
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "UDF" not in plan
+
+
+def test_positions_of_cells(spark):
+    good = index_of(20, [1, 2])
+    df = spark.createDataFrame([(1, str(good)), (2, "x"), (3, None)], "i int, current_location string")
+    got = {x["i"]: (x["latitude"], x["longitude"]) for x in clean.with_positions(df).collect()}
+    assert None not in got[1] and got[2] == got[3] == (None, None)
+    assert clean.with_positions(df.drop("current_location")).columns == ["i"]
+    assert clean.valid_positions(clean.with_positions(df)).count() == 1
+
+
+SQUARE = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+HOLE = [(1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0)]
+ISLAND = [(10.0, 10.0), (11.0, 10.0), (11.0, 11.0), (10.0, 10.0)]
+
+
+def where(spark, areas):
+    points = [(0.5, 0.5), (1.5, 1.5), (10.8, 10.2), (8.0, 8.0)]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "k int, longitude double, latitude double")
+    return [x["in"] for x in places.with_areas(df, places.index(areas), "in").orderBy("k").collect()]
+
+
+def test_areas_of_geojson(spark, tmp_path):
+    shape = lambda kind, c, code: {"type": "Feature", "properties": {"GID_0": code, "n": 1}, "geometry": {"type": kind, "coordinates": c}}
+    told = {"type": "FeatureCollection", "features": [shape("Polygon", [SQUARE, HOLE], "AAA"), shape("MultiPolygon", [[ISLAND]], "BBB"), shape("Point", [1, 2], "CCC")]}
+    (tmp_path / "a.geojson").write_text(json.dumps(told, indent=1))
+    found = areas.geojson(spark, f"{tmp_path}/a.geojson", "GID_0")
+    assert sorted(x["country"] for x in found.collect()) == ["AAA", "BBB"]
+    assert where(spark, found) == [True, False, True, False]
+
+
+def test_areas_of_packages(spark, tmp_path):
+    def polygon(order, rings, z=0):
+        out = struct.pack(f"{order}BII", order == "<", 3 + 1000 * z, len(rings))
+        return out + b"".join(struct.pack(f"{order}I", len(r)) + b"".join(struct.pack(f"{order}{2 + z}d", *p, *[7.0] * z) for p in r) for r in rings)
+
+    def package(code, *geometries, layer="ADM_ADM_0"):
+        con = sqlite3.connect(tmp_path / f"gadm41_{code}.gpkg")
+        con.executescript(f"create table gpkg_geometry_columns (table_name text, column_name text); create table {layer} (geom blob); create table ADM_ADM_1 (geom blob)")
+        con.executemany("insert into gpkg_geometry_columns values (?, 'geom')", [("ADM_ADM_1",), (layer,)])
+        con.executemany(f"insert into {layer} values (?)", [(g,) for g in geometries])
+        con.commit()
+        con.close()
+
+    head = lambda envelope=0: b"GP" + struct.pack("<BBi", 0, 1 | envelope << 1, 4326) + b"\0" * {0: 0, 1: 32}[envelope]
+    package("AAA", head(1) + polygon("<", [SQUARE, HOLE]), None)
+    package("BBB", head() + struct.pack(">BII", 0, 1006, 1) + polygon(">", [ISLAND], 1))
+    package("CCC", head() + polygon("<", [SQUARE]), layer="ADM_ADM_2")
+    found = areas.countries(spark, str(tmp_path), ["AAA", "BBB", "ZZZ"])
+    assert sorted(x["country"] for x in found.collect()) == ["AAA", "BBB"]
+    assert where(spark, found) == [True, False, True, False]
+    with pytest.raises(Exception, match="no layer of countries"):
+        areas.countries(spark, str(tmp_path), ["CCC"]).collect()

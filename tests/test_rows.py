@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltrail.functions import arrays, scalars
-from voltrail.operators import categories, clean, history, metrics, models, quality, segments, selection, sequences, windows
+from voltrail.operators import categories, clean, history, metrics, models, quality, routes, segments, selection, sequences, windows
 from voltrail.operators import rows as R
 from voltrail.sources import files, reference
 from voltrail.streaming import gaps
@@ -443,3 +443,25 @@ def test_correlations_of_many_columns(spark, monkeypatch):
 def test_two_hundred_columns(spark):
     df = spark.range(60).select(*(((F.col("id") * (k + 3)) % 17 + F.col("id") * k * 1e-3).cast("double").alias(f"c{k}") for k in range(200)))
     assert metrics.correlations(df, df.columns).where("r is not null").count() == 200 * 199 // 2
+
+
+def test_match_statuses(spark):
+    """One segment for each status; an answered match has the ten columns, the others have nulls."""
+    seg = spark.createDataFrame([("t", k, km) for k, km in enumerate([1.0, 1.0, 1.0, 1.0, 0.005, None, 1.0, 1.0])], "trip_id string, segment_id int, distance_seg_actual_km double")
+    legs = [{"annotation": {"duration": [10.0, 30.0], "distance": [1.0, 1.0], "speed": [10.0, 20.0]}}]
+    tries = [
+        (1, 1, "NoMatch", None), (2, 1, "Timeout", None), (3, 1, "Ok", float("nan")), (4, 1, "Ok", 900.0), (5, 1, "Ok", 900.0),
+        (6, 1, "Ok", 1300.0), (6, 2, "Ok", 1050.0), (6, 3, "Ok", 1000.0), (7, 1, "Ok", 2000.0), (7, 2, "Ok", 1500.0),
+    ]
+    rt = spark.createDataFrame([("t", s, a, code, m, 60.0, 0.9, legs if code == "Ok" else None) for s, a, code, m in tries], routes.ROUTE)
+    direct = spark.createDataFrame([("t", s, 1000.0, 50.0) for s in range(7)], "trip_id string, segment_id int, distance double, duration double")
+    speeds = spark.createDataFrame([("t", s, [40.0]) for s in range(8)], "trip_id string, segment_id int, kph array<double>")
+    got = {x["segment_id"]: x for x in routes.match_features(seg, rt, direct, speeds).collect()}
+    assert {k: (x["match_status"], x["match_attempts"]) for k, x in got.items()} == {
+        0: ("NotAttempted", 0), 1: ("NoMatch", 1), 2: ("Error_Timeout", 1), 3: ("Error_MatchDistanceNaN", 1), 4: ("OK_OdoTooSmall", 1), 5: ("OK_NoToleranceCheck", 1), 6: ("OK_InTolerance", 2), 7: ("OK_ToleranceFail", 2),
+    }
+    late = ("direct_route_distance_m", "route_deviation_pct", "percent_time_over_limit_seg_agg", "avg_speed_limit_kph_seg_agg")
+    assert all(got[k][c] is None for k in range(4) for c in late)
+    assert tuple(got[6][c] for c in late) == pytest.approx((1000.0, 5.0, 25.0, 63.0))
+    assert got[7]["direct_route_distance_m"] is None and got[7]["route_deviation_pct"] is None and got[7]["final_match_radius_m"] == 37.5
+    assert len(got[6].asDict()) == 2 + 10

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltrail.functions import arrays, scalars
+from voltrail.functions import arrays, cells, scalars
 from voltrail.operators import rows as R
 from voltrail.operators import scan
 
@@ -51,6 +51,13 @@ def exclude_trips(df: DataFrame, trips: Sequence[object]) -> DataFrame:
     return df.where(~F.col(R.TRIP).isin(list(trips))) if trips else df
 
 
+def with_positions(df: DataFrame, column: str = "current_location") -> DataFrame:
+    """Adds latitude and longitude of the grid cell that a column names; null where it names none. Without the column the rows stay as they are."""
+    if column not in df.columns:
+        return df
+    return df.withColumn("_cell", cells.cell_center(F.col(column))).withColumns({"latitude": F.col("_cell.latitude"), "longitude": F.col("_cell.longitude")}).drop("_cell")
+
+
 def valid_positions(df: DataFrame) -> DataFrame:
     lat, lon = scalars.number(F.col("latitude")), scalars.number(F.col("longitude"))
     return df.withColumns({"latitude": lat, "longitude": lon}).where(F.col("latitude").between(-90, 90) & F.col("longitude").between(-180, 180))

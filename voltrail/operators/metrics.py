@@ -198,7 +198,8 @@ FEW_COLUMNS = 8
 def _corr(a: str, b: str) -> Column:
     whole = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = (F.when(whole, F.col(c)) for c in (a, b))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    varied = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # rounding leaves a constant's deviation above 0
+    return F.when(varied, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def pair_correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -40,10 +40,11 @@ def nearest_station(df: DataFrame, stations: DataFrame) -> DataFrame:
     Positions without such a station look again in wider cubes, at last in one that holds all stations.
     """
     xyz = ("x", "y", "z")
-    known = staged(stations.where("latitude is not null and longitude is not null").select(F.col("station_id").cast("string"), *(c.alias(k) for k, c in zip(xyz, _sphere(F.col("latitude"), F.col("longitude"))))))
+    known = stations.where("latitude is not null and longitude is not null").select(F.col("station_id").cast("string"), *(c.alias(k) for k, c in zip(xyz, _sphere(F.col("latitude"), F.col("longitude")))))
     places = df.select("latitude", "longitude").where("latitude is not null and longitude is not null").distinct()
     left = places.select("*", *(c.alias(k) for k, c in zip(xyz, _sphere(F.col("latitude"), F.col("longitude")))))
     n = known.count()
+    known = known if n <= FEW_STATIONS else staged(known)
     side = 2.0 if n <= FEW_STATIONS else 2 * math.sqrt(4 * math.pi / n)
     found = []
     while True:

@@ -241,12 +241,12 @@ _PAIRS = f"""{_SPANS}, f as (select trip_id, segment_id as seg_id, flatten(list(
   w3 as (select *, min(p) over (partition by trip_id, seg_id) as lo, greatest(0, p - 5) as fl, greatest(0, n - p - 4) as fr from w2),
   w4 as (select *, {_h("h", "'p'")} % greatest(1, n - m) + 1 as pick, {_h("h", "'q'")} % greatest(1, fl + fr) + 1 as far from w3),
   w5 as (select *, case when n > m then case when pick < lo then pick else pick + m end when fl + fr > 0 then case when far <= fl then far else far - fl + p + 4 end end as place from w4),
-  tr as (select trip_id as t, count(*) as tn, {_h("trip_id")} as o, {_h("trip_id", "'r'")} as r from w1 group by trip_id), tc as (select count(*) as c, arg_min(t, o) as at, arg_min(tn, o) as an, arg_max(t, o) as zt, arg_max(tn, o) as zn from tr),
+  tr as (select trip_id as t, count(*) as tn, {_h("trip_id")} as o, {_h("trip_id", "'r'")} as r from w1 group by trip_id), tc as (select count(*) as c, arg_min(t, o) as ft, arg_min(tn, o) as fn, arg_max(t, o) as zt, arg_max(tn, o) as zn from tr),
   tb as (select tr.*, {_h("t", "'b'")} % greatest(1, c // 1000) as bk from tr, tc),
   seat as (select bk, row_number() over g - 1 as o, t as xt, tn as xn, coalesce(lead(t) over g, first_value(t) over g) as yt, coalesce(lead(tn) over g, first_value(tn) over g) as yn from tb window g as (partition by bk order by r, t)),
   sz as (select bk, count(*) as s from tb group by 1), d1 as (select w5.*, {_h("h", "'b'")} % greatest(1, c // 1000) as bk from w5, tc where not same),
   d2 as (select d1.*, {_h("h", "'o'")} % coalesce(s, 1) as o from d1 left join sz using (bk)),
-  d3 as (select d2.*, case when xt <> trip_id then xt when yt <> trip_id then yt when trip_id <> at then at else zt end as bt, case when xt <> trip_id then xn when yt <> trip_id then yn when trip_id <> at then an else zn end as bn from d2 left join seat using (bk, o), tc),
+  d3 as (select d2.*, case when xt <> trip_id then xt when yt <> trip_id then yt when trip_id <> ft then ft else zt end as bt, case when xt <> trip_id then xn when yt <> trip_id then yn when trip_id <> ft then fn else zn end as bn from d2 left join seat using (bk, o), tc),
   d4 as (select *, {_h("h", "'w'")} % bn + 1 as there from d3 where bt <> trip_id),
   q as (select a.trip_id, a.seg_id, a.win_id, b.trip_id as b_trip_id, b.seg_id as b_seg_id, b.win_id as b_win_id, 1 as label from w5 a join w5 b on a.trip_id = b.trip_id and a.place = b.p where a.same
    union all select d4.trip_id, d4.seg_id, d4.win_id, b.trip_id, b.seg_id, b.win_id, 0 from d4 join w5 b on b.trip_id = bt and b.p = there)"""
