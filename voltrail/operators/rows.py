@@ -1,4 +1,4 @@
-"""Windows over a trip, shared by the operators: one partitioning and one total order."""
+"""Names and the total order of a trip's rows, shared by the operators; running values are in scan."""
 
 from __future__ import annotations
 
@@ -20,36 +20,9 @@ def ordered() -> WindowSpec:
     return Window.partitionBy(TRIP).orderBy(TIME, TIE)
 
 
-def whole() -> WindowSpec:
-    return Window.partitionBy(TRIP)
-
-
-def so_far() -> WindowSpec:
-    return ordered().rowsBetween(Window.unboundedPreceding, 0)
-
-
-def before() -> WindowSpec:
-    return ordered().rowsBetween(Window.unboundedPreceding, -1)
-
-
-def onwards() -> WindowSpec:
-    return ordered().rowsBetween(0, Window.unboundedFollowing)
-
-
 def around(k: int) -> WindowSpec:
     return ordered().rowsBetween(-k, k)
 
 
-def step(c: str | Column) -> Column:
-    """Difference from the row before."""
-    c = F.col(c) if isinstance(c, str) else c
-    return c - F.lag(c).over(ordered())
-
-
-def seconds_step() -> Column:
-    us = F.unix_micros(F.col(TIME).cast("timestamp"))
-    return (us - F.lag(us).over(ordered())) / F.lit(1e6)
-
-
 def flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
