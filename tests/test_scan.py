@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -150,3 +151,18 @@ def test_gram_matrices_merge():
 def test_no_group_is_held(table):
     plan = history.leave_one_out(table, ["a", "b"], "y")._jdf.queryExecution().toString()
     assert "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("forward", [False, True])
+def test_short_trips_are_fitted_together(forward):
+    """A thousand trips of five segments are a few groups, not a thousand frames of each model; trips that are cut by a batch stay whole."""
+    k = np.arange(5_000)
+    z = [np.array([a * 37 % 101, a * 53 % 89], float) for a in k.tolist()]
+    rows = pd.DataFrame({R.TRIP: k // 5, "segment_id": k % 5, "z": z, scan.PIECE: 0, "n": None, "mean": None, "products": None})
+    frames = [rows.iloc[a : a + 777] for a in range(0, len(rows), 777)]
+    out = list(history._predicting(forward, history.MODELS, 3, 1e-3)(iter(frames)))
+    assert len(out) <= 40 and sum(map(len, out)) == 1_000 * (2 if forward else 5) * 2
+    got = pd.concat(out).set_index([R.TRIP, "segment_id", "model"])["predicted"]
+    for trip in (0, 155, 999):
+        x = np.array(z[trip * 5 : trip * 5 + 4])
+        assert got[trip, 4, "linear"] == pytest.approx(history.least_squares(x[:, :1], x[:, 1], z[trip * 5 + 4][:1], 0.0))

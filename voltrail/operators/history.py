@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -114,9 +113,9 @@ def least_squares(x: np.ndarray, y: np.ndarray, at: np.ndarray, alpha: float) ->
 
 @dataclass
 class Gram:
-    """How many rows, their mean, and the products of their differences from it."""
+    """How many rows, their mean, and the products of their differences from it; of one run, or of many, one beside the other."""
 
-    n: int
+    n: int | np.ndarray
     mean: np.ndarray
     products: np.ndarray
 
@@ -132,9 +131,6 @@ class Gram:
         d = other.mean - self.mean
         return Gram(n, self.mean + d * (other.n / n), self.products + other.products + np.outer(d, d) * (self.n * other.n / n))
 
-    def added(self, row: np.ndarray) -> Gram:
-        return self + Gram(1, row, np.zeros_like(self.products))
-
 
 def predicted(n: np.ndarray, mean: np.ndarray, products: np.ndarray, at: np.ndarray, alpha: float, least_variance: float) -> np.ndarray:
     """Predictions at many points, each of a fit of its own from a Gram matrix whose last column is the target; nan where no column varies."""
@@ -154,29 +150,53 @@ def predicted(n: np.ndarray, mean: np.ndarray, products: np.ndarray, at: np.ndar
     return np.where(keep.any(1), out, np.nan)
 
 
-def _without_each(rows: np.ndarray, total: Gram, elsewhere: Callable[[], Gram]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of `rows`: count, mean and products of `total` (these rows and those `elsewhere`) without it."""
-    n = np.full(len(rows), total.n - 1)
+def _merged(a: Gram, b: Gram) -> Gram:
+    """Grams of many runs, one beside the other, merged pair by pair; those of no rows are zeros."""
+    n = a.n + b.n
+    d = b.mean - a.mean
+    share = np.divide(b.n, n, out=np.zeros(n.shape), where=n > 0)
+    return Gram(n, a.mean + d * share[:, None], a.products + b.products + d[:, :, None] * d[:, None, :] * (a.n * share)[:, None, None])
+
+
+def _none(runs: int, d: int) -> Gram:
+    return Gram(np.zeros(runs, np.int64), np.zeros((runs, d)), np.zeros((runs, d, d)))
+
+
+def _sums(values: np.ndarray, train: np.ndarray, at: np.ndarray) -> Gram:
+    """The Gram of the training rows of each run; `at`: where the runs begin."""
+    which = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(values))))
+    n = np.add.reduceat(train.astype(np.int64), at)
+    mean = np.add.reduceat(np.where(train[:, None], values, 0), at) / np.maximum(n, 1)[:, None]
+    d = np.where(train[:, None], values - mean[which], 0)
+    return Gram(n, mean, np.add.reduceat(d[:, :, None] * d[:, None, :], at))
+
+
+def _before(own: Gram, at: np.ndarray, start: Gram) -> Gram:
+    """For each of the Grams `own`, the merged ones before it in its run, from the run's `start` on: all runs go forward together."""
+    size = np.diff(np.append(at, len(own.n)))
+    out = _none(*own.mean.shape)
+    live, now = np.arange(len(at)), start
+    for k in range(int(size.max(initial=0))):
+        stays = size[live] > k
+        live, now = live[stays], Gram(now.n[stays], now.mean[stays], now.products[stays])
+        i = at[live] + k
+        out.n[i], out.mean[i], out.products[i] = now.n, now.mean, now.products
+        now = _merged(now, Gram(own.n[i], own.mean[i], own.products[i]))
+    return out
+
+
+def _without_each(rows: np.ndarray, total: Gram, rest_of: Callable[[int], Gram], least: int) -> Gram:
+    """For each of `rows` its `total` without it; where its own part is nearly all, of at least `least` rows, the others' are summed again."""
+    n = np.broadcast_to(total.n - 1, len(rows))
     d = rows - total.mean
     share = np.divide(1.0, n, out=np.zeros(len(rows)), where=n > 0)
     mean = total.mean - d * share[:, None]
     products = total.products - d[:, :, None] * d[:, None, :] * (total.n * share)[:, None, None]
-    own = np.diagonal(products, axis1=1, axis2=2) < OWN_SHARE * np.diagonal(total.products)
-    rest_of = elsewhere() if own.any() else None
-    for k in np.flatnonzero(own.any(1)).tolist():
-        rest = rest_of + Gram.of(np.delete(rows, k, 0))
+    own = np.diagonal(products, axis1=1, axis2=2) < OWN_SHARE * np.diagonal(total.products, axis1=-2, axis2=-1)
+    for k in np.flatnonzero(own.any(1) & (n >= least)).tolist():
+        rest = rest_of(k)
         mean[k], products[k] = rest.mean, rest.products
-    return n, mean, products
-
-
-def _before_each(rows: np.ndarray, train: np.ndarray, start: Gram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of `rows`: count, mean and products of the training rows before it."""
-    n, mean, products, now = np.zeros(len(rows), int), np.zeros(rows.shape), np.zeros((*rows.shape, rows.shape[1])), start
-    for k in range(len(rows)):
-        n[k], mean[k], products[k] = now.n, now.mean, now.products
-        if train[k]:
-            now = now.added(rows[k])
-    return n, mean, products
+    return Gram(n, mean, products)
 
 
 MODELS = {"linear": 0.0, "ridge": 1.0}
@@ -203,70 +223,99 @@ def _run_numbers(f: pd.DataFrame) -> np.ndarray:
     return change.cumsum().to_numpy()
 
 
-def _each_run(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, Gram, np.ndarray, np.ndarray]]:
-    """Of each run its rows, the Gram matrix of what its header tells of other pieces, their values, and which of them train."""
+def _short_runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Frames of whole runs and the runs' beginnings: many short runs together, up to about STRIP rows, a longer one alone."""
     for f in _runs(frames):
-        for _, run in f.groupby(_run_numbers(f), sort=False):
-            head, rows = run[run["n"].notna()], run[run["n"].isna()]
-            if not len(rows):
-                continue
-            values = np.array(rows["z"].tolist(), float).reshape(len(rows), -1)
-            d = values.shape[1]
-            told = Gram.of(np.zeros((0, d)))
-            if len(head):
-                h = head.iloc[0]
-                told = Gram(int(h["n"]), np.array(h["mean"], float), np.array(h["products"], float).reshape(d, d))
-            yield rows, told, values, ~np.isnan(values).any(1)
+        at = np.flatnonzero(np.diff(_run_numbers(f), prepend=-1))
+        ends, lo = np.append(at[1:], len(f)), 0
+        while lo < len(at):
+            hi = max(lo + 1, int(np.searchsorted(ends, at[lo] + STRIP, side="right")))
+            yield f.iloc[at[lo] : ends[hi - 1]].reset_index(drop=True), at[lo:hi] - at[lo]
+            lo = hi
+
+
+def _told(f: pd.DataFrame) -> Gram:
+    d = len(f["mean"].iloc[0])
+    return Gram(f["n"].to_numpy().astype(np.int64), np.array(f["mean"].tolist(), float).reshape(-1, d), np.array(f["products"].tolist(), float).reshape(-1, d, d))
+
+
+def _each_group(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, Gram, np.ndarray, np.ndarray]]:
+    """Of each group of runs its rows, where the runs begin in them, what the runs' headers tell of other pieces, the rows' values, and which of them train."""
+    for f, at in _short_runs(frames):
+        head = f["n"].notna().to_numpy()
+        run = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(f))))
+        rows = f[~head].reset_index(drop=True)
+        if not len(rows):
+            continue
+        values = np.array(rows["z"].tolist(), float).reshape(len(rows), -1)
+        told = _none(len(at), values.shape[1])
+        if head.any():
+            h, i = _told(f[head]), run[head]
+            told.n[i], told.mean[i], told.products[i] = h.n, h.mean, h.products
+        at = np.flatnonzero(np.diff(run[~head], prepend=-1))
+        here = run[~head][at]
+        yield rows, at, Gram(told.n[here], told.mean[here], told.products[here]), values, ~np.isnan(values).any(1)
 
 
 def _predicting(forward: bool, models: dict[str, float], least: int, least_variance: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def made(rows: pd.DataFrame, values: np.ndarray, n: np.ndarray, mean: np.ndarray, products: np.ndarray) -> Iterator[pd.DataFrame]:
-        ok = ~np.isnan(values[:, :-1]).any(1) & (n >= least)
+    def made(rows: pd.DataFrame, values: np.ndarray, g: Gram) -> Iterator[pd.DataFrame]:
+        ok = ~np.isnan(values[:, :-1]).any(1) & (g.n >= least)
         if ok.any():
             for name, alpha in models.items():
-                out = rows.loc[ok, [R.TRIP, "segment_id"]].assign(model=name, actual=values[ok, -1], predicted=predicted(n[ok], mean[ok], products[ok], values[ok, :-1], alpha, least_variance))
+                out = rows.loc[ok, [R.TRIP, "segment_id"]].assign(model=name, actual=values[ok, -1], predicted=predicted(g.n[ok], g.mean[ok], g.products[ok], values[ok, :-1], alpha, least_variance))
                 yield out[out["predicted"].notna()]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, told, values, train in _each_run(frames):
-            rows = rows.reset_index(drop=True)
-            total = None if forward else told + Gram.of(values[train])
-            for lo in range(0, len(rows), STRIP):
-                part, own = values[lo : lo + STRIP], train[lo : lo + STRIP]
+        for rows, at, told, values, train in _each_group(frames):
+            which = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(rows))))
+            total = None if forward else _merged(told, _sums(values, train, at))
+            for lo in range(0, len(rows), STRIP):  # a group of more than STRIP rows is one run
+                part, own, of = values[lo : lo + STRIP], train[lo : lo + STRIP], which[lo : lo + STRIP]
                 if forward:
-                    states = _before_each(part, own, told)
-                    for row in part[own]:
-                        told = told.added(row)
+                    one = Gram(own.astype(np.int64), np.where(own[:, None], part, 0), np.zeros((*part.shape, part.shape[1])))
+                    states = _before(one, at, told)
+                    if len(at) == 1:
+                        last = Gram(states.n[-1:], states.mean[-1:], states.products[-1:])
+                        told = _merged(last, Gram(one.n[-1:], one.mean[-1:], one.products[-1:]))
                 else:
-                    n, mean, products = np.full(len(part), total.n), np.tile(total.mean, (len(part), 1)), np.tile(total.products, (len(part), 1, 1))
-                    outside = train.copy()
-                    outside[lo : lo + STRIP] = False
-                    n[own], mean[own], products[own] = _without_each(part[own], total, lambda: told + Gram.of(values[outside]))  # noqa: B023
-                    states = n, mean, products
-                yield from made(rows.iloc[lo : lo + STRIP], part, *states)
+                    states = Gram(total.n[of], total.mean[of], total.products[of])
+                    k = np.flatnonzero(own)
+
+                    def rest_of(i: int, k: np.ndarray = k, lo: int = lo) -> Gram:
+                        others = train & (which == which[lo + k[i]])
+                        others[lo + k[i]] = False
+                        r = which[lo + k[i]]
+                        return Gram(int(told.n[r]), told.mean[r], told.products[r]) + Gram.of(values[others])  # noqa: B023
+
+                    without = _without_each(part[k], Gram(states.n[k], states.mean[k], states.products[k]), rest_of, least)
+                    states.n[k], states.mean[k], states.products[k] = without.n, without.mean, without.products
+                yield from made(rows.iloc[lo : lo + STRIP], part, states)
 
     return run
 
 
+def _gram_rows(keys: pd.DataFrame, piece: pd.Series, g: Gram) -> pd.DataFrame:
+    return pd.DataFrame({R.TRIP: keys[R.TRIP].to_numpy(), scan.PIECE: piece.to_numpy(), "n": g.n, "mean": list(g.mean), "products": list(g.products.reshape(len(g.n), -1))})
+
+
 def _summing(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows, _, values, train in _each_run(frames):
-        g = Gram.of(values[train])
-        yield pd.DataFrame({R.TRIP: rows[R.TRIP].iloc[:1], scan.PIECE: rows[scan.PIECE].iloc[:1], "n": g.n, "mean": [g.mean.tolist()], "products": [g.products.ravel().tolist()]})
+    for rows, at, _, values, train in _each_group(frames):
+        yield _gram_rows(rows.iloc[at], rows[scan.PIECE].iloc[at], _sums(values, train, at))
 
 
 def _carrying(forward: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """For each piece of a trip, what the pieces before it (forward) or all others hold: two scans, so nothing is subtracted."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in _runs(g.assign(**{"_piece": g[scan.PIECE], scan.PIECE: 0}) for g in frames):
-            for _, trip in f.groupby(_run_numbers(f), sort=False):
-                d = len(trip["mean"].iloc[0])
-                own = [Gram(int(n), np.array(m, float), np.array(p, float).reshape(d, d)) for n, m, p in zip(trip["n"], trip["mean"], trip["products"])]
-                none = Gram.of(np.zeros((0, d)))
-                before = list(accumulate(own[:-1], initial=none))
-                after = [none] * len(own) if forward else list(accumulate(reversed(own[1:]), initial=none))[::-1]
-                both = [a + b for a, b in zip(before, after)]
-                yield pd.DataFrame({R.TRIP: trip[R.TRIP], scan.PIECE: trip["_piece"], "n": [g.n for g in both], "mean": [g.mean.tolist() for g in both], "products": [g.products.ravel().tolist() for g in both]})
+        for f, at in _short_runs(g.assign(**{"_piece": g[scan.PIECE], scan.PIECE: 0}) for g in frames):
+            own = _told(f)
+            none = _none(len(at), own.mean.shape[1])
+            both = _before(own, at, none)
+            if not forward:
+                back = Gram(own.n[::-1], own.mean[::-1], own.products[::-1])
+                after = _before(back, len(f) - np.append(at[1:], len(f))[::-1], none)
+                both = _merged(both, Gram(after.n[::-1], after.mean[::-1], after.products[::-1]))
+            yield _gram_rows(f, f["_piece"], both)
 
     return run
 
@@ -283,8 +332,8 @@ def _evaluated(segments: DataFrame, columns: Sequence[str], target: str, forward
             dealt = rows.withColumn(scan.PIECE, F.lit(0)).select("*", *head).repartition(R.TRIP).sortWithinPartitions(R.TRIP, "segment_id")
             return dealt.mapInPandas(_predicting(forward, models, least, least_variance), out)
         rows = rows.select("*", *head)
-        told = rows.repartition(*keys).sortWithinPartitions(*keys, "segment_id").mapInPandas(_summing, f"{R.TRIP} {trip}, {scan.PIECE} int, {_HEAD}")
-        told = told.repartition(R.TRIP).sortWithinPartitions(*keys).mapInPandas(_carrying(forward), f"{R.TRIP} {trip}, {scan.PIECE} int, {_HEAD}")
+        told = rows.repartition(*keys).sortWithinPartitions(*keys, "segment_id").mapInPandas(_summing, f"{R.TRIP} {trip}, {scan.PIECE} long, {_HEAD}")
+        told = told.repartition(R.TRIP).sortWithinPartitions(*keys).mapInPandas(_carrying(forward), f"{R.TRIP} {trip}, {scan.PIECE} long, {_HEAD}")
         # a piece's carry is a row before its own ones
         both = rows.unionByName(told, allowMissingColumns=True).repartition(*keys).sortWithinPartitions(*keys, F.col("n").isNull(), "segment_id")
         return both.mapInPandas(_predicting(forward, models, least, least_variance), out)
