@@ -153,6 +153,22 @@ def test_no_group_is_held(table):
     assert "FlatMapGroups" not in plan
 
 
+def test_short_pieces_share_ranges(spark, monkeypatch):
+    """Pieces of three rows are as many as rows need, but ranges, and so tasks, no more than cores; the trips that are long come by a join, too."""
+    df = spark.range(3_000).selectExpr("id div 10 as trip_id", "cast(id % 10 as int) as segment_id", "cast(id * 37 % 101 as double) as x", "cast(id * 53 % 89 as double) as y")
+    asked, cut = [], scan.pieces
+    monkeypatch.setattr(scan, "BROADCAST_CARRIES", 0)
+    monkeypatch.setattr(scan, "pieces", lambda df, n, *a: asked.append((n, cut(df, n, *a))) or asked[-1][1])
+    f = lambda most: {(r["trip_id"], r["segment_id"], r["model"]): r["predicted"] for r in history.walk_forward(df, ["x"], "y", most_segments=most).collect()}
+    short, whole = f(3), f(50_000)
+    (n, rows) = asked[0]
+    assert n == spark.sparkContext.defaultParallelism and len(asked) == 1
+    sizes = rows.groupBy(scan.PIECE).agg(F.count("*").alias("n"), F.min(F.struct("trip_id", "segment_id")).alias("a"), F.max(F.struct("trip_id", "segment_id")).alias("b")).orderBy(scan.PIECE).collect()
+    assert max(r["n"] for r in sizes) <= 3 and len(sizes) >= 1_000 and all(tuple(p["b"]) < tuple(q["a"]) for p, q in zip(sizes, sizes[1:]))
+    assert short.keys() == whole.keys() and len(whole) == 300 * 7 * 2
+    assert all(short[k] == pytest.approx(v, rel=1e-9, abs=1e-9) for k, v in whole.items())
+
+
 @pytest.mark.parametrize("forward", [False, True])
 def test_short_trips_are_fitted_together(forward):
     """A thousand trips of five segments are a few groups, not a thousand frames of each model; trips that are cut by a batch stay whole."""

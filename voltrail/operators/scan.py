@@ -1,8 +1,8 @@
 """Running values over trips of any length: a segmented prefix scan.
 
 A trip is ordered by time. Ordinary trips are one window each. A trip of very many rows is
-cut into pieces: its rows are range-partitioned by trip and time, and the number of a row's
-partition is its `piece`. Every operator here then works inside the pieces, reduces each
+cut into pieces: its rows are range-partitioned by trip and time, and a row's `piece` is the number of its
+partition, or of a run of so many rows in it. Every operator here then works inside the pieces, reduces each
 piece to a small carry (its last value, its sum, ...), scans the carries of a trip's pieces,
 and applies them to the pieces' rows. Carries are as many as pieces, so they are broadcast
 behind a count; the rows of long trips are written once a step, so no step is done twice.
@@ -26,8 +26,10 @@ from voltrail.sources.stage import staged
 PIECE = "piece"
 #: Rows of a trip above which it is cut, and of a piece, about.
 MOST_ROWS = 1_000_000
-#: Carries up to which they are broadcast; beyond, the join shuffles.
+#: Carries, or long trips, up to which they are broadcast; beyond, the join shuffles.
 BROADCAST_CARRIES = 100_000
+#: Rows of a range, at least, where pieces are shorter: one range then holds many pieces.
+RANGE_ROWS = 50_000
 
 
 @dataclass(frozen=True)
@@ -143,20 +145,29 @@ def over_trips(df: DataFrame, **columns: Carry) -> DataFrame:
     return out.drop("_trip", "_piece", *here, *(f"_end_{k}" for k in columns))
 
 
-def pieces(df: DataFrame, n: int, order: Sequence[str] = (R.TIME, R.TIE)) -> DataFrame:
-    """`df` in n ranges of trip and time, numbered by `piece`; written."""
+def pieces(df: DataFrame, n: int, order: Sequence[str] = (R.TIME, R.TIE), most_rows: int | None = None) -> DataFrame:
+    """`df` in n ranges of trip and time, or with `most_rows` in runs of so many rows of them, numbered by `piece` in order; written."""
     ranged = df.repartitionByRange(n, R.TRIP, *order)
-    return staged(ranged.withColumn(PIECE, F.spark_partition_id()))
+    if most_rows is None:
+        return staged(ranged.withColumn(PIECE, F.spark_partition_id()))
+    at = F.monotonically_increasing_id()  # the partition's number above 33 bits of the row's place in it
+    place = at.bitwiseAND(F.lit((1 << 33) - 1))
+    return staged(ranged.sortWithinPartitions(R.TRIP, *order).withColumn(PIECE, at - place + F.floor(place / most_rows)))
 
 
 def spread(df: DataFrame, chain: Callable[[DataFrame], DataFrame], most_rows: int = MOST_ROWS, order: Sequence[str] = (R.TIME, R.TIE)) -> DataFrame:
-    """`chain`, made of operators over trips, of `df`: trips of more than `most_rows` rows go through it in pieces."""
+    """`chain`, made of operators over trips, of `df`: trips of more than `most_rows` rows go through it in pieces.
+
+    There are as many ranges as cores, or as RANGE_ROWS (or `most_rows`, if more) rows need, whatever a piece's size: tasks,
+    and what they report to the driver, do not grow with the number of pieces.
+    """
     counts = staged(df.groupBy(F.col(R.TRIP).alias("_trip")).agg(F.count("*").alias("_rows")).where(F.col("_rows") > most_rows))
-    rows = counts.agg(F.sum("_rows")).first()[0]
+    trips, rows = counts.agg(F.count("*"), F.sum("_rows")).first()
     if not rows:
         return chain(df)
-    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most_rows))
+    n = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // max(most_rows, RANGE_ROWS)))
     long = F.col(R.TRIP).eqNullSafe(F.col("_trip"))
-    rest = chain(df.join(F.broadcast(counts), long, "left_anti"))
-    cut = chain(pieces(df.join(F.broadcast(counts), long, "left_semi"), n, order))
+    counts = F.broadcast(counts) if trips <= BROADCAST_CARRIES else counts
+    rest = chain(df.join(counts, long, "left_anti"))
+    cut = chain(pieces(df.join(counts, long, "left_semi"), n, order, most_rows))
     return rest.unionByName(cut.drop(PIECE))
