@@ -3,6 +3,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -80,3 +81,28 @@ def test_linked_sets_share_a_first_coordinate():
                 assert 100 * (n - gone) >= percent * (n + more)
                 a, b = (ngram_join.first_coordinates(np.sort(s), rarity, percent) for s in (x, y))
                 assert len(np.intersect1d(a, b))
+
+
+def test_documents_that_only_look_alike_make_no_pairs(spark, monkeypatch):
+    """Long documents of passages of one pool, of which any two share seven tenths: few pairs are verified, and the near copies among them are found."""
+    r = random.Random(8)
+    pool = [[f"w{b}x{j}" for j in range(30)] for b in range(400)]
+    texts = [" ".join(w for b in sorted(r.sample(range(400), 280)) for w in pool[b]) for _ in range(30)]
+    texts += [x + " " + " ".join(f"end{k}x{j}" for j in range(400)) for k, x in enumerate(texts[:4])]
+    rows = [(k, x) for k, x in enumerate(texts)]
+    tried, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda rows, pairs, *a: tried.append(pairs.count()) or verified(rows, pairs, *a))
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k % 30 for k, _ in rows}
+    assert sum(tried[2:]) <= len(rows)  # the first two rounds pair members of nodes with their leaders
+
+
+def test_hashes_bound_overlaps():
+    r = np.random.default_rng(5)
+    some = [np.sort(r.integers(0, 50, n).astype(np.uint16)) for n in (0, 1, 30, 200, 500)]
+    h = ngram_join.Hashes([*(x.tobytes() for x in some), None])
+    for q in some:
+        want = [int(np.minimum(np.bincount(q, minlength=50), np.bincount(x, minlength=50)).sum()) for x in some]
+        assert h.overlap(q.tobytes(), np.arange(5)).tolist() == want
+        assert h.overlap(q.tobytes(), np.array([5, 2])).tolist() == [np.iinfo(np.int64).max, want[2]]
+    assert h.overlap(None, np.arange(6)).min() == np.iinfo(np.int64).max

@@ -20,8 +20,11 @@ in common prune nothing at the top, in so many dimensions, whence the first leve
 Groups of near copies are never searched pair by pair: members of a node pair with
 one leader of their size class, pairs are bounded, verified on the exact shingle
 sets and linked documents contracted. Only nodes that still hold documents of
-different components are searched, by those outside the node's largest component:
-first each one's best of every other component, then all that are left.
+different components are searched, by those outside the node's largest component.
+There a pair must also pass a bound on the multisets of 16-bit hashes of all shingles,
+which is nearly exact, so that documents which only look alike make no pairs. First a
+node gives pairs that would connect its components as a forest, at most as many as it has
+members, then all pairs of different components that are left.
 Documents with equal sets are contracted before, wherever they lie.
 
 Null or empty texts (and texts without words) have no shingles and link with
@@ -255,6 +258,48 @@ def _verifying(k: int, percent: int) -> Task:
     return run
 
 
+def _hashing(k: int) -> Task:
+    """The sorted 16-bit hashes of each document's shingles, equal ones repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in chunks(b.column(1)):
+                packed = [np.sort((s >> U(36)).astype(np.uint16)).tobytes() for s in shingle_sets(b.column(1)[lo:hi], k)]
+                yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(packed, pa.binary())], names=["rep", "hashes"])
+
+    return run
+
+
+class Hashes:
+    """Multisets of 16-bit hashes of a node's residents, for a bound on overlaps; a missing one bounds nothing."""
+
+    def __init__(self, packed: list[bytes | None]):
+        self.value = np.frombuffer(b"".join(x or b"" for x in packed), np.uint16)
+        self.end = np.cumsum([len(x or b"") // 2 for x in packed])
+        self.size = np.diff(self.end, prepend=0)
+        self.known = np.array([x is not None for x in packed], bool)
+        at = np.arange(len(self.value)) - np.repeat(self.end - self.size, self.size)  # the how-manieth of its value: places are sorted by value
+        new = np.ones(len(at), bool)
+        new[1:] = (self.value[1:] != self.value[:-1]) | (at[1:] == 0)
+        first = np.flatnonzero(new)
+        self.turn = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+
+    def overlap(self, query: bytes | None, i: np.ndarray) -> np.ndarray:
+        """At least the overlap of the query with each of the residents `i`."""
+        out = np.full(len(i), np.iinfo(np.int64).max)
+        if query is None:
+            return out
+        held = np.bincount(np.frombuffer(query, np.uint16), minlength=1 << 16)
+        for lo in range(0, len(i), 256):
+            part = i[lo : lo + 256]
+            size = self.size[part]
+            end = np.cumsum(size)
+            at = np.repeat(self.end[part] - end, size) + np.arange(end[-1])
+            both = np.concatenate([[0], np.cumsum(self.turn[at] < held[self.value[at]])])
+            out[lo : lo + 256] = np.where(self.known[part], both[end] - both[end - size], out[lo : lo + 256])
+        return out
+
+
 class Boxes:
     """The lowest levels of the tree: points packed by component and size into boxes with their coordinates' maxima."""
 
@@ -279,10 +324,10 @@ class Boxes:
 
 
 def _searching(percent: int, every: bool) -> Task:
-    """Pairs of a node that lie in different components and whose bound allows a link: all, or each query's best of each component."""
+    """Pairs of a node that lie in different components and whose bounds allow a link: all, or each query's best of each component that the node's pairs have not connected yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, _ in whole_runs(batches, n_keys=2):
+        for t, _ in whole_runs(batches, n_keys=2, at_least=2_000):
             node, part, rep, comp, n, query, resident = (t.column(c).to_numpy() for c in ("node", "part", "rep", "component", "n", "query", "resident"))
             point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(rep), GROUPS)
             at = starts(node, part)
@@ -292,11 +337,20 @@ def _searching(percent: int, every: bool) -> Task:
                 if not len(own):
                     continue
                 tree = Boxes(n[own], comp[own], point[own], percent)
+                packed = t.column("hashes").slice(lo, hi - lo).to_pylist()
+                hashes = Hashes([packed[i] for i in (own - lo).tolist()])
+                root = np.unique(comp[lo:hi], return_inverse=True)[1]  # the components as this node's pairs connect them
                 for q in (lo + np.flatnonzero(query[lo:hi])).tolist():
                     j, over = tree.search(n[q], comp[q], point[q])
+                    if not every:
+                        j, over = (x[root[own[j] - lo] != root[q - lo]] for x in (j, over))
+                    over = hashes.overlap(packed[q - lo], j) - needed(n[q], n[own[j]], percent)
+                    j, over = j[over >= 0], over[over >= 0]
                     if len(j) and not every:
-                        order = np.lexsort((-over, comp[own[j]]))
-                        j = j[order[starts(comp[own[j]][order])]]
+                        theirs = root[own[j] - lo]
+                        order = np.lexsort((-over, theirs))
+                        j = j[order[starts(theirs[order])]]
+                        root[np.isin(root, theirs)] = root[q - lo]
                     a.append(np.full(len(j), rep[q]))
                     b.append(rep[own[j]])
             a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -352,6 +406,14 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
             pairs = pairs.join(points.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}")), x)
         return pairs.select("a", "b", "nodes", "na", "nb", "pa", "pb").mapInArrow(_bounding(percent), "a bigint, b bigint, nodes bigint")
 
+    def hashes_of(wanted: DataFrame) -> DataFrame:
+        """rep, hashes of the documents wanted; null for an id of different texts."""
+        texts = rows.where("doc_id is not null and text is not null")
+        if wanted.count() <= BROADCAST_DOCS:
+            texts = texts.join(F.broadcast(wanted.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+        all_of = texts.mapInArrow(_hashing(k), "rep bigint, hashes binary").groupBy("rep").agg(F.min("hashes").alias("hashes"), F.max("hashes").alias("_other"))
+        return all_of.select("rep", F.when(F.col("hashes") == F.col("_other"), F.col("hashes")).alias("hashes"))
+
     def located(pairs: DataFrame) -> DataFrame:
         """Pairs a, b with their components ca, cb, where those differ."""
         for x in "ab":
@@ -392,10 +454,10 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
         largest = of_component.groupBy("node").agg(F.max_by("component", "held").alias("largest"))
         parts = F.ceil(F.col("size") / NODE).cast("int")
         left = left.join(largest, "node").withColumn("query", F.col("component") != F.col("largest")).withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        left = left.join(points.select("rep", "point"), "rep")
+        left = left.join(points.select("rep", "point"), "rep").join(hashes_of(left.select("rep").distinct()), "rep", "left")
         everywhere = F.when(F.col("query"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))
         left = left.select("*", F.explode(everywhere).alias("part"))
-        dealt = left.select("node", "part", "rep", "component", "n", "query", (F.col("part") == F.col("mine")).alias("resident"), "point")
+        dealt = left.select("node", "part", "rep", "component", "n", "query", (F.col("part") == F.col("mine")).alias("resident"), "point", "hashes")
         attempt(dealt.repartition("node", "part").sortWithinPartitions("node", "part", "rep").mapInArrow(_searching(percent, every), "a bigint, b bigint"))
 
     own_rep = own.select("doc_id", "n", "sid", "d2").join(reps, ["n", "sid", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
