@@ -90,8 +90,10 @@ def seg_label(spark: SparkSession, d: str) -> DataFrame:
 @query("trip_id:i row_no:i seg_label:i", f"{_LABELS}, q as (select * from l9)")
 def scan_label(spark: SparkSession, d: str) -> DataFrame:
     """The same labels by trips in pieces: the table cut into 64 ranges of trip and time."""
-    cut = scan.pieces(telemetry(spark, d), 64)
-    return segments.label_segments(segments.gap_labels(segments.stop_flags(sequences.gap_flags(cut))), MIN_ROWS, FULL_STOP)
+    # every step writes the rows, so only what the next ones read goes along
+    cut = scan.pieces(telemetry(spark, d).select(R.TRIP, R.TIME, R.TIE, "current_odo", "speed_array"), 64)
+    flagged = segments.gap_labels(segments.stop_flags(sequences.gap_flags(cut)))
+    return segments.label_segments(flagged.select(R.TRIP, R.TIME, R.TIE, scan.PIECE, "stop_flag"), MIN_ROWS, FULL_STOP)
 
 
 @query("in_segment:i unsegmented:i stops:i gaps:i stops_at_gap:i", f"{_LABELS}, q as (select count(*) filter (seg_label > 0) as in_segment, count(*) filter (seg_label = 0) as unsegmented, count(*) filter (seg_label = -1) as stops, count(*) filter (seg_label = -2) as gaps, count(*) filter (seg_label = -3) as stops_at_gap from l9)")
