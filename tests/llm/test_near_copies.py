@@ -1,6 +1,7 @@
 """The pipeline's near copies against 5-word shingles at 0.8 or more."""
 
 import random
+import uuid
 
 import brute
 import numpy as np
@@ -97,6 +98,73 @@ def test_documents_that_only_look_alike_make_no_pairs(spark, monkeypatch):
     assert sum(tried[2:]) <= len(rows)  # the first two rounds pair members of nodes with their leaders
 
 
+def test_documents_that_look_alike_are_searched_in_few_rows(spark, monkeypatch, tmp_path):
+    """Documents of one pool lie in some hundred nodes together; each goes to few groups, once, and the last near copy is found."""
+    r = random.Random(8)
+    pool = [[f"w{b}x{j}" for j in range(30)] for b in range(60)]
+    texts = [" ".join(w for b in sorted(r.sample(range(60), 42)) for w in pool[b]) for _ in range(30)]
+    texts += [" ".join(edited(x.split(), {3 * k})) for k, x in enumerate(texts[:4])]
+    rows = [(k, x) for k, x in enumerate(texts)]
+    searching = ngram_join._searching
+
+    def counted(*how):
+        def run(batches):
+            def told():
+                for b in batches:
+                    (tmp_path / uuid.uuid4().hex).write_text(str(b.num_rows))
+                    yield b
+
+            return searching(*how)(told())
+
+        return run
+
+    monkeypatch.setattr(ngram_join, "_searching", counted)
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert 0 < sum(int(p.read_text()) for p in tmp_path.iterdir()) <= 10 * len(rows)
+
+
+def test_a_group_is_searched_again_if_a_pair_of_it_is_no_link(spark, monkeypatch):
+    """Bounds that let every pair of the first search pass: it connects what is not linked, and the links held back are found."""
+    searching = ngram_join._searching
+
+    def loose(percent, every):
+        def run(batches):
+            bound, ngram_join.overlap_bound = ngram_join.overlap_bound, lambda x, y: np.full(np.broadcast_shapes(x.shape, y.shape)[:-1], 1 << 40)
+            exact, ngram_join.Hashes.overlap = ngram_join.Hashes.overlap, lambda self, query, i: np.full(len(i), 1 << 40)
+            try:
+                yield from searching(percent, every)(batches)
+            finally:
+                ngram_join.overlap_bound, ngram_join.Hashes.overlap = bound, exact
+
+        return searching(percent, every) if every else run
+
+    monkeypatch.setattr(ngram_join, "_searching", loose)
+    r = random.Random(4)
+    rows = []
+    for k in range(12):
+        base = [f"c{k}x{j}" for j in range(100)]
+        rows += [(len(rows) + m, " ".join(edited(base, set(r.sample(range(100), r.choice([1, 2, 3, 4])))))) for m in range(8)]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def brute_components(rows, k=4, percent=85):
+    s = sets(rows, k)
+    links = [(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])]
+    return brute.roots(sorted(s), links)
+
+
+def test_packed_values_come_back_in_fewer_bytes():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 600, 6_000):
+        values = np.sort(r.integers(0, 1 << 16, n).astype(np.uint16))
+        packed = ngram_join.pack(values)
+        assert ngram_join.unpack(packed) == values.tobytes()
+        assert n < 600 or len(packed) < 0.7 * values.nbytes
+    assert ngram_join.unpack(None) is None
+
+
 def test_hashes_bound_overlaps():
     r = np.random.default_rng(5)
     some = [np.sort(r.integers(0, 50, n).astype(np.uint16)) for n in (0, 1, 30, 200, 500)]

@@ -22,9 +22,11 @@ one leader of their size class, pairs are bounded, verified on the exact shingle
 sets and linked documents contracted. Only nodes that still hold documents of
 different components are searched, by those outside the node's largest component.
 There a pair must also pass a bound on the multisets of 16-bit hashes of all shingles,
-which is nearly exact, so that documents which only look alike make no pairs. First a
-node gives pairs that would connect its components as a forest, at most as many as it has
-members, then all pairs of different components that are left.
+which is nearly exact, so that documents which only look alike make no pairs. Documents
+that look alike lie in many nodes together, so small nodes with the same member of the least
+hash are searched as a group, which holds each document's point and hashes once. First a
+group gives pairs that would connect its components as a forest, at most as many as it has
+members; groups in which one of them is no link then give all pairs of different components.
 Documents with equal sets are contracted before, wherever they lie.
 
 Null or empty texts (and texts without words) have no shingles and link with
@@ -54,7 +56,8 @@ FULL = 65_535
 RARITY = 1 << 16  # groups whose counts over the corpus order a set's coordinates
 BLOCK = 1 << 10  # of them in a row
 BOX = 32  # points of a box
-NODE = 4_096  # members of a node that one task packs into boxes; larger nodes are dealt into parts
+NODE = 4_096  # members of a node, or of small nodes together, that are one part; larger ones are dealt into parts
+SMALL = 512  # members of a node that is searched together with others
 HOT = 200_000  # members of a node that one task compares for equal nodes; larger ones stay as they are
 BROADCAST_DOCS = 50_000  # rows of about 40 bytes
 SALT = 2_000  # pairs of one hub that one group verifies
@@ -258,13 +261,27 @@ def _verifying(k: int, percent: int) -> Task:
     return run
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 16-bit values as their differences, low bytes first, then high ones, which are mostly zero; compressed after the size in bytes."""
+    planes = np.diff(values, prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T.tobytes()
+    return len(planes).to_bytes(4, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True) if planes else b""
+
+
+def unpack(packed: bytes | None) -> bytes | None:
+    """The bytes of the values that were packed."""
+    if not packed:
+        return packed
+    planes = pa.Codec("zstd").decompress(packed[4:], int.from_bytes(packed[:4], "little"), asbytes=True)
+    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(2, -1).T.copy().view(np.uint16).ravel(), dtype=np.uint16).tobytes()
+
+
 def _hashing(k: int) -> Task:
-    """The sorted 16-bit hashes of each document's shingles, equal ones repeated."""
+    """The sorted 16-bit hashes of each document's shingles, equal ones repeated, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi in chunks(b.column(1)):
-                packed = [np.sort((s >> U(36)).astype(np.uint16)).tobytes() for s in shingle_sets(b.column(1)[lo:hi], k)]
+                packed = [pack(np.sort((s >> U(36)).astype(np.uint16))) for s in shingle_sets(b.column(1)[lo:hi], k)]
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(packed, pa.binary())], names=["rep", "hashes"])
 
     return run
@@ -324,41 +341,88 @@ class Boxes:
 
 
 def _searching(percent: int, every: bool) -> Task:
-    """Pairs of a node that lie in different components and whose bounds allow a link: all, or each query's best of each component that the node's pairs have not connected yet."""
+    """Pairs of the nodes of a group that lie in different components and whose bounds allow a link: all, or each query's
+    best of each component that the group's pairs have not connected yet. Those of a group that held pairs back name it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, n_keys=2, at_least=2_000):
-            node, part, rep, comp, n, query, resident = (t.column(c).to_numpy() for c in ("node", "part", "rep", "component", "n", "query", "resident"))
+            group, part, rep, comp, n, resident = (t.column(c).to_numpy() for c in ("group", "part", "rep", "component", "n", "resident"))
             point = np.frombuffer(b"".join(t.column("point").to_pylist()), np.uint16).reshape(len(rep), GROUPS)
-            at = starts(node, part)
-            a, b = [], []
-            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(node)]):
-                own = lo + np.flatnonzero(resident[lo:hi])
-                if not len(own):
-                    continue
-                tree = Boxes(n[own], comp[own], point[own], percent)
-                packed = t.column("hashes").slice(lo, hi - lo).to_pylist()
-                hashes = Hashes([packed[i] for i in (own - lo).tolist()])
-                root = np.unique(comp[lo:hi], return_inverse=True)[1]  # the components as this node's pairs connect them
-                for q in (lo + np.flatnonzero(query[lo:hi])).tolist():
-                    j, over = tree.search(n[q], comp[q], point[q])
-                    if not every:
-                        j, over = (x[root[own[j] - lo] != root[q - lo]] for x in (j, over))
-                    over = hashes.overlap(packed[q - lo], j) - needed(n[q], n[own[j]], percent)
-                    j, over = j[over >= 0], over[over >= 0]
-                    if len(j) and not every:
-                        theirs = root[own[j] - lo]
-                        order = np.lexsort((-over, theirs))
-                        j = j[order[starts(theirs[order])]]
-                        root[np.isin(root, theirs)] = root[q - lo]
-                    a.append(np.full(len(j), rep[q]))
-                    b.append(rep[own[j]])
-            a, b = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (a, b))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            at = starts(group, part)
+            out = []
+            for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(rep)]):
+                i = np.arange(lo, hi)
+                lists = [t.column(c).slice(lo, hi - lo).combine_chunks() for c in ("nodes", "queries")]
+                packed = [unpack(x) for x in t.column("hashes").slice(lo, hi - lo).to_pylist()]
+                of_row = np.repeat(np.arange(hi - lo), lists[0].value_lengths().to_numpy())
+                node, query = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+                pairs, held_back = _pairs_of_group(rep[i], comp[i], n[i], resident[i], point[i], packed, of_row, node, query, percent, every)
+                out.append((pairs, group[lo] if held_back else None, part[lo]))
+            a, b = (np.concatenate([x[k] for x, _, _ in out]) if out else np.zeros(0, np.int64) for k in (0, 1))
+            named = [[g] * len(x[0]) for x, g, _ in out]
+            parts = [[p] * len(x[0]) for x, _, p in out]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array([g for x in named for g in x], pa.int64()), pa.array([p for x in parts for p in x], pa.int32())], names=["a", "b", "group", "part"])
 
     return run
 
 
+def _pairs_of_group(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, resident: np.ndarray, point: np.ndarray, packed: list[bytes | None], of_row: np.ndarray, node: np.ndarray, query: np.ndarray, percent: int, every: bool) -> tuple[tuple[np.ndarray, np.ndarray], bool]:
+    """The pairs, and whether some were held back, as others connect their components. `of_row`, `node` and `query`: who lies in which node."""
+    by_node = np.argsort(node, kind="stable")
+    of_row, node, query = of_row[by_node], node[by_node], query[by_node]
+    at = starts(node)
+    hashes = Hashes(packed)
+    met = np.zeros((len(rep), len(rep)), bool) if len(at) > 1 else None  # pairs that need no second look in another node
+    root = np.unique(comp, return_inverse=True)[1]  # the components as this group's pairs connect them
+    a, b, held_back = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(node)]):
+        own = of_row[lo:hi][resident[of_row[lo:hi]]]
+        if not len(own):
+            continue
+        tree = Boxes(n[own], comp[own], point[own], percent)
+        for q in of_row[lo:hi][query[lo:hi]].tolist():
+            j = own[tree.search(n[q], comp[q], point[q])[0]]
+            if met is not None:
+                j = j[~met[q, j]]
+            if not every:
+                apart = root[j] != root[q]
+                held_back |= not apart.all()
+                j = j[apart]
+            over = hashes.overlap(packed[q], j) - needed(n[q], n[j], percent)
+            if met is not None:
+                far = j[over < 0]
+                met[q, far] = met[far, q] = True
+            j, over = j[over >= 0], over[over >= 0]
+            if len(j) and not every:
+                theirs = root[j]
+                order = np.lexsort((-over, theirs))
+                best = order[starts(theirs[order])]
+                held_back |= len(best) < len(j)
+                j = j[best]
+                root[np.isin(root, theirs)] = root[q]
+            if met is not None:
+                met[q, j] = met[j, q] = True
+            a.append(np.full(len(j), rep[q]))
+            b.append(rep[j])
+    return (np.concatenate(a).astype(np.int64), np.concatenate(b).astype(np.int64)), bool(held_back)
+
+
+def _dealt(left: DataFrame) -> DataFrame:
+    """Members of nodes (node, rep, component, n, query, and pivot, size and held of the node) as a row for each group, part and document, with its nodes there.
+
+    Small nodes of one pivot, which mostly hold the same documents, are a group, cut into parts where its nodes have
+    too many members together; a larger node is a group by itself, and each part holds some of it as residents.
+    """
+    alone = F.col("size") > min(SMALL, NODE)
+    parts = F.when(alone, F.ceil(F.col("size") / NODE)).otherwise(F.ceil(F.col("held") / NODE)).cast("int")
+    mine = F.pmod(F.xxhash64(F.when(alone, F.col("rep")).otherwise(F.col("node"))), parts).cast("int")
+    left = left.withColumns({"group": F.when(alone, F.col("node")).otherwise(F.col("pivot")), "parts": parts, "mine": mine})
+    left = left.withColumn("part", F.explode(F.when(alone & F.col("query"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("mine"))))
+    left = left.withColumn("resident", F.col("part") == F.col("mine"))
+    rows = left.groupBy("group", "part", "rep", "component", "n", "resident").agg(F.collect_list(F.struct("node", "query")).alias("at"))
+    return rows.select("group", "part", "rep", "component", "n", "resident", F.col("at.node").alias("nodes"), F.col("at.query").alias("queries"))
+
+
 def _verified(rows: DataFrame, pairs: DataFrame, ws: Workspace, k: int, percent: int) -> DataFrame:
     """a, b, linked of pairs, on their exact sets. Each pair moves one text, to its hub a; a hub of many pairs is salted.
 
@@ -411,8 +475,9 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
         texts = rows.where("doc_id is not null and text is not null")
         if wanted.count() <= BROADCAST_DOCS:
             texts = texts.join(F.broadcast(wanted.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-        all_of = texts.mapInArrow(_hashing(k), "rep bigint, hashes binary").groupBy("rep").agg(F.min("hashes").alias("hashes"), F.max("hashes").alias("_other"))
-        return all_of.select("rep", F.when(F.col("hashes") == F.col("_other"), F.col("hashes")).alias("hashes"))
+        digest = F.xxhash64("hashes")  # the hashes themselves move once
+        all_of = texts.mapInArrow(_hashing(k), "rep bigint, hashes binary").groupBy("rep").agg(F.min("hashes").alias("hashes"), F.min(digest).alias("_low"), F.max(digest).alias("_high"))
+        return all_of.select("rep", F.when(F.col("_low") == F.col("_high"), F.col("hashes")).alias("hashes"))
 
     def located(pairs: DataFrame) -> DataFrame:
         """Pairs a, b with their components ca, cb, where those differ."""
@@ -446,19 +511,28 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, id_col: str = "doc
     for every in (False, True):
         # nodes with documents of different components are searched by those outside the largest
         here = nodes.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = here.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-        left = ws.table(here.join(mixed.select("node", "size"), "node"))
+        mixed = here.groupBy("node").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.min(F.xxhash64("rep")).alias("pivot")).where("low < high")
+        of_pivot = mixed.where(F.col("size") <= min(SMALL, NODE)).groupBy("pivot").agg(F.sum("size").alias("held"))
+        mixed = mixed.join(of_pivot, "pivot", "left").select("node", "size", "pivot", "held")
+        left = ws.table(here.join(mixed, "node"))
         if left.isEmpty():
             break
-        of_component = left.groupBy("node", "component").agg(F.count("*").alias("held"))
-        largest = of_component.groupBy("node").agg(F.max_by("component", "held").alias("largest"))
-        parts = F.ceil(F.col("size") / NODE).cast("int")
-        left = left.join(largest, "node").withColumn("query", F.col("component") != F.col("largest")).withColumn("mine", F.pmod(F.xxhash64("rep"), parts).cast("int"))
-        left = left.join(points.select("rep", "point"), "rep").join(hashes_of(left.select("rep").distinct()), "rep", "left")
-        everywhere = F.when(F.col("query"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array("mine"))
-        left = left.select("*", F.explode(everywhere).alias("part"))
-        dealt = left.select("node", "part", "rep", "component", "n", "query", (F.col("part") == F.col("mine")).alias("resident"), "point", "hashes")
-        attempt(dealt.repartition("node", "part").sortWithinPartitions("node", "part", "rep").mapInArrow(_searching(percent, every), "a bigint, b bigint"))
+        of_component = left.groupBy("node", "component").agg(F.count("*").alias("members"))
+        largest = of_component.groupBy("node").agg(F.max_by("component", "members").alias("largest"))
+        dealt = ws.table(_dealt(left.join(largest, "node").withColumn("query", F.col("component") != F.col("largest"))))
+        full = dealt.join(points.select("rep", "point"), "rep").join(hashes_of(dealt.select("rep").distinct()), "rep", "left")
+        found = full.repartition("group", "part").sortWithinPartitions("group", "part", "rep").mapInArrow(_searching(percent, every), "a bigint, b bigint, group bigint, part int")
+        if every:
+            attempt(found)
+            break
+        found = ws.table(found)
+        attempt(found)
+        # pairs that were held back are in one component if all pairs of their group are linked; else the group's nodes are searched again
+        failed = found.where("group is not null").join(tried.where("not linked"), ["a", "b"]).select("group", "part").distinct() if tried is not None else found.limit(0)
+        again = ws.table(dealt.join(failed.select("group", "part"), ["group", "part"], "left_semi").select(F.explode("nodes").alias("node")).distinct())
+        if again.isEmpty():
+            break
+        nodes = nodes.join(again, "node", "left_semi")
 
     own_rep = own.select("doc_id", "n", "sid", "d2").join(reps, ["n", "sid", "d2"]).groupBy("doc_id").agg(F.min("rep").alias("rep"))
     out = sets.select("doc_id", "n").join(own_rep, "doc_id", "left").join(comp.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
