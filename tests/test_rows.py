@@ -364,6 +364,68 @@ def test_a_bad_fit_is_told_and_other_failures_are_raised(spark, monkeypatch):
         models.fit_all(df, df, ["x"], [], "t", only=["linear"])
 
 
+def test_candidates_are_fitted_at_the_same_time(spark, monkeypatch):
+    import threading
+
+    from pyspark.errors import IllegalArgumentException
+
+    all_there = threading.Barrier(4)
+
+    def fit(name, *a):
+        all_there.wait(20)
+        raise IllegalArgumentException(name)
+
+    df = spark.createDataFrame([(k, float(k), 2.0 * k) for k in range(20)], "segment_id long, x double, t double")
+    monkeypatch.setattr(models, "_fit", fit)
+    fitted, table = models.fit_all(df, df, ["x"], [], "t")
+    assert not fitted and [(r["model"], r["failure"]) for r in table.collect()] == [(n, n) for n in ("linear", "ridge", "forest", "boosted")]
+
+
+@pytest.mark.parametrize(("late_mae", "best"), [(2.0, "forest"), (0.5, "boosted"), (1.0, "boosted"), (None, "forest")])
+def test_what_follows_a_model_begins_before_the_late_candidates_end(spark, monkeypatch, late_mae, best):
+    """It is that of the best in any case; what has begun with another one is cancelled, in threads of its own too."""
+    import threading
+    import time
+
+    from pyspark import inheritable_thread_target
+
+    begun, seen = threading.Event(), []
+    table = lambda rows: spark.createDataFrame(rows, "model string, mae double")
+
+    def fit_all(train, test, numbers, texts, target, only):
+        if only == models.LATE:
+            assert begun.wait(30)
+            time.sleep(1)
+            return {"boosted": "boosted"} if late_mae else {}, table([("boosted", late_mae)])
+        return {n: n for n in only}, table([("linear", 3.0), ("ridge", None), ("forest", 1.0)])
+
+    def then(model):
+        seen.append(model)
+        begun.set()
+        if model == "forest" and best != "forest":
+            t = threading.Thread(target=inheritable_thread_target(spark)(lambda: spark.range(2, numPartitions=2).rdd.foreach(lambda _: time.sleep(60))))
+            t.start()
+            t.join()
+            raise RuntimeError("cancelled")
+        return model
+
+    monkeypatch.setattr(models, "fit_all", fit_all)
+    df, start = spark.range(1), time.monotonic()
+    assert models.with_best(df, df, [], [], "t", then) == best
+    assert seen == list(dict.fromkeys(["forest", best])) and time.monotonic() - start < 30
+
+
+def test_a_failure_of_a_late_candidate_is_raised(spark, monkeypatch):
+    def fit_all(train, test, numbers, texts, target, only):
+        if only == models.LATE:
+            raise RuntimeError("lost")
+        return {"linear": "linear"}, spark.createDataFrame([("linear", 1.0)], "model string, mae double")
+
+    monkeypatch.setattr(models, "fit_all", fit_all)
+    with pytest.raises(RuntimeError, match="lost"):
+        models.with_best(spark.range(1), spark.range(1), [], [], "t", lambda model: model)
+
+
 def test_errors_of_files(spark, tmp_path):
     from pyspark.errors import AnalysisException
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor, wait
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import ArithmeticException, IllegalArgumentException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
@@ -18,6 +21,8 @@ from voltrail.operators import rows as R
 from voltrail.sources.stage import staged
 
 RIDGE = 1.0
+#: Candidates, those of few jobs first.
+SOON, LATE = ("linear", "ridge", "forest"), ("boosted",)
 
 
 def regressors(train: DataFrame, target: str, trees: int = 50, depth: int = 8, leaf: int = 5, rounds: int = 100) -> dict[str, object]:
@@ -65,21 +70,61 @@ def _fit(name: str, train: DataFrame, numbers: Sequence[str], texts: Sequence[st
 
 def fit_all(train: DataFrame, test: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, only: Sequence[str] = (), **sizes: int) -> tuple[dict[str, PipelineModel], DataFrame]:
     """Fits each candidate on the training rows that are whole, and measures it on the test rows. Rows or columns that
-    can't be fitted give a row of nulls and the reason; other failures are raised."""
+    can't be fitted give a row of nulls and the reason; other failures are raised.
+
+    The candidates are fitted at the same time: boosting is hundreds of short jobs one after the other, which leave cores to the others.
+    """
     used = [*numbers, *texts]
     train = train.dropna(subset=[*used, target])
     n = train.count()
-    fitted, rows = {}, []
-    for name, regressor in regressors(train, target, **sizes).items():
-        if only and name not in only:
-            continue
+    found = {k: r for k, r in regressors(train, target, **sizes).items() if not only or k in only}
+
+    def one(name: str) -> tuple[PipelineModel | None, tuple]:
         try:
-            fitted[name] = _fit(name, train, numbers, texts, target, regressor, n)
-            m = metrics.regression_metrics(fitted[name].transform(test.dropna(subset=used)), target, "prediction").first()
-            rows.append((name, m["mae"], m["rmse"], m["r2"], m["n"], None))
+            model = _fit(name, train, numbers, texts, target, found[name], n)
+            m = metrics.regression_metrics(model.transform(test.dropna(subset=used)), target, "prediction").first()
+            return model, (name, m["mae"], m["rmse"], m["r2"], m["n"], None)
         except (IllegalArgumentException, ArithmeticException) as e:
-            rows.append((name, None, None, None, 0, str(e)[:500]))
-    return fitted, test.sparkSession.createDataFrame(rows, "model string, mae double, rmse double, r2 double, n long, failure string")
+            return None, (name, None, None, None, 0, str(e)[:500])
+
+    with ThreadPoolExecutor(max(1, len(found))) as pool:  # wrapped one by one: each thread has properties of its own
+        begun = {k: pool.submit(inheritable_thread_target(test.sparkSession)(one), k) for k in found}
+        told = {k: f.result() for k, f in begun.items()}
+    fitted = {k: model for k, (model, _) in told.items() if model is not None}
+    return fitted, test.sparkSession.createDataFrame([row for _, row in told.values()], "model string, mae double, rmse double, r2 double, n long, failure string")
+
+
+def with_best(train: DataFrame, test: DataFrame, numbers: Sequence[str], texts: Sequence[str], target: str, then: Callable[[PipelineModel], DataFrame], **sizes: int) -> DataFrame:
+    """`then` of the best of all candidates.
+
+    It begins with the best of those that are fitted soon, while the late ones still are, and once more, what has begun
+    being cancelled, where a late one turns out better: the result is that of the best in any case.
+    """
+    sc, tag = train.sparkSession.sparkContext, f"ahead-{uuid.uuid4().hex}"
+    best = lambda table: getattr(metrics.best_model(table).first(), "model", None)
+
+    def ahead(model: PipelineModel) -> DataFrame:
+        sc.addJobTag(tag)
+        return then(model)
+
+    with ThreadPoolExecutor(2) as pool:
+        rest = pool.submit(inheritable_thread_target(train.sparkSession)(lambda: fit_all(train, test, numbers, texts, target, LATE, **sizes)))
+        fitted, table = fit_all(train, test, numbers, texts, target, SOON, **sizes)
+        first = best(table)
+        begun = pool.submit(inheritable_thread_target(train.sparkSession)(ahead), fitted[first]) if first in fitted else None
+        chosen = first
+        try:
+            more, late = rest.result()
+            chosen = best(table.unionByName(late))
+            fitted |= more
+        except BaseException:
+            chosen = None
+            raise
+        finally:
+            while begun and chosen != first and not begun.done():
+                sc.cancelJobsWithTag(tag)
+                wait([begun], 1)
+        return begun.result() if begun and chosen == first else then(fitted[chosen])
 
 
 def importances(model: PipelineModel, rows: DataFrame) -> list[tuple[str, float]]:

@@ -175,12 +175,16 @@ def _global(seg: DataFrame) -> tuple[str, dict[str, PipelineModel], DataFrame]:
 def lgr_eval(spark: SparkSession, d: str) -> DataFrame:
     """A first model over all trips, then a model of its residual from the trip's other segments; each the best of all four candidates."""
     seg = staged(small(spark, d))
-    best, fitted, _ = _global(seg)
-    told = staged(features.with_global_prediction(seg, fitted[best], [*_NUMBERS, *_TEXTS]))
-    others = history.others(told, ["residual_error_soc_seg_delta", "distance_seg_actual_km"])
-    whole = staged(told.join(others, history.KEYS))
-    columns = [*_NUMBERS, "others_avg_residual_error_soc_seg_delta", "others_std_residual_error_soc_seg_delta", "others_avg_distance_seg_actual_km"]
-    return models.residual_model(whole, columns, _TEXTS, "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta")[0]
+
+    def personal(first: PipelineModel) -> DataFrame:
+        told = staged(features.with_global_prediction(seg, first, [*_NUMBERS, *_TEXTS]))
+        others = history.others(told, ["residual_error_soc_seg_delta", "distance_seg_actual_km"])
+        whole = staged(told.join(others, history.KEYS))
+        columns = [*_NUMBERS, "others_avg_residual_error_soc_seg_delta", "others_std_residual_error_soc_seg_delta", "others_avg_distance_seg_actual_km"]
+        return models.residual_model(whole, columns, _TEXTS, "residual_error_soc_seg_delta", "global_pred_soc_seg_delta", "gt_soc_seg_delta")[0]
+
+    parts = staged(selection.split_trips(seg))
+    return models.with_best(parts.where("not is_test"), parts.where("is_test"), _NUMBERS, _TEXTS, "gt_soc_seg_delta", personal)
 
 
 _PAIR = ("distance_seg_actual_km", "duration_seg_actual_s")
