@@ -381,6 +381,18 @@ def test_candidates_are_fitted_at_the_same_time(spark, monkeypatch):
     assert not fitted and [(r["model"], r["failure"]) for r in table.collect()] == [(n, n) for n in ("linear", "ridge", "forest", "boosted")]
 
 
+def test_boosting_has_no_more_tasks_than_its_rows_need(spark, monkeypatch):
+    class Regressor:
+        def fit(self, rows):
+            self.parts, self.rows = rows.rdd.getNumPartitions(), rows.count()
+
+    df = spark.range(40).selectExpr("id as segment_id", "id * 1e0 as x", "id * 2e0 as t").repartition(8)
+    for task_rows, parts in ((100_000, 1), (20, 2), (1, 8)):
+        monkeypatch.setattr(models, "TASK_ROWS", task_rows)
+        models.fit_ordered(df, ["x"], [], "t", ["segment_id"], r := Regressor())
+        assert (r.parts, r.rows) == (parts, 40)
+
+
 @pytest.mark.parametrize(("late_mae", "best"), [(2.0, "forest"), (0.5, "boosted"), (1.0, "boosted"), (None, "forest")])
 def test_what_follows_a_model_begins_before_the_late_candidates_end(spark, monkeypatch, late_mae, best):
     """It is that of the best in any case; what has begun with another one is cancelled, in threads of its own too."""

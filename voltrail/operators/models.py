@@ -23,6 +23,8 @@ from voltrail.sources.stage import staged
 RIDGE = 1.0
 #: Candidates, those of few jobs first.
 SOON, LATE = ("linear", "ridge", "forest"), ("boosted",)
+#: Rows of a task of boosting, at least: its tasks are short, and fewer of them take no longer.
+TASK_ROWS = 100_000
 
 
 def regressors(train: DataFrame, target: str, trees: int = 50, depth: int = 8, leaf: int = 5, rounds: int = 100) -> dict[str, object]:
@@ -59,6 +61,7 @@ def fit_ordered(train: DataFrame, numbers: Sequence[str], texts: Sequence[str],
     told = Pipeline(stages=encoders).fit(train)
     assembled = VectorAssembler(inputCols=[*numbers, *(categories.named(c) for c in texts)], outputCol="features")
     rows = staged(categories.ordered(train.select(*dict.fromkeys([*keys, *numbers, *texts, target])), texts, target, keys)) if texts else train
+    rows = rows.coalesce(max(1, -(-rows.count() // TASK_ROWS)))
     return PipelineModel(stages=[*told.stages, assembled, regressor.fit(assembled.transform(rows))])
 
 
